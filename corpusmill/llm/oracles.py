@@ -30,4 +30,38 @@ select doc_id, len(ws)::bigint as n_words, len(regexp_replace(text, '[\x20\x09-\
 from w left join s using (r) left join l using (r)
 """
 
-ORACLES: dict[str, str] = {"op9_repetition_rules": OP9}
+OP5 = r"""
+with fold as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as u, 'abcdefghijklmnopqrstuvwxyz' as l),
+d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents, fold),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark, fold),
+bw as (select item_id, ws, least(len(ws), 10) as size, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as i from b where len(ws) > 0),
+win as (select distinct item_id, size, array_to_string(ws[i:i + size - 1], ' ') as w from bw),
+sizes as (select distinct size from win),
+dw as (select r, ws, size, unnest(range(1, len(ws) - size + 2)) as i from d, sizes where len(ws) >= size),
+hit as (select r, i, size, item_id from (select r, i, size, array_to_string(ws[i:i + size - 1], ' ') as w from dw) join win using (size, w)),
+words as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + size)) as p from hit) group by r),
+items as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct r, cast(item_id as varchar) as item_id from hit) group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (r) left join items using (r)
+"""
+
+#: Blocks, slots and repeats of a source amount to its stream of documents, in hashed order, up to its target.
+OP10 = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    ('0x' || substr(md5('mix' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as u from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+k as (select *, [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as w, 3 * source_size as stop from s),
+l as (select *, (sum(source_size) over () - coalesce(sum(stop) over o, 0))::double as rest, (sum(w) over () - coalesce(sum(w) over o, 0))::double as rest_w
+  from k window o as (order by stop::double / w, source nulls last rows between unbounded preceding and 1 preceding)),
+m as (select *, stop * rest_w < w * rest as stops from l),
+r as (select *, max(case when not stops then {'each': rest / rest_w, 'rest': rest, 'rest_w': rest_w} end) over () as f from m),
+t as (select source, source_size, case when stops then stop::double else w * f.rest / f.rest_w end as target from r),
+p as (select d.*, source_size, target, round(target)::bigint as goal, (sum(size) over (partition by d.source order by u, doc_id, size rows unbounded preceding) - size)::bigint as start
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+  case when source_size = 0 then 0 else size * (goal // source_size) + greatest(0, least(size, goal % source_size - start)) end::bigint as taken
+from p
+"""
+
+ORACLES: dict[str, str] = {"op5_benchmark_index": OP5, "op9_repetition_rules": OP9, "op10_source_schedule": OP10}

@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import table
+from corpusmill.llm.decontamination import contamination
+from corpusmill.llm.mixing import mix
 from corpusmill.llm.repetition import repetition_rules
 from corpusmill.llm.simhash import fingerprint_hex, simhash_components
 
 
+def op5_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -21,7 +27,13 @@ def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents")).drop("n_covered", "longest_repeat")
 
 
+def op10_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_benchmark_index": op5_benchmark_index,
     "op7_simhash": op7_simhash,
     "op9_repetition_rules": op9_repetition_rules,
+    "op10_source_schedule": op10_source_schedule,
 }
