@@ -46,6 +46,17 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join words using (r) left join items using (r)
 """
 
+OP8 = r"""
+with d as (select row_number() over () as r, doc_id, source, string_split(text, chr(10)) as ls from documents),
+l as (select r, doc_id, source, unnest(ls) as line, generate_subscripts(ls, 1) as i from d),
+t as (select *, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as k from l),
+s as (select k, min(doc_id) as first from t where k <> '' group by k having count(distinct source) >= 10),
+x as (select t.*, s.k is not null and t.doc_id is distinct from s.first as gone from t left join s using (k)),
+g as (select r, count(*) as n_lines, count(*) filter (gone) as n_removed, coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') as text from x group by r)
+select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, sha256(case when ls is not null then text end) as text_sha256
+from d left join g using (r)
+"""
+
 #: Blocks, slots and repeats of a source amount to its stream of documents, in hashed order, up to its target.
 OP10 = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
@@ -64,4 +75,4 @@ select doc_id, size, source_size, target,
 from p
 """
 
-ORACLES: dict[str, str] = {"op5_benchmark_index": OP5, "op9_repetition_rules": OP9, "op10_source_schedule": OP10}
+ORACLES: dict[str, str] = {"op5_benchmark_index": OP5, "op8_line_spread": OP8, "op9_repetition_rules": OP9, "op10_source_schedule": OP10}

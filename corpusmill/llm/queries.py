@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import table
 from corpusmill.llm.decontamination import contamination
+from corpusmill.llm.lines import line_dedup
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.repetition import repetition_rules
 from corpusmill.llm.simhash import fingerprint_hex, simhash_components
@@ -23,6 +24,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those removed, and the SHA-256 of the text that is left."""
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents")).drop("n_covered", "longest_repeat")
 
@@ -34,6 +41,7 @@ def op10_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_index": op5_benchmark_index,
     "op7_simhash": op7_simhash,
+    "op8_line_spread": op8_line_spread,
     "op9_repetition_rules": op9_repetition_rules,
     "op10_source_schedule": op10_source_schedule,
 }
