@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusmill.llm import urls
+
 #: A union of repeated spans of 10 words or more is the union of 10-word windows seen twice in the text;
 #: a repeat over 150 words is a 151-word window seen twice.
 OP9 = r"""
@@ -75,4 +77,10 @@ select doc_id, size, source_size, target,
 from p
 """
 
-ORACLES: dict[str, str] = {"op5_benchmark_index": OP5, "op8_line_spread": OP8, "op9_repetition_rules": OP9, "op10_source_schedule": OP10}
+ORACLES: dict[str, str] = {
+    "op4_url_templates": urls.oracle(),
+    "op5_benchmark_index": OP5,
+    "op8_line_spread": OP8,
+    "op9_repetition_rules": OP9,
+    "op10_source_schedule": OP10,
+}

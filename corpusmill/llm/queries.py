@@ -7,18 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm.chunks import repeated_spans
 from corpusmill.llm.common import table
 from corpusmill.llm.decontamination import contamination
 from corpusmill.llm.lines import line_dedup
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.repetition import repetition_rules
 from corpusmill.llm.simhash import fingerprint_hex, simhash_components
+from corpusmill.llm.urls import judge_urls, path_of
+
+
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are labelled by the document that the number in their path names: bad if of low quality or toxic."""
+    number = F.regexp_extract(path_of(F.col("url")), "/([0-9]+)", 1).try_cast("long")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", number.alias("number"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    labelled = pages.join(labels, F.col("number") == F.col("doc_id"), "left").select("page_id", "url", "bad")
+    return judge_urls(labelled).drop("bad_share")
 
 
 def op5_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its chunks, those that are repeats or shared, bytes of passages to remove, whether it shares a passage, and with which first documents."""
+    found = repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_chunks", "n_bytes", "n_repeats", "n_shared", removed.alias("removed_bytes"), (F.size("shared_spans") > 0).alias("has_passage"), "repeats_of")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", fingerprint_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
@@ -39,7 +57,9 @@ def op10_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_url_templates": op4_url_templates,
     "op5_benchmark_index": op5_benchmark_index,
+    "op6_chunk_dedup": op6_chunk_dedup,
     "op7_simhash": op7_simhash,
     "op8_line_spread": op8_line_spread,
     "op9_repetition_rules": op9_repetition_rules,
