@@ -10,13 +10,33 @@ from pyspark.sql import functions as F
 from corpusmill.llm.chunks import repeated_spans
 from corpusmill.llm.common import table
 from corpusmill.llm.decontamination import contamination
+from corpusmill.llm.licenses import license_scan
 from corpusmill.llm.lines import line_dedup
 from corpusmill.llm.mixing import mix
+from corpusmill.llm.perplexity import quality
+from corpusmill.llm.pii import replace_pii
 from corpusmill.llm.repetition import repetition_rules
 from corpusmill.llm.simhash import fingerprint_hex, simhash_components
 from corpusmill.llm.urls import judge_urls, path_of
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted: documents labelled as of good quality and not toxic."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return quality(table(spark, sf_dir, "documents"), trusted)
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is that of the synthetic tables; real ones come from a secret store."""
+    return replace_pii(table(spark, sf_dir, "documents"), key="synthetic")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths; theirs are source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    return license_scan(docs.select("doc_id", F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text"))
+
+
 def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are labelled by the document that the number in their path names: bad if of low quality or toxic."""
     number = F.regexp_extract(path_of(F.col("url")), "/([0-9]+)", 1).try_cast("long")
@@ -57,6 +77,9 @@ def op10_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kneser_ney": op1_kneser_ney,
+    "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_license_scan": op3_license_scan,
     "op4_url_templates": op4_url_templates,
     "op5_benchmark_index": op5_benchmark_index,
     "op6_chunk_dedup": op6_chunk_dedup,
