@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words for units of time. Each unit, its plural and its adverb.
 UNITS = {
@@ -26,13 +27,13 @@ def _parsed(text: str | None) -> object:
         return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_value(values: pd.Series) -> pd.Series:
     """Values as JSON with sorted keys; text that is JSON counts as what it says. Null is JSON null."""
     return values.map(lambda v: json.dumps(_parsed(v), ensure_ascii=False, sort_keys=True), na_action=None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compact_value(values: pd.Series) -> pd.Series:
     """JSON text with sorted keys and no spaces; 1 and 1.0 stay apart."""
     return values.map(lambda v: json.dumps(json.loads(v), ensure_ascii=False, sort_keys=True, separators=(",", ":")), na_action="ignore")
@@ -69,7 +70,7 @@ def salvage(text: str | None) -> str | None:
     return None if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def salvaged_slow(values: pd.Series) -> pd.Series:
     return values.map(salvage, na_action=None)
 
@@ -100,7 +101,7 @@ def parse_duration(raw: str | None, evidence: str | None, message: str | None) -
     return None
 
 
-@F.pandas_udf("periods double, unit string")
+@F.pandas_udf(T.StructType([T.StructField("periods", T.DoubleType()), T.StructField("unit", T.StringType())]))
 def durations(raw: pd.Series, evidence: pd.Series, message: pd.Series) -> pd.DataFrame:
     found = [parse_duration(*x) or {"periods": None, "unit": None} for x in zip(raw, evidence, message, strict=True)]
     return pd.DataFrame(found, columns=["periods", "unit"])
