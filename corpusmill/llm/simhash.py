@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import arrow_map, utf8, written
+from corpusmill.llm.common import arrow_map, parts, utf8, written
 from corpusmill.llm.graph import connected_components
 
 #: Bytes of text hashed at once within one document.
@@ -105,36 +105,34 @@ def fingerprints(texts: list[bytes | None], k: int) -> np.ndarray:
     return out
 
 
-def close_lanes(fps: np.ndarray, radius: int, tile: int = 64) -> np.ndarray:
-    """fps (m, words of 64 bits) -> (m, ceil(m / 64)) bit matrix: lane j of row i set if they differ in at most radius bits."""
-    m, n_words = fps.shape
-    lanes = -(-m // 64)
-    bits = np.unpackbits(fps.view(np.uint8).reshape(m, -1), axis=1, bitorder="little")
-    padded = np.zeros((lanes * 64, bits.shape[1]), np.uint8)
-    padded[:m] = bits
-    planes = np.ascontiguousarray(np.packbits(padded.T, axis=1, bitorder="little")).view(np.uint64)  # (bits, lanes)
-    width = max(1, radius.bit_length())
+def planes_of(fps: np.ndarray) -> np.ndarray:
+    """fps (m, words of 64 bits) -> bit planes (64 * words, ceil(m / 64)): lane j of plane p is bit p of fingerprint j."""
+    m = len(fps)
+    padded = np.zeros((-(-m // 64) * 64, fps.shape[1] * 64), np.uint8)
+    padded[:m] = np.unpackbits(fps.view(np.uint8).reshape(m, -1), axis=1, bitorder="little")
+    return np.ascontiguousarray(np.packbits(padded.T, axis=1, bitorder="little")).view(np.uint64)
+
+
+def close_lanes(queries: np.ndarray, planes: np.ndarray, radius: int) -> np.ndarray:
+    """Which lanes each query is within radius bits of, as (queries, lanes / 64) words; lanes of padding mean nothing."""
+    bits = np.unpackbits(np.ascontiguousarray(queries).view(np.uint8).reshape(len(queries), -1), axis=1, bitorder="little")
     full = ~np.uint64(0)
-    out = np.zeros((m, lanes), np.uint64)
-    for first in range(0, m, tile):
-        rows = np.arange(first, min(m, first + tile))
-        counters = [np.zeros((len(rows), lanes), np.uint64) for _ in range(width)]
-        over = np.zeros((len(rows), lanes), np.uint64)
-        for p in range(planes.shape[0]):
-            carry = planes[p][None, :] ^ np.where(bits[rows, p], full, np.uint64(0))[:, None]
-            for c in counters:
-                carry, c[...] = c & carry, c ^ carry
-            over |= carry
-            if p % 16 == 15:
-                over |= _exceeds(counters, radius)
-                if not (alive := (over != full).any(axis=1)).all():  # rows whose lanes are all beyond the radius
-                    rows, over, counters = rows[alive], over[alive], [c[alive] for c in counters]
-                    if not len(rows):
-                        break
-        if len(rows):
-            out[rows] = ~(over | _exceeds(counters, radius))
-    if m % 64:
-        out[:, -1] &= (np.uint64(1) << np.uint64(m % 64)) - np.uint64(1)
+    rows, lanes = np.arange(len(queries)), planes.shape[1]
+    out = np.zeros((len(queries), lanes), np.uint64)
+    counters = [np.zeros((len(rows), lanes), np.uint64) for _ in range(max(1, radius.bit_length()))]
+    over = np.zeros((len(rows), lanes), np.uint64)
+    for p in range(len(planes)):
+        carry = planes[p][None, :] ^ np.where(bits[rows, p], full, np.uint64(0))[:, None]
+        for c in counters:
+            carry, c[...] = c & carry, c ^ carry
+        over |= carry
+        if p % 16 == 15:
+            over |= _exceeds(counters, radius)
+            if not (alive := (over != full).any(axis=1)).all():  # rows whose lanes are all beyond the radius
+                rows, over, counters = rows[alive], over[alive], [c[alive] for c in counters]
+                if not len(rows):
+                    return out
+    out[rows] = ~(over | _exceeds(counters, radius))
     return out
 
 
@@ -151,19 +149,33 @@ def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def block_components(fps: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint of a block, the index of the first one reachable by links within radius."""
-    close = close_lanes(fps, radius)
+def block_components(fps: np.ndarray, radius: int, tile: int = 64) -> np.ndarray:
+    """For each fingerprint of a block, the index of the first one reachable by links within radius.
+
+    What is near the first one left joins it; tiles of those that joined are then compared,
+    bit-sliced, with what is still left, and so on. Members of one component meet
+    once, so a block of near-copies costs one row of distances.
+    """
     m = len(fps)
     root = np.full(m, -1)
-    for i in range(m):
-        if root[i] < 0:
-            root[i] = i
-            frontier = np.array([i])
-            while frontier.size:
-                reached = np.unpackbits(np.bitwise_or.reduce(close[frontier], axis=0).view(np.uint8), bitorder="little")[:m].astype(bool)
-                frontier = np.flatnonzero(reached & (root < 0))
-                root[frontier] = i
+    left = np.arange(m)
+    packed, planes = left, None
+    while left.size:
+        first, left = left[0], left[1:]
+        root[first] = first
+        near = np.bitwise_count(fps[left] ^ fps[first]).sum(axis=1) <= radius
+        waiting, left = left[near], left[~near]
+        root[waiting] = first
+        while waiting.size and left.size:
+            queries, waiting = waiting[:tile], waiting[tile:]
+            if planes is None or 2 * left.size <= packed.size:
+                packed, planes = left, planes_of(fps[left])
+            reached = np.unpackbits(np.bitwise_or.reduce(close_lanes(fps[queries], planes, radius), axis=0).view(np.uint8), bitorder="little")[: packed.size].astype(bool)
+            joined = packed[reached & (root[packed] < 0)]
+            if joined.size:
+                root[joined] = first
+                left = left[root[left] < 0]
+                waiting = np.concatenate([waiting, joined])
     return root
 
 
@@ -173,9 +185,9 @@ def block_links(blocks: DataFrame, radius: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for nodes, fps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i in range(batch.num_rows):
+                nodes, fps = batch.column(0)[i].values.to_numpy(), batch.column(1)[i].as_py()
                 found = block_components(np.frombuffer(b"".join(fps), np.uint64).reshape(len(fps), -1), radius)
-                nodes = np.array(nodes, np.int64)
                 moved = found != np.arange(len(found))
                 a.append(nodes[moved])
                 b.append(nodes[found[moved]])
@@ -192,7 +204,9 @@ def sized(keys: DataFrame) -> DataFrame:
 
 
 def _gathered(members: DataFrame, *by: str) -> DataFrame:
-    return members.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("m")).select(F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps"))
+    """Blocks with their members, dealt to as many tasks as shuffles have: they're small in bytes but long to compare, and must not be coalesced."""
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(tasks, *by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("m")).select(F.col("m.node").alias("nodes"), F.col("m.fp").alias("fps"))
 
 
 def small_blocks(members: DataFrame, block: int) -> DataFrame:
@@ -204,7 +218,7 @@ def chunk_pairs(members: DataFrame, block: int) -> DataFrame:
     chunks = F.ceil(2 * F.col("n") / block).cast("int")
     large = members.where(F.col("n") > block).withColumn("q", chunks).withColumn("c", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
     dealt = large.select("key", "node", "fp", "c", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("d"))
-    return _gathered(dealt, "key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"))
+    return _gathered(dealt.select("key", "node", "fp", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j")), "key", "i", "j")
 
 
 def _hex(fp: Column) -> Column:
@@ -257,7 +271,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(utf8(batch.column(1)), shingle).view(np.int64))], ["id", "fp"])
 
     rows = written(arrow_map(source, run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long"), "fingerprints")
@@ -326,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             digests, prints, keys = wide_signature(utf8(batch.column(1)), shingle, words, bands, rows)
             flat = pa.array(np.concatenate(keys)) if keys else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * bands, flat)], ["id", "digest", "fp", "keys"])

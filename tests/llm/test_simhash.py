@@ -68,10 +68,15 @@ def test_bit_sliced_distances(radius):
     x = rng.integers(0, 2**63, size=(190, 2), dtype=np.uint64)
     x[100:150] = x[:50] ^ (np.uint64(1) << rng.integers(0, 64, size=(50, 2), dtype=np.uint64))
     x[150:] = x[:40]
-    close = np.unpackbits(S.close_lanes(x, radius, tile=17).view(np.uint8), axis=1, bitorder="little")
+    close = np.unpackbits(S.close_lanes(x, S.planes_of(x), radius).view(np.uint8), axis=1, bitorder="little")
     expected = [[sum(int(p).bit_count() for p in (a ^ b)) <= radius for b in x] for a in x]
     assert (close[:, :190] == np.array(expected)).all()
-    assert not close[:, 190:].any()
+    parent = list(range(190))
+    for i in range(190):  # least index reachable
+        for j in np.flatnonzero(expected[i]):
+            a, b = sorted((parent[i], parent[j]))
+            parent = [a if p == b else p for p in parent]
+    assert S.block_components(x, radius, tile=7).tolist() == parent
 
 
 @pytest.mark.parametrize("block", [4096, 3])
