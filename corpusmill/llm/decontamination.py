@@ -20,17 +20,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import arrow_map, utf8, written
+from corpusmill.llm.common import arrow_map, parts, utf8, written
 
 #: A-Z lower-cased; all ASCII but letters and digits separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Bytes of text of a segment; a longer document is a segment of its own.
-SEGMENT = 1 << 23
+SEGMENT = 1 << 22
 #: Bytes of benchmark text that one pass over the index takes along.
 QUERY_BLOCK = 1 << 22
 
@@ -83,12 +82,8 @@ def build_index(docs: DataFrame, text_col: str, vocabulary: list[bytes]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-            start = 0
-            while start < batch.num_rows:
-                stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + SEGMENT, "right")))
-                yield segment(batch.slice(start, stop - start))
-                start = stop
+            for part in parts(batch, 2, SEGMENT):
+                yield segment(part)
 
     return arrow_map(docs.select("row", "row2", F.col(text_col).alias("text")), run, SEGMENTS)
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import WHITESPACE, arrow_map, utf8, written
+from corpusmill.llm.common import WHITESPACE, arrow_map, parts, utf8, written
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -73,7 +73,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = (lambda x: xxhash.xxh64_intdigest(x, 42)), (lambda x: xxhash.xxh64_intdigest(x, seed))
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, at)):
             texts, n_lines, n_removed = [], [], []
             for text, a, b in zip(utf8(batch.column(at)), batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist(), strict=True):
                 lines = text.split(b"\n") if text is not None else []

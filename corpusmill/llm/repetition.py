@@ -15,18 +15,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import WHITESPACE, arrow_map, utf8
+from corpusmill.llm.common import WHITESPACE, arrow_map, parts, utf8
 
 SYMBOLS = b"#*$%&|<>"
 UNSPACED = 32
-#: Units handled at once; a longer document is a batch of its own.
-BATCH_UNITS = 600_000
+#: Bytes of text handled at once; a longer document is a batch of its own.
+BATCH = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -120,7 +118,7 @@ def _repeats(units: list[np.ndarray], window: int, least: int) -> tuple[np.ndarr
     starts = np.cumsum(sizes) - sizes
     flat = np.concatenate(units) if units else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(units)), sizes)
-    symbols = pd.factorize(flat)[0].astype(np.int64)
+    symbols = np.unique(flat, return_inverse=True)[1].astype(np.int64)
     longest = repeat_lengths(symbols, doc, min(window, least))
     return (
         _per_doc(covered(longest, window, window), starts, sizes),
@@ -176,14 +174,9 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 4 + 1)
-            start = 0
-            while start < batch.num_rows:
-                stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + BATCH_UNITS, "right")))
-                part = batch.slice(start, stop - start)
+            for part in parts(batch, 1, BATCH):
                 found = _measure(utf8(part.column(1)), limits)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[part.column(2 + i) for i in range(len(carry))], *map(pa.array, found.values())], ["id", *[f"carry_{i}" for i in range(len(carry))], *found])
-                start = stop
 
     out = arrow_map(chosen, run, ", ".join(x for x in (f"id {docs.schema[id_col].dataType.simpleString()}", kinds, COUNTS) if x))
     return out.withColumnsRenamed({"id": id_col} | {f"carry_{i}": c for i, c in enumerate(carry)})
