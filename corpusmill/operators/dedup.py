@@ -49,9 +49,36 @@ def crossing_keys(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct(split).alias("n_splits"), F.count("*").alias("n")).where("n_splits > 1")
 
 
-def containing(texts: DataFrame, phrases: DataFrame, text: Column, phrase: Column) -> DataFrame:
-    """Pairs where a phrase stands in a text. phrases must be few: they meet every text."""
-    return texts.join(F.broadcast(phrases), F.contains(text, phrase))
+#: Phrases without a whole word inside that meet all texts at once.
+PHRASE_BLOCK = 1000
+
+
+def containing(texts: DataFrame, phrases: DataFrame, key: str, text: str, item: str, phrase: str) -> DataFrame:
+    """(key, item) pairs where a phrase stands in a text.
+
+    A word of a phrase that isn't its first or last stands whole in any text with the
+    phrase, so the longest one joins phrases to the words of texts; only those
+    pairs are compared. Phrases without such a word meet the texts in blocks.
+    """
+    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    inside = F.slice(words(F.col(phrase)), 2, F.greatest(F.lit(0), F.size(words(F.col(phrase))) - 2))
+    anchor = F.aggregate(inside, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    own = phrases.where(F.col(phrase).isNotNull()).select(F.col(item), F.col(phrase).alias("_phrase"), anchor.alias("_anchor"))
+    met = texts.select(F.col(key), F.col(text).alias("_text"), F.explode(F.array_distinct(words(F.col(text)))).alias("_word"))
+    found = met.join(own.where("_anchor <> ''"), F.col("_word") == F.col("_anchor")).where(F.contains("_text", "_phrase")).select(key, item)
+    block = []
+    for row in own.where("_anchor = ''").select(item, "_phrase").toLocalIterator():
+        block.append(row)
+        if len(block) == PHRASE_BLOCK:
+            found, block = found.unionByName(_containing_block(texts, block, own, key, text, item)), []
+    return found.unionByName(_containing_block(texts, block, own, key, text, item)) if block else found
+
+
+def _containing_block(texts: DataFrame, block: list, own: DataFrame, key: str, text: str, item: str) -> DataFrame:
+    kind = own.schema[item].dataType
+    pairs = F.array(*[F.struct(F.lit(i).cast(kind).alias("i"), F.lit(p).alias("p")) for i, p in block])
+    hits = F.filter(pairs, lambda x: F.contains(F.col(text), x["p"]))
+    return texts.select(F.col(key), F.explode(hits).alias("h")).select(key, F.col("h.i").alias(item))
 
 
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:

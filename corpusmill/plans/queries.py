@@ -192,8 +192,7 @@ def chat_to_prompt_completion(spark, sf_dir):
 
 
 def benchmark_contamination(spark, sf_dir):
-    docs, items = _docs(spark, sf_dir).select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    return dedup.containing(docs, items, F.col("text"), F.col("phrase")).select("doc_id", "item_id")
+    return dedup.containing(_docs(spark, sf_dir), _read(spark, sf_dir, "benchmark").withColumnRenamed("text", "phrase"), "doc_id", "text", "item_id", "phrase")
 
 
 def evidence_containment(spark, sf_dir):

@@ -103,6 +103,14 @@ def test_dedup(spark):
     assert rows(dedup.multiset_difference(two, two.limit(3).unionByName(two.limit(0)))) != [] and dedup.multiset_difference(two, two).collect() == []
 
 
+def test_containing(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "PHRASE_BLOCK", 2)
+    texts = [(1, "bathe cats sit here."), (2, "the cat sits"), (3, "x (a) y"), (4, None), (5, "")]
+    phrases = [(1, "the cat"), (2, "the cats sit her"), (3, "(a)"), (4, None), (5, ""), (6, "cat sits"), (7, "the  cat sits")]
+    got = dedup.containing(spark.createDataFrame(texts, "k int, t string"), spark.createDataFrame(phrases, "i int, p string"), "k", "t", "i", "p")
+    assert rows(got) == sorted(((k, i) for k, t in texts for i, p in phrases if t is not None and p is not None and p in t), key=str)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "1", "prompt": "é"}\n\nnot json\n{"id": "2", "must_contain": ["x"], "other": 1}\n', encoding="utf-8")
     got = readers.jsonl(spark, str(tmp_path / "a.jsonl"), readers.CASE).collect()
