@@ -82,3 +82,16 @@ def positive_counts(updates: DataFrame, slots: DataFrame, slot: str = "slot_id")
 def length_profile(df: DataFrame, length: Column, limit: int, by: str = "split") -> DataFrame:
     """Shortest, longest, total and number over the limit, for each split."""
     return df.groupBy(by).agg(F.count("*").alias("n"), F.min(length).alias("shortest"), F.max(length).alias("longest"), F.sum(length).alias("total"), F.count_if(length > limit).alias("over_limit"))
+
+
+def excluding(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """Rows whose key isn't one of the values; a null key stays."""
+    return df.where(F.col(key).isNull() | ~F.col(key).isin(*values))
+
+
+def within_limit(profile: DataFrame, allow_truncation: bool = False) -> DataFrame:
+    """A length profile, if nothing is over the limit or truncation is allowed; else an error that names the splits."""
+    over = [f"{r[0]}: {r['over_limit']}" for r in profile.where("over_limit > 0").collect()]  # a row for each split
+    if over and not allow_truncation:
+        raise ValueError(f"records over the limit: {', '.join(over)}")
+    return profile

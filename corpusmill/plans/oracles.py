@@ -120,6 +120,8 @@ ORACLES: dict[str, str] = {
     "safe_labels": "select p_partkey, regexp_replace(p_name || '/' || p_brand, '[^A-Za-z0-9._-]', '-', 'g') as label, p_brand || ' status=' || p_size || ' code=' || p_type as error from part",
     "latest_checkpoint": "select 'out/checkpoint-' || max(n_chars) as path, max(n_chars) as step from documents where doc_id % 2 = 0",
     "duration_parse": f"select event_id, (event_id % 9 + 1)::double as periods, {_list([UNITS[u] for u in sorted(UNITS)])}[(event_id % {len(UNITS)} + 1)::int] as unit from events",
+    "excluded_cases": "select doc_id, source from documents where source not in ('src0', 'src5', 'src11')",
+    "guided_cases": "select 'guided-series_0' || i as case_id, 18 as turns, 'value_0' || i as second from range(4) t(i)",
     "event_windows": "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by all",
 }
 _CHECKS = """with k as (select doc_id, contains(lower(text), 'the') as contains_required_text, contains(lower(text), 'license') or contains(lower(text), 'token') as contains_any_text,

@@ -399,6 +399,14 @@ def duration_parse(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", canonical.durations(raw, F.lit(""), F.lit("")).alias("d")).select("event_id", "d.periods", "d.unit")
 
 
+def excluded_cases(spark, sf_dir):
+    return compare.excluding(_docs(spark, sf_dir), "source", ["src0", "src5", "src11"]).select("doc_id", "source")
+
+
+def guided_cases(spark, sf_dir):
+    return sft.guided_cases(catalog.domains(spark, 4)).select("case_id", F.size("messages").alias("turns"), F.element_at("messages", 2).alias("second"))
+
+
 def event_windows(spark, sf_dir):
     return incremental.latency_windows(_read(spark, sf_dir, "events"), "ts", "event_type", "value", "1 day").select("start", "event_type", "n")
 
@@ -412,6 +420,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         unknown_slot_anti_join, resume_pending, forbidden_slot_overlap, ring_successor, report_winner, sampling_offset_limit, sampling_indices, preview_overlength, length_profile, scenario_matrix_v1,
         conversational_matrix, sft_variants, corpus_expectations, table_expectations, slot_coverage, multiset_equality, set_operations, render_values, filled_templates, pad_to_n, rotating_pick,
         last_write_wins, evidence_carry_forward, checksum_manifest, file_fingerprints, corpus_manifest, content_digest, low_information_values, recovered_intents, short_slot_answers, grounded_evidence,
-        repeat_guard, safe_labels, latest_checkpoint, canonical_json, json_salvage, duration_parse, event_windows,
+        repeat_guard, safe_labels, latest_checkpoint, canonical_json, json_salvage, duration_parse, event_windows, excluded_cases, guided_cases,
     )
 }

@@ -182,3 +182,15 @@ def with_paraphrase_cache(messages_: DataFrame, cache: DataFrame, n: int, genera
     misses = messages_.join(hits, "message", "left_anti").select("message").distinct()
     made = generate(misses) if generate else misses.select("message", F.array().cast("array<string>").alias("paraphrases"))
     return hits.unionByName(made.select("message", F.slice(F.concat("paraphrases", F.array_repeat("message", n)), 1, n).alias("paraphrases")))
+
+
+def guided_cases(domains: DataFrame) -> DataFrame:
+    """(case_id, messages, expected_intent, expected_final_slots): dialogues that answer each slot shortly, in the order in which they are asked."""
+    values, said = gold(), words()
+    order = [s[0] for s in SLOTS if s[0] in values]
+    return domains.select(
+        F.concat(F.lit("guided-"), "slug").alias("case_id"),
+        F.array(*[short_answer(F.lit(s), said[s]) for s in order]).alias("messages"),
+        F.lit("create_forecast").alias("expected_intent"),
+        F.create_map(*[x for s in order for x in (F.lit(s), values[s])]).alias("expected_final_slots"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,3 +63,21 @@ def reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def answers(cases: DataFrame, model, schema: str) -> DataFrame:
     """Rows from a model: model(pandas frame) -> pandas frame, in batches; errors are rows, not failures."""
     return cases.mapInPandas(lambda frames: map(model, frames), schema)
+
+
+def config(spark: SparkSession, path: str, known: dict[str, type]) -> dict:
+    """A JSON object of settings; unknown keys and values of other types are errors. One small file, read on the driver."""
+    found = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+    if strange := sorted(set(found) - set(known)):
+        raise ValueError(f"unknown settings: {', '.join(strange)}")
+    if wrong := sorted(k for k, v in found.items() if not isinstance(v, known[k])):
+        raise ValueError(f"settings of another type: {', '.join(wrong)}")
+    return found
+
+
+def prompt_completion(df: DataFrame) -> DataFrame:
+    """(prompt, completion) of records in either form: as they are, or all messages but the last and the last."""
+    return df.select(
+        F.coalesce("prompt", F.slice("messages", 1, F.greatest(F.lit(0), F.size("messages") - 1))).alias("prompt"),
+        F.coalesce("completion", F.slice("messages", -1, 1)).alias("completion"),
+    )

@@ -163,3 +163,25 @@ def test_ring(spark, n):
     df = spark.range(25).select(F.col("id").cast("int").alias("i"), F.col("id").cast("string").alias("s"))
     got = {r["i"]: r["next_s"] for r in compare.successor(df, "i", n, ["s"]).collect()}
     assert got[0] == "1" and got[19] == "0" and got[22] == "3"
+
+
+def test_settings_and_forms(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"url": "x", "n": 1}')
+    path = str(tmp_path / "c.json")
+    assert readers.config(spark, path, {"url": str, "n": int}) == {"url": "x", "n": 1}
+    for known in ({"url": str}, {"url": str, "n": str}):
+        with pytest.raises(ValueError):
+            readers.config(spark, path, known)
+    m = [("system", "s"), ("user", "u"), ("assistant", "a")]
+    df = spark.createDataFrame([(None, None, m, None), (m[:2], m[2:], None, None)], readers.RECORD)
+    assert len({str(r) for r in readers.prompt_completion(df).collect()}) == 1
+
+
+def test_limits(spark):
+    df = spark.createDataFrame([("a", 3), ("b", 9)], "split string, n int")
+    profile = compare.length_profile(df, F.col("n"), 5)
+    with pytest.raises(ValueError, match="b: 1"):
+        compare.within_limit(profile)
+    assert compare.within_limit(profile, True).count() == 2 and compare.within_limit(profile.where("split = 'a'")).count() == 1
+    keys = spark.createDataFrame([("x",), ("y",), (None,)], "k string")
+    assert rows(compare.excluding(keys, "k", ["x"])) == [("y",), (None,)]
