@@ -24,7 +24,7 @@ from corpusmill.llm.common import written
 
 #: Given names by gender and script; each list is permuted within itself. Fixed values, ours.
 GIVEN = {
-    "given_f_latin": ("Alice", "Anna", "Carla", "Claire", "Elena", "Emma", "Ines", "Julia", "Laura", "Maria", "Marta", "Sophie"),
+    "given_f_latin": ("Alice", "Anna", "Carla", "Claire", "Elena", "Emma", "Isabel", "Julia", "Laura", "Maria", "Marta", "Sophie"),
     "given_m_latin": ("Andreas", "Carlos", "David", "Jean", "Jonas", "Louis", "Lukas", "Michael", "Pablo", "Pierre", "Robert", "Thomas"),
     "given_f_cyrillic": ("Анна", "Елена", "Ирина", "Мария", "Наталья", "Ольга"),
     "given_m_cyrillic": ("Алексей", "Андрей", "Дмитрий", "Иван", "Николай", "Сергей"),
@@ -32,22 +32,26 @@ GIVEN = {
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Mme", "Señor", "Señora")
 
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
+_INITIALS = "".join(sorted({n[0] for names in GIVEN.values() for n in names}))
+_TITLES = "|".join(TITLES)
+#: No letter or digit before, or after.
+_B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Forms of entities, the first that fits. A surname is the capitalised word after a given name or a title.
+#: Each begins with a cheap test of one character, which most places in a text fail.
 FORMS = (
-    ("email", r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    ("secret", r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16})(?![\p{L}\p{N}])"),
-    ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
-    ("card", r"(?<![\p{L}\p{N}])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\p{L}\p{N}])"),
-    ("ssn", r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"),
-    ("ip", r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{N}]|\.\d)"),
-    ("phone", r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]\d{3,4}(?![\p{L}\p{N}])"),
-    ("given", rf"(?<![\p{{L}}\p{{N}}])(?:{_NAMES})(?![\p{{L}}\p{{N}}])"),
-    ("surname", rf"(?:(?<=(?<![\p{{L}}\p{{N}}])(?:{_NAMES}) )|(?<=(?<![\p{{L}}\p{{N}}])(?:{'|'.join(TITLES)})\.? ))\p{{Lu}}[\p{{Ll}}\p{{Lu}}'-]*\p{{Ll}}(?![\p{{L}}\p{{N}}])"),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("secret", rf"(?=[0-9A-Fa-f]){_B}(?:[0-9a-f]{{32,64}}|[0-9A-F]{{32,64}}|AKIA[0-9A-Z]{{16}}){_E}"),
+    ("iban", rf"(?=[A-Z][A-Z]\d){_B}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_E}"),
+    ("card", rf"(?=\d){_B}\d{{4}}(?: \d{{4}} \d{{4}} \d{{4}}|-\d{{4}}-\d{{4}}-\d{{4}}|\d{{12}}){_E}"),
+    ("ssn", r"(?=\d)(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"),
+    ("ip", r"(?=\d)(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{N}]|\.\d)"),
+    ("phone", rf"(?=[+(\d]){_B}(?:\+\d{{1,3}}[ .-]?)?\(?\d{{2,4}}\)?[ .-]\d{{3,4}}[ .-]\d{{3,4}}{_E}"),
+    ("given", rf"(?=[{_INITIALS}]){_B}(?:{_NAMES}){_E}"),
+    ("surname", rf"(?=\p{{Lu}})(?<= ){_B}(?:(?<={_B}(?:{_NAMES}) )|(?<={_B}(?:{_TITLES})\.? ))\p{{Lu}}[\p{{Ll}}\p{{Lu}}'-]*\p{{Ll}}{_E}"),
 )
 ENTITY = "|".join(f"(?:{p})" for _, p in FORMS)
-ENTITY = ENTITY.replace(r"([ -]?)\d{4}\1\d{4}\1\d{4}", r"(?: \d{4} \d{4} \d{4}|-\d{4}-\d{4}-\d{4}|\d{12})")
 #: A text without any of these has no entity; most texts are done with that.
-HINT = rf"[@0-9]|{_NAMES}|{'|'.join(TITLES)}"
+HINT = rf"[@0-9]|(?=[{_INITIALS}{''.join(sorted({t[0] for t in TITLES}))}]){_B}(?:{_NAMES}|{_TITLES}){_E}"
 CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 
@@ -144,14 +148,19 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def assigned(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(kind, norm, attempt, new): the surrogate of each distinct value, all distinct within a kind and no value of it."""
-    values = docs.select(F.explode(entities(F.col(text_col))).alias("value")).select(kind_of(F.col("value")).alias("kind"), "value").select("kind", norm_of(F.col("kind"), F.col("value")).alias("norm")).distinct()
+def occurrences(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, h2, kind, norm): the distinct values in each text, named by a 128-bit hash of it."""
+    found = docs.select(text_col, F.explode(F.array_distinct(entities(F.col(text_col)))).alias("value"))
+    named = found.select(F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(1), text_col).alias("h2"), "value", kind_of(F.col("value")).alias("kind"))
+    return named.select("h", "h2", "kind", norm_of(F.col("kind"), F.col("value")).alias("norm"))
+
+
+def assigned(values: DataFrame, key: str) -> DataFrame:
+    """values (kind, norm), distinct -> with attempt, new: surrogates all distinct within a kind, none a value of it."""
     new = surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))
     now = written(values.withColumn("attempt", F.lit(0)).withColumn("new", new), "surrogates")
     while True:
-        names = F.col("kind").startswith("given")  # permuted: distinct by construction
-        open_ = now.where(~names)
+        open_ = now.where(~F.col("kind").startswith("given"))  # names are permuted: distinct by construction
         taken = open_.groupBy("kind", "new").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "norm")).alias("first")).where("n > 1")
         twice = open_.join(taken, ["kind", "new"]).where(F.col("norm") != F.col("first.norm")).select("kind", "norm")
         real = open_.join(values.select(F.col("kind").alias("k2"), F.col("norm").alias("n2")), (F.col("kind") == F.col("k2")) & (F.col("new") == F.col("n2"))).select("kind", "norm")
@@ -172,9 +181,9 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     same over runs for the same surrogates.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    changed = written(assigned(source, key, "text").where("attempt > 0").select("kind", "norm", "new"), "attempts")
-    found = source.select(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"), F.explode(entities(F.col("text"))).alias("value"))
-    named = found.withColumn("kind", kind_of(F.col("value"))).select("h", "h2", "kind", norm_of(F.col("kind"), F.col("value")).alias("norm")).distinct()
+    named = written(occurrences(source), "occurrences")
+    values = written(named.select("kind", "norm").distinct(), "values")
+    changed = assigned(values, key).where("attempt > 0").select("kind", "norm", "new")
     others = named.join(changed, ["kind", "norm"]).groupBy("h", "h2").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "norm"), F.col("new")))).alias("others"))
     others = written(others, "others")
     keyed = source.select("id", "text", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"), entities(F.col("text")).alias("values"))
