@@ -346,7 +346,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * bands, flat)], ["id", "digest", "fp", "keys"])
 
     signed = written(arrow_map(source, run, "id long, digest binary, fp binary, keys array<long>"), "signatures")
-    copies = signed.groupBy("digest").agg(F.min("id").alias("node"))
+    # written, so that the joins shuffle both sides and the rows of many copies can be split
+    copies = written(signed.groupBy("digest").agg(F.min("id").alias("node")), "copies")
     reps = signed.join(copies, "digest").where("id = node").dropDuplicates(["node"])
     members = written(sized(reps.select("node", "fp", F.explode("keys").alias("key"))), "members")
     radius = radius_for(similarity, 64 * words)
