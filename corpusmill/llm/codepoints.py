@@ -1,0 +1,234 @@
+"""Quality by perplexity under a modified Kneser-Ney model over unfolded code points.
+
+n-grams of ORDER code points of every script (only case, digits and runs of space
+are made one), one model for each language tag and one for all text, trained on
+all trusted documents. Its tables grow with the trusted text and stay dealt: no
+table of it is broadcast or collected. Documents are dealt into buckets; the
+distinct n-grams of the documents are looked up by joins, and each bucket's
+answers meet its texts in one task, where they are summed by document.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpusmill.llm.common import arrow_map, parts, written
+from corpusmill.llm.perplexity import ANY, BROADCAST_IDS, QUANTILE, discounts, language_quantiles, tag
+
+#: At most 7: the symbols before the last are packed into two longs, 3 in h2 and the ones before in h1.
+ORDER = 5
+BITS = 21
+SYMBOLS = 0x110000
+SPACE = 0
+#: n-grams handled at once; with more, the packed keys of ``distinct_grams`` would not fit.
+WINDOW = 1 << 20
+#: Bytes of text in a bucket.
+BUCKET = 1 << 23
+KEY = ["lang", "h1", "h2", "s"]
+
+
+@cache
+def alphabet() -> np.ndarray:
+    """The symbol of every code point: itself, without case; digits as one, space and control as SPACE."""
+    table = np.arange(SYMBOLS, dtype=np.int64)
+    for p in range(0x20000):  # none beyond has a case or is a space
+        c = chr(p)
+        if p < 32 or c.isspace():
+            table[p] = SPACE
+        elif c.isdigit():
+            table[p] = ord("0")
+        elif len(low := c.lower()) == 1:
+            table[p] = ord(low)
+    return table
+
+
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(h1, h2, s, sizes): the n-grams ending at each symbol of all texts, and how many each text has.
+
+    Runs of space are one symbol; before its first symbol a text has spaces.
+    """
+    found, sizes = [], np.zeros(len(texts), np.int64)
+    pad = np.zeros(ORDER - 1, np.int64)
+    for i, text in enumerate(texts):
+        if text:
+            s = alphabet()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+            keep = s != SPACE
+            keep[1:] |= s[:-1] != SPACE
+            s = s[keep]
+            if len(s):
+                sizes[i] = len(s)
+                found += [pad, s]
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none, sizes
+    flat = np.concatenate(found)
+    real = np.repeat(np.tile([False, True], len(found) // 2), [len(x) for x in found])
+    at = np.flatnonzero(real)
+    h1, h2 = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for k in range(1, ORDER):
+        if k <= 3:
+            h2 |= flat[at - k] << (BITS * (k - 1))
+        else:
+            h1 |= flat[at - k] << (BITS * (k - 4))
+    return h1, h2, flat[at], sizes
+
+
+def _encoded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = pa.array(values).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary.to_numpy()
+
+
+def distinct_grams(h1: np.ndarray, h2: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(h1, h2, s, which): distinct n-grams of at most WINDOW, and which of them each is."""
+    i1, d1 = _encoded(h1)
+    i2, d2 = _encoded(h2)
+    ic, dc = _encoded(i1 << 32 | i2)
+    which, d = _encoded(ic << BITS | s)
+    context = dc[d >> BITS]
+    return d1[context >> 32], d2[context & 0xFFFFFFFF], d & ((1 << BITS) - 1), which
+
+
+def windows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct n-grams of a window, which of them each is, and its text."""
+    h1, h2, s, sizes = grams(texts)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    for i in range(0, len(s), WINDOW):
+        w = slice(i, i + WINDOW)
+        yield *distinct_grams(h1[w], h2[w], s[w]), owner[w]
+
+
+def by_language(langs: pa.Array, texts: pa.Array) -> Iterator[tuple[str, np.ndarray, list[str | None]]]:
+    names, all_texts = np.array(langs.to_pylist(), object), texts.to_pylist()
+    for lang in sorted(set(names)):
+        own = np.flatnonzero(names == lang)
+        yield lang, own, [all_texts[i] for i in own]
+
+
+def count_grams(trusted: DataFrame) -> DataFrame:
+    """trusted (lang, text) -> (lang, h1, h2, s, n) per language and, as '*', over all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in parts(whole, 1, BUCKET)):
+            for lang, _, texts in by_language(batch.column(0), batch.column(1)):
+                for h1, h2, s, which, _ in windows(texts):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(s), pa.string()), pa.array(h1), pa.array(h2), pa.array(s), pa.array(np.bincount(which, minlength=len(s)))], [*KEY, "n"])
+
+    each = written(arrow_map(trusted.select("lang", "text"), run, "lang string, h1 long, h2 long, s long, n long").groupBy(*KEY).agg(F.sum("n").alias("n")), "grams")
+    every = each.groupBy("h1", "h2", "s").agg(F.sum("n").alias("n")).select(F.lit(ANY).alias("lang"), "h1", "h2", "s", "n")
+    return each.where(F.col("lang") != ANY).unionByName(every)
+
+
+def last(k: int) -> list[Column]:
+    """The last k symbols before the last one, as h1 and h2."""
+    return [F.col("h1").bitwiseAND((1 << BITS * max(0, k - 3)) - 1).alias("h1"), F.col("h2").bitwiseAND((1 << BITS * min(3, k)) - 1).alias("h2")]
+
+
+def _shorter(rows: DataFrame, k: int, value: str) -> DataFrame:
+    """Rows of k-grams -> (r1, r2, s, lang, value), to join them to the grams of k + 1 symbols."""
+    return rows.select(F.col("lang"), F.col("h1").alias("r1"), F.col("h2").alias("r2"), "s", F.col(value).alias("q"))
+
+
+def _suffixed(rows: DataFrame, k: int) -> DataFrame:
+    """Rows of k-grams with their last k - 1 symbols, in r1, r2 and s."""
+    r1, r2 = last(k - 2)
+    return rows.withColumns({"r1": r1, "r2": r2})
+
+
+def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1 on: (lang, h1, h2, s, p) of its seen n-grams, interpolated, and (lang, h1, h2, gamma) of their contexts."""
+    levels = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):  # distinct left extensions
+        levels[k] = written(levels[k + 1].groupBy("lang", *last(k - 1), "s").agg(F.count("*").alias("n")), f"level-{k}")
+    out: list[tuple[DataFrame, DataFrame]] = []
+    for k in range(1, ORDER + 1):
+        # discounts: at most 677 rows
+        own = levels[k].join(F.broadcast(discounts(levels[k])), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).select(*KEY, "n", "d")
+        contexts = written(own.groupBy("lang", "h1", "h2").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma")), f"contexts-{k}")
+        joined = own.join(contexts, ["lang", "h1", "h2"])
+        if k == 1:
+            joined = joined.withColumn("q", F.lit(1.0 / SYMBOLS))
+        else:
+            joined = _suffixed(joined, k).join(_shorter(out[-1][0], k - 1, "p"), ["lang", "r1", "r2", "s"])
+        p = written(joined.select(*KEY, ((F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("q")).alias("p")), f"order-{k}")
+        out.append((p, contexts.select("lang", "h1", "h2", "gamma")))
+    return out
+
+
+def probabilities(asked: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """asked (lang, h1, h2, s), distinct -> with p = P(s | the symbols before), unseen n-grams by back-off."""
+    levels = {ORDER: asked}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = written(levels[k + 1].select("lang", *last(k - 1), "s").distinct(), f"asked-{k}")
+    now = None
+    for k, (seen, contexts) in enumerate(model, 1):
+        joined = levels[k].join(seen, KEY, "left").join(contexts, ["lang", "h1", "h2"], "left")
+        joined = joined.withColumn("q", F.lit(1.0 / SYMBOLS)) if now is None else _suffixed(joined, k).join(_shorter(now, k - 1, "p"), ["lang", "r1", "r2", "s"])
+        now = written(joined.select(*KEY, F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("p")), f"answers-{k}")
+    return now
+
+
+def _keys(h1: np.ndarray, h2: np.ndarray, s: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(24), len(s), [None, pa.py_buffer(np.column_stack([h1, h2, s]).astype(np.int64).tobytes())])
+
+
+def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """docs (id, lang, trusted, text) -> (id, lang, trusted, n_symbols, perplexity): perplexity is null without symbols."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(size // BUCKET + 1)))
+
+    def ask(texts: pa.Table) -> pa.Table:
+        texts = texts.combine_chunks()
+        out = []
+        for lang, _, some in by_language(texts["lang"], texts["text"]):
+            for h1, h2, s, _, _ in windows(some):
+                out.append(pa.table({"bucket": pa.repeat(texts["bucket"][0], len(s)), "lang": pa.array([lang] * len(s), pa.string()), "h1": h1, "h2": h2, "s": s}))
+        empty = pa.table({"bucket": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), **{c: pa.array([], pa.int64()) for c in KEY[1:]}})
+        return pa.concat_tables([empty, *out]).group_by(["bucket", *KEY]).aggregate([]).select(["bucket", *KEY])
+
+    asked = written(dealt.select("bucket", "lang", "text").groupBy("bucket").applyInArrow(ask, "bucket long, lang string, h1 long, h2 long, s long"), "asked")
+    answers = asked.join(probabilities(written(asked.select(*KEY).distinct(), "distinct"), model), KEY)
+
+    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        texts, found = texts.combine_chunks(), found.combine_chunks()
+        n, sums = np.zeros(texts.num_rows, np.int64), np.zeros(texts.num_rows)
+        for lang, own, some in by_language(texts["lang"], texts["text"]):
+            here = found.filter(pc.equal(found["lang"], lang))
+            known = _keys(*(here[c].to_numpy() for c in KEY[1:]))
+            logs = np.log(here["p"].to_numpy())
+            for h1, h2, s, which, owner in windows(some):
+                at = pc.index_in(_keys(h1, h2, s), value_set=known).to_numpy()
+                n[own] += np.bincount(owner, minlength=len(own))
+                sums[own] += np.bincount(owner, logs[at][which], len(own))
+        with np.errstate(all="ignore"):
+            value = np.exp(-sums / n)
+        return pa.table({"id": texts["id"], "lang": texts["lang"], "trusted": texts["trusted"], "n_symbols": n, "perplexity": pa.array(value, mask=n == 0)})
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(score, f"id {kind}, lang string, trusted boolean, n_symbols long, perplexity double")
+
+
+def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", q: float = QUANTILE) -> DataFrame:
+    """As perplexity.quality, by this model: one row for each row of docs, (id, lang, n_symbols, perplexity, threshold, kept)."""
+    ids = trusted.select(F.col(id_col).alias("tid")).where("tid is not null").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    source = docs.select(F.col(id_col).alias("id"), tag(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
+    model = kneser_ney(written(count_grams(source.join(ids, F.col("id") == F.col("tid"), "left_semi")), "counts"))
+    known = sorted(r["lang"] for r in model[0][0].select("lang").distinct().collect())  # at most 677
+    judged = source.join(ids, F.col("id") == F.col("tid"), "left").select("id", F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(ANY)).alias("lang"), F.col("tid").isNotNull().alias("trusted"), "text")
+    scores = written(perplexities(judged, model), "scores")
+    if not known:
+        scores = scores.withColumn("perplexity", F.lit(None).cast("double"))
+    own = language_quantiles(scores, q)
+    every = language_quantiles(scores.withColumn("lang", F.lit(ANY)), q)
+    limits = own.where(F.col("lang") != ANY).unionByName(every).select(F.col("lang").alias("of"), "threshold")
+    # at most 677 rows
+    joined = scores.join(F.broadcast(limits), F.col("lang") == F.col("of"), "left")
+    return joined.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_symbols", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("kept"))

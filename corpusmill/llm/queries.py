@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.chunks import repeated_spans
+from corpusmill.llm.codepoints import quality
 from corpusmill.llm.common import table
 from corpusmill.llm.decontamination import contamination
 from corpusmill.llm.licenses import license_scan
 from corpusmill.llm.lines import line_dedup
 from corpusmill.llm.mixing import mix
-from corpusmill.llm.perplexity import quality
 from corpusmill.llm.pii import replace_pii
 from corpusmill.llm.repetition import repetition_rules
 from corpusmill.llm.simhash import fingerprint_hex, simhash_components
