@@ -25,6 +25,10 @@ from corpusmill.llm.graph import connected_components
 PIECE = 1 << 22
 #: Members of a block compared in one task; larger blocks take the other, exact ways below.
 BLOCK = 4096
+#: Bytes of shingle sets compared in one task.
+SET_BYTES = 1 << 25
+#: Standard deviations of the fingerprints' distance within which a pair is a candidate.
+MARGIN = 4.0
 _SHIFTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -328,12 +332,91 @@ def wide_signature(texts: list[bytes | None], k: int, words: int, bands: int, ro
     return digests, prints, keys
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, bands: int = 20, rows: int = 6, block: int = BLOCK) -> DataFrame:
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    found = [np.unique(shingle_hashes(piece, k)) for piece in pieces(text, k)]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def similar_components(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set of a group, the index of the first one reachable by links of at least this Jaccard similarity, all pairs by exact counts.
+
+    A query's intersections with all that is left are counted along the postings of
+    its members; members of one component meet once.
+    """
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    terms = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(m), sizes)
+    order = np.argsort(terms, kind="stable")
+    held, holders = terms[order], owner[order]
+    root = np.full(m, -1)
+    left = packed = m
+    for first in range(m):
+        if root[first] >= 0:
+            continue
+        root[first] = first
+        left -= 1
+        waiting = [first]
+        while waiting and left:
+            x = waiting.pop()
+            if 2 * left <= packed:
+                live = root[holders] < 0
+                held, holders, packed = held[live], holders[live], left
+            own = terms[starts[x] : starts[x] + sizes[x]]
+            lo, hi = np.searchsorted(held, own), np.searchsorted(held, own, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(holders[at], minlength=m)
+            joined = np.flatnonzero((root < 0) & (both > 0) & (both >= similarity * (sizes + sizes[x] - both)))
+            root[joined] = first
+            left -= joined.size
+            waiting.extend(joined.tolist())
+    return root
+
+
+def similar_links(source: DataFrame, candidates: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+    """source (id, text), candidates (node, root: its group) -> (a, b): links of at least the similarity in each group, verified on shingle sets.
+
+    Groups beyond the block size, in members or bytes, are dealt into chunks, every two of which meet.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in parts(whole, 2)):
+            sets = [shingle_set(t, shingle).tobytes() for t in utf8(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["root", "node", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                nodes = batch.column(0)[i].values.to_numpy()
+                found = similar_components([np.frombuffer(x, np.uint64) for x in batch.column(1)[i].as_py()], similarity)
+                moved = found != np.arange(len(found))
+                if moved.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[found[moved]])], ["a", "b"])
+
+    texts = source.join(candidates, F.col("id") == F.col("node")).select("root", "node", "text")
+    sets = written(arrow_map(texts, hashed, "root long, node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    counts = sets.groupBy(F.col("root").alias("of")).agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("size"))
+    most = F.greatest(F.col("n") / block, F.col("size") / SET_BYTES)
+    sized = written(counts.select("of", F.when(most <= 1, 1).otherwise(F.ceil(2 * most)).cast("int").alias("q")), "groups")
+    dealt = sets.join(sized, F.col("root") == F.col("of")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
+    pairs = dealt.select("root", "node", "shingles", "c", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("d"))
+    tasks = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = pairs.select("root", "node", "shingles", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j")).repartition(tasks, "root", "i", "j")
+    groups = keyed.groupBy("root", "i", "j").agg(F.sort_array(F.collect_list(F.struct("node", "shingles"))).alias("m"))
+    return arrow_map(groups.select(F.col("m.node").alias("nodes"), F.col("m.shingles").alias("sets")), run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 8, bands: int = 32, rows: int = 6, block: int = BLOCK) -> DataFrame:
     """(id, component_id) for each distinct non-null id: groups of documents alike in their shingle sets.
 
-    Blocks come from min-hash bands (at a similarity of 0.8 a pair shares one with
-    probability 0.998); in a block, fingerprints of 64 * words bits within the
-    radius for the similarity link. Exact copies (equal words) are one node. Ids
+    Sketches only name candidates: blocks come from min-hash bands (at a similarity
+    of 0.8 a pair shares one with probability 0.9999), and in a block fingerprints of
+    64 * words bits within the radius for the similarity plus MARGIN deviations link.
+    In each group of candidates, links are pairs whose shingle sets have the
+    similarity, by exact counts. Exact copies (equal words) are one node. Ids
     that repeat count as one document; null ids aren't compared. Texts without
     words are copies of each other. An empty table gives an empty result.
     """
@@ -350,9 +433,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = written(signed.groupBy("digest").agg(F.min("id").alias("node")), "copies")
     reps = signed.join(copies, "digest").where("id = node").dropDuplicates(["node"])
     members = written(sized(reps.select("node", "fp", F.explode("keys").alias("key"))), "members")
-    radius = radius_for(similarity, 64 * words)
+    radius = radius_for(similarity, 64 * words, MARGIN)
     links = block_links(small_blocks(members, block), radius).unionByName(block_links(chunk_pairs(members, block), radius))
     same = signed.join(copies, "digest").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    roots = connected_components(links.unionByName(same))
+    verified = similar_links(source, connected_components(links), shingle, similarity, block)
+    roots = connected_components(verified.unionByName(same))
     ids = signed.select("id").distinct()
     return ids.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("component_id"))

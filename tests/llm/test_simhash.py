@@ -132,3 +132,44 @@ def test_near_duplicates_at_a_similarity(spark):
         assert len(got) == 124
         assert [got[i] for i in range(122)] == [groups.index(g) for g in groups]
         assert got[901] == 900
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_similarities_about_the_limit(spark, block):
+    """Pairs of 0.70 to 0.85 link just if their shingle sets have 0.8, and template-like texts don't chain."""
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    rows = []
+
+    def sets(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    for n in (30, 60, 300, 800):
+        for i in range(40):
+            words = rng.choices(vocabulary, k=n + 4)
+            common = round(n * 2 * (s := 0.70 + 0.15 * i / 39) / (1 + s)) + 4  # shingles of the two in common
+            for text in (words, words[:common] + rng.choices(vocabulary, k=n + 4 - common)):
+                rows.append((" ".join(text), len(rows), "a", "b", 1, []))
+    template = rng.choices(vocabulary, k=250)
+    for _ in range(60):  # about 0.7 to each other
+        rows.append((" ".join(template + rng.choices(vocabulary, k=50)), len(rows), "a", "b", 1, []))
+    got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, SCHEMA), block=block).collect()}
+    linked = [len((a := sets(rows[i][0])) & (b := sets(rows[i + 1][0]))) >= 0.8 * len(a | b) for i in range(0, 320, 2)]
+    assert {True, False} == set(linked)
+    assert [got[i + 1] == i for i in range(0, 320, 2)] == linked
+    assert all(got[i] == i for i in range(320, 380))
+
+
+def test_components_of_sets():
+    rng = random.Random(3)
+    sets = [np.unique(np.array(rng.choices(range(14), k=12), np.uint64)) for _ in range(150)]
+    root = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if len(a & b) >= 0.8 * len(a | b):
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    assert S.similar_components(sets, 0.8).tolist() == root
+    assert len(set(root)) > 3
