@@ -43,7 +43,7 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", number.alias("number"))
     labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     labelled = pages.join(labels, F.col("number") == F.col("doc_id"), "left").select("page_id", "url", "bad")
-    return judge_urls(labelled).drop("bad_share")
+    return judge_urls(labelled, depth=None).drop("bad_share")
 
 
 def op5_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,8 +61,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return out
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments, variable ones as wildcards; null fields beyond its end."""
+def segments(path: Column, depth: int | None = DEPTH) -> Column:
+    """The path's segments, variable ones as wildcards; null fields beyond its end. Without a depth, all of them."""
 
     def form(s: Column) -> Column:
         out = s
@@ -71,14 +71,17 @@ def segments(path: Column, depth: int = DEPTH) -> Column:
         return out
 
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+    if depth is None:
+        return F.when(path == "", F.array().cast("array<string>")).otherwise(F.transform(parts, form))
     shaped = F.transform(F.slice(parts, 1, depth), form)
     return F.when(path == "", F.array().cast("array<string>")).when(F.size(parts) > depth, F.concat(shaped, F.array(F.lit("**")))).otherwise(shaped)
 
 
-def template_tree(leaves: DataFrame, depth: int = DEPTH, chi2: float = CHI2, support: int = SUPPORT) -> DataFrame:
-    """leaves (host, t array<string>, labelled, bad) -> with template: the leaf's path in the merged tree."""
+def template_tree(leaves: DataFrame, depth: int | None = DEPTH, chi2: float = CHI2, support: int = SUPPORT) -> DataFrame:
+    """leaves (host, t array<string>, labelled, bad) -> with template: the leaf's path in the merged tree; without a depth, down to the deepest leaf."""
     now = leaves.withColumn("template", F.lit(""))
-    for level in range(depth + 1):
+    levels = (leaves.agg(F.max(F.size("t"))).first()[0] or 0) if depth is None else depth + 1
+    for level in range(levels):
         now = now.withColumn("seg", F.get("t", F.lit(level)))
         children = now.where("seg is not null").groupBy("host", "template", "seg").agg(F.sum("labelled").alias("lab"), F.sum("bad").alias("bad_"))
         parents = children.groupBy("host", "template").agg(F.sum("lab").alias("all"), F.sum("bad_").alias("all_bad"), F.count("*").alias("branches"))
@@ -94,10 +97,11 @@ def template_tree(leaves: DataFrame, depth: int = DEPTH, chi2: float = CHI2, sup
     return now
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bad_col: str | None = "bad", rules: Sequence[tuple[str, str]] = RULES, reject: float = REJECT, prior: int = PRIOR, depth: int = DEPTH) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bad_col: str | None = "bad", rules: Sequence[tuple[str, str]] = RULES, reject: float = REJECT, prior: int = PRIOR, depth: int | None = DEPTH) -> DataFrame:
     """One row for each row of pages: (id, host, path, rule, verdict, template, bad_share).
 
-    bad_col: true or false for labelled pages, null for others. Without labels,
+    depth: segments of the tree, what is deeper being one wildcard; None for whole
+    paths. bad_col: true or false for labelled pages, null for others. Without labels,
     and for null urls or such without a host, the method allows, with a null
     template for the latter. Rows are judged by their url alone, so ids may be
     null or repeat; repeated rows count as often as they stand. An empty table

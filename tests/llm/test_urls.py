@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 
 from corpusmill.llm import urls as U
+from corpusmill.llm.queries import op4_url_templates
 
 SCHEMA = "url string, page_id long, bad boolean, host string, path array<int>"
 URLS = [
@@ -106,3 +107,12 @@ def test_tree_matches_brute_force(spark):
 def test_empty_and_unlabelled(spark, rows):
     got = U.judge_urls(spark.createDataFrame(rows, SCHEMA)).collect()
     assert [r["verdict"] for r in got] == ["allow"] * len(rows)
+
+
+def test_deep_sections(spark, tmp_path):
+    """The query judges a wholly bad section below the seventh level apart from the good pages beside it."""
+    pages = [(i, f"http://deep.net/a/b/c/d/e/f/{'spam' if i % 2 else 'docs'}/{i}") for i in range(80)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(80)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["page_id"]: (r["verdict"], r["template"]) for r in op4_url_templates(spark, str(tmp_path)).collect()}
+    assert got == {i: ("block", "/a/b/c/d/e/f/spam/{n}") if i % 2 else ("allow", "/a/b/c/d/e/f/docs/{n}") for i in range(80)}
