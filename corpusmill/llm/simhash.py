@@ -4,7 +4,8 @@ Fingerprints that agree on a key share a block. In a block the fingerprints are
 stored as bit planes (plane p holds bit p of 64 fingerprints a word); distances
 of a tile of queries to all 64-lane words are counted at once by carry-save
 bitwise counters, and a query's words are abandoned once every lane exceeds the
-radius. Components of each block leave as stars, never as all pairs.
+radius. The first member of each component, a lone query, is compared by XOR and
+popcount instead. Components of each block leave as stars, never as all pairs.
 """
 
 from __future__ import annotations
@@ -156,8 +157,8 @@ def _exceeds(counters: list[np.ndarray], radius: int) -> np.ndarray:
 def block_components(fps: np.ndarray, radius: int, tile: int = 64) -> np.ndarray:
     """For each fingerprint of a block, the index of the first one reachable by links within radius.
 
-    What is near the first one left joins it; tiles of those that joined are then compared,
-    bit-sliced, with what is still left, and so on. Members of one component meet
+    What is near the first one left, by XOR and popcount, joins it; tiles of those that
+    joined are then compared, bit-sliced, with what is still left, and so on. Members of one component meet
     once, so a block of near-copies costs one row of distances.
     """
     m = len(fps)
