@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of whitespace that separate words: [\x20\x09-\x0D], the set bytes.split() uses.
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: Bytes of an Arrow batch (a longer row is a batch of its own), and of what a function takes at once.
+BATCH_BYTES = 1 << 22
+PART_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,19 +34,56 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session that holds inside only."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    The shuffle files behind it go once it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing reads them any more."""
+    for table_ in tables:
+        for path in {f.rpartition("/")[0] for f in table_.inputFiles()}:
+            where = table_.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table_.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold BATCH_BYTES at most from now on, where nothing else is set.
+
+    Ten thousand long texts in one batch, times the tasks and copies of an executor, are what its memory wouldn't bear.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
-def parts(batch: pa.RecordBatch, column: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: int, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in slices of at most limit bytes of one string column (a longer value is a slice of its own)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     start = 0
@@ -57,5 +98,13 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def free(name: str, *taken: str) -> str:
+    """A column name like this one that isn't taken (names differ in more than case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,7 +5,7 @@ import numpy as np
 
 from corpusmill.llm import chunks as C
 
-SCHEMA = "text string, doc_id long, id string, a long, sizes string"
+SCHEMA = "text string, doc_id long, id string, a long, sizes string, of string, _of int, spans string"
 
 
 def gear_brute(data):
@@ -41,7 +41,7 @@ def corpus():
     clean = [prose(rng, rng.randint(1, 300)) for _ in range(30)]
     shared = [f"{prose(rng, 40)} {passage} {prose(rng, 40)}" for _ in range(5)]
     copies = [other, other, f"x {other}"]
-    odd = [None, "", "é", "a" * 3000, "語" * 500, prose(rng, 20_000)]
+    odd = [None, "", "é", "a" * 3000, "語" * 500, prose(rng, 20_000), "short", "short"]
     return clean, shared, copies, odd
 
 
@@ -83,7 +83,7 @@ def brute_spans(rows):
                 j = k
                 while j < len(chunks) and doc is not None and wanted(j):
                     j += 1
-                if j - k > 1 and ends[j] - ends[k] >= C.RUN:
+                if j > k and (ends[j] - ends[k] >= C.RUN or (k, j) == (0, len(chunks))):
                     spans.append((int(ends[k]), int(ends[j])))
                 k = max(j, k + 1)
             runs.append(spans)
@@ -94,7 +94,8 @@ def brute_spans(rows):
 def test_spans_and_texts(spark):
     clean, shared, copies, odd = corpus()
     texts = clean + shared + copies + odd
-    rows = [(t, i, "x", 1, "y") for i, t in enumerate(texts)] + [(texts[3], None, "x", 1, "y"), (texts[31], 31, "x", 1, "y")]
+    rest = ("x", 1, "y", "of", 2, "z")
+    rows = [(t, i, *rest) for i, t in enumerate(texts)] + [(texts[3], None, *rest), (texts[31], 31, *rest)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     expected = brute_spans([(r[1], r[0]) for r in rows])
     got = C.repeated_spans(df).collect()
@@ -109,6 +110,7 @@ def test_spans_and_texts(spark):
     after = {r["doc_id"]: r["text"] for r in C.chunk_dedup(df).collect()}
     assert [after[i] for i in range(31)] == texts[:31]
     assert after[36] == "" and after[35] == texts[35]
+    assert after[len(texts) - 1] == "" and after[len(texts) - 2] == "short"
     assert all(len(after[i]) < len(texts[i]) - 150 for i in range(31, 35))
 
 
