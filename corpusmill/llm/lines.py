@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import WHITESPACE, arrow_map, parts, utf8, written
+from corpusmill.llm.common import WHITESPACE, arrow_map, free, parts, utf8, written
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -59,7 +59,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from the corpus, and so do all rows of that id if it repeats; a null id is
     never the first. Null sites aren't sites. A null text stays null with no lines;
     a text may become empty. Repeated rows give equal results. docs may be empty;
-    its other columns are carried, but n_lines, n_removed are replaced.
+    its other columns are carried, whatever their names, but n_lines and n_removed
+    are replaced. A line on exactly min_sites sites goes; a long text is one row of
+    its own in Python, and its lines are hashed in the JVM.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     site = F.col(site_col) if isinstance(docs.schema[site_col].dataType, (T.StringType, T.LongType, T.IntegerType)) else F.col(site_col).cast("string")
@@ -67,9 +69,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     boilerplate = written(line_spread(source, "id", "text", "site", min_sites), "boilerplate")
     lines = source.select("id", F.explode(F.array_distinct(line_hashes(F.col("text")))).alias("h")).select("id", "h.a", "h.b")
     hits = lines.join(boilerplate, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("first")))
-    removals = hits.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("_gone")).withColumnRenamed("id", "_of")
-    joined = docs.select(*kept).join(removals, F.col(id_col).eqNullSafe(F.col("_of")), "left").select(*kept, F.col("_gone.a").alias("_a"), F.col("_gone.b").alias("_b"))
-    at, kinds, seed = kept.index(text_col), docs.select(*kept).schema, _int_seed()
+    of, gone = free("of", *kept), free("gone", *kept)
+    removals = hits.groupBy(F.col("id").alias(of)).agg(F.collect_set(F.struct("a", "b")).alias(gone))
+    names = [f"c{i}" for i in range(len(kept))]
+    joined = docs.select(*kept).join(removals, F.col(id_col).eqNullSafe(F.col(of)), "left").select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], F.col(f"{gone}.a").alias("a"), F.col(f"{gone}.b").alias("b"))
+    at, seed = kept.index(text_col), _int_seed()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = (lambda x: xxhash.xxh64_intdigest(x, 42)), (lambda x: xxhash.xxh64_intdigest(x, seed))
@@ -88,7 +92,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     n_removed.append(0)
             columns = [batch.column(i) for i in range(len(kept))]
             columns[at] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*kept, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
-    schema = T.StructType([*kinds.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return arrow_map(joined, run, schema)
+    kinds = [T.StructField(n, docs.schema[c].dataType) for c, n in zip(kept, names, strict=True)]
+    schema = T.StructType([*kinds, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return arrow_map(joined, run, schema).toDF(*kept, "n_lines", "n_removed")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import lines as L
 
-SCHEMA = "doc_id long, source string, text string, n_lines string, site int, id string"
+SCHEMA = "doc_id long, source string, text string, n_lines string, site int, id string, _of int, of string, Gone string"
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -34,16 +34,16 @@ def rows():
         for _ in range(3):
             lines = [f"{rng.choice(['', '  '])}{x}{rng.choice(['', chr(9)])}" for n, x in common.items() if site < n] + [f"own {rng.random()}" for _ in range(3)] + rng.choice([[], ["", " \t"]])
             rng.shuffle(lines)
-            out.append((len(out), f"s{site}", "\n".join(lines), "n", 1, "i"))
-    out += [(1000, "s1", None, "n", 1, "i"), (1001, "s1", "", "n", 1, "i"), (1002, None, common[9], "n", 1, "i"), (None, "s3", common[40], "n", 1, "i")]
-    return out + [out[2], out[2], (0, "s5", common[40], "n", 1, "i"), (1003, "s2", "\n".join(["w", common[12]] * 5000), "n", 1, "i")]
+            out.append((len(out), f"s{site}", "\n".join(lines), "n", 1, "i", 2, "of", "g"))
+    out += [(1000, "s1", None, "n", 1, "i", 2, "of", "g"), (1001, "s1", "", "n", 1, "i", 2, "of", "g"), (1002, None, common[9], "n", 1, "i", 2, "of", "g"), (None, "s3", common[40], "n", 1, "i", 2, "of", "g")]
+    return out + [out[2], out[2], (0, "s5", common[40], "n", 1, "i", 2, "of", "g"), (1003, "s2", "\n".join(["w", common[12]] * 5000), "n", 1, "i", 2, "of", "g")]
 
 
 @pytest.mark.parametrize("least", [10, 1])
 def test_matches_brute_force(spark, least):
     some = rows()
     got = L.line_dedup(spark.createDataFrame(some, SCHEMA).repartition(3), min_sites=least)
-    assert got.columns == ["doc_id", "source", "text", "site", "id", "n_lines", "n_removed"]
+    assert got.columns == ["doc_id", "source", "text", "site", "id", "_of", "of", "Gone", "n_lines", "n_removed"]
     assert sorted(((r["doc_id"], r["source"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()), key=str) == brute(some, least)
 
 
