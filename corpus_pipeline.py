@@ -16,7 +16,7 @@ from corpusmill.llm.common import table, written
 from corpusmill.llm.decontamination import contamination
 from corpusmill.llm.lines import line_dedup
 from corpusmill.llm.mixing import mix
-from corpusmill.llm.repetition import repetition_rules
+from corpusmill.llm.repetition import repetition_filter
 from corpusmill.llm.simhash import near_duplicates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,7 +24,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the suffix-array rules keep."""
-    return repetition_rules(docs, carry=tuple(COLUMNS[1:])).where("kept").select(*COLUMNS)
+    return repetition_filter(docs.select(*COLUMNS))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

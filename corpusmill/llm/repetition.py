@@ -18,13 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm.common import WHITESPACE, arrow_map, parts, utf8
 
 SYMBOLS = b"#*$%&|<>"
 UNSPACED = 32
-#: Bytes of text handled at once; a longer document is a batch of its own.
-BATCH = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -160,23 +159,33 @@ def _measure(texts: list[bytes | None], limits: Limits) -> dict[str, np.ndarray]
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered long, longest_repeat long, base_failed boolean, kept boolean"
 
 
-def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each row of docs: its id, the columns to carry, the counts and the verdict.
+def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
+    """One row for each row of docs: its id, the counts and the verdict.
 
     Rows are judged alone, so repeated rows, ties and ids that repeat or are null
     need no care: each row gets its own result. A null or empty text has no words
     and fails. An empty table gives an empty result. Other columns aren't read,
-    whatever their names. A long text is a batch of its own; memory is bounded by
-    the longest text, never by a group.
+    whatever their names. A long text is taken alone; memory is bounded by the
+    longest text, never by a group.
     """
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)])
-    kinds = ", ".join(f"carry_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(batch, 1, BATCH):
-                found = _measure(utf8(part.column(1)), limits)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[part.column(2 + i) for i in range(len(carry))], *map(pa.array, found.values())], ["id", *[f"carry_{i}" for i in range(len(carry))], *found])
+        for part in (part for whole in batches for part in parts(whole, 1)):
+            found = _measure(utf8(part.column(1)), limits)
+            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found.values())], ["id", *found])
 
-    out = arrow_map(chosen, run, ", ".join(x for x in (f"id {docs.schema[id_col].dataType.simpleString()}", kinds, COUNTS) if x))
-    return out.withColumnsRenamed({"id": id_col} | {f"carry_{i}": c for i, c in enumerate(carry)})
+    return arrow_map(source, run, f"id {docs.schema[id_col].dataType.simpleString()}, {COUNTS}").withColumnRenamed("id", id_col)
+
+
+def repetition_filter(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
+    """The rows of docs that the rules keep, all columns as they are; a text goes to Python and back once."""
+    at, names = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for whole in batches for part in parts(whole, at)):
+            kept = part.filter(pa.array(_measure(utf8(part.column(at)), limits)["kept"]))
+            yield pa.RecordBatch.from_arrays(kept.columns, names)
+
+    kinds = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields, strict=True)])
+    return arrow_map(docs.toDF(*names), run, kinds).toDF(*docs.columns)
