@@ -59,7 +59,7 @@ select doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::
 from d left join g using (r)
 """
 
-#: Blocks, slots and repeats of a source amount to its stream of documents, in hashed order, up to its target.
+#: The points of all slots, the sources they fall into, and the blocks that the ranked slots take of each source's stream.
 OP10 = r"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
     ('0x' || substr(md5('mix' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as u from documents),
@@ -70,11 +70,22 @@ l as (select *, (sum(source_size) over () - coalesce(sum(stop) over o, 0))::doub
 m as (select *, stop * rest_w < w * rest as stops from l),
 r as (select *, max(case when not stops then {'each': rest / rest_w, 'rest': rest, 'rest_w': rest_w} end) over () as f from m),
 t as (select source, source_size, case when stops then stop::double else w * f.rest / f.rest_w end as target from r),
-p as (select d.*, source_size, target, round(target)::bigint as goal, (sum(size) over (partition by d.source order by u, doc_id, size rows unbounded preceding) - size)::bigint as start
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  case when source_size = 0 then 0 else size * (goal // source_size) + greatest(0, least(size, goal % source_size - start)) end::bigint as taken
-from p
+g as (select *, round(target)::bigint as goal from t),
+z as (select sum(goal)::bigint as total, greatest(1, least(1048576, sum(source_size)::bigint // 262144)) as block from g),
+c as (select *, (sum(goal) over (order by source nulls last rows unbounded preceding))::bigint as upto from g),
+h as (select c.*, floor((upto - goal)::double / total::double * 2147483648::double)::bigint as lo, floor(upto::double / total::double * 2147483648::double)::bigint as hi from c, z),
+n as (select unnest(range((total + block - 1) // block)) as slot from z),
+x as (select slot, ((slot + 1) * 1327217885) % 2147483648 as x from n),
+y as (select slot, source, row_number() over (partition by source order by slot) - 1 as rank from x join h on x.x >= h.lo and x.x < h.hi),
+e as (select h.source, source_size, target, least(count(slot) * any_value(block), 3 * source_size)::bigint as upper from h cross join z left join y on h.source is not distinct from y.source group by h.source, source_size, target),
+p as (select d.*, source_size, target, upper, (sum(size) over (partition by d.source order by u, doc_id, size rows unbounded preceding) - size)::bigint as start
+  from d join e on d.source is not distinct from e.source),
+q as (select *, k * source_size + start as a, least(k * source_size + start + size, upper) as b from p, (select unnest(range(3)) as k)),
+v as (select source, start, doc_id, size, a, b, block, unnest(range(a // block, (b - 1) // block + 1)) as rank from q, z where b > a),
+f as (select v.source, start, doc_id, size, sum(least(b, (v.rank + 1) * block) - greatest(a, v.rank * block))::bigint as taken, count(*) as n_slots, min(slot) as first_slot, max(slot) as last_slot
+  from v join y on v.source is not distinct from y.source and v.rank = y.rank group by v.source, start, doc_id, size)
+select p.doc_id, p.size, source_size, target, coalesce(taken, 0)::bigint as taken, coalesce(n_slots, 0)::bigint as n_slots, first_slot::bigint as first_slot, last_slot::bigint as last_slot
+from p left join f on p.size > 0 and p.source is not distinct from f.source and p.start = f.start and p.doc_id is not distinct from f.doc_id and p.size = f.size
 """
 
 ORACLES: dict[str, str] = {
