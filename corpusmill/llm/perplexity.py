@@ -1,134 +1,181 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
-
-The model is over symbols: code points folded into an alphabet of 64 (letters
-without case or accent, digits as one, common punctuation, classes of other
-scripts), n-grams of ORDER symbols, one model for each language tag and one for
-all text. It is trained on all trusted documents; counts are aggregated in Spark
-and the levels of the model are joins of count tables, dealt by language and
-n-gram. A language's tables have at most 64**k entries of order k, so its shard,
-which the scoring tasks take along, has a proven bound; in practice it is a few
-MB. A document's threshold is a quantile of the trusted perplexities of its language.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model over code points.
+
+n-grams of ORDER code points of every script (only case, digits and runs of space
+are made one), one model for each language and one for all text, trained on all
+trusted documents. Its tables grow with the trusted text and stay dealt: none is
+broadcast or collected. Texts are dealt into buckets of a language; the distinct
+n-grams of the buckets are looked up by joins with the count tables' levels, and
+each bucket's answers meet its texts, packed, in one task, where they are summed
+by document. A document's threshold is a quantile of the trusted perplexities of
+its language.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import arrow_map, written
+from corpusmill.llm.common import arrow_map, dropped, parts, written
 
-ORDER = 4
-BITS = 6
-SYMBOLS = 1 << BITS
+#: At most 7: the symbols before the last are packed into two longs, 3 in h2 and the ones before in h1.
+ORDER = 5
+BITS = 21
+SYMBOLS = 0x110000
 SPACE = 0
-PUNCTUATION = ".,;:!?'\"()-/|*#$%&<>=+@_"
+#: Symbols handled at once.
+WINDOW = 1 << 20
+#: Bytes of text in a bucket: the larger, the fewer n-grams are asked for more than once. Only the packed texts are held whole.
+BUCKET = 1 << 26
+#: Bytes of trusted text counted at once.
+TRAIN = 1 << 24
 #: Trusted perplexities up to this quantile of their language pass.
 QUANTILE = 0.998
 #: Log-perplexities are counted in steps of this size for the quantile.
 STEP = 0.001
-#: Trusted ids broadcast at most; beyond that they are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
-#: Symbols handled at once; a longer document is taken alone.
-BATCH = 1 << 22
 #: The model of languages without trusted text.
 ANY = "*"
+#: Language tags have two or three letters: so many at most, with ANY.
+LANGUAGES = 26**2 + 26**3 + 1
+KEY = ["lang", "h1", "h2", "s"]
+GRAMS = "h1 long, h2 long, s long"
 
 
+def tag(lang: Column) -> Column:
+    """The language of a tag (zh of zh-Hans, eng of eng); what has none is '*'."""
+    found = F.regexp_extract(F.lower(F.trim(lang)), "^([a-z]{2,3})(?:[-_].*)?$", 1)
+    return F.when(found != "", found).otherwise(F.lit(ANY))
+
+
+@cache
 def alphabet() -> np.ndarray:
-    """The symbol of every code point."""
-    table = np.empty(0x110000, np.uint8)
-    first = 28 + len(PUNCTUATION)
-    classes = SYMBOLS - first - 1
-    points = np.arange(0x110000)
-    table[:] = first + (points >> 7) % classes  # other scripts by their block
-    for p in range(0x250):
+    """The symbol of every code point: itself, without case; digits as one, space and control as SPACE."""
+    table = np.arange(SYMBOLS, dtype=np.int32)
+    for p in range(0x20000):  # none beyond has a case or is a space
         c = chr(p)
-        base = unicodedata.normalize("NFKD", c)[0].lower()
-        if "a" <= base <= "z":
-            table[p] = 1 + ord(base) - 97
-        elif c.isdigit():
-            table[p] = 27
-        elif c in PUNCTUATION:
-            table[p] = 28 + PUNCTUATION.index(c)
-        elif c.isspace() or p < 32:
+        if p < 32 or c.isspace():
             table[p] = SPACE
-        else:
-            table[p] = SYMBOLS - 1
+        elif c.isdigit():
+            table[p] = ord("0")
+        elif len(low := c.lower()) == 1:
+            table[p] = ord(low)
     return table
 
 
-def grams(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams (packed, ending at each symbol) of all texts, and how many each text has.
+def windows(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(h1, h2, s, owner): the n-grams ending at each symbol of the texts, about WINDOW at once, and the number of each one's text.
 
     Runs of space are one symbol; before its first symbol a text has spaces.
     """
-    parts, sizes = [], np.zeros(len(texts), np.int64)
-    pad = np.zeros(ORDER - 1, np.uint8)
+    held, owners, size = [], [], 0
+
+    def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        lengths = np.array([len(x) for x in held])
+        flat = np.concatenate(held).astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        at = np.arange(len(flat))
+        real = at - np.repeat(starts, lengths) >= ORDER - 1
+        at = at[real]
+        h1, h2 = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for k in range(1, ORDER):
+            if k <= 3:
+                h2 |= flat[at - k] << (BITS * (k - 1))
+            else:
+                h1 |= flat[at - k] << (BITS * (k - 4))
+        return h1, h2, flat[at], np.repeat(owners, lengths - (ORDER - 1))
+
     for i, text in enumerate(texts):
-        if text:
-            s = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        tail = np.zeros(ORDER - 1, np.int32)
+        for start in range(0, len(text or ""), WINDOW):
+            s = alphabet()[np.frombuffer(text[start : start + WINDOW].encode("utf-32-le", "surrogatepass"), np.uint32)]
             keep = s != SPACE
             keep[1:] |= s[:-1] != SPACE
-            keep[0] = s[0] != SPACE
+            keep[0] |= tail[-1] != SPACE
             s = s[keep]
             if len(s):
-                sizes[i] = len(s)
-                parts += [pad, s]
-    if not sizes.any():
-        return np.zeros(0, np.int32), sizes
-    flat = np.concatenate(parts).astype(np.int32)
-    out = flat.copy()
-    for k in range(1, ORDER):
-        out[k:] |= flat[:-k] << (BITS * k)
-    filled = sizes[sizes > 0]
-    ends = np.cumsum(filled + ORDER - 1)
-    real = np.ones(len(flat), bool)
-    starts = ends - filled - (ORDER - 1)
-    for k in range(ORDER - 1):
-        real[starts[starts + k < ends] + k] = False
-    return out[real], sizes
-
-
-def batches_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t or "") > BATCH:
-            yield start, i
-            start, size = i, 0
-        size += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def tag(lang: Column) -> Column:
-    """Two-letter language tags; what isn't one is '*'. So there are at most 677."""
-    return F.when(lang.rlike("^[a-z]{2}$"), lang).otherwise(F.lit(ANY))
+                held.append(np.concatenate([tail, s]))
+                owners.append(i)
+                tail, size = held[-1][1 - ORDER :], size + len(s)
+                if size >= WINDOW:
+                    yield flush()
+                    held, owners, size = [], [], 0
+    if held:
+        yield flush()
+
+
+def mixed(h1: np.ndarray, h2: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each n-gram; those of a bucket, some million at most, are told apart by it."""
+    k = h2.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    k ^= k >> np.uint64(29)
+    k += h1.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    k ^= k >> np.uint64(32)
+    k *= np.uint64(0x165667B19E3779F9)
+    k += s.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    k ^= k >> np.uint64(31)
+    return (k * np.uint64(0x27D4EB2F165667C5)).view(np.int64)
+
+
+class Distinct:
+    """The distinct n-grams of windows, with their counts."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = self.least = 0
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, s: np.ndarray, n: np.ndarray | None = None) -> None:
+        found = pa.array(mixed(h1, h2, s)).dictionary_encode()
+        which = found.indices.to_numpy()
+        first = np.empty(len(found.dictionary), np.int64)
+        first[which[::-1]] = np.arange(len(s) - 1, -1, -1)
+        counts = np.bincount(which, n, len(first)).astype(np.int64)
+        self.held.append((h1[first], h2[first], s[first], counts))
+        self.size += len(first)
+        if self.size > max(1 << 20, 2 * self.least):
+            self.all()
+
+    def all(self) -> tuple[np.ndarray, ...]:
+        """(h1, h2, s, n)"""
+        if len(self.held) > 1:
+            whole = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+            self.held, self.size, self.least = [], 0, 1 << 62
+            self.add(*whole)
+            self.least = self.size
+        return self.held[0] if self.held else (np.zeros(0, np.int64),) * 4
 
 
 def count_grams(trusted: DataFrame) -> DataFrame:
-    """trusted (lang, text) -> (lang, g int, n long) per language and, as '*', over all."""
+    """trusted (lang, text) -> (lang, h1, h2, s, n) per language and, as '*', over all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = alphabet()
-        for batch in batches:
-            langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
-            for start, stop in batches_of(texts):
-                g, sizes = grams(texts[start:stop], table)
-                of = np.repeat(langs[start:stop], sizes)
-                for lang in dict.fromkeys(langs[start:stop]):
-                    found, n = np.unique(g[of == lang], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array(n, pa.int64())], ["lang", "g", "n"])
+    def counted(texts: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
+        for lang, own in sorted(texts.items()):
+            seen = Distinct()
+            for h1, h2, s, _ in windows(own):
+                seen.add(h1, h2, s)
+            h1, h2, s, n = seen.all()
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(s)), *map(pa.array, (h1, h2, s, n))], [*KEY, "n"])
 
-    each = arrow_map(trusted.select("lang", "text"), run, "lang string, g int, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    each = written(each, "grams")
-    return each.where(F.col("lang") != ANY).unionByName(each.groupBy("g").agg(F.sum("n").alias("n")).select(F.lit(ANY).alias("lang"), "g", "n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in (part for whole in batches for part in parts(whole, 1)):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text:
+                    held.setdefault(lang, []).append(text)
+                    size += len(text)
+            if size >= TRAIN:
+                yield from counted(held)
+                held, size = {}, 0
+        yield from counted(held)
+
+    each = written(arrow_map(trusted.select("lang", "text"), run, f"lang string, {GRAMS}, n long").groupBy(*KEY).agg(F.sum("n").alias("n")), "grams")
+    every = each.groupBy("h1", "h2", "s").agg(F.sum("n").alias("n")).select(F.lit(ANY).alias("lang"), "h1", "h2", "s", "n")
+    return each.where(F.col("lang") != ANY).unionByName(every)
 
 
 def discounts(counts: DataFrame) -> DataFrame:
@@ -139,110 +186,131 @@ def discounts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang").agg(*n).select("lang", *d)
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(k, lang, g, p, gamma): for each seen k-gram its interpolated probability, or, as context of order k - 1, its back-off weight.
+def last(k: int) -> list[Column]:
+    """The last k symbols before the last one, as h1 and h2."""
+    return [F.col("h1").bitwiseAND((1 << BITS * max(0, k - 3)) - 1).alias("h1"), F.col("h2").bitwiseAND((1 << BITS * min(3, k)) - 1).alias("h2")]
 
-    Rows with p are k-grams; rows with gamma are contexts (of k - 1 symbols) of k-grams.
-    """
-    levels = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):  # distinct left extensions
-        levels[k] = levels[k + 1].groupBy("lang", F.col("g").bitwiseAND((1 << BITS * k) - 1).alias("g")).agg(F.count("*").alias("n"))
-    below, out = None, []
-    for k in range(1, ORDER + 1):
-        own = levels[k].join(discounts(levels[k]), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        own = own.select("lang", "g", "n", "d", F.shiftright("g", BITS).alias("h"), F.col("g").bitwiseAND((1 << BITS * (k - 1)) - 1).alias("s"))
-        contexts = own.groupBy("lang", "h").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma"))
-        joined = own.join(contexts, ["lang", "h"])
-        if below is None:
-            joined = joined.withColumn("q", F.lit(1.0 / SYMBOLS))
-        else:
-            joined = joined.join(below.select("lang", F.col("g").alias("s"), F.col("p").alias("q")), ["lang", "s"])
-        below = written(joined.select("lang", "g", ((F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("q")).alias("p")), f"order-{k}")
-        none = F.lit(None).cast("double")
-        out.append(below.select(F.lit(k).alias("k"), "lang", "g", "p", none.alias("gamma")))
-        out.append(contexts.select(F.lit(k).alias("k"), "lang", F.col("h").alias("g"), none.alias("p"), "gamma"))
-    return reduce(DataFrame.unionByName, out)
+
+def _shorter(rows: DataFrame, k: int, value: str) -> DataFrame:
+    """Rows of k-grams -> (r1, r2, s, lang, value), to join them to the grams of k + 1 symbols."""
+    return rows.select(F.col("lang"), F.col("h1").alias("r1"), F.col("h2").alias("r2"), "s", F.col(value).alias("q"))
 
 
-Shard = dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]]
+def _suffixed(rows: DataFrame, k: int) -> DataFrame:
+    """Rows of k-grams with their last k - 1 symbols, in r1, r2 and s."""
+    r1, r2 = last(k - 2)
+    return rows.withColumns({"r1": r1, "r2": r2})
 
 
-def shard_of(model: DataFrame, lang: str) -> Shard:
-    """One language's tables: (order, whether contexts) -> sorted keys and their values."""
-    context = F.col("gamma").isNotNull()
-    rows = model.where(F.col("lang") == lang).select("k", "g", context.alias("context"), F.coalesce("p", "gamma").alias("value")).toArrow()
-    order, keys, contexts, values = (rows[c].to_numpy() for c in ("k", "g", "context", "value"))
-    out: Shard = {}
+def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1 on: (lang, h1, h2, s, p) of its seen n-grams, interpolated, and (lang, h1, h2, gamma) of their contexts."""
+    levels = {ORDER: counts}
+    for k in range(ORDER - 1, 0, -1):  # distinct left extensions
+        levels[k] = written(levels[k + 1].groupBy("lang", *last(k - 1), "s").agg(F.count("*").alias("n")), f"level-{k}")
+    out: list[tuple[DataFrame, DataFrame]] = []
     for k in range(1, ORDER + 1):
-        for of in (False, True):
-            part = np.flatnonzero((order == k) & (contexts == of))
-            part = part[np.argsort(keys[part])]
-            out[k, of] = keys[part], values[part]
+        # discounts: a row for each language tag, of which there are LANGUAGES at most
+        own = levels[k].join(F.broadcast(discounts(levels[k])), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))).select(*KEY, "n", "d")
+        contexts = written(own.groupBy("lang", "h1", "h2").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma")), f"contexts-{k}")
+        joined = own.join(contexts, ["lang", "h1", "h2"])
+        if k == 1:
+            joined = joined.withColumn("q", F.lit(1.0 / SYMBOLS))
+        else:
+            joined = _suffixed(joined, k).join(_shorter(out[-1][0], k - 1, "p"), ["lang", "r1", "r2", "s"])
+        p = written(joined.select(*KEY, ((F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("q")).alias("p")), f"order-{k}")
+        out.append((p, contexts.select("lang", "h1", "h2", "gamma")))
     return out
 
 
-def log_probability(shard: Shard, g: np.ndarray) -> np.ndarray:
-    """log P(last symbol | the ones before) of n-grams: the longest seen suffix, weighed by the contexts above it."""
-
-    def find(k: int, context: bool, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = shard[k, context]
-        if not len(keys):
-            return np.zeros(len(of), bool), np.ones(len(of))
-        at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
-        return keys[at] == of, values[at]
+def probabilities(asked: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """asked (lang, h1, h2, s), distinct -> with p = P(s | the symbols before), unseen n-grams by back-off."""
+    levels = {ORDER: asked}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = written(levels[k + 1].select("lang", *last(k - 1), "s").distinct(), f"asked-{k}")
+    now = None
+    for k, (seen, contexts) in enumerate(model, 1):
+        joined = levels[k].join(seen, KEY, "left").join(contexts, ["lang", "h1", "h2"], "left")
+        joined = joined.withColumn("q", F.lit(1.0 / SYMBOLS)) if now is None else _suffixed(joined, k).join(_shorter(now, k - 1, "p"), ["lang", "r1", "r2", "s"])
+        before, now = now, written(joined.select(*KEY, F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("p")), f"answers-{k}")
+        dropped(*[x for x in (before, levels[k]) if x is not None and x is not asked])
+    return now
 
-    out, weight, left = np.zeros(len(g)), np.ones(len(g)), np.arange(len(g))
-    for k in range(ORDER, 0, -1):
-        own = g[left] & ((1 << BITS * k) - 1)
-        seen, p = find(k, False, own)
-        out[left[seen]] = weight[left[seen]] * p[seen]
-        left, own = left[~seen], own[~seen]
-        seen, gamma = find(k, True, own >> BITS)
-        weight[left] *= np.where(seen, gamma, 1.0)
-    out[left] = weight[left] / SYMBOLS
-    return np.log(out)
 
-
-def perplexities(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """docs (id, lang, trusted, text) -> (id, lang, trusted, n_symbols, perplexity): perplexity is null without symbols."""
-    spark = docs.sparkSession
-    names = sorted(r["lang"] for r in model.select("lang").distinct().collect())  # at most 677
-    shards = {lang: spark.sparkContext.broadcast(shard_of(model, lang)) for lang in names}
+def packed(docs: DataFrame, kind: str) -> DataFrame:
+    """docs (id, lang, buckets, text) -> (lang, bucket, ids, sizes, blob): texts compressed together, as they come; the size of a null is -1."""
+    dealt = docs.select("id", "lang", F.pmod(F.xxhash64("id", "text"), F.col("buckets")).alias("bucket"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = alphabet()
-        dense, known = np.zeros(1 << BITS * ORDER, np.float32), None
+        pack = zstandard.ZstdCompressor(3).compress
         for batch in batches:
-            langs, texts = np.array(batch.column(1).to_pylist(), object), batch.column(3).to_pylist()
-            sizes_all, sums = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            for lang in sorted(set(langs)):
-                own = np.flatnonzero(langs == lang)
-                if lang != known:
-                    dense[:] = 0  # a log-probability of 0 isn't computed yet
-                    known = lang
-                shard = shards[lang].value if lang in shards else {}
-                for start, stop in batches_of([texts[i] for i in own]):
-                    some = own[start:stop]
-                    g, sizes = grams([texts[i] for i in some], table)
-                    sizes_all[some] = sizes
-                    if len(g) and shard:
-                        new = np.unique(g[dense[g] == 0])
-                        dense[new] = log_probability(shard, new)
-                        filled = sizes > 0
-                        starts = (np.cumsum(sizes) - sizes)[filled]
-                        sums[some[filled]] = np.add.reduceat(dense[g].astype(np.float64), starts)
-            with np.errstate(all="ignore"):
-                value = np.exp(-sums / sizes_all)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes_all), pa.array(value, mask=(sizes_all == 0) | (sums == 0))], ["id", "lang", "trusted", "n_symbols", "perplexity"])
+            by = pa.table({"lang": batch.column(1), "bucket": batch.column(2), "at": np.arange(batch.num_rows)}).group_by(["lang", "bucket"]).aggregate([("at", "list")])
+            ids, texts, rows = batch.column(0), batch.column(3).cast(pa.binary()), by["at_list"].to_pylist()
+            own = [[texts[i].as_py() for i in some] for some in rows]
+            columns = [
+                pa.array([ids.take(pa.array(some)).to_pylist() for some in rows], pa.list_(ids.type)),
+                pa.array([[-1 if t is None else len(t) for t in some] for some in own], pa.list_(pa.int64())),
+                pa.array([pack(b"".join(t or b"" for t in some)) for some in own], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays([by["lang"].combine_chunks(), by["bucket"].combine_chunks(), *columns], ["lang", "bucket", "ids", "sizes", "blob"])
+
+    return arrow_map(dealt, run, f"lang string, bucket long, ids array<{kind}>, sizes array<long>, blob binary")
+
+
+def unpacked(sizes: list[int], blob: bytes) -> list[str | None]:
+    data, out, start = zstandard.ZstdDecompressor().decompress(blob), [], 0
+    for n in sizes:
+        out.append(None if n < 0 else data[start : start + n].decode("utf-8", "replace"))
+        start += max(0, n)
+    return out
+
 
+def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """docs (id, lang, text) -> (id, lang, n_symbols, perplexity): perplexity is null without symbols."""
+    # a row for each language: at most LANGUAGES
+    sizes = F.broadcast(written(docs.groupBy(F.col("lang").alias("of")).agg((F.floor(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) / BUCKET) + 1).cast("long").alias("buckets")), "buckets"))
     kind = docs.schema["id"].dataType.simpleString()
-    return arrow_map(docs.select("id", "lang", "trusted", "text"), run, f"id {kind}, lang string, trusted boolean, n_symbols long, perplexity double")
+    texts = packed(docs.join(sizes, F.col("lang") == F.col("of")), kind)
+
+    def ask(key: tuple, blobs: pa.Table) -> pa.Table:
+        seen = Distinct()
+        for sizes, blob in zip(blobs["sizes"].to_pylist(), blobs["blob"], strict=True):
+            for h1, h2, s, _ in windows(unpacked(sizes, blob.as_py())):
+                seen.add(h1, h2, s)
+        h1, h2, s, _ = seen.all()
+        return pa.table({"lang": pa.repeat(pa.scalar(key[0].as_py(), pa.string()), len(s)), "bucket": pa.repeat(pa.scalar(key[1].as_py(), pa.int64()), len(s)), "h1": h1, "h2": h2, "s": s})
+
+    asked = written(texts.groupBy("lang", "bucket").applyInArrow(ask, f"lang string, bucket long, {GRAMS}"), "asked")
+    distinct = written(asked.select(*KEY).distinct(), "distinct")
+    answers = asked.join(probabilities(distinct, model), KEY)
+
+    def score(key: tuple, blobs: pa.Table, found: pa.Table) -> pa.Table:
+        found = found.combine_chunks()
+        known = pa.array(mixed(*(found[c].to_numpy() for c in KEY[1:])))
+        logs = np.log(found["p"].to_numpy())
+        ids, counts, values = [], [], []
+        for own, sizes, blob in zip(blobs["ids"].to_pylist(), blobs["sizes"].to_pylist(), blobs["blob"], strict=True):
+            n, sums = np.zeros(len(own), np.int64), np.zeros(len(own))
+            for h1, h2, s, owner in windows(unpacked(sizes, blob.as_py())):
+                at = pc.index_in(pa.array(mixed(h1, h2, s)), value_set=known)
+                if at.null_count:
+                    raise RuntimeError("the documents changed between two readings: an n-gram has no answer")
+                n += np.bincount(owner, minlength=len(own))
+                sums += np.bincount(owner, logs[at.to_numpy()], len(own))
+            ids += own
+            counts.append(n)
+            values.append(sums)
+        n, sums = np.concatenate(counts), np.concatenate(values)
+        with np.errstate(all="ignore"):
+            value = np.exp(-sums / n)
+        return pa.table({"id": pa.array(ids, blobs.schema.field("ids").type.value_type), "lang": pa.repeat(pa.scalar(key[0].as_py(), pa.string()), len(n)), "n_symbols": n, "perplexity": pa.array(value, mask=n == 0)})
+
+    return texts.groupBy("lang", "bucket").cogroup(answers.groupBy("lang", "bucket")).applyInArrow(score, f"id {kind}, lang string, n_symbols long, perplexity double")
 
 
 def language_quantiles(scores: DataFrame, q: float = QUANTILE) -> DataFrame:
     """(lang, threshold): the upper edge of the step that holds the q-quantile of trusted log-perplexities.
 
-    Counts per step merge exactly in any order; there are at most some thousand steps a language.
+    Counts per step merge exactly in any order; of a language there are some thousand at most.
     """
     steps = scores.where("trusted and perplexity is not null").groupBy("lang", F.floor(F.log("perplexity") / STEP).alias("step")).agg(F.count("*").alias("n"))
     by = W.partitionBy("lang")
@@ -253,25 +321,27 @@ def language_quantiles(scores: DataFrame, q: float = QUANTILE) -> DataFrame:
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", q: float = QUANTILE) -> DataFrame:
     """One row for each row of docs: (id, lang, n_symbols, perplexity, threshold, kept).
 
-    trusted: ids (in id_col) of the documents to train on, all of them. A language
-    without trusted text, or whose tag isn't two letters or is null, is judged by
-    the model and threshold of all trusted text; then lang is '*'. kept is null
-    where there is nothing to judge: no symbols, or no trusted text at all.
-    Repeated rows each get a row and count each; a null id is never trusted. An
-    empty table gives an empty result; other columns aren't read.
+    trusted holds the ids of the trusted documents. lang: the language whose model
+    judges it, '*' (the model of all trusted text) where none is trusted or the tag
+    is null or odd. A perplexity on the threshold is kept. Null, empty and blank
+    texts have no symbols, and a null perplexity and verdict; so have all without
+    any trusted text. Rows that repeat are each judged; rows of a trusted id are all
+    trusted, a null id never. A long text is read in windows. docs or trusted may be
+    empty; other columns aren't read, whatever their names.
     """
     ids = trusted.select(F.col(id_col).alias("tid")).where("tid is not null").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
     source = docs.select(F.col(id_col).alias("id"), tag(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
-    counts = count_grams(source.join(ids, F.col("id") == F.col("tid"), "left_semi"))
-    model = written(kneser_ney(counts), "model")
-    known = sorted(r["lang"] for r in model.select("lang").distinct().collect())
-    judged = source.join(ids, F.col("id") == F.col("tid"), "left").select("id", F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(ANY)).alias("lang"), F.col("tid").isNotNull().alias("trusted"), "text")
-    scores = written(perplexities(judged, model), "scores")
+    counts = written(count_grams(source.join(ids, F.col("id") == F.col("tid"), "left_semi").select("lang", "text")), "counts")
+    model = kneser_ney(counts)
+    known = sorted(r["lang"] for r in model[0][0].select("lang").distinct().collect())  # at most LANGUAGES
+    judged = source.select("id", F.when(F.col("lang").isin(known), F.col("lang")).otherwise(F.lit(ANY)).alias("lang"), "text")
+    scored = written(perplexities(judged, model), "scored")
+    scores = written(scored.join(ids, F.col("id") == F.col("tid"), "left").select("id", "lang", F.col("tid").isNotNull().alias("trusted"), "n_symbols", "perplexity"), "scores")
+    if not known:
+        scores = scores.withColumn("perplexity", F.lit(None).cast("double"))
     own = language_quantiles(scores, q)
     every = language_quantiles(scores.withColumn("lang", F.lit(ANY)), q)
     limits = own.where(F.col("lang") != ANY).unionByName(every).select(F.col("lang").alias("of"), "threshold")
-    # at most 677 rows
+    # a row for each language: at most LANGUAGES
     joined = scores.join(F.broadcast(limits), F.col("lang") == F.col("of"), "left")
     return joined.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "n_symbols", "perplexity", "threshold", (F.col("perplexity") <= F.col("threshold")).alias("kept"))

@@ -2,19 +2,19 @@ import math
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corpusmill.llm import perplexity as K
+from corpusmill.llm import perplexity as C
 
-SCHEMA = "text string, doc_id long, lang string, kept int, n array<int>, g string"
+SCHEMA = "text string, doc_id long, lang string, kept int"
 
 
-def symbols(text, table):
+def symbols(text):
     out = []
     for c in text or "":
-        s = int(table[ord(c)])
-        if s != K.SPACE or (out and out[-1] != K.SPACE):
+        s = int(C.alphabet()[ord(c)])
+        if s != C.SPACE or (out and out[-1] != C.SPACE):
             out.append(s)
     return out
 
@@ -25,10 +25,10 @@ class Brute:
     def __init__(self, texts):
         counts = Counter()
         for s in texts:
-            s = [K.SPACE] * (K.ORDER - 1) + s
-            counts.update(tuple(s[i - K.ORDER + 1 : i + 1]) for i in range(K.ORDER - 1, len(s)))
-        self.a = {K.ORDER: counts}
-        for k in range(K.ORDER - 1, 0, -1):
+            s = [C.SPACE] * (C.ORDER - 1) + s
+            counts.update(tuple(s[i - C.ORDER + 1 : i + 1]) for i in range(C.ORDER - 1, len(s)))
+        self.a = {C.ORDER: counts}
+        for k in range(C.ORDER - 1, 0, -1):
             self.a[k] = Counter(g[1:] for g in self.a[k + 1])
         self.d, self.after = {}, {}
         for k, a in self.a.items():
@@ -42,88 +42,77 @@ class Brute:
     def p(self, g):
         k = len(g)
         if not k:
-            return 1 / K.SYMBOLS
+            return 1 / C.SYMBOLS
         after = self.after[k].get(g[:-1])
         if not after:
             return self.p(g[1:])
-        d = self.d[k]
-        n = self.a[k].get(g, 0)
+        d, n = self.d[k], self.a[k].get(g, 0)
         return (n - d[min(n, 3)]) / sum(after) + sum(d[min(v, 3)] for v in after) / sum(after) * self.p(g[1:])
 
-
-def corpus():
-    rng = random.Random(2)
-    rows = []
-    for i in range(120):
-        lang = rng.choice(["en", "de"])
-        words = ["the", "of", "and", "there", "other"] if lang == "en" else ["der", "über", "und", "Straße", "oder"]
-        rows.append((" ".join(rng.choices(words, k=rng.randint(1, 60))) + ".", i, lang, 0, [], ""))
-    rows += [("".join(rng.choices("#*$%&xq", k=200)), 500, "en", 0, [], ""), (None, 501, "en", 0, [], ""), ("", 502, "de", 0, [], ""), ("   ", 503, None, 0, [], "")]
-    rows += [("the other der oder", 504, "xx", 0, [], ""), ("das Über", 505, None, 0, [], ""), ("the of", 506, "ENGLISH", 0, [], ""), ("漢字 and the", None, "en", 0, [], "")]
-    return [*rows, rows[3], ("the other " * 30_000, 507, "en", 0, [], "")]
-
-
-def test_perplexities_match_the_textbook(spark):
-    rows, table = corpus(), K.alphabet()
-    trusted = [(i,) for i in range(0, 120, 2)] + [(None,), (4,), (9999,)]
-    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = K.quality(df, spark.createDataFrame(trusted, "doc_id long")).collect()
-    assert len(got) == len(rows)
-    ids = {i for (i,) in trusted if i is not None}
-    train = [(lang, symbols(t, table)) for t, i, lang, *_ in rows if i in ids]
-    models = {lang: Brute([s for x, s in train if lang in (x, "*")]) for lang in ("en", "de", "*")}
-    text = {r[1]: r[0] for r in rows}
-    limits = {}
-    for lang in models:
-        own = []
-        for x, s in train:
-            if lang in (x, "*"):  # thresholds of '*' are over each document's own score
-                padded = [K.SPACE] * (K.ORDER - 1) + s
-                own.append(math.floor(-sum(math.log(models[x].p(tuple(padded[i - 3 : i + 1]))) for i in range(3, len(padded))) / len(s) / K.STEP))
-        own.sort()
-        limits[lang] = math.exp((own[math.ceil(K.QUANTILE * len(own)) - 1] + 1) * K.STEP)
+    def perplexity(self, s):
+        padded = [C.SPACE] * (C.ORDER - 1) + s
+        return math.exp(-sum(math.log(self.p(tuple(padded[i - C.ORDER + 1 : i + 1]))) for i in range(C.ORDER - 1, len(padded))) / len(s))
+
+
+def rows():
+    rng = random.Random(4)
+    russian = "мой дядя самых честных правил когда не в шутку занемог он уважать себя заставил и лучше выдумать не мог".split()
+    out = [(" ".join(rng.choices(russian, k=rng.randint(5, 40))), i, "ru", 0) for i in range(80)]
+    out += [(" ".join(rng.choices(["the", "of", "ﬁn", "漢字", "😀", "12"], k=rng.randint(1, 20))), 100 + i, "en", 0) for i in range(40)]
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    out += [(" ".join("".join(rng.choices(letters, k=len(w))) for w in rng.choices(russian, k=30)), 200 + i, "ru", 0) for i in range(20)]
+    out += [("of the " * 20_000, 303, "en-GB", 0), ("the of", 304, "ENGLISH", 0), ("漢字", 305, "en", 0)]
+    return [*out, (None, 300, "ru", 0), ("", 301, "en", 0), (" \n ", 302, "xx", 0), ("мой of", None, None, 0), out[3]]
+
+
+@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 26), (50, 500)])
+def test_textbook_and_random_letters(spark, monkeypatch, sizes):
+    if sizes[0] < 1 << 20:
+        monkeypatch.setattr(C, "WINDOW", sizes[0])
+        monkeypatch.setattr(C, "BUCKET", sizes[1])
+        monkeypatch.setattr(C, "TRAIN", sizes[1])
+    some = rows()
+    ids = set(range(0, 140, 2))
+    trusted = spark.createDataFrame([(i,) for i in [*ids, 9999]], "doc_id long")
+    got = C.quality(spark.createDataFrame(some, SCHEMA).repartition(3), trusted).collect()
+    assert len(got) == len(some)
+    train = [(lang, symbols(t)) for t, i, lang, _ in some if i in ids]
+    models = {lang: Brute([s for x, s in train if lang in (x, "*")]) for lang in ("ru", "en", "*")}
+    text = {r[1]: r[0] for r in some}
     for r in got:
-        s = symbols(text[r["doc_id"]], table)
+        s = symbols(text[r["doc_id"]])
         assert r["n_symbols"] == len(s)
         if len(s) > 5000:
-            continue
-        if not s:
+            assert r["lang"] == "en" and r["perplexity"] > 1
+        elif s:
+            assert r["perplexity"] == pytest.approx(models[r["lang"]].perplexity(s), rel=1e-6)
+        else:
             assert r["perplexity"] is None and r["kept"] is None
-            continue
-        padded = [K.SPACE] * (K.ORDER - 1) + s
-        model = models[r["lang"]]
-        logs = [math.log(model.p(tuple(padded[i - 3 : i + 1]))) for i in range(3, len(padded))]
-        assert r["perplexity"] == pytest.approx(math.exp(-sum(logs) / len(s)), rel=1e-4)
-        assert r["threshold"] == pytest.approx(limits[r["lang"]], rel=2.5 * K.STEP)
-        assert r["kept"] == (r["perplexity"] <= r["threshold"])
-    langs = {r["doc_id"]: r["lang"] for r in got}
-    assert langs[504] == langs[505] == langs[506] == "*" and langs[None] == "en"
     kept = {r["doc_id"]: r["kept"] for r in got}
-    assert not kept[500] and sum(not kept[i] for i in range(120)) <= 6
+    assert all(kept[i] for i in ids if i < 80) and not any(kept[i] for i in range(200, 220))  # random Russian letters
 
 
-def test_probabilities_sum_to_one(spark):
-    rows = [(r[0], r[1], r[2]) for r in corpus() if r[2] == "en" and r[0] and r[1] is not None and r[1] < 120]
-    counts = K.count_grams(spark.createDataFrame(rows, "text string, doc_id long, lang string"))
-    shard = K.shard_of(K.kneser_ney(counts), "en")
-    rng = np.random.default_rng(0)
-    for context in [*rng.choice(shard[K.ORDER, True][0], 20), *rng.integers(0, 64**3, 20)]:
-        p = np.exp(K.log_probability(shard, (int(context) << K.BITS) + np.arange(K.SYMBOLS, dtype=np.int32)))
-        assert p.sum() == pytest.approx(1)
+def test_empty_tables(spark):
+    none, ids = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long")
+    assert C.quality(none, ids).collect() == []
+    got = C.quality(spark.createDataFrame(rows()[:3], SCHEMA), ids).collect()
+    assert [(r["lang"], r["perplexity"], r["kept"]) for r in got] == [("*", None, None)] * 3
 
 
-def test_batches_do_not_matter(spark, monkeypatch):
-    table = K.alphabet()
-    some = [r[0] for r in corpus()]
-    g, sizes = K.grams(some, table)
-    apart = [K.grams([t], table) for t in some]
-    assert np.array_equal(g, np.concatenate([x for x, _ in apart])) and sizes.tolist() == [int(n[0]) for _, n in apart]
-    monkeypatch.setattr(K, "BATCH", 100)
-    assert [i for a, b in K.batches_of(some) for i in range(a, b)] == list(range(len(some)))
+def test_tags(spark):
+    some = ["en", "EN-us", "zh-Hans", "eng", "english", "", None, "e", "pt_BR"]
+    got = spark.createDataFrame([(x,) for x in some], "t string").select(C.tag(F.col("t")).alias("t")).collect()
+    assert [r["t"] for r in got] == ["en", "en", "zh", "eng", "*", "*", "*", "*", "pt"]
 
 
-def test_empty_tables(spark):
-    none, ids = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long")
-    assert K.quality(none, ids).collect() == []
-    got = K.quality(spark.createDataFrame(corpus()[:3], SCHEMA), ids).collect()
-    assert [(r["lang"], r["perplexity"], r["kept"]) for r in got] == [("*", None, None)] * 3
+def test_distinct_counts_all(monkeypatch):
+    monkeypatch.setattr(C, "WINDOW", 40)
+    text = "the cat  sat\n on the mat; the 漢字 😀 " * 9
+    seen, expected = C.Distinct(), Counter()
+    for h1, h2, s, _ in C.windows([text, None, "", " x"]):
+        seen.add(h1, h2, s)
+    for own in (symbols(text), symbols(" x")):
+        padded = [C.SPACE] * (C.ORDER - 1) + own
+        expected.update(tuple(padded[i : i + C.ORDER]) for i in range(len(own)))
+    unpack = lambda h1, h2, s: tuple([h1 & C.SYMBOLS * 2 - 1, h2 >> 42, h2 >> 21 & (1 << 21) - 1, h2 & (1 << 21) - 1, s])
+    assert {unpack(*map(int, g)): int(n) for *g, n in zip(*seen.all(), strict=True)} == expected
