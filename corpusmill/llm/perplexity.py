@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import arrow_map, dropped, parts, written
+from corpusmill.llm.common import arrow_map, dropped, parts, trimmed, written
 
 #: At most 7: the symbols before the last are packed into two longs, 3 in h2 and the ones before in h1.
 ORDER = 5
@@ -277,6 +277,7 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> D
             for h1, h2, s, _ in windows(unpacked(sizes, blob.as_py())):
                 seen.add(h1, h2, s)
         h1, h2, s, _ = seen.all()
+        trimmed()
         return pa.table({"lang": pa.repeat(pa.scalar(key[0].as_py(), pa.string()), len(s)), "bucket": pa.repeat(pa.scalar(key[1].as_py(), pa.int64()), len(s)), "h1": h1, "h2": h2, "s": s})
 
     asked = written(texts.groupBy("lang", "bucket").applyInArrow(ask, f"lang string, bucket long, {GRAMS}"), "asked")
@@ -302,6 +303,7 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> D
         n, sums = np.concatenate(counts), np.concatenate(values)
         with np.errstate(all="ignore"):
             value = np.exp(-sums / n)
+        trimmed()
         return pa.table({"id": pa.array(ids, blobs.schema.field("ids").type.value_type), "lang": pa.repeat(pa.scalar(key[0].as_py(), pa.string()), len(n)), "n_symbols": n, "perplexity": pa.array(value, mask=n == 0)})
 
     return texts.groupBy("lang", "bucket").cogroup(answers.groupBy("lang", "bucket")).applyInArrow(score, f"id {kind}, lang string, n_symbols long, perplexity double")
