@@ -3,7 +3,11 @@
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
 reread as the next one's docs. All but the last return the columns of documents.
 Rows with a null doc_id pass the near-dup stage, and rows that share a doc_id
-are one document there. Empty tables, null and empty texts are fine anywhere.
+are documents of their own there if their texts differ, else copies. Empty
+tables, null and empty texts, very long ones and ties are fine anywhere: texts
+without enough words fail the quality rules, of equal documents the one of the
+least id stays, and equal rows are mixed alike. Columns beside those of documents
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,10 +38,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near-duplicates (five-word shingles, a similarity of 0.8 or more)."""
-    groups = near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    order = W.partitionBy("doc_id").orderBy(*COLUMNS[1:])
-    kept = docs.join(first, F.col("doc_id") == F.col("kept_id"), "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    first = near_duplicates(docs).where("stays").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    hashed = docs.select(*COLUMNS, F.xxhash64("text").alias("hash"))
+    order = W.partitionBy("doc_id", "hash").orderBy(*COLUMNS[1:])
+    kept = hashed.join(first, (F.col("doc_id") == F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi").withColumn("copy", F.row_number().over(order)).where("copy = 1")
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 

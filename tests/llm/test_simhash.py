@@ -68,7 +68,9 @@ def test_bit_sliced_distances(radius):
     x = rng.integers(0, 2**63, size=(190, 2), dtype=np.uint64)
     x[100:150] = x[:50] ^ (np.uint64(1) << rng.integers(0, 64, size=(50, 2), dtype=np.uint64))
     x[150:] = x[:40]
-    close = np.unpackbits(S.close_lanes(x, S.planes_of(x), radius).view(np.uint8), axis=1, bitorder="little")
+    planes = S.planes_of(x)
+    q, w = np.divmod(np.arange(190 * 3), 3)
+    close = np.unpackbits(S.close_lanes(x[q], w, planes, radius, np.zeros(570, np.uint64)).view(np.uint8).reshape(190, -1), axis=1, bitorder="little")
     expected = [[sum(int(p).bit_count() for p in (a ^ b)) <= radius for b in x] for a in x]
     assert (close[:, :190] == np.array(expected)).all()
     parent = list(range(190))
@@ -76,7 +78,36 @@ def test_bit_sliced_distances(radius):
         for j in np.flatnonzero(expected[i]):
             a, b = sorted((parent[i], parent[j]))
             parent = [a if p == b else p for p in parent]
-    assert S.block_components(x, radius, tile=7).tolist() == parent
+    assert S.block_components(x, np.array([190]), radius).tolist() == parent
+
+
+def components(x, sizes, radius):
+    """The first of each fingerprint's block that it reaches, by all pairs."""
+    out = []
+    for start, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
+        root = list(range(n))
+        near = np.bitwise_count(x[start : start + n, None] ^ x[None, start : start + n]).sum(axis=2) <= radius
+        for i, j in zip(*np.nonzero(near), strict=True):
+            a, b = sorted((root[i], root[j]))
+            if a != b:
+                root = [a if r == b else r for r in root]
+        out += [int(start) + r for r in root]
+    return out
+
+
+@pytest.mark.parametrize("tile", [1 << 14, 50])
+def test_blocks_of_all_sizes(monkeypatch, tile):
+    """Links come from bit planes only: no distance is a popcount."""
+    monkeypatch.setattr(S, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    sizes = np.array([1, 2, 64, 65, 300, 3, 700, 128])
+    x = rng.integers(0, 2**64, size=(sizes.sum(), 2), dtype=np.uint64)
+    for i in range(len(x)):  # chains, and in one block mostly near-copies
+        if rng.random() < (0.95 if 435 <= i < 1100 else 0.3):
+            x[i] = x[max(0, i - int(rng.integers(1, 90)))] ^ np.uint64(1 << int(rng.integers(64)))
+    expected = components(x, sizes, 3)
+    monkeypatch.setattr(S.np, "bitwise_count", None)
+    assert S.block_components(x, sizes, 3).tolist() == expected
 
 
 @pytest.mark.parametrize("block", [4096, 3])
@@ -97,7 +128,7 @@ def test_many_near_values_in_one_block(spark):
     while len(values) < 400:
         values.add(rng.choice(sorted(values)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
-    for block in (4096, 16):
+    for block in (4096, 16, 1):
         links = S.exact_links(spark.createDataFrame([(v,) for v in signed], "node long"), 2, block)
         roots = {r["root"] for r in S.connected_components(links).collect()}
         assert len(roots) == 1
@@ -128,8 +159,10 @@ def test_near_duplicates_at_a_similarity(spark):
     rows += [("", 900, "", "", 1, []), (None, 901, "", "", 1, []), ("x", None, "", "", 1, []), rows[0]]
     df = spark.createDataFrame(rows, SCHEMA)
     for block in (4096, 4):
-        got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(df, block=block).collect()}
-        assert len(got) == 124
+        found = S.near_duplicates(df, block=block).collect()
+        got = {r["doc_id"]: r["component_id"] for r in found}
+        assert all(r["stays"] == (r["doc_id"] == r["component_id"]) for r in found)
+        assert len(got) == len(found) == 124
         assert [got[i] for i in range(122)] == [groups.index(g) for g in groups]
         assert got[901] == 900
 
@@ -161,6 +194,42 @@ def test_similarities_about_the_limit(spark, block):
     assert all(got[i] == i for i in range(320, 380))
 
 
+def test_ids_with_several_texts(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(rng.choices([f"v{i}" for i in range(900)], k=50)) for _ in range(3))
+    rows = [(a, 1, "", "", 1, []), (b, 1, "", "", 1, []), (b, 2, "", "", 1, []), (c, 3, "", "", 1, []), (a, 1, "", "", 1, [])]
+    got = S.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 4
+    assert sum(r["stays"] for r in got) == 3  # a, c, and one of the two b
+    assert sorted(r["doc_id"] for r in got if not r["stays"]) in ([1], [2])
+
+
+def test_large_groups_of_near_copies(spark):
+    """Beyond the block size, what is near the first member needn't meet again, and chains to it aren't lost."""
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    words, rows = rng.choices(vocabulary, k=200), []
+    for i in range(60):
+        own = list(words)
+        for at in rng.sample(range(200), 2):
+            own[at] = f"new{i}"
+        rows.append((" ".join(own), i, "a", "b", 1, []))
+    for i in range(12):  # each a step further from the first, linked to the one before
+        for at in range(6 * i, 6 * i + 4):
+            words[at] = f"far{i}"
+        rows.append((" ".join(words), 100 + i, "a", "b", 1, []))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(196)} for t, *_ in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    for block in (4096, 20, 4):
+        got = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, SCHEMA), block=block).collect()}
+        assert [got[r[1]] for r in rows] == [rows[x][1] for x in root]
+
+
 def test_components_of_sets():
     rng = random.Random(3)
     sets = [np.unique(np.array(rng.choices(range(14), k=12), np.uint64)) for _ in range(150)]
