@@ -1,6 +1,8 @@
+import hashlib
+import random
 import re
 
-from pyspark.sql import functions as F
+import regex
 
 from corpusmill.llm import pii as P
 
@@ -70,14 +72,125 @@ def test_keys_and_reruns(spark):
     assert one[1]["text"] != other[1]["text"]
 
 
-def test_collisions_are_resolved(spark, monkeypatch):
-    """Surrogates of two digits at first: most collide, until attempts make them distinct."""
-    made = P.surrogate
-    monkeypatch.setattr(P, "surrogate", lambda key, kind, norm, attempt: F.when(attempt == 0, F.concat(F.lit("000000"), F.substr(made(key, kind, norm, attempt), F.lit(1), F.lit(1)), F.substr(norm, F.lit(8), F.lit(2)))).otherwise(made(key, kind, norm, attempt)))
-    texts = [f"SSN {a:03d}-{b:02d}-{c:04d}" for a in (111, 222, 333) for b in (10, 20) for c in range(1000, 1060)]
+def test_short_surnames_fill_up(spark):
+    """All 20 * 5 surnames of a consonant and a vowel: no surrogate of that shape is free, so they get longer."""
+    names = [f"{c.upper()}{v}" for c in "bcdfghjklmnpqrstvwxz" for v in "aeiou"]
+    got = run(spark, [f"seen Mr {n} there" for n in names])
+    new = [re.fullmatch(r"seen Mr (\w+) there", got[i]["text"])[1] for i in range(len(names))]
+    assert len(set(new)) == len(names) and not set(new) & set(names)
+
+
+def test_other_scripts(spark):
+    import unicodedata
+
+    names = ["Παπαδόπουλος", "Иванова", "Petrosyan", "Ferrán"]
+    got = run(spark, [f"to Dr {n}." for n in names])
+    for i, n in enumerate(names):
+        new = got[i]["text"][6:-1]
+        assert new != n and [unicodedata.name(c).split()[0] for c in new] == [unicodedata.name(c).split()[0] for c in n]
+        assert new[0].isupper() and new[1:].islower()
+    assert got[1]["text"].endswith("ова.")
+    classes = ["שלום", "مرحبا", "ქართული", "नमक", "สวสด", "ひらか", "カタナ", "한글", "漢字"]
+    values = spark.createDataFrame([("email", f"{w}@a.org", 0) for w in classes], "kind string, norm string, attempt int")
+    for r in P.surrogates(values, "k").collect():
+        before, after = r["norm"].split("@")[0], r["new"].split("@")[0]
+        assert before != after and [unicodedata.name(c).split()[0] for c in after] == [unicodedata.name(c).split()[0] for c in before]
+
+
+def test_names_in_a_text(spark):
+    """A surname is found again without its given name, in capitals too; names of no gender and in capitals change."""
+    got = run(spark, ["Anna Schmidt called. Schmidt said: SCHMIDT'S. Schmidtke didn't.", "JOHN MILLER and Robin", "Schmidt alone", "Call +14155550123 or 06 12 34 56 78."])
+    one = re.fullmatch(r"(\w+) (\w+) called\. (\w+) said: (\w+)'S\. Schmidtke didn't\.", got[0]["text"])
+    assert one[2] == one[3] != "Schmidt" and one[4] == one[2].upper()
+    two = re.fullmatch(r"([A-Z]+) ([A-Z]+) and (\w+)", got[1]["text"])
+    assert two[1].capitalize() in P.GIVEN["given_m_latin"] and two[2] != "MILLER" and two[3] in P.GIVEN["given_u_latin"]
+    assert got[2]["text"] == "Schmidt alone"
+    assert got[3]["kinds"] == ["phone", "phone"] and shape(got[3]["text"]) == shape("Call +14155550123 or 06 12 34 56 78.")
+
+
+def test_hostile_and_long_texts(spark):
+    domain, local = "a@b" + ".c" * 20_000, "x" * 200_000 + "@mail.example.com"
+    texts = [domain, local, "@" * 50_000, "1-" * 50_000, "Dr " + "A" * 50_000, "9" * 100_000, f"a{P.MARK}b x@y.org {P.MARK}", "Anna " * 5_000, "a@b. x@y.. z@w.de.", "word " * 100_000 + "x@y.org"]
     got = run(spark, texts)
-    assert len({r["text"] for r in got.values()}) == len(texts)
-    assert not {r["text"] for r in got.values()} & set(texts)
+    assert got[0]["kinds"] == got[1]["kinds"] == ["email"] and domain not in got[0]["text"]
+    assert [got[i]["text"] for i in (2, 3, 4, 5)] == texts[2:6]
+    assert re.fullmatch(f"a{P.MARK}b \\S+@\\S+ {P.MARK}", got[6]["text"]) and "x@y" not in got[6]["text"]
+    assert got[7]["text"].count("Anna") == 0 and len(got[7]["kinds"]) == 5_000
+    assert got[8]["kinds"] == ["email"] and got[8]["text"].startswith("a@b. x@y.. ") and got[8]["text"].endswith(".de.")
+    assert got[9]["text"].startswith("word " * 100_000) and got[9]["kinds"] == ["email"]
+
+
+def brute_moved(body, key, tweak, extra_class=None):
+    """The three rounds on a body of characters, one by one."""
+
+    def place(c):
+        for test, chars in ([extra_class] if extra_class else []) + list(P.CLASSES):
+            if regex.fullmatch(test, c):
+                return [chars, chars.index(c) if c in chars else ord(c) % len(chars)]
+        return [None, 0]
+
+    places = [place(c) for c in body]
+    half = len(places) // 2
+    left, right = places[:half], places[half:]
+    for n, (side, other) in enumerate(((right, left), (left, right), (right, left))):
+        draws = hashlib.sha512("|".join([tweak, str(n), ",".join(str(p) for _, p in other)]).encode()).hexdigest()
+        for i, x in enumerate(side):
+            if x[0]:
+                x[1] = (x[1] + int(draws[i * 3 % 124 : i * 3 % 124 + 4], 16)) % len(x[0])
+    return "".join(x[0][x[1]] if x[0] else c for c, x in zip(body, left + right, strict=True))
+
+
+def brute_surrogate(key, kind, norm):
+    if kind == "email":
+        local, domain = norm.rsplit("@", 1)
+        draws = hashlib.sha512(f"{key}|domain|{domain}".encode()).hexdigest()
+        label = "".join("abcdefghijklmnopqrstuvwxyz"[int(draws[i * 3 % 124 : i * 3 % 124 + 4], 16) % 26] for i in range(1, 9))
+        return f"{brute_moved(local, key, f'{key}|email|0|{domain}')}@{label}.example.{domain.split('.')[-1]}"
+    if kind == "card":
+        front = norm[0] + brute_moved(norm[1:-1], key, f"{key}|card|0|{norm[0]}{norm[-1]}")
+        check = next(str(d) for d in range(10) if luhn(front + str(d)))
+        return front + (check if luhn(norm) else str((int(check) + 1 + int(norm[-1]) % 9) % 10))
+    if kind == "iban":
+        body = brute_moved(norm[4:], key, f"{key}|iban|0|{norm[:4]}")
+        number = int("".join(str(int(c, 36)) for c in body + norm[:2] + "00"))
+        return f"{norm[:2]}{98 - number % 97:02d}{body}"
+    head = norm[:4] if norm.startswith("akia") else ""
+    return head + brute_moved(norm[len(head) :], key, f"{key}|{kind}|0|{head}", ("[a-f]", "abcdef") if kind == "secret" and not head else None)
+
+
+def test_matches_brute_force(spark):
+    """Texts are put together from prose and values; surrogates and formats are made again one by one."""
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    make = {
+        "email": lambda: f"{''.join(rng.choices('abcxyzé', k=9))}.{digits(2)}@mail{digits(1)}.example.com",
+        "card": lambda: f"4{digits(15)}",
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "phone": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}",
+        "secret": lambda: "".join(rng.choices("0123456789abcdef", k=40)),
+        "iban": lambda: f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}",
+    }
+    pool = {k: [f() for _ in range(15)] for k, f in make.items()}
+    rows = []
+    for _ in range(60):
+        pieces = []
+        for _ in range(rng.randrange(6)):
+            kind = rng.choice(sorted(pool))
+            pieces += [(None, " of the " + "word " * rng.randrange(4)), (kind, rng.choice(pool[kind]))]
+        rows.append([*pieces, (None, " end.")])
+    got = run(spark, ["".join(x for _, x in r) for r in rows], "some key")
+    norm = lambda kind, v: v.lower() if kind == "email" else "".join(c for c in v.lower() if c.isalnum())
+
+    def replaced(kind, value):
+        new = brute_surrogate("some key", kind, norm(kind, value))
+        if kind == "email":
+            return new
+        chars = iter(new)
+        return "".join((x.upper() if c.isupper() else x) if c.isalnum() and (x := next(chars)) else c for c in value)
+
+    for i, r in enumerate(rows):
+        assert got[i]["kinds"] == [k for k, _ in r if k]
+        assert got[i]["text"] == "".join(replaced(k, x) if k else x for k, x in r)
 
 
 def test_empty_table(spark):
