@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import canonical, guardrails, text
-from corpusmill.functions.canonical import parse_duration, salvage
+from corpusmill.functions.canonical import objects, salvage
 
 
 def column(spark, expression, *values, kinds="string"):
@@ -52,32 +52,61 @@ def test_rendered_durations(spark):
         ("no object", None),
         ("[1, 2]", None),
         (None, None),
+        ('{"question": "Wha', '{"question": "Wha"}'),
+        ('{"intent": "x", "que', '{"intent": "x"}'),
+        ('{"intent": "x", "n": tru', '{"intent": "x"}'),
+        ('{"question": "a \\', '{"question": "a "}'),
+        ('so {not json} then {"a": {"intent": "in"}, "b": [1, {"c": 2}]} end', '{"intent": "in"}'),
+        ('{"a": {"b": 1}, "c": oops, "d": {"question": "q"}}', '{"question": "q"}'),
+        ('[{"question": "x"}]', '{"question": "x"}'),
+        ('{"text": "brace } and { in \\" text", "intent": 1} {', '{"intent": 1, "text": "brace } and { in \\" text"}'),
+        ("{" * 20_000, "{}"),
+        ('{"a":' * 3_000 + "! x", None),
+        ('{"a":' * 200_000, None),
+        ("", None),
     ],
 )
 def test_salvage(answer, expected):
     assert salvage(answer) == expected
 
 
-def test_canonical_values(spark):
-    assert column(spark, canonical.canonical_value, ("5",), ('{"b": 1, "a": 1.0}',), ("plain",), (None,)) == ["5", '{"a": 1.0, "b": 1}', '"plain"', "null"]
-    assert column(spark, canonical.compact_value, ('{"b": 1, "a": [1.0, "é"]}',), (None,)) == ['{"a":[1.0,"é"],"b":1}', None]
+def test_objects_in_one_pass():
+    assert objects('x {"a": 1} {"b": {"c": [{}, 2]}} {"d": "e') == [{"a": 1}, {"b": {"c": [{}, 2]}}, {"c": [{}, 2]}, {}, {"d": "e"}]
+    assert objects('{"a": [1, 2, {"b": 3}') == [{"a": [1, 2, {"b": 3}]}, {"b": 3}]
+    assert objects('{"a" 1} {"a": 1,} {1: 2}') == []
 
 
-@pytest.mark.parametrize(
-    ("raw", "evidence", "message", "expected"),
-    [
-        ("6", "next 6 months", "I want to forecast monthly sales for the next 6 months", (6.0, "month")),
-        ('{"periods": 6.0, "unit": "month"}', "", "", (6.0, "month")),
-        ('{"unit": "Weekly"}', "", "", (1.0, "week")),
-        ("daily", "", "", (1.0, "day")),
-        ("for the next 2.5 hours", "", "", (2.5, "hour")),
-        ("soon", "", "later", None),
-        (None, None, None, None),
-    ],
-)
-def test_durations(raw, evidence, message, expected):
-    found = parse_duration(raw, evidence, message)
-    assert (found and (found["periods"], found["unit"])) == expected
+def test_salvaged_column_is_salvage(spark):
+    answers = ['{"b": 1, "a": "x"}', ' {"a":":x","b":"y,"} ', '```json\n{"b": {"d": 1, "c": null}, "a": true}\n```', '{"a": 1.50}', '{"a": 12345678901234567890}', '{"a": [1,2]}', 'pre {"a": 1} post', '{"a": "q\\"r"}', '{"a": "é漢😀"}', '{"a": 1, "a": 2}', "[]", "5", "", None, "``````", '{"a": -0}', '{"a":"x"}```']
+    assert column(spark, canonical.salvaged, *[(a,) for a in answers]) == [salvage(a) for a in answers]
+
+
+def test_canonical_values(spark):
+    assert column(spark, canonical.canonical_value, ("5",), ('{"b": 1, "a": 1.0}',), ("plain",), (None,)) == ["5", '{"a": 1.0, "b": 1}', '"plain"', "null"]
+    assert column(spark, canonical.compact_value, ('{"b": 1, "a": [1.0, "é"]}',), (None,), ('{"b": 1, "a": [1,2]}',), ("{bad",), ("",)) == ['{"a":[1.0,"é"],"b":1}', None, '{"a":[1,2],"b":1}', None, None]
+    assert column(spark, canonical.canonical_value, ("{bad",), ('{"a":1.10,"b":1e5}',), ('"x"',), ('{"b": "x, y", "a": ":"}',)) == ['"{bad"', '{"a": 1.1, "b": 100000.0}', '"x"', '{"a": ":", "b": "x, y"}']
+
+
+DURATIONS = [
+    ("6", "next 6 months", "I want to forecast monthly sales for the next 6 months", (6.0, "month")),
+    ('{"periods": 6.0, "unit": "month"}', "", "", (6.0, "month")),
+    ('{"unit": "Weekly"}', "", "", (1.0, "week")),
+    ("daily", "", "", (1.0, "day")),
+    ("for the next 2.5 hours", "", "", (2.5, "hour")),
+    ("soon", "", "later", None),
+    (None, None, None, None),
+    ("over the following week", "", "", (1.0, "week")),
+    ("a quarter", "", "", (1.0, "quarter")),
+    ("12", "", "monthly sales", (12.0, "month")),
+    ("6 months please", "", "", None),
+    ('{"periods": null, "unit": "fortnight"}', "", "", (1.0, "fortnight")),
+    ("{6}", "3 days", "", (3.0, "day")),
+]
+
+
+def test_durations(spark):
+    found = column(spark, canonical.durations, *[d[:3] for d in DURATIONS])
+    assert [f["unit"] and (f["periods"], f["unit"]) for f in found] == [d[3] for d in DURATIONS]
 
 
 def test_intents(spark):
