@@ -1,125 +1,154 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is dealt by documents: each segment holds whole documents, numbered
-one position after another with a gap between documents, and for each term its
-sorted positions (its postings). Segments are rows of a written table. A query
-(a window of test words) starts from its rarest term over the whole corpus and
-intersects the other terms' positions, adjusted by their offsets, rarest first,
-until none is left or all agree: an exact phrase. With slop, each term must
-occur within so many positions of its place instead: a proximity match.
-
-The index can hold all terms or those of a stated vocabulary; the queries meet
-every segment in blocks of bounded size.
+The index posts every word of the training texts, once. It is dealt by documents:
+each segment holds whole documents, numbered one position after another with a gap
+between documents, and for each term its sorted positions (its postings). Segments
+are rows of a written table.
+
+A query is a window of test words. Its terms get their numbers of postings over the
+whole corpus by a join, and the windows go, by their rarest term, to the segments
+that post it. There the other terms' positions, adjusted by their offsets, are
+intersected, rarest first, until none is left or all agree: an exact phrase. With
+slop, each term must occur within so many positions of its place instead: a
+proximity match. No list of windows or terms is on the driver or in a closure.
+
+Terms and windows are named by hashes, of 64 and 128 bits.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusmill.llm.common import arrow_map, parts, utf8, written
 
 #: A-Z lower-cased; all ASCII but letters and digits separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Bytes of text of a segment; a longer document is a segment of its own.
-SEGMENT = 1 << 22
-#: Bytes of benchmark text that one pass over the index takes along.
-QUERY_BLOCK = 1 << 22
+SEGMENT = 1 << 21
+#: Windows that one task looks for in one segment at once.
+CHUNK = 1 << 16
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
-def windows_of(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
+def windows_of(words: list[bytes], size: int) -> list[list[bytes]]:
     """Windows of size words; a shorter text, if it has words, is one window."""
-    return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    return [words[i : i + size] for i in range(max(1, len(words) - size + 1))] if words else []
+
+
+def term(word: bytes) -> int:
+    """A word's name in the index."""
+    n = xxhash.xxh64_intdigest(word)
+    return n - 2**64 if n >= 2**63 else n
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+    """The values' first bytes, then their second ones, and so on, compressed."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b"")
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
+    raw, width = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel() if len(raw) else np.zeros(0, kind)
 
 
-SEGMENTS = "rows binary, n_words binary, starts binary, terms binary, sizes binary, postings binary"
+SEGMENTS = "segment long, rows binary, n_words binary, starts binary, terms binary, sizes binary, postings binary"
 
 
-def build_index(docs: DataFrame, text_col: str, vocabulary: list[bytes]) -> DataFrame:
-    """Segments with the postings of the vocabulary's terms (numbered in its order).
+def build_index(docs: DataFrame, text_col: str) -> DataFrame:
+    """Segments with the postings of all words, terms in ascending order.
 
     docs' longs row and row2 together tell the rows apart. Null texts are documents without words.
     """
-    number = {w: i for i, w in enumerate(vocabulary)}
 
-    def segment(part: pa.RecordBatch) -> pa.RecordBatch:
-        get = number.get
-        counts, starts, terms, at, start = [], [], [], [], 0
+    def segment(number: int, part: pa.RecordBatch) -> pa.RecordBatch:
+        words, counts = [], []
         for text in utf8(part.column(2)):
-            words = words_of(text)
-            codes = np.array([get(w, -1) for w in words], np.int32)
-            here = np.flatnonzero(codes >= 0)
-            counts.append(len(words))
-            starts.append(start)
-            terms.append(codes[here])
-            at.append(here + start)
-            start += len(words) + 1
-        codes, positions = np.concatenate(terms), np.concatenate(at).astype(np.int32)
-        by = np.argsort(codes, kind="stable")
-        held, sizes = np.unique(codes, return_counts=True)
-        rows = np.stack([part.column(i).to_numpy() for i in range(2)], axis=1)
-        fields = [rows, np.array(counts, np.int64), np.array(starts, np.int64), held.astype(np.int32), sizes.astype(np.int32), np.diff(positions[by], prepend=np.int32(0))]
-        return pa.RecordBatch.from_arrays([pa.array([_pack(x)], pa.binary()) for x in fields], ["rows", "n_words", "starts", "terms", "sizes", "postings"])
+            own = words_of(text)
+            counts.append(len(own))
+            words += own
+        counts = np.array(counts, np.int64)
+        starts = np.cumsum(counts + 1) - counts - 1
+        found = pa.array(words, pa.binary()).dictionary_encode()
+        names = np.array([term(w) for w in found.dictionary.to_pylist()], np.int64)
+        by_name = np.argsort(names)
+        place = np.empty(len(names), np.int32)
+        place[by_name] = np.arange(len(names), dtype=np.int32)
+        codes = place[found.indices.to_numpy()]
+        # positions count a gap after each document
+        positions = np.arange(len(codes), dtype=np.int32) + np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        order = np.argsort(codes, kind="stable")
+        rows = np.stack([part.column(i).to_numpy() for i in range(2)], axis=1).ravel()
+        fields = [rows, counts, starts, names[by_name], np.bincount(codes, minlength=len(names)).astype(np.int32), np.diff(positions[order], prepend=np.int32(0))]
+        return pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([_pack(x)], pa.binary()) for x in fields]], ["segment", "rows", "n_words", "starts", "terms", "sizes", "postings"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(batch, 2, SEGMENT):
-                yield segment(part)
+        number = TaskContext.get().partitionId() << 36
+        for part in (part for whole in batches for part in parts(whole, 2, SEGMENT)):
+            yield segment(number, part)
+            number += 1
 
     return arrow_map(docs.select("row", "row2", F.col(text_col).alias("text")), run, SEGMENTS)
 
 
-def _postings(terms: bytes, sizes: bytes, postings: bytes) -> dict[int, np.ndarray]:
-    held, sizes_, at = _unpack(terms, np.int32), _unpack(sizes, np.int32), np.cumsum(_unpack(postings, np.int32), dtype=np.int32)
-    ends = np.cumsum(sizes_)
-    return {int(t): at[e - n : e] for t, n, e in zip(held, sizes_, ends, strict=True)}
+def _postings(terms: bytes, sizes: bytes, postings: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, where the positions of each end, and the positions."""
+    return _unpack(terms, np.int64), np.cumsum(_unpack(sizes, np.int32)), np.cumsum(_unpack(postings, np.int32), dtype=np.int32)
 
 
-def term_counts(index: DataFrame) -> DataFrame:
-    """(term int, n long): postings of each term over all segments."""
+def posted(index: DataFrame) -> DataFrame:
+    """(segment, term, n): how often each segment posts each of its terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for terms, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(_unpack(terms, np.int32)), pa.array(_unpack(sizes, np.int32).astype(np.int64))], ["term", "n"])
+            for segment, terms, sizes in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                names = _unpack(terms, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(segment, pa.int64()), len(names)), pa.array(names), pa.array(_unpack(sizes, np.int32).astype(np.int64))], ["segment", "term", "n"])
+
+    return arrow_map(index.select("segment", "terms", "sizes"), run, "segment long, term long, n long")
+
+
+def windows(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
+    """(item, w binary, terms array<long>): each item's windows, named by a 128-bit hash of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
+            at, names, terms = [], [], []
+            for i, text in enumerate(utf8(batch.column(1))):
+                own = words_of(text)
+                numbers = [term(x) for x in own]
+                for k, w in enumerate(windows_of(own, size)):
+                    at.append(i)
+                    names.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                    terms.append(numbers[k : k + size])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.binary()), pa.array(terms, pa.list_(pa.int64()))], ["item", "w", "terms"])
 
-    return arrow_map(index.select("terms", "sizes"), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    kind = benchmark.schema[item_col].dataType.simpleString()
+    return arrow_map(benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")), run, f"item {kind}, w binary, terms array<long>")
 
 
-def match(postings: dict[int, np.ndarray], window: tuple[int, ...], order: np.ndarray, slop: int = 0) -> np.ndarray:
-    """Start positions of a window of term numbers; order: its offsets, rarest term first.
+def match(find, terms: np.ndarray, order: np.ndarray, slop: int = 0) -> np.ndarray:
+    """Start positions of a window of terms; find: a term's positions; order: its offsets, rarest term first.
 
     With slop, positions where the rarest term stands if every other term is within slop positions of its place.
     """
-    first = postings.get(window[order[0]])
-    if first is None:
-        return np.zeros(0, np.int32)
-    starts = first - np.int32(order[0])
+    starts = find(terms[order[0]]) - np.int32(order[0])
     for k in order[1:].astype(np.int32):
         if not starts.size:
             break
-        other = postings.get(window[k])
-        if other is None:
-            return np.zeros(0, np.int32)
+        other = find(terms[k])
+        if not other.size:
+            return other
         near = np.searchsorted(other, starts + (k - np.int32(slop)))
         inside = near < other.size
         near[~inside] = 0
@@ -127,46 +156,45 @@ def match(postings: dict[int, np.ndarray], window: tuple[int, ...], order: np.nd
     return starts
 
 
-def _found_schema(item_type: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(n, item_type if n == "item" else T.LongType()) for n in ("row", "row2", "item", "start", "stop")])
+FOUND = "row long, row2 long, w binary, start long, stop long"
 
 
-def search(index: DataFrame, items: list[tuple], windows: list[tuple[tuple[int, ...], np.ndarray, tuple[int, ...]]], item_type: T.DataType, slop: int = 0) -> DataFrame:
-    """(row long, row2 long, item, start long, stop long): where each item's windows occur.
-
-    windows: (term numbers, offsets rarest first, places in items of the items that have the window).
-    """
+def search(index: DataFrame, candidates: DataFrame, slop: int = 0) -> DataFrame:
+    """candidates (segment, wanted array of (w, terms, ns)) -> (row, row2, w, start, stop): where the windows occur in their segments."""
+    asked = candidates.select(F.col("segment").alias("of"), F.col("wanted.w").alias("w"), F.col("wanted.terms").alias("own"), F.col("wanted.ns").alias("ns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, n_words, begins, terms, sizes, lists in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
-                rows, n_words, begins, postings = _unpack(rows, np.int64).reshape(-1, 2), _unpack(n_words, np.int64), _unpack(begins, np.int64), _postings(terms, sizes, lists)
-                out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for window, order, owners in windows:
-                    for start in match(postings, window, order, slop).tolist():
-                        doc = int(np.searchsorted(begins, start + int(order[0]), "right")) - 1
-                        lo, hi = start - int(begins[doc]), start - int(begins[doc]) + len(window)
+            for i in range(batch.num_rows):
+                rows, n_words, begins, terms, sizes, lists = (batch.column(c)[i].as_py() for c in range(6))
+                keys, n_words, begins = _unpack(rows, np.int64).reshape(-1, 2), _unpack(n_words, np.int64), _unpack(begins, np.int64)
+                names, ends, positions = _postings(terms, sizes, lists)
+
+                def find(x: int) -> np.ndarray:
+                    at = int(np.searchsorted(names, x))  # noqa: B023
+                    if at == len(names) or names[at] != x:  # noqa: B023
+                        return np.zeros(0, np.int32)
+                    return positions[ends[at - 1] if at else 0 : ends[at]]  # noqa: B023
+
+                hits, starts, stops, docs = [], [], [], []
+                for w, own, ns in zip(batch.column(6)[i].as_py(), batch.column(7)[i].as_py(), batch.column(8)[i].as_py(), strict=True):
+                    order = np.argsort(ns, kind="stable")
+                    if len(at := match(find, np.array(own, np.int64), order, slop)):
+                        doc = np.searchsorted(begins, at + order[0], "right") - 1
+                        lo = at - begins[doc]
+                        hi = lo + len(own)
                         if slop:
-                            lo, hi = max(0, lo - slop), min(int(n_words[doc]), hi + slop)
-                        for item in owners:
-                            spans = out.setdefault((doc, item), [])
-                            spans.append((lo, hi))
-                if out:
-                    found = [(*rows[doc].tolist(), items[item], lo, hi) for (doc, item), spans in out.items() for lo, hi in united(spans)]
-                    columns = list(zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "row2", "item", "start", "stop"])
-
-    return index.select("rows", "n_words", "starts", "terms", "sizes", "postings").mapInArrow(run, _found_schema(item_type))
-
+                            lo, hi = np.maximum(0, lo - slop), np.minimum(n_words[doc], hi + slop)
+                        hits += [w] * len(at)
+                        starts.append(lo)
+                        stops.append(hi)
+                        docs.append(doc)
+                if hits:
+                    doc = np.concatenate(docs)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[doc, 0]), pa.array(keys[doc, 1]), pa.array(hits, pa.binary()), pa.array(np.concatenate(starts).astype(np.int64)), pa.array(np.concatenate(stops).astype(np.int64))], ["row", "row2", "w", "start", "stop"])
 
-def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        else:
-            out.append((lo, hi))
-    return out
+    joined = index.join(asked, F.col("segment") == F.col("of"))
+    return arrow_map(joined.select("rows", "n_words", "starts", "terms", "sizes", "postings", "w", "own", "ns"), run, FOUND)
 
 
 def directory(index: DataFrame) -> DataFrame:
@@ -181,62 +209,41 @@ def directory(index: DataFrame) -> DataFrame:
     return arrow_map(index.select("rows", "n_words"), run, "row long, row2 long, n_words long")
 
 
-def query_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple]]:
-    """(item, text) rows, so many bytes of text at a time; a longer text is a block of its own."""
-    block, size = [], 0
-    for item, text in benchmark.select(item_col, text_col).toLocalIterator():
-        raw = (text or "").encode()
-        if block and size + len(raw) > limit:
-            yield block
-            block, size = [], 0
-        block.append((item, raw))
-        size += len(raw)
-    if block:
-        yield block
+def phrase_matches(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 10, slop: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The directory of docs (row, row2, text), and the (row, row2, item, start, stop) spans of words where benchmark windows occur."""
+    index = written(build_index(docs, text_col), "index")
+    asked = written(windows(benchmark, item_col, text_col, window), "windows")
+    distinct = asked.groupBy("w").agg(F.first("terms").alias("terms"))
+    numbered = written(distinct.select("w", F.posexplode("terms").alias("k", "term")), "window-terms")
+    vocabulary = numbered.select(F.col("term").alias("known")).distinct()
+    places = written(posted(index).join(vocabulary, F.col("term") == F.col("known"), "left_semi"), "places")
+    counts = places.groupBy(F.col("term").alias("known")).agg(F.sum("n").alias("n"))
+    # a window with a term that is nowhere posted can't occur
+    ranked = numbered.join(counts, F.col("term") == F.col("known"), "left").groupBy("w").agg(
+        F.count_if(F.col("n").isNull()).alias("lacking"), F.sort_array(F.collect_list(F.struct("k", "term", "n"))).alias("t"), F.min(F.struct("n", "k", "term"))["term"].alias("rarest")
+    )
+    able = written(ranked.where("lacking = 0").select("w", F.col("t.term").alias("terms"), F.col("t.n").alias("ns"), "rarest"), "able")
+    chunks = able.count() // CHUNK + 1
+    candidates = places.join(able, F.col("term") == F.col("rarest")).groupBy("segment", F.pmod(F.xxhash64("w"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("w", "terms", "ns")).alias("wanted"))
+    found = written(search(index, written(candidates, "candidates"), slop), "hits")
+    items = asked.select(F.col("w").alias("of"), "item").distinct()
+    return directory(index), found.join(items, F.col("w") == F.col("of")).select("row", "row2", "item", "start", "stop")
 
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = 10, slop: int = 0, block_bytes: int = QUERY_BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The directory of docs (row, row2, text), and the (row, row2, item, start, stop) spans of words where benchmark windows occur."""
-    kind = benchmark.schema[item_col].dataType
-    spark, found, index = docs.sparkSession, [], None
-    for block in query_blocks(benchmark, item_col, text_col, block_bytes):
-        owners: dict[tuple[bytes, ...], list[int]] = {}
-        for i, (_, raw) in enumerate(block):
-            for w in dict.fromkeys(windows_of(words_of(raw), window)):
-                owners.setdefault(w, []).append(i)
-        vocabulary = sorted({word for w in owners for word in w})
-        number = {w: i for i, w in enumerate(vocabulary)}
-        index = written(build_index(docs, text_col, vocabulary), "index")
-        counts = np.zeros(len(vocabulary), np.int64)
-        for term, n in term_counts(index).toLocalIterator():  # at most the vocabulary of one block
-            counts[term] = n
-        numbered = []
-        for w, items in owners.items():
-            terms = tuple(number[x] for x in w)
-            order = np.argsort(counts[list(terms)], kind="stable")
-            if counts[terms[order[0]]]:
-                numbered.append((terms, order, tuple(items)))
-        if numbered:
-            found.append(search(index, [item for item, _ in block], numbered, kind, slop))
-    if index is None:
-        index = written(build_index(docs, text_col, []), "index")
-    empty = spark.createDataFrame([], _found_schema(kind))
-    return directory(index), reduce(DataFrame.unionByName, found, empty)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", window: int = 10, block_bytes: int = QUERY_BLOCK) -> DataFrame:
-    """One row for each row of docs: (id, n_words, n_hit, n_items, items_sha256, contaminated).
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", window: int = 10) -> DataFrame:
+    """One row for each row of docs: (id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash).
 
     n_hit: words inside any occurrence of a benchmark window; n_items: distinct
-    items with one. Equal rows give equal results, also where ids repeat: rows are
-    joined on a 128-bit digest of id and text, so equal texts are searched once. Null and
-    empty texts have no words; null or empty items, and null item ids, match
-    nothing. Either table may be empty; other columns aren't read. A long text is
-    a segment of its own.
+    items with one; text_hash: xxhash64 of the text, which tells rows that share an
+    id apart. Equal rows give equal results, also where ids repeat: rows are joined
+    on a 128-bit digest of id and text. Null and empty texts have no words; null or
+    empty items, and null item ids, match nothing; items of equal texts are all
+    found. Either table may be empty; other columns aren't read, whatever their
+    names. A long text is a segment of its own.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = source.withColumns({"row": F.xxhash64("id", "text"), "row2": F.xxhash64(F.lit(1), "id", "text")})
-    found_dir, found = phrase_matches(keyed, benchmark.where(F.col(item_col).isNotNull()), item_col, text_col, window, 0, block_bytes)
+    keyed = source.withColumns({"row": F.xxhash64("id", "text"), "row2": F.xxhash64(F.lit(1), "id", "text"), "text_hash": F.xxhash64("text")})
+    found_dir, found = phrase_matches(keyed, benchmark.where(F.col(item_col).isNotNull()), item_col, text_col, window, 0)
     spans = found.groupBy("row", "row2").agg(
         F.array_join(F.array_sort(F.collect_set(F.col("item").cast("string"))), ",").alias("items"),
         F.size(F.collect_set("item")).cast("long").alias("n_items"),
@@ -251,7 +258,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     zero = F.lit(0).cast("long")
     sizes = found_dir.groupBy("row", "row2").agg(F.first("n_words").alias("n_words"))
     return (
-        keyed.select("id", "row", "row2")
+        keyed.select("id", "row", "row2", "text_hash")
         .join(sizes, ["row", "row2"])
         .join(hits, ["row", "row2"], "left")
         .select(
@@ -261,5 +268,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             F.coalesce("n_items", zero).alias("n_items"),
             F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
             (F.coalesce("n_hit", zero) > 0).alias("contaminated"),
+            "text_hash",
         )
     )

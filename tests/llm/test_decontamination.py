@@ -40,11 +40,12 @@ def rows():
     return docs, items
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 20])
-def test_matches_brute_force(spark, monkeypatch, block_bytes):
-    monkeypatch.setattr(D, "SEGMENT", 2000)
+@pytest.mark.parametrize(("segment", "chunk"), [(1 << 21, 1 << 16), (2000, 3)])
+def test_matches_brute_force(spark, monkeypatch, segment, chunk):
+    monkeypatch.setattr(D, "SEGMENT", segment)
+    monkeypatch.setattr(D, "CHUNK", chunk)
     docs, items = rows()
-    got = D.contamination(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS), block_bytes=block_bytes)
+    got = D.contamination(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS)).drop("text_hash")
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items)
 
 
@@ -52,17 +53,29 @@ def test_empty_tables(spark):
     docs, items = rows()
     none, some = spark.createDataFrame([], DOCS), spark.createDataFrame(docs[:3], DOCS)
     assert D.contamination(none, spark.createDataFrame(items, ITEMS)).collect() == []
-    got = D.contamination(some, spark.createDataFrame([], ITEMS)).collect()
+    got = D.contamination(some, spark.createDataFrame([], ITEMS)).drop("text_hash").collect()
     assert sorted(map(tuple, got), key=str) == brute(docs[:3], [])
 
 
 def test_proximity():
     at = lambda *x: np.array(x, np.int32)
     postings = {0: at(3, 40), 1: at(5, 41, 80), 2: at(6, 90)}
-    order = np.array([0, 2, 1])
-    assert D.match(postings, (0, 1, 2), order).tolist() == []
-    assert D.match(postings, (0, 1, 2), order, slop=1).tolist() == [3]
-    assert D.match(postings, (0, 1, 2), order, slop=60).tolist() == [3, 40]
+    order, terms = np.array([0, 2, 1]), np.array([0, 1, 2])
+    assert D.match(postings.get, terms, order).tolist() == []
+    assert D.match(postings.get, terms, order, slop=1).tolist() == [3]
+    assert D.match(postings.get, terms, order, slop=60).tolist() == [3, 40]
+
+
+def test_proximity_over_documents(spark):
+    docs = spark.createDataFrame([(1, "x one two y three z", 1, 1), (2, "three one two", 2, 1), (3, "one a b c d two three", 3, 1)], "doc_id long, text string, row long, row2 long")
+    items = spark.createDataFrame([("one two three", 9, 1)], ITEMS)
+    found = lambda slop: sorted({r["row"] for r in D.phrase_matches(docs, items, slop=slop)[1].collect()})
+    assert found(0) == [] and found(1) == [1] and found(9) == [1, 2, 3]
+
+
+def test_packed_numbers():
+    for x in (np.arange(-5, 300_000, dtype=np.int64), np.zeros(0, np.int32), np.array([7, -1], np.int32)):
+        assert np.array_equal(D._unpack(D._pack(x), x.dtype.type), x)
 
 
 def test_phrases_do_not_cross_documents(spark):
