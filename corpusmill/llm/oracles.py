@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpusmill.llm import urls
 
 #: A union of repeated spans of 10 words or more is the union of 10-word windows seen twice in the text;
-#: a repeat over 150 words is a 151-word window seen twice.
+#: a repeat over 50 words is a 51-word window seen twice.
 OP9 = r"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 w as (select r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d),
@@ -13,11 +13,11 @@ t as (select r, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as
 win as (
   select r, n, i, case when i + 4 <= n then list(word) over (partition by r order by i rows between current row and 4 following) end as w5,
     case when i + 9 <= n then list(word) over (partition by r order by i rows between current row and 9 following) end as w10,
-    case when i + 150 <= n then md5(string_agg(word, ' ') over (partition by r order by i rows between current row and 150 following)) end as w151
+    case when i + 50 <= n then md5(string_agg(word, ' ') over (partition by r order by i rows between current row and 50 following)) end as w51
   from t),
 rep as (
   select r, i, w5 is not null and count(*) over (partition by r, w5) > 1 as r5, w10 is not null and count(*) over (partition by r, w10) > 1 as r10,
-    w151 is not null and count(*) over (partition by r, w151) > 1 as r151
+    w51 is not null and count(*) over (partition by r, w51) > 1 as r151
   from win),
 cov as (
   select r, bool_or(r5) over (partition by r order by i rows between 4 preceding and current row) as c5,
@@ -28,7 +28,7 @@ l as (select r, count(*) - count(distinct line) as n_dup_lines from (select r, u
 select doc_id, len(ws)::bigint as n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
   len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
   len(ws) < 10 or 100 * coalesce(n_repeat_words, 0) > 20 * len(ws) as base_failed,
-  not (len(ws) < 10 or 100 * coalesce(n_repeat_words, 0) > 20 * len(ws)) and not coalesce(100 * n_covered > 30 * len(ws) or too_long, false) as kept
+  not (len(ws) < 10 or 100 * coalesce(n_repeat_words, 0) > 20 * len(ws)) and not coalesce(100 * n_covered > 10 * len(ws) or too_long, false) as kept
 from w left join s using (r) left join l using (r)
 """
 

@@ -5,8 +5,8 @@ for many documents at once (a document's symbols are its own, so suffixes of
 different documents never share a prefix). Adjacent suffixes with a common
 prefix give the longest-common-prefix intervals, hence the maximal repeated
 substrings; their spans are united, and the covered fraction and the longest
-repeat are limited. Texts without spaces between words (over
-``UNSPACED`` code points a word) are treated by code point.
+repeat are limited. Prefixes are told apart as far as the limits ask, so memory
+is a few numbers a word, whatever repeats.
 """
 
 from __future__ import annotations
@@ -23,32 +23,30 @@ from pyspark.sql import types as T
 from corpusmill.llm.common import WHITESPACE, arrow_map, parts, utf8
 
 SYMBOLS = b"#*$%&|<>"
-UNSPACED = 32
 
 
 @dataclass(frozen=True)
 class Limits:
     """min_words: fewer fail. window, max_window_percent: words in windows seen twice.
 
-    min_repeat, max_covered, max_longest: maximal repeats of at least so many
-    words, the share of words they may cover, and the longest one allowed. For
-    unspaced texts the lengths are multiplied by unspaced_factor code points.
+    min_repeat, max_covered_percent, max_longest: maximal repeats of at least so
+    many words, the share of words they may cover, and the longest one allowed.
     """
 
     min_words: int = 10
     window: int = 5
     max_window_percent: int = 20
     min_repeat: int = 10
-    max_covered_percent: int = 30
-    max_longest: int = 150
-    unspaced_factor: int = 5
+    max_covered_percent: int = 10
+    max_longest: int = 50
 
 
-def repeat_lengths(symbols: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+def repeat_lengths(symbols: np.ndarray, doc: np.ndarray, least: int, most: int) -> np.ndarray:
     """For each position, the longest prefix of its suffix found elsewhere in its document.
 
     symbols: small non-negative codes; doc: the document of each position, non-decreasing.
-    Repeats shorter than ``least`` may be given as 0.
+    Repeats shorter than ``least`` may be given as 0, longer ones than ``most`` are
+    given as that: their suffixes have a repeat a word shorter, so spans unite alike.
     """
     n = len(symbols)
     longest = np.zeros(n, np.int64)
@@ -64,7 +62,7 @@ def repeat_lengths(symbols: np.ndarray, doc: np.ndarray, least: int) -> np.ndarr
     levels, h = [rank], 1
     alone = fresh & np.r_[fresh[1:], True]
     active = np.flatnonzero(~alone)
-    while active.size:
+    while active.size and h < most:
         here = order[active]
         after = here + h
         inside = after < n
@@ -91,6 +89,7 @@ def repeat_lengths(symbols: np.ndarray, doc: np.ndarray, least: int) -> np.ndarr
         ok = (x < n) & (y < n)
         x[~ok], y[~ok] = 0, 0
         common += (ok & (levels[k][x] == levels[k][y])).astype(np.int64) << k
+    common = np.minimum(common, most)
     longest[a] = common
     longest[b] = np.maximum(longest[b], common)
     return longest
@@ -111,14 +110,14 @@ def _per_doc(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, how=np.a
     return out
 
 
-def _repeats(units: list[np.ndarray], window: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per document: units in repeated windows, units covered by repeats, longest repeat."""
+def _repeats(units: list[np.ndarray], window: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: units in repeated windows, units covered by repeats, longest repeat (up to most)."""
     sizes = np.array([len(u) for u in units], np.int64)
     starts = np.cumsum(sizes) - sizes
     flat = np.concatenate(units) if units else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(units)), sizes)
     symbols = np.unique(flat, return_inverse=True)[1].astype(np.int64)
-    longest = repeat_lengths(symbols, doc, min(window, least))
+    longest = repeat_lengths(symbols, doc, min(window, least), max(window, least, most))
     return (
         _per_doc(covered(longest, window, window), starts, sizes),
         _per_doc(covered(longest, least), starts, sizes),
@@ -139,17 +138,9 @@ def _measure(texts: list[bytes | None], limits: Limits) -> dict[str, np.ndarray]
             lines = [x for x in t.split(b"\n") if x.strip()]
             dup_lines[i] = len(lines) - len(set(lines))
     units = [np.fromiter(map(hash, w), np.int64, len(w)) for w in words]
-    in_windows, spans, longest = _repeats(units, limits.window, limits.min_repeat)
-    total = n_words.copy()
-    scale = np.ones(len(texts), np.int64)
-    if (unspaced := np.flatnonzero(chars > UNSPACED * n_words)).size:
-        points = [np.frombuffer(solid[i].decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64) for i in unspaced]
-        least = limits.min_repeat * limits.unspaced_factor
-        _, spans[unspaced], longest[unspaced] = _repeats(points, least, least)
-        total[unspaced] = [len(p) for p in points]
-        scale[unspaced] = limits.unspaced_factor
+    in_windows, spans, longest = _repeats(units, limits.window, limits.min_repeat, limits.max_longest + 1)
     base = (n_words < limits.min_words) | (100 * in_windows > limits.max_window_percent * n_words)
-    repeats = (100 * spans > limits.max_covered_percent * total) | (longest > limits.max_longest * scale)
+    repeats = (100 * spans > limits.max_covered_percent * n_words) | (longest > limits.max_longest)
     return {
         "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": in_windows,
         "n_covered": spans, "longest_repeat": longest, "base_failed": base, "kept": ~base & ~repeats,
@@ -164,7 +155,8 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows are judged alone, so repeated rows, ties and ids that repeat or are null
     need no care: each row gets its own result. A null or empty text has no words
-    and fails. An empty table gives an empty result. Other columns aren't read,
+    and fails; shares and lengths that just reach a limit are kept. longest_repeat
+    is told up to a word beyond its limit. An empty table gives an empty result. Other columns aren't read,
     whatever their names. A long text is taken alone; memory is bounded by the
     longest text, never by a group.
     """
