@@ -40,28 +40,35 @@ def shape(segment):
     return next((name for pattern, name in U.FORMS if re.search(pattern, segment)), segment)
 
 
-def brute_tree(leaves):
-    """{(host, t): template} of {(host, t): (labelled, bad)}, level by level."""
-    out = dict.fromkeys(leaves, "")
-    for level in range(U.DEPTH + 1):
-        nodes = defaultdict(lambda: defaultdict(lambda: [0, 0]))
-        for (host, t), (lab, bad) in leaves.items():
-            if level < len(t):
-                node = nodes[host, out[host, t]][t[level]]
-                node[0] += lab
-                node[1] += bad
-        for host, t in leaves:
-            if level < len(t):
-                node = nodes[host, out[host, t]]
-                lab, bad = node[t[level]]
-                a, b = bad, lab - bad
-                c = sum(x[1] for x in node.values()) - bad
-                d = sum(x[0] for x in node.values()) - lab - c
-                apart = a + b >= U.SUPPORT and c + d >= U.SUPPORT and (a + b + c + d) * (a * d - b * c) ** 2 > U.CHI2 * (a + b) * (c + d) * (a + c) * (b + d)
-                leaves_branch = t[level] if len(node) == 1 or apart else "*"
-                out[host, t] += "/" + leaves_branch
-        # templates of a level are used on the next
-    return out
+def share(pages, above):
+    return (sum(bad for _, bad in pages) + U.PRIOR * above) / (sum(lab for lab, _ in pages) + U.PRIOR)
+
+
+def brute_tree(leaves, above):
+    """{t: (template, share)} of {t: (labelled, bad)} below a node, branch by branch."""
+
+    def grow(some, template, own, level):
+        out = {t: (template, own) for t in some if len(t) == level}
+        below = {t: x for t, x in some.items() if len(t) > level}
+        names = {t[level] for t in below}
+        kinds = defaultdict(list)
+        for name in names:
+            mine = [x for t, x in below.items() if t[level] == name]
+            lab, bad = sum(x[0] for x in mine), sum(x[1] for x in mine)
+            a, b = bad, lab - bad
+            c = sum(x[1] for x in below.values()) - bad
+            d = sum(x[0] for x in below.values()) - lab - c
+            apart = c + d >= U.SUPPORT and (a + b + c + d) * (a * d - b * c) ** 2 > U.CHI2 * (a + b) * (c + d) * (a + c) * (b + d)
+            kinds["**" if lab < U.SUPPORT else name if len(names) == 1 or apart else "*"].append(name)
+        for kind, held in kinds.items():
+            inside = {t: x for t, x in below.items() if t[level] in held}
+            if kind == "**":
+                out |= {t: (f"{template}/**", own) for t in inside}
+            else:
+                out |= grow(inside, f"{template}/{kind}", share(inside.values(), own), level + 1)
+        return out
+
+    return grow(leaves, "", share(leaves.values(), above), 0)
 
 
 def test_tree_matches_brute_force(spark):
@@ -69,38 +76,31 @@ def test_tree_matches_brute_force(spark):
     rows = []
     for i in range(1500):
         host = rng.choice(["hot.net"] * 3 + ["b.net", "c.net"])
-        section = rng.choice(["news", "spam", "blog", "deep/a/b/c/d/e", ""])
-        bad = None if rng.random() < 0.3 else rng.random() < (0.95 if section == "spam" else 0.1)
+        section = rng.choice(["news", "spam", "blog", "deep/a/b/c/d/e", "deep/a/b/c/d/spam", "", f"rare-{i % 40}x"])
+        bad = None if rng.random() < 0.3 else rng.random() < (0.95 if section.endswith("spam") else 0.1)
         rows.append((f"http://{host}/{section}/{rng.choice(['x', 'y', str(i), f'{i}.html'])}", i, bad, "", []))
-    rows += [(rows[0][0], None, True, "", []), rows[1], rows[1]]
+    rows += [(rows[0][0], None, True, "", []), rows[1], rows[1], ("http://long.net/" + "a/" * 5_000, 5000, True, "", [])]
     got = U.judge_urls(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert len(got) == len(rows)
-    leaves, of = defaultdict(lambda: [0, 0]), {}
+    leaves, of = defaultdict(lambda: defaultdict(lambda: [0, 0])), {}
     for url, _, bad, *_ in rows:
         host, path = url[7:].split("/", 1)
-        t = path.split("/")
-        t = tuple(map(shape, t[: U.DEPTH])) + (("**",) if len(t) > U.DEPTH else ())
+        t = tuple(map(shape, path.split("/")))
         of[url] = host, t
-        leaves[host, t][0] += bad is not None
-        leaves[host, t][1] += bool(bad)
-    tree = brute_tree(leaves)
-    shares = defaultdict(lambda: [0, 0])
-    for key, (lab, bad) in leaves.items():
-        shares[key[0], tree[key]][0] += lab
-        shares[key[0], tree[key]][1] += bad
-    rate = sum(x[1] for x in leaves.values()) / sum(x[0] for x in leaves.values())
-    expected = {}
-    for url in of:
-        host, template = of[url][0], tree[of[url]]
-        lab, bad = shares[host, template]
-        share = (bad + U.PRIOR * rate) / (lab + U.PRIOR)
-        expected[url] = (template, "block" if share >= U.REJECT else "allow")
-    urls = {(r[1], r[2]): r[0] for r in rows}
+        leaves[host][t][0] += bad is not None
+        leaves[host][t][1] += bool(bad)
+    every = [x for own in leaves.values() for x in own.values()]
+    rate = sum(x[1] for x in every) / sum(x[0] for x in every)
+    trees = {host: brute_tree(own, rate) for host, own in leaves.items()}
+    urls = {r[1]: r[0] for r in rows}
     for r in got:
-        url = next(u for (i, _), u in urls.items() if i == r["page_id"])
-        assert (r["template"], r["verdict"]) == expected[url]
-    assert {"allow", "block"} == {r["verdict"] for r in got}
-    assert {r["template"].split("/")[1] for r in got if r["verdict"] == "block"} == {"spam"}
+        host, t = of[urls[r["page_id"]]]
+        template, value = trees[host][t]
+        assert (r["template"], r["verdict"]) == (template, "block" if value >= U.REJECT else "allow")
+        assert r["bad_share"] == pytest.approx(value)
+    blocked = {r["template"] for r in got if r["verdict"] == "block"}
+    assert any(x.startswith("/spam") for x in blocked) and any(x.startswith("/deep/a/b/c/d/spam") for x in blocked)
+    assert all("spam" in x for x in blocked) and {r["template"] for r in got} > blocked
 
 
 @pytest.mark.parametrize("rows", [[], [("http://a.net/x", 1, None, "", [])]])
