@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.canonical import durations
 from corpusmill.functions.text import spaced, strings
 
-#: Replies and words that decide without a model.
+#: Replies, words and patterns that decide without a model.
 YES = ("yes", "yeah", "yep", "y", "haan", "han", "jee", "ji", "bilkul")
 NO = ("no", "nope", "n", "nahi", "nahin", "na", "do not", "dont", "not forecasting")
 NON_ANSWERS = ("", "idk", "i dont know", "i don t know", "i do not know", "not sure", "skip", "unknown")
@@ -19,6 +20,7 @@ LOW_INFORMATION = {
     "business_goal": ("business", "forecasting", "planning", "unknown"),
     "success_criteria": ("accuracy", "accurate", "good", "unknown"),
 }
+#: Patterns over messages without case and punctuation. Fixed values.
 REFUSAL = r"\b(?:do not|dont|don t|not) (?:want )?(?:a )?forecast\b"
 REQUEST = r"\b(?:forecast|forecasting|predict|prediction)\b"
 INSTRUCTION = r"\b(?:ignore|instruction|prompt|system|assistant)\b"
@@ -85,11 +87,79 @@ def grounded_updates(updates: Column, message: Column) -> Column:
     return F.filter(repaired, lambda u, i: F.array_position(keys, F.struct(u["slot_id"], u["candidate_value"])) == i + 1)
 
 
+#: Words for true and false, beside those of replies.
+_TRUE, _FALSE = ("true", "1"), ("false", "0")
+
+
+def normalized_value(value: Column, value_type: Column, allowed: Column | None = None) -> Column:
+    """A said value as its type's JSON text, or null if it isn't one of the type.
+
+    Booleans by the words of replies; dates and times that can be read; durations
+    that name a unit; time zones as UTC, an offset or Area/City; of enumerations the
+    allowed values, without case; other text trimmed.
+    """
+    own, plain = F.trim(value), spaced(value)
+    span = durations(own, F.lit(""), F.lit(""))
+    amount = F.when(span["periods"] == F.floor(span["periods"]), F.floor(span["periods"]).cast("string")).otherwise(span["periods"].cast("string"))
+    quote = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
+    zone = own.rlike(r"^(?:UTC|GMT|Z|(?:UTC|GMT)?[+-]\d{1,2}(?::?\d{2})?|[A-Z][A-Za-z_]+(?:/[A-Z][A-Za-z_+-]+){1,2})$")
+    listed = F.lit(True) if allowed is None else F.coalesce(F.array_contains(allowed, F.lower(own)), F.lit(False))
+    return (
+        F.when(own == "", None)
+        .when(value_type == "boolean", F.when(plain.isin(*YES, *_TRUE), "true").when(plain.isin(*NO, *_FALSE), "false"))
+        .when(value_type == "datetime", F.when(F.try_to_timestamp(own).isNotNull(), quote(own)))
+        .when(value_type == "duration", F.when(span["unit"].isNotNull(), F.concat(F.lit('{"periods": '), amount, F.lit(', "unit": '), quote(span["unit"]), F.lit("}"))))
+        .when(value_type == "timezone", F.when(zone, quote(own)))
+        .when(value_type == "enum", F.when(listed, quote(F.lower(own))))
+        .otherwise(quote(own))
+    )
+
+
+def recovered_answer(message: Column, slot_id: Column, intent: Column, value_type: Column, updates: Column, allowed: Column | None = None) -> Column:
+    """Updates after a short answer to the selected slot's question, or null where it isn't one.
+
+    Updates are structs of slot_id, candidate_value, status, confidence and
+    evidence_text. The answer is normalised and must be of its type; the slot must
+    have no update yet. Only an update of the intent stays beside it.
+    """
+    value = normalized_value(short_slot_answer(message, slot_id, intent, value_type, allowed), value_type, allowed)
+    taken = F.exists(updates, lambda u: u["slot_id"] == slot_id)
+    own = F.struct(slot_id.alias("slot_id"), value.alias("candidate_value"), F.lit("provided").alias("status"), F.lit(1.0).alias("confidence"), F.trim(message).alias("evidence_text"))
+    return F.when(value.isNotNull() & ~F.coalesce(taken, F.lit(False)), F.concat(F.filter(updates, lambda u: u["slot_id"] == "intent"), F.array(own)))
+
+
 def routed(*rules: Column) -> Column:
     """The first rule that answers; put costly ones last, on rows filtered before."""
     return F.coalesce(*rules)
 
 
+UPDATES = "array<struct<slot_id:string,candidate_value:string,status:string,confidence:double,evidence_text:string>>"
+
+
+def routed_extraction(turns: DataFrame, model, allowed: Column | None = None) -> DataFrame:
+    """turns (.., message, selected_slot, value_type, intent) -> with intent, updates and route.
+
+    First the rules: a reply to the intent question, then a short answer. Only turns
+    that neither takes reach the model: model(DataFrame) -> the turns with intent and
+    updates. What it says is grounded and kept if it informs, and a short answer
+    to the slot asked for recovers what the model missed.
+    """
+    message, slot, kind = F.col("message"), F.col("selected_slot"), F.col("value_type")
+    none = F.array().cast(UPDATES)
+    said = recovered_intent(message, slot)
+    told = F.array(F.struct(F.lit("intent").alias("slot_id"), F.concat(F.lit('"'), said, F.lit('"')).alias("candidate_value"), F.lit("provided").alias("status"), F.lit(1.0).alias("confidence"), F.trim(message).alias("evidence_text")))
+    ruled = turns.withColumns({"said": said, "short": recovered_answer(message, slot, F.col("intent"), kind, none, allowed)})
+    by_rule = ruled.where("said is not null or short is not null")
+    ruled_out = by_rule.withColumns({"updates": F.when(F.col("said").isNotNull(), told).otherwise(F.col("short")), "route": F.when(F.col("said").isNotNull(), "intent").otherwise("short answer"), "intent": F.coalesce("said", "intent")})
+    asked = model(ruled.where("said is null and short is null").drop("said", "short"))
+    cleaned = kept_updates(grounded_updates(F.col("updates"), message))
+    again = recovered_answer(message, slot, F.col("intent"), kind, F.col("clean"), allowed)
+    recovered = asked.withColumn("clean", F.coalesce(cleaned, none)).withColumn("again", again)
+    modelled = recovered.withColumns({"updates": F.coalesce("again", "clean"), "route": F.when(F.col("again").isNotNull(), "recovered").otherwise("model")})
+    columns = [*turns.columns, "updates", "route"]
+    return ruled_out.select(columns).unionByName(modelled.select(columns))
+
+
 def without_repeat(question: Column, previous: Column, replacement: Column) -> Column:
     """A question that repeats the previous one is replaced."""
     same = (F.trim(question) != "") & (F.trim(question) == F.trim(previous))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that carry no content in a question. Fixed values.
 STOPWORDS = ("a", "about", "and", "are", "be", "each", "for", "how", "in", "is", "of", "or", "the", "to", "what", "when", "which", "will")
@@ -142,3 +144,21 @@ def safe_label(text: Column) -> Column:
 def redacted_error(kind: Column, status: Column, code: Column) -> Column:
     """Only the type, status and code of an error, never its message."""
     return F.concat_ws(" ", kind, F.concat(F.lit("status="), status.cast("string")), F.concat(F.lit("code="), code))
+
+
+def stamped_name(label: Column, at: Column, suffix: str) -> Column:
+    """A file name of a label and a time: label-20260131-235959.json."""
+    return F.concat(safe_label(label), F.lit("-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit(suffix))
+
+
+def token_lengths(make: Callable[[], Callable[[str], Sequence]]) -> Callable[[Column], Column]:
+    """A column function for the numbers of tokens by an injected tokenizer; make builds it once in each worker. Null has none."""
+    made: list = []
+
+    @F.pandas_udf(T.LongType())
+    def lengths(texts: pd.Series) -> pd.Series:
+        if not made:
+            made.append(make())
+        return texts.map(lambda t: 0 if t is None else len(made[0](t)), na_action=None).astype("int64")
+
+    return lengths

@@ -19,10 +19,11 @@ def long_metrics(wide: DataFrame, ids: Sequence[str] = ()) -> DataFrame:
     return wide.unpivot(list(ids), [F.col(c).cast("double").alias(c) for c in names], "metric", "value")
 
 
-def compared(left: DataFrame, right: DataFrame, left_name: str, right_name: str, lower: Sequence[str] = LOWER, metrics: Sequence[str] | None = None) -> DataFrame:
+def compared(left: DataFrame, right: DataFrame, left_name: str, right_name: str, lower: Sequence[str] = LOWER, metrics: Sequence[str] | None = None, higher: Sequence[str] = HIGHER) -> DataFrame:
     """(metric, left_value, right_value, delta, winner) of two long metric tables.
 
-    winner: tie, the better side's name, or unavailable where a value is missing.
+    winner: tie, the better side's name, or unavailable where a value is missing, or
+    values differ and the metric is neither one of which more is better nor one of which less is.
     Without metrics, those of either side.
     """
     a = left.select("metric", F.col("value").alias("left_value"))
@@ -32,8 +33,9 @@ def compared(left: DataFrame, right: DataFrame, left_name: str, right_name: str,
         wanted = left.sparkSession.createDataFrame([(m,) for m in metrics], "metric string")
         both = wanted.join(both, "metric", "left")
     x, y = F.col("left_value"), F.col("right_value")
-    more = F.when(F.col("metric").isin(*lower), x < y).otherwise(x > y)
-    winner = F.when(x.isNull() | y.isNull(), "unavailable").when(x == y, "tie").when(more, left_name).otherwise(right_name)
+    less, more = F.col("metric").isin(*lower), F.col("metric").isin(*higher)
+    better = F.when(less, x < y).when(more, x > y)
+    winner = F.when(x.isNull() | y.isNull(), "unavailable").when(x == y, "tie").when(better.isNull(), "unavailable").when(better, left_name).otherwise(right_name)
     return both.select("metric", "left_value", "right_value", F.bround(x - y, 4).alias("delta"), winner.alias("winner"))
 
 
@@ -51,14 +53,24 @@ def completed(reports: Sequence[DataFrame], key: str = "case_id") -> DataFrame:
     return out
 
 
+def placed(df: DataFrame, order: str) -> DataFrame:
+    """df with _at, each row's place in the order from 0 on.
+
+    Rows are sorted by ranges and kept so; only the ranges' sizes meet in one task.
+    """
+    ranges = df.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}).persist()
+    sizes = ranges.groupBy("_part").agg(F.count("*").alias("n"))
+    before = sizes.select(F.col("_part").alias("_of"), F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranges.join(before, F.col("_part") == F.col("_of")).select(*df.columns, (F.col("_before") + F.col("_in")).alias("_at"))
+
+
 def sampled(df: DataFrame, order: str, offset: int = 0, limit: int | None = None, indices: Sequence[int] | None = None) -> DataFrame:
     """Rows by their place in order: the given indices if any, else from offset on; then at most limit of them."""
     if indices is None:
-        out = df.orderBy(order).offset(offset)
-        return out if limit is None else out.limit(limit)
-    top = max(indices, default=-1) + 1
-    placed = df.orderBy(order).limit(top).withColumn("_at", F.row_number().over(W.orderBy(order)) - 1).where(F.col("_at").isin(*indices)).drop("_at")
-    return placed if limit is None else placed.orderBy(order).limit(limit)
+        last = F.lit(True) if limit is None else F.col("_at") < offset + limit
+        return placed(df, order).where((F.col("_at") >= offset) & last).drop("_at")
+    found = placed(df, order).where(F.col("_at").isin(*indices)).drop("_at")
+    return found if limit is None else found.orderBy(order).limit(limit)
 
 
 def successor(df: DataFrame, index: str, n: int, columns: Sequence[str]) -> DataFrame:
@@ -79,6 +91,12 @@ def positive_counts(updates: DataFrame, slots: DataFrame, slot: str = "slot_id")
     return slots.select(slot).distinct().join(n, slot, "left").select(slot, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def underrepresented(counts: DataFrame, required: DataFrame, least: int = 100, slot: str = "slot_id") -> DataFrame:
+    """(slot, n) of the required slots with fewer than least positive examples; one without a count has 0."""
+    both = required.select(slot).distinct().join(counts, slot, "left").select(slot, F.coalesce("n", F.lit(0)).alias("n"))
+    return both.where(F.col("n") < least)
+
+
 def length_profile(df: DataFrame, length: Column, limit: int, by: str = "split") -> DataFrame:
     """Shortest, longest, total and number over the limit, for each split."""
     return df.groupBy(by).agg(F.count("*").alias("n"), F.min(length).alias("shortest"), F.max(length).alias("longest"), F.sum(length).alias("total"), F.count_if(length > limit).alias("over_limit"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -87,3 +87,9 @@ def trace_metrics(turns: DataFrame) -> DataFrame:
     some = turns.select(F.size(calls).alias("calls"), F.size(F.filter(calls, lambda t: F.coalesce(t["parsed"], F.lit(False)))).alias("parsed"), F.coalesce(fixed, F.lit(False)).alias("fixed"))
     n = F.coalesce(F.sum(F.greatest("calls", F.lit(0))), F.lit(0))
     return some.agg(F.bround(F.try_divide(F.sum(F.greatest("parsed", F.lit(0))).cast("double"), n), 4).alias("structured_output_validity_rate"), n.alias("structured_model_calls"), _share(F.count_if("fixed"), F.count("*")).alias("deterministic_turn_rate"))
+
+
+def stated_slots(states: Column) -> Column:
+    """{slot: value} of a final state's slots (structs slot_id, value, status) that have a value and were mentioned."""
+    kept = F.filter(states, lambda x: x["value"].isNotNull() & (F.coalesce(x["status"], F.lit("")) != "unmentioned"))
+    return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["slot_id"], x["value"])))

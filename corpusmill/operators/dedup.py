@@ -49,36 +49,32 @@ def crossing_keys(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct(split).alias("n_splits"), F.count("*").alias("n")).where("n_splits > 1")
 
 
-#: Phrases without a whole word inside that meet all texts at once.
-PHRASE_BLOCK = 1000
-
-
 def containing(texts: DataFrame, phrases: DataFrame, key: str, text: str, item: str, phrase: str) -> DataFrame:
     """(key, item) pairs where a phrase stands in a text.
 
     A word of a phrase that isn't its first or last stands whole in any text with the
-    phrase, so the longest one joins phrases to the words of texts; only those
-    pairs are compared. Phrases without such a word meet the texts in blocks.
+    phrase, so the longest one is its anchor; a phrase without such a word has its
+    first three characters (or all of fewer) as one. Anchors join the words, and the
+    runs of three characters, of texts to phrases, ids only; then the pairs that
+    share one fetch their texts and are compared. An empty phrase is in every text.
     """
     words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    inside = F.slice(words(F.col(phrase)), 2, F.greatest(F.lit(0), F.size(words(F.col(phrase))) - 2))
+    inside = F.slice(words(F.col("_phrase")), 2, F.greatest(F.lit(0), F.size(words(F.col("_phrase"))) - 2))
     anchor = F.aggregate(inside, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    own = phrases.where(F.col(phrase).isNotNull()).select(F.col(item), F.col(phrase).alias("_phrase"), anchor.alias("_anchor"))
-    met = texts.select(F.col(key), F.col(text).alias("_text"), F.explode(F.array_distinct(words(F.col(text)))).alias("_word"))
-    found = met.join(own.where("_anchor <> ''"), F.col("_word") == F.col("_anchor")).where(F.contains("_text", "_phrase")).select(key, item)
-    block = []
-    for row in own.where("_anchor = ''").select(item, "_phrase").toLocalIterator():
-        block.append(row)
-        if len(block) == PHRASE_BLOCK:
-            found, block = found.unionByName(_containing_block(texts, block, own, key, text, item)), []
-    return found.unionByName(_containing_block(texts, block, own, key, text, item)) if block else found
-
-
-def _containing_block(texts: DataFrame, block: list, own: DataFrame, key: str, text: str, item: str) -> DataFrame:
-    kind = own.schema[item].dataType
-    pairs = F.array(*[F.struct(F.lit(i).cast(kind).alias("i"), F.lit(p).alias("p")) for i, p in block])
-    hits = F.filter(pairs, lambda x: F.contains(F.col(text), x["p"]))
-    return texts.select(F.col(key), F.explode(hits).alias("h")).select(key, F.col("h.i").alias(item))
+    own = phrases.where(F.col(phrase).isNotNull()).select(F.col(item).alias("_item"), F.col(phrase).alias("_phrase")).withColumn("_word", anchor)
+    named = own.select("_item", "_phrase", F.when(F.col("_word") != "", F.concat(F.lit("w"), "_word")).otherwise(F.concat(F.lit("c"), F.substring("_phrase", 1, 3))).alias("_anchor"))
+    some = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    by_word = some.select("_key", F.explode(F.array_distinct(words(F.col("_text")))).alias("_w")).select("_key", F.concat(F.lit("w"), "_w").alias("_has"))
+    chars = F.split("_text", "")
+    run = lambda n: F.transform(chars, lambda c, i: F.concat(F.lit("c"), F.array_join(F.slice(chars, i + 1, F.lit(n)), "")))
+    lengths = named.where(F.startswith("_anchor", F.lit("c"))).select((F.length("_anchor") - 1).alias("n")).distinct()
+    needed = sorted(r["n"] for r in lengths.collect())  # at most 0 to 3
+    pairs = by_word.join(named, F.col("_has") == F.col("_anchor")).select("_key", "_item", "_phrase")
+    for n in needed:
+        has = some.select("_key", F.explode(F.array_distinct(run(n)) if n else F.array(F.lit("c"))).alias("_has"))
+        pairs = pairs.unionByName(has.join(named, F.col("_has") == F.col("_anchor")).select("_key", "_item", "_phrase"))
+    met = pairs.distinct().withColumnRenamed("_key", "_of").join(some, F.col("_of") == F.col("_key")).where(F.contains("_text", "_phrase"))
+    return met.select(F.col("_key").alias(key), F.col("_item").alias(item))
 
 
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:

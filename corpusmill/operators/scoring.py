@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import f1_of, rate, round4
@@ -103,6 +104,21 @@ def extraction_checks(expected: Column, predicted: Column, forbidden: Column) ->
 
 
 def latency_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Mean, interpolated median and nearest-rank 95th percentile, overall and by group."""
-    p95 = F.expr(f"percentile_disc(0.95) within group (order by {value})")
-    return df.groupingSets([by, []], *by).agg(F.count(value).alias("n"), F.bround(F.avg(value), 1).alias("mean"), F.bround(F.median(value), 1).alias("p50"), F.bround(p95, 1).alias("p95"))
+    """Mean, interpolated median and nearest-rank 95th percentile, overall and by group.
+
+    Values are counted first, so what is sorted are a group's distinct values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    every = counts.groupBy(*[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in by], "v").agg(F.sum("c").alias("c")).withColumn("_all", F.lit(1))
+    both = counts.withColumn("_all", F.lit(0)).unionByName(every)
+    group = W.partitionBy("_all", *by)
+    upto = both.withColumns({"hi": F.sum("c").over(group.orderBy("v")), "n": F.sum("c").over(group)}).withColumn("lo", F.col("hi") - F.col("c"))
+    at = lambda place: F.max(F.when((F.col("lo") <= place) & (place < F.col("hi")), F.col("v")))
+    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
+    mean, median = F.sum(F.col("v") * F.col("c")) / F.sum("c"), (at(low) + at(high)) / 2
+    out = upto.groupBy("_all", *by).agg(F.sum("c").alias("n"), F.bround(mean, 1).alias("mean"), F.bround(median, 1).alias("p50"), F.bround(F.min(F.when(F.col("hi") >= 0.95 * F.col("n"), F.col("v"))), 1).alias("p95"))
+    present = df.groupingSets([by, []], *by).agg(F.grouping_id().alias("g")).select(F.when(F.col("g") > 0, 1).otherwise(0).alias("_a"), *[F.col(c).alias(f"_{c}") for c in by])
+    same = F.col("_a") == F.col("_all")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return present.join(out, same, "left").select(*[F.col(f"_{c}").alias(c) for c in by], F.coalesce("n", F.lit(0)).alias("n"), "mean", "p50", "p95")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import question_marks, strings
+from corpusmill.operators.compare import underrepresented
 from corpusmill.operators.dedup import crossing_keys
 from corpusmill.plans.catalog import REQUIRED, SLOTS
 
@@ -70,3 +71,20 @@ def validate_records(records: DataFrame) -> DataFrame:
     required = records.sparkSession.createDataFrame([(s,) for s in REQUIRED], "slot string")
     covered = none_of(required.join(short, "slot", "left_anti").unionByName(short.join(required, "slot", "left_anti")), "required slots covered")
     return reduce(DataFrame.unionByName, [rows, repeated, covered])
+
+
+def positives(records: DataFrame) -> DataFrame:
+    """(slot_id): a row for each update in the records' completions."""
+    updates = F.from_json(F.col("completion")[0]["content"], "updates array<struct<slot_id:string>>")["updates"]
+    return records.select(F.explode(updates).alias("u")).select("u.slot_id")
+
+
+def validate_extended(corpus: DataFrame, records: DataFrame, size: int = 420, least: int = 100, variants: tuple[str, ...] = ("selected_short", "selected_sentence", "selected_roman_urdu", "selected_multi_slot", "selected_non_answer", "cluster_answer", "reviewed_base")) -> DataFrame:
+    """(name, violations) for the extended corpus and its records: as validate_records, with the corpus' size, positives of each required slot, and variants."""
+    spark = records.sparkSession
+    required = spark.createDataFrame([(s,) for s in REQUIRED], "slot_id string")
+    counts = positives(records).groupBy("slot_id").agg(F.count("*").alias("n"))
+    few = none_of(underrepresented(counts, required, least), f"at least {least} positives a slot")
+    wanted = spark.createDataFrame([(v,) for v in variants], "variant string")
+    lacking = none_of(wanted.join(records.select("metadata.variant").distinct(), "variant", "left_anti"), "all variants")
+    return reduce(DataFrame.unionByName, [counted(corpus, "size", size), validate_records(records), few, lacking])

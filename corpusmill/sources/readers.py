@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,10 +29,10 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def named_splits(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:
-    """JSON Lines files as one table with their split's name."""
+    """JSON Lines files as one table with their split's name; lines that aren't JSON are kept in _corrupt_record."""
     out = None
     for split, path in paths.items():
-        part = spark.read.schema(schema).json(path).withColumn("split", F.lit(split))
+        part = jsonl(spark, path, schema).withColumn("split", F.lit(split))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -49,20 +51,69 @@ def fingerprints(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256")).withColumnRenamed("length", "bytes")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); only a local session without it gets a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="corpusmill-")
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, is_dir) of what a folder holds, in any store; none if there is no such folder."""
+    where, files = _file_system(spark, path)
+    found = [(f.getPath().toString(), f.getPath().getName(), f.isDirectory()) for f in files.listStatus(where)] if files.exists(where) else []
+    return spark.createDataFrame(found, "path string, name string, is_dir boolean")
+
+
+def checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """(path, step) of the folders checkpoint-<whole number>; files and other names don't count."""
+    step = F.regexp_extract("name", r"^checkpoint-(\d+)$", 1).try_cast("long")
+    return listing(spark, path).where("is_dir").select("path", step.alias("step")).where("step is not null")
+
+
 def reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A prior report's records; none if there is no such file or it isn't a list of records."""
-    empty = spark.createDataFrame([], schema)
-    try:
-        return json_array(spark, path, schema).dropna(how="all")
-    except Exception as error:  # Spark has one class for all that analysis finds missing
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return empty
+    where, files = _file_system(spark, path)
+    if files.exists(where):
+        start = spark.read.text(path).where(F.trim("value") != "").select(F.ltrim("value")).first()
+        if start and start[0].startswith("["):
+            return json_array(spark, path, schema).dropna(how="all")
+    return spark.createDataFrame([], schema)
+
+
+def _told(error: Exception) -> str:
+    """An error's type, status and code, and nothing of what it says."""
+    body = getattr(error, "body", None)
+    parts = {"status": getattr(error, "status_code", None), "code": body.get("code") if isinstance(body, dict) else None}
+    return " ".join([type(error).__name__, *[f"{k}={v}" for k, v in parts.items() if v]])
 
 
 def answers(cases: DataFrame, model, schema: str) -> DataFrame:
-    """Rows from a model: model(pandas frame) -> pandas frame, in batches; errors are rows, not failures."""
-    return cases.mapInPandas(lambda frames: map(model, frames), schema)
+    """Rows from a model: model(pandas frame) -> pandas frame of the schema, in batches; column error is null.
+
+    If a batch fails, its cases are asked one by one; one that fails again is a row of
+    its own columns that the schema has, nulls, and the error's type, status and code.
+    """
+    kinds = T.StructType.fromDDL(schema).add("error", T.StringType())
+    names = [f.name for f in kinds.fields[:-1]]
+
+    def ask(frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return model(frame)[names].assign(error=None)
+        except Exception as error:  # noqa: BLE001  whatever an endpoint raises is a row
+            if len(frame) > 1:
+                return pd.concat([ask(frame.iloc[i : i + 1]) for i in range(len(frame))], ignore_index=True)
+            return pd.DataFrame({n: frame[n].tolist() if n in frame else [None] for n in names}).assign(error=_told(error))
+
+    return cases.mapInPandas(lambda frames: map(ask, frames), kinds)
 
 
 def config(spark: SparkSession, path: str, known: dict[str, type]) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import platform
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,31 @@ def verified(manifest_files: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("name", problem.alias("problem")).where("problem is not null")
 
 
+def artifact_problems(manifest_files: DataFrame, found: DataFrame, violations: DataFrame, ids: DataFrame, key: str = "scenario_id", split: str = "split") -> DataFrame:
+    """(name, problem) of a written corpus, all at once; none in a sound one.
+
+    Files that the manifest names and are missing or differ, expectations (name,
+    violations) that fail, and ids that more than one split has.
+    """
+    failed = violations.where("violations <> 0").select("name", F.concat(F.lit("violations: "), F.col("violations").cast("string")).alias("problem"))
+    crossing = ids.groupBy(F.col(key).cast("string").alias("name")).agg(F.sort_array(F.collect_set(split)).alias("s")).where("size(s) > 1")
+    return verified(manifest_files, found).unionByName(failed).unionByName(crossing.select("name", F.concat(F.lit("splits: "), F.array_join("s", ", ")).alias("problem")))
+
+
+def run_manifest(files: DataFrame, lengths: DataFrame, settings: dict | None = None) -> DataFrame:
+    """One row of JSON about a run: versions, settings, the input files' hashes, and the records' token lengths by split.
+
+    lengths is a length profile: split, n, shortest, longest, total, over_limit.
+    """
+    spark = files.sparkSession
+    known = {"python": platform.python_version(), "spark": spark.version}
+    own = files.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.struct("bytes", "sha256"))))).alias("files"))
+    spread = lengths.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", F.struct("longest", "n", "over_limit", "shortest", "total"))))).alias("token_lengths"))
+    both = own.crossJoin(spread)  # a row each
+    whole = F.struct("files", F.lit(json.dumps(settings or {}, sort_keys=True)).alias("settings"), "token_lengths", F.create_map(*[F.lit(x) for pair in sorted(known.items()) for x in pair]).alias("versions"))
+    return both.select(F.to_json(whole).alias("json"))
+
+
 def write_report(spark: SparkSession, metrics: DataFrame, records: DataFrame, path: str) -> None:
     """A small metrics table as one JSON file, and the records as Parquet."""
     metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")

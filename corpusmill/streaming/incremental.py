@@ -10,19 +10,16 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def evaluated_stream(spark: SparkSession, source: str, schema: str, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "case_id") -> StreamingQuery:
-    """Scores new JSON Lines files once; a case already in the output isn't scored again. Ends when all there is is done."""
+    """Scores new JSON Lines files once, each case the first time it comes. Ends when all there is is done.
+
+    The cases seen are the stream's state; a batch's results replace those of an
+    earlier try at the same batch (out/batch=N), so a restart repeats nothing.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        try:
-            done = batch.sparkSession.read.parquet(out).select(key)
-            fresh = fresh.join(done, key, "left_anti")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        score(fresh).write.mode("append").parquet(out)
-
-    cases = spark.readStream.schema(schema).json(source)
+        score(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    cases = spark.readStream.schema(schema).json(source).dropDuplicates([key])
     return cases.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
