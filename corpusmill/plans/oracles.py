@@ -6,6 +6,7 @@ from corpusmill.functions import guardrails
 from corpusmill.functions.canonical import UNITS
 from corpusmill.functions.text import STOPWORDS
 from corpusmill.plans import catalog
+from corpusmill.plans.more import MORE_SQL
 
 
 def _list(values) -> str:
@@ -72,7 +73,7 @@ ORACLES: dict[str, str] = {
     "domain_disjointness": f"with {_SPLIT} select source, count(distinct split) as n_splits, count(*) as n from sd group by 1 having count(distinct split) > 1",
     "normalized_text": f"select doc_id, sha256(array_to_string({_TOKENS.format('text')}, ' ')) as normalized_sha256, sha256({_CLEAN.format('text')}) as spaced_sha256 from documents",
     "content_token_counts": f"select doc_id, len({_TOKENS.format('text')})::int as n_tokens, len({_CONTENT.format('text')})::int as n_content from documents",
-    "token_f1_pairs": f"select u.conv_id, u.turn, len({_CONTENT.format('u.text')})::int as n_user, len({_CONTENT.format('a.text')})::int as n_assistant, len(list_intersect({_CONTENT.format('u.text')}, {_CONTENT.format('a.text')}))::int as shared from conversations u join conversations a on u.conv_id = a.conv_id and u.turn + 1 = a.turn where u.role = 'user' and a.role = 'assistant'",
+    "token_f1_pairs": f"select u.conv_id, u.turn, len({_CONTENT.format('u.text')})::int as n_user, len({_CONTENT.format('a.text')})::int as n_assistant, len(list_intersect({_CONTENT.format('u.text')}, {_CONTENT.format('a.text')}))::int as shared, case when n_user = 0 and n_assistant = 0 then 1.0 when shared = 0 then 0.0 else round_even(2 * (shared / n_assistant) * (shared / n_user) / (shared / n_assistant + shared / n_user), 4) end::double as f1 from conversations u join conversations a on u.conv_id = a.conv_id and u.turn + 1 = a.turn where u.role = 'user' and a.role = 'assistant'",
     "slot_update_counts": f"with {_COUNTS} select sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, sum(id_tp)::bigint as id_tp, sum(id_fp)::bigint as id_fp, sum(id_fn)::bigint as id_fn, sum(id_tp)::bigint as matched, sum(tp)::bigint as matched_correct from c",
     "slot_micro_prf": f"with {_COUNTS} select {_prf(_S['tp'], _S['fp'], _S['fn'], 'slot_micro')}, {_prf(_S['id_tp'], _S['id_fp'], _S['id_fn'], 'slot_id_micro')}, {_rate('sum(tp)', 'sum(id_tp)')} as matched_slot_value_accuracy from c",
     "component_category_metrics": _COMPONENT,
@@ -88,12 +89,12 @@ ORACLES: dict[str, str] = {
     "conversation_lengths": "select count(*) as cases, sum(n)::bigint as turns, max(n) as longest from (select count(*) as n from conversations group by conv_id)",
     "chat_to_prompt_completion": "with c as (select conv_id, list({'role': role, 'text': text} order by turn) as m from conversations group by 1) select conv_id, (len(m) - 1)::int as n_prompt, m[-1].role as role, sha256(m[-1].text) as completion_sha256 from c",
     "benchmark_contamination": "select doc_id, item_id from documents join benchmark on contains(documents.text, benchmark.text)",
-    "evidence_containment": "select a.doc_id, contains(b.text, string_split(a.text, chr(10))[1]) as grounded from documents a join documents b on a.doc_id = b.doc_id + 1",
+    "evidence_containment": "select a.doc_id, len(list_filter(string_split(a.text, chr(10)), lambda x: contains(b.text, x)))::int as grounded from documents a join documents b on a.doc_id = b.doc_id + 1",
     "unknown_slot_anti_join": "select doc_id from documents anti join labels using (doc_id)",
     "resume_pending": "select doc_id from documents where doc_id not in (select doc_id from labels where quality = 1 and toxic = 0)",
     "forbidden_slot_overlap": f"select doc_id from documents where list_has_any({_TOKENS.format('text')}, ['idiot', 'scum', 'pathetic', 'disgusting', 'loser'])",
     "ring_successor": "with s as (select distinct cast(substr(source, 4) as int) as domain_index, source from documents) select a.domain_index, a.source, b.source as next_source from s a left join s b on b.domain_index = (a.domain_index + 1) % 20",
-    "report_winner": "with p as (select lang, count(*)::double as documents, sum(n_chars)::double as chars, min(n_chars)::double as shortest, max(n_chars)::double as longest from documents where lang in ('en', 'fr') group by 1), u as (unpivot p on documents, chars, shortest, longest into name metric value value), b as (select m.metric, e.value as l, f.value as r from (select distinct metric from u) m left join u e on e.metric = m.metric and e.lang = 'en' and m.metric <> 'longest' left join u f on f.metric = m.metric and f.lang = 'fr') select metric, l as left_value, r as right_value, round_even(l - r, 4) as delta, case when l is null or r is null then 'unavailable' when l = r then 'tie' when (l > r) = (metric <> 'shortest') then 'en' else 'fr' end as winner from b",
+    "report_winner": "with p as (select lang, count(*)::double as documents, sum(n_chars)::double as chars, min(n_chars)::double as shortest, max(n_chars)::double as longest from documents group by 1), u as (unpivot p on documents, chars, shortest, longest into name metric value value), k as (select unnest(['en', 'de']) as a, unnest(['fr', 'es']) as b), v as (select a, b, m.metric, e.value as l, f.value as r from k cross join (select distinct metric from u) m left join u e on e.metric = m.metric and e.lang = a and m.metric <> 'longest' left join u f on f.metric = m.metric and f.lang = b) select a || '-' || b as pair, metric, l as left_value, r as right_value, round_even(l - r, 4) as delta, case when l is null or r is null then 'unavailable' when l = r then 'tie' when (l > r) = (metric <> 'shortest') then a else b end as winner from v",
     "sampling_offset_limit": "select doc_id, source from documents order by doc_id limit 25 offset 50",
     "sampling_indices": "select doc_id, source from (select *, row_number() over (order by doc_id) - 1 as i from documents) where i in (0, 3, 17, 150, 9999999)",
     "preview_overlength": f"select doc_id, len({_TOKENS.format('text')})::int as n_tokens from documents where len({_TOKENS.format('text')}) > 2000 order by doc_id limit 10",
@@ -115,14 +116,14 @@ ORACLES: dict[str, str] = {
     "checksum_manifest": "select doc_id, sha256(text) as sha256, strlen(text)::int as bytes from documents",
     "low_information_values": f"with v as (select *, case when conv_id % 2 = 0 then 'target_description' else 'business_goal' end as slot, {_PICK.format(_list((' Forecast!', 'planning', 'sales', 'Time-series', 'unknown')), 5)} as value from conversations) select conv_id, turn, {_low('slot', 'value')} as drops from v",
     "recovered_intents": f"with v as (select *, {_PICK.format(_list(('Yes!', 'no', 'I do not want a forecast', 'please predict sales', 'hello', 'Haan')), 6)} as value from conversations) select conv_id, turn, case when value in ('no', 'I do not want a forecast') then 'not_forecasting' when value <> 'hello' then 'create_forecast' end as intent from v",
-    "short_slot_answers": f"with v as (select *, regexp_split_to_array(text, '[.,\\n]')[1] as m from conversations), w as (select *, trim(m) as own, {_CLEAN.format('trim(m)')} as plain from v) select conv_id, turn, case when own <> '' and length(own) <= 120 and len(regexp_split_to_array(own, '\\s+')) <= 4 and not contains(own, '?') and plain not in ({_list(guardrails.NON_ANSWERS)[1:-1]}) and not regexp_matches(plain, '{guardrails.INSTRUCTION}') and not (len(string_split(plain, ' ')) > 1 and regexp_matches(plain, '{guardrails.SENTENCE}')) then own end as answer from w",
+    "short_slot_answers": f"with v as (select *, unnest(regexp_split_to_array(text, '[.,\\n]')) as m, generate_subscripts(regexp_split_to_array(text, '[.,\\n]'), 1) - 1 as part from conversations), w as (select *, trim(m) as own, {_CLEAN.format('trim(m)')} as plain from v) select conv_id, turn, part::int as part, case when own <> '' and length(own) <= 120 and len(regexp_split_to_array(own, '\\s+')) <= 4 and not contains(own, '?') and plain not in ({_list(guardrails.NON_ANSWERS)[1:-1]}) and not regexp_matches(plain, '{guardrails.INSTRUCTION}') and not (len(string_split(plain, ' ')) > 1 and regexp_matches(plain, '{guardrails.SENTENCE}')) then own end as answer from w",
     "repeat_guard": "with q as (select conv_id, turn, 'What next ' || length(text) % 2 || '?' as question from conversations) select conv_id, turn, case when question = lag(question) over (partition by conv_id order by turn) then 'Please answer the question above.' else question end as question from q",
     "safe_labels": "select p_partkey, regexp_replace(p_name || '/' || p_brand, '[^A-Za-z0-9._-]', '-', 'g') as label, p_brand || ' status=' || p_size || ' code=' || p_type as error from part",
     "latest_checkpoint": "select 'out/checkpoint-' || max(n_chars) as path, max(n_chars) as step from documents where doc_id % 2 = 0",
     "duration_parse": f"select event_id, (event_id % 9 + 1)::double as periods, {_list([UNITS[u] for u in sorted(UNITS)])}[(event_id % {len(UNITS)} + 1)::int] as unit from events",
     "excluded_cases": "select doc_id, source from documents where source not in ('src0', 'src5', 'src11')",
     "guided_cases": "select 'guided-series_0' || i as case_id, 18 as turns, 'value_0' || i as second from range(4) t(i)",
-    "event_windows": "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by all",
+    "event_windows": "select date_trunc('day', ts) as start, event_type, count(*) as n, round_even(avg(value), 9) as mean from events group by all",
 }
 _CHECKS = """with k as (select doc_id, contains(lower(text), 'the') as contains_required_text, contains(lower(text), 'license') or contains(lower(text), 'token') as contains_any_text,
 not contains(lower(text), '@') and not contains(lower(text), 'all rights') as avoids_forbidden_text, len(regexp_extract_all(text, '\\?'))::int as question_marks, len(regexp_extract_all(text, '(?m)^\\s*\\d+[.)]'))::int as numbered_items from documents),
@@ -132,3 +133,12 @@ ORACLES["automated_pass"] = f"{_CHECKS} select count(*) as n, count(*) filter (c
 _LOOSE, _COMPACT = ("""'{"k":%s' || json_extract_string(props, '$.k') || '}'""" % gap for gap in (" ", ""))
 ORACLES["canonical_json"] = f"select event_id, {_LOOSE} as loose, {_COMPACT} as compact from events"
 ORACLES["json_salvage"] = f"select event_id, {_LOOSE} as object from events"
+ORACLES["corpus_manifest"] = f"""with {_SPLIT}, c as (select 'split_counts' as what, split as k, count(*) as n from sd group by 2 union all select 'lang_counts', lang, count(*) from sd group by 2)
+select what, '{{' || string_agg('"' || k || '":' || n, ',' order by k) || '}}' as json from c group by 1 union all select 'count', count(*)::varchar from documents union all select 'version', '"tables"'"""
+ORACLES["content_digest"] = "select count(*) as rows, sum(('0x' || substr(sha256(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text})::varchar), 1, 15))::bigint)::varchar as digest from documents"
+_SAYS = "trim(substr(text, 1, 10))"
+ORACLES["grounded_evidence"] = f"""with v as (select *, trim(text) as m, trim(lower(text)) as t, {_SAYS} as e from conversations),
+b as (select *, list_bool_or(list_transform({_list(guardrails.LEAKS)}, lambda x: contains(lower(e), x))) or (length(e) > 2 and not contains(t, lower(e))) as bad from v),
+k as (select *, list_filter([case when not (bad and length(t) <= 3 and not contains('1', t)) then case when bad then m else e end when not (length(t) <= 3 and not contains('1', t)) then m end, case when not (length(t) <= 3 and not contains('2', t)) then m end], lambda x: x is not null) as own from b)
+select conv_id, turn, len(own)::int as n, sha256(array_to_string(own, '|')) as evidence_sha256 from k"""
+ORACLES |= MORE_SQL

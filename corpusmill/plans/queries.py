@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import canonical, guardrails, text
 from corpusmill.operators import compare, conversation, dedup, scoring
 from corpusmill.plans import catalog, corpus, sft, validation
+from corpusmill.plans.more import MORE
 from corpusmill.sources import readers, sinks
 from corpusmill.streaming import incremental
 
@@ -73,7 +74,7 @@ def token_f1_pairs(spark, sf_dir):
     turns = _read(spark, sf_dir, "conversations")
     pairs = turns.where("role = 'user'").alias("u").join(turns.where("role = 'assistant'").alias("a"), (F.col("u.conv_id") == F.col("a.conv_id")) & (F.col("u.turn") + 1 == F.col("a.turn")))
     a, b = text.content_tokens(F.col("u.text")), text.content_tokens(F.col("a.text"))
-    return pairs.select("u.conv_id", "u.turn", F.size(a).alias("n_user"), F.size(b).alias("n_assistant"), F.size(F.array_intersect(a, b)).alias("shared"))
+    return pairs.select("u.conv_id", "u.turn", F.size(a).alias("n_user"), F.size(b).alias("n_assistant"), F.size(F.array_intersect(a, b)).alias("shared"), text.token_f1(F.col("u.text"), F.col("a.text")).alias("f1"))
 
 
 def answer_checks(spark, sf_dir):
@@ -196,10 +197,10 @@ def benchmark_contamination(spark, sf_dir):
 
 
 def evidence_containment(spark, sf_dir):
-    """Per document whether its first line is grounded in the previous document's text."""
+    """Per document how many of its lines are grounded in the previous document's text."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("other"))
-    return docs.join(before, "doc_id").select("doc_id", F.contains("other", F.split("text", "\n")[0]).alias("grounded"))
+    return docs.join(before, "doc_id").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.contains(F.col("other"), x))).alias("grounded"))
 
 
 def unknown_slot_anti_join(spark, sf_dir):
@@ -230,9 +231,12 @@ def _profile(df):
 
 
 def report_winner(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    left = _profile(docs.where("lang = 'en'")).where("metric <> 'longest'")
-    return compare.compared(left, _profile(docs.where("lang = 'fr'")), "en", "fr", lower=("shortest",))
+    """Two pairs of languages compared."""
+    docs, out = _docs(spark, sf_dir), []
+    for left, right in (("en", "fr"), ("de", "es")):
+        found = compare.compared(_profile(docs.where(F.col("lang") == left)).where("metric <> 'longest'"), _profile(docs.where(F.col("lang") == right)), left, right, lower=("shortest",), higher=("documents", "chars"))
+        out.append(found.withColumn("pair", F.lit(f"{left}-{right}")))
+    return out[0].unionByName(out[1])
 
 
 def sampling_offset_limit(spark, sf_dir):
@@ -335,7 +339,7 @@ def checksum_manifest(spark, sf_dir):
 
 
 def file_fingerprints(spark, sf_dir):
-    return readers.fingerprints(spark, f"{sf_dir}/region.parquet").select("name", "bytes", "sha256")
+    return readers.fingerprints(spark, sf_dir, "*.parquet").select("name", "bytes", "sha256")
 
 
 def corpus_manifest(spark, sf_dir):
@@ -358,8 +362,9 @@ def recovered_intents(spark, sf_dir):
 
 
 def short_slot_answers(spark, sf_dir):
-    first = F.split("text", "[.,\n]")[0]
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", guardrails.short_slot_answer(first, F.lit("target_column"), F.lit("create_forecast"), F.lit("string")).alias("answer"))
+    """Each part of each turn, between stops, commas and lines, as an answer."""
+    parts = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "[.,\n]")).alias("part", "said"))
+    return parts.select("conv_id", "turn", "part", guardrails.short_slot_answer(F.col("said"), F.lit("target_column"), F.lit("create_forecast"), F.lit("string")).alias("answer"))
 
 
 def grounded_evidence(spark, sf_dir):
@@ -408,7 +413,7 @@ def guided_cases(spark, sf_dir):
 
 
 def event_windows(spark, sf_dir):
-    return incremental.latency_windows(_read(spark, sf_dir, "events"), "ts", "event_type", "value", "1 day").select("start", "event_type", "n")
+    return incremental.latency_windows(_read(spark, sf_dir, "events"), "ts", "event_type", "value", "1 day").select("start", "event_type", "n", F.bround("mean", 9).alias("mean"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -423,3 +428,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         repeat_guard, safe_labels, latest_checkpoint, canonical_json, json_salvage, duration_parse, event_windows, excluded_cases, guided_cases,
     )
 }
+QUERIES |= MORE
