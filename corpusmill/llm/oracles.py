@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from corpusmill.llm import urls
 
-#: A union of repeated spans of 10 words or more is the union of 10-word windows seen twice in the text;
+#: A union of repeated spans of 20 words or more is the union of 20-word windows seen twice in the text;
 #: a repeat over 50 words is a 51-word window seen twice.
 OP9 = r"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
@@ -12,18 +12,18 @@ w as (select r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w
 t as (select r, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
 win as (
   select r, n, i, case when i + 4 <= n then list(word) over (partition by r order by i rows between current row and 4 following) end as w5,
-    case when i + 9 <= n then list(word) over (partition by r order by i rows between current row and 9 following) end as w10,
+    case when i + 19 <= n then list(word) over (partition by r order by i rows between current row and 19 following) end as w20,
     case when i + 50 <= n then md5(string_agg(word, ' ') over (partition by r order by i rows between current row and 50 following)) end as w51
   from t),
 rep as (
-  select r, i, w5 is not null and count(*) over (partition by r, w5) > 1 as r5, w10 is not null and count(*) over (partition by r, w10) > 1 as r10,
-    w51 is not null and count(*) over (partition by r, w51) > 1 as r151
+  select r, i, w5 is not null and count(*) over (partition by r, w5) > 1 as r5, w20 is not null and count(*) over (partition by r, w20) > 1 as r20,
+    w51 is not null and count(*) over (partition by r, w51) > 1 as r51
   from win),
 cov as (
   select r, bool_or(r5) over (partition by r order by i rows between 4 preceding and current row) as c5,
-    bool_or(r10) over (partition by r order by i rows between 9 preceding and current row) as c10, r151
+    bool_or(r20) over (partition by r order by i rows between 19 preceding and current row) as c20, r51
   from rep),
-s as (select r, count(*) filter (c5) as n_repeat_words, count(*) filter (c10) as n_covered, bool_or(r151) as too_long from cov group by r),
+s as (select r, count(*) filter (c5) as n_repeat_words, count(*) filter (c20) as n_covered, bool_or(r51) as too_long from cov group by r),
 l as (select r, count(*) - count(distinct line) as n_dup_lines from (select r, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by r)
 select doc_id, len(ws)::bigint as n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
   len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,

@@ -36,7 +36,7 @@ class Limits:
     min_words: int = 10
     window: int = 5
     max_window_percent: int = 20
-    min_repeat: int = 10
+    min_repeat: int = 20
     max_covered_percent: int = 10
     max_longest: int = 50
 
