@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table, written
+from corpusmill.llm.common import dropped, scratch, table, written
 from corpusmill.llm.decontamination import contamination
 from corpusmill.llm.lines import line_dedup
 from corpusmill.llm.mixing import mix
@@ -71,7 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage has written on its way goes when its result is there, and that when the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage-{k}", stays=True)
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs

@@ -6,7 +6,8 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +50,38 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: The paths that written() made within scratch(), or None outside.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that written() made inside; what is returned from inside must be written elsewhere first."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        _delete(spark, made)
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors.
 
-    The shuffle files behind it go once it is written.
+    The shuffle files behind it go once it is written. Inside scratch() the table
+    goes at its end, unless it stays.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None and not stays:
+        made.append(path)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -64,9 +90,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that written() made, once nothing reads them any more."""
     for table_ in tables:
-        for path in {f.rpartition("/")[0] for f in table_.inputFiles()}:
-            where = table_.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(table_.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _delete(table_.sparkSession, {f.rpartition("/")[0] for f in table_.inputFiles()})
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -1,5 +1,6 @@
 """The stages against brute-force versions on a small corpus with planted cases."""
 
+import os
 import random
 
 import pytest
@@ -93,11 +94,30 @@ def test_near_dedup_matches_brute_force(spark, tables):
     assert {r["doc_id"] for r in kept.collect()} == {some[r][1] for r in set(root)}
 
 
+ODD = SCHEMA + ", kept_id long, copy int, hash long, leak_id long, text_hash string, of string, node long"
+
+
 def test_odd_rows(spark, tables):
-    folder = tables[0]
+    """Nulls, repeated rows, a text of a megabyte, ids with two texts, and columns named as the stages name their own."""
+    folder, rng = tables[0], random.Random(4)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
+    more = (7, 7, 7, 7, "x", "y", 7)
     odd = [(None, None, None, None, None, None), ("en", 1, "", "s", 0, ""), ("en", 1, "", "s", 0, ""), ("en", None, "a b " * 30, None, 5, ""), ("en", 2, None, "s", None, "")]
+    odd += [("en", 3, long, "s", len(long), ""), ("en", 3, "other " + long, "s", 0, ""), ("en", 4, long, "t", len(long), "")]
     for name, stage in P.STAGES:
-        got = stage(spark, spark.createDataFrame(odd, SCHEMA), folder)
-        assert stage(spark, spark.createDataFrame([], SCHEMA), folder).collect() == []
-        n = len(got.collect())
-        assert n == {"quality rules": 0, "SimHash near-dedup": 3}.get(name, 5), name
+        got = stage(spark, spark.createDataFrame([(*r, *more) for r in odd], ODD), folder)
+        assert stage(spark, spark.createDataFrame([], ODD), folder).collect() == []
+        rows = got.collect()
+        assert len(rows) == {"quality rules": 3, "SimHash near-dedup": 4}.get(name, 8), name
+        if "text" in got.columns:
+            assert sum(r["doc_id"] in (3, 4) for r in rows) == (1 if name == "SimHash near-dedup" else 3)
+
+
+def test_run_leaves_only_its_result(spark, tables, tmp_path):
+    from corpusmill.llm import common
+
+    folder = tables[0]
+    before = set(os.listdir(common.shared_dir(spark).removeprefix("file:")))
+    n = P.run(spark, folder).count()
+    after = set(os.listdir(common.shared_dir(spark).removeprefix("file:"))) - before
+    assert n and [x.rpartition("-")[0] for x in after if not x.startswith(".")] == ["stage-4"]
