@@ -161,14 +161,23 @@ def cluster_messages(spark, sf_dir):
 def targeted_messages(spark, sf_dir):
     """The v4 records of answers to one slot, in all variants: message, intent and updates."""
     records = _said_json(sft.targeted_records(catalog.domains(spark, DOMAINS), True))
-    return records.select("metadata.scenario_id", "metadata.split", "metadata.variant", "selected", "message", "answer.intent", _pairs("answer.updates").alias("updates"))
+    payload = F.from_json(F.col("prompt")[1]["content"], "confirmed_slots array<struct<slot_id:string>>, slot_definitions array<struct<slot_id:string>>")
+    confirmed = F.array_join(F.transform(payload["confirmed_slots"], lambda c: c["slot_id"]), "|")
+    shown = F.array_join(F.transform(payload["slot_definitions"], lambda d: d["slot_id"]), "|")
+    return records.select("metadata.scenario_id", "metadata.split", "metadata.variant", "selected", "message", "answer.intent", _pairs("answer.updates").alias("updates"), confirmed.alias("confirmed"), shown.alias("definitions"))
+
+
+def length_gate(spark, sf_dir):
+    """The length profile of the documents, past the gate that lets long ones be truncated."""
+    profile = compare.length_profile(_split_docs(spark, sf_dir), F.char_length("text"), 2000)
+    return compare.within_limit(profile, allow_truncation=True)
 
 
 def scenario_messages(spark, sf_dir):
     """The v4 corpus: last message, intent, slots of its updates, and the next question of each scenario."""
     made = corpus.corpus(catalog.domains(spark, DOMAINS), "v4").withColumn("last", F.element_at("turns", -1))
     slots = F.array_join(F.transform("last.gold_extraction.updates", lambda u: u["slot_id"]), "|")
-    return made.select("scenario_id", "split", "category", F.col("last.message").alias("message"), "gold_intent", slots.alias("slots"), "ideal_question", F.size("turns").alias("turns"))
+    return made.select("scenario_id", "split", "category", F.col("last.message").alias("message"), "gold_intent", "corpus_version", F.array_join("behavior_tags", "|").alias("tags"), slots.alias("slots"), "ideal_question", F.size("turns").alias("turns"))
 
 
 def chat_questions(spark, sf_dir):
@@ -262,7 +271,7 @@ MORE = {
     f.__name__: f
     for f in (
         jsonl_roundtrip, named_splits_scan, json_array_scan, key_value_scan, config_scan, prior_reports, model_answers, csv_review, report_roundtrip, checkpoint_listing, artifact_chain, run_manifest_lengths,
-        cluster_messages, targeted_messages, scenario_messages, chat_questions, paraphrased_records, extended_validation, normalized_values, routed_extractions, final_slots, underrepresented_sources,
+        cluster_messages, targeted_messages, scenario_messages, chat_questions, paraphrased_records, extended_validation, length_gate, normalized_values, routed_extractions, final_slots, underrepresented_sources,
         relevant_questions, stamped_names,
     )
 }
@@ -321,7 +330,7 @@ def _targeted() -> str:
             if other:
                 updates += f" || case when contains(lower({message}), lower({_SAID[other]})) then '|{other}=' || {_VALUE[other]} else '' end"
             intent = "ambiguous" if name == "non_answer" and slot == "intent" else "create_forecast"
-            rows.append(f"select 'targeted-{slot}-' || slug as scenario_id, split, 'selected_{name}' as variant, '{slot}' as selected, {message} as message, '{intent}' as intent, {updates} as updates from dom where split <> 'test'")
+            rows.append(f"select 'targeted-{slot}-' || slug as scenario_id, split, 'selected_{name}' as variant, '{slot}' as selected, {message} as message, '{intent}' as intent, {updates} as updates, '{'|'.join(sorted(s for s in catalog.REQUIRED if s != slot))}' as confirmed, '{'|'.join(catalog.REQUIRED)}' as definitions from dom where split <> 'test'")
     return f"with {_DOMAIN} " + " union all ".join(rows)
 
 
@@ -341,15 +350,16 @@ def _scenarios(names: list[str], patterns: bool, columns: str, asking: bool = Fa
             message, intent = f"case when domain_index % 2 = 1 then {message} else {_text(spec['even'])} end", "case when domain_index % 2 = 1 then 'not_forecasting' else 'unsupported' end"
         states = list(_SAID) if name == "complete" else [*spec.get("states", corpus._STATED), *([spec["unclear"][0]] if "unclear" in spec else [])]
         asks = spec.get("asks")
-        rows.append((f"'{name}-' || slug", name, message, intent, states, asks, _question(asks), 2 if name == "correction" else 1, f"domain_index < {DOMAINS}"))
-    for name, (template, intent, states, _) in corpus.PATTERNS.items() if patterns else ():
+        tags = sorted({*corpus.TAGS, *spec.get("tags", ())})
+        rows.append((f"'{name}-' || slug", name, message, intent, states, asks, _question(asks), 2 if name == "correction" else 1, f"domain_index < {DOMAINS}", tags))
+    for name, (template, intent, states, answers) in corpus.PATTERNS.items() if patterns else ():
         after = next((s for s in catalog.REQUIRED if s not in states), None) if intent == "create_forecast" else None
         question = _text(next(s[4] for s in catalog.SLOTS if s[0] == after)) if after else "null::varchar"
-        rows.append((f"'conversation-{name}-' || slug", "conversational_intent", _formatted(template, {}), f"'{intent}'", list(states), after, question, 1, "domain_index < 20"))
+        rows.append((f"'conversation-{name}-' || slug", "conversational_intent", _formatted(template, {}), f"'{intent}'", list(states), after, question, 1, "domain_index < 20", sorted(["conversational_intent", "multi_turn_context" if answers else "short_request", "no_invention", "state_progression"])))
     out = []
-    for id_, name, message, intent, states, asks, question, turns, where in rows:
+    for id_, name, message, intent, states, asks, question, turns, where, tags in rows:
         if asks or not asking:
-            out.append(f"select {id_} as scenario_id, split, '{name}' as category, {message} as message, {intent} as gold_intent, '{'|'.join(states)}' as slots, {question} as ideal_question, {turns}::int as turns, {_text(asks) if asks else 'null'} as slot_id, domain_index from dom where {where}")
+            out.append(f"select {id_} as scenario_id, split, '{name}' as category, {message} as message, {intent} as gold_intent, '{'|'.join(states)}' as slots, {question} as ideal_question, {turns}::int as turns, {_text(asks) if asks else 'null'} as slot_id, domain_index, '{corpus.VERSION.format('v4')}' as corpus_version, '{'|'.join(tags)}' as tags from dom where {where}")
     return f"with {_DOMAIN}, s as ({' union all '.join(out)}) select {columns} from s"
 
 
@@ -373,10 +383,11 @@ MORE_SQL = {
     "run_manifest_lengths": f"with {_SPLITS}, t as (select split, case when text is null then 0 else len(string_split(text, ' ')) end as n from sd) select split, max(n)::bigint as longest, count(*) as n, count(*) filter (n > 500) as over_limit, min(n)::bigint as shortest, sum(n)::bigint as total from t group by 1",
     "cluster_messages": _clusters(),
     "targeted_messages": _targeted(),
-    "scenario_messages": _scenarios(list(corpus.CATEGORIES), True, "scenario_id, split, category, message, gold_intent, slots, ideal_question, turns"),
+    "scenario_messages": _scenarios(list(corpus.CATEGORIES), True, "scenario_id, split, category, message, gold_intent, corpus_version, tags, slots, ideal_question, turns"),
     "chat_questions": _scenarios(list(corpus.CATEGORIES), True, "scenario_id, split, slot_id, ideal_question as question", True) + " where split <> 'test' and domain_index < 20",
     "paraphrased_records": f"with {_DOMAIN}, s as (select slug, {_formatted(corpus.CATEGORIES['missing_required']['message'], {})} as m from dom where split <> 'test') select 'missing_required-' || slug as scenario_id, 'paraphrase_' || k as variant, case when k = 1 then 'Please: ' || m else m || ' Thanks.' end as message, {len(corpus.CATEGORIES['missing_required']['states'])}::int as n, true as grounded from s, (select unnest([1, 2]) as k)",
     "extended_validation": f"with n as (select unnest({_EXPECTED}) as name), d as (select count(*) as train from (select unnest(range({DOMAINS})) as i) where i < 17 or i between 20 and 29) select name, 'sound' as which, 0::bigint as violations from n union all select name, 'spoiled', case name when 'size' then 20 when 'no test split' then {len(catalog.CLUSTERS)} * train + 1 when 'no exact duplicates' then 1 when 'required slots covered' then {len(catalog.REQUIRED)} when 'all variants' then 1 else 0 end::bigint from n, d",
+    "length_gate": f"with {_SPLITS} select split, count(*) as n, min(length(text))::int as shortest, max(length(text))::int as longest, sum(length(text))::bigint as total, count(*) filter (length(text) > 2000) as over_limit from sd group by 1",
     "normalized_values": f"with v as (select o_orderkey, o_orderkey % 6 as k, o_custkey % 9 as n, strftime(o_orderdate::date, '%Y-%m-%d') as d, o_orderstatus, o_orderpriority from orders) select o_orderkey, case k when 0 then case n % 3 when 0 then 'true' when 1 then 'false' end when 1 then case when n > 2 then '\"' || d || '\"' end when 2 then case when n > 1 then '{{\"periods\": ' || n || ', \"unit\": \"week\"}}' end when 3 then case when n > 3 then '\"Asia/Karachi\"' end when 4 then case when lower(o_orderstatus) in ('o', 'f') then '\"' || lower(o_orderstatus) || '\"' end else '\"' || trim(o_orderpriority || ' \\\"q\\\"') || '\"' end as value from v",
     "routed_extractions": f"with v as (select *, turn % 4 as k, trim(text) as own, {_CLEAR.format('trim(text)')} as plain from conversations), w as (select *, own <> '' and length(own) <= 120 and len(regexp_split_to_array(own, '\\s+')) <= 4 and not contains(own, '?') and plain not in ({', '.join(map(_text, guardrails.NON_ANSWERS))}) and not regexp_matches(plain, '{guardrails.INSTRUCTION}') and not (len(string_split(plain, ' ')) > 1 and regexp_matches(plain, '{guardrails.SENTENCE}')) as short from v) select conv_id, turn, case when k = 0 then 'intent' when k = 1 or short then 'short answer' else 'model' end as route, case when k = 0 then 'intent=\"create_forecast\"' when k = 1 then 'target_column=\"btc_usd\"' when short then 'target_column=\"' || regexp_replace(own, '([\"\\\\])', '\\\\\\1', 'g') || '\"' when length(own) <= 3 and not contains(lower(sha256(text)), lower(own)) then '' else 'business_goal=' || sha256(text) end as updates from w",
     "final_slots": "select doc_id, array_to_string(list_filter([case when doc_id % 2 <> 0 then 'id=' || doc_id end, 'quality=' || quality, case when toxic = 1 then 'toxic=1' end], lambda x: x is not null), '|') as slots from labels",
