@@ -138,6 +138,7 @@ def placements(stream: DataFrame, sources: DataFrame, epochs: int, step: int = P
     made = slots.groupBy(F.col("source").alias("m")).agg(F.count("*").alias("made"))
     stop = F.least(F.coalesce("made", F.lit(0)) * block, epochs * F.col("source_size")).cast("long")
     limits = sources.join(made, F.col("source").eqNullSafe(F.col("m")) & F.col("made").isNotNull(), "left").select(F.col("source").alias("s"), "source_size", stop.alias("stop"))
+    limits = written(limits, "stops")  # so that the join needn't deal documents by source, or can split a large one
     in_epochs = f"filter(transform(sequence(0, {epochs - 1}), e -> struct(e * source_size + start as lo, least(e * source_size + start + size, stop) as hi)), p -> p.hi > p.lo)"
     cut = f"flatten(transform({in_epochs}, p -> transform(sequence(p.lo div {block}, (p.hi - 1) div {block}), r -> struct(r as rank, least(p.hi, (r + 1) * {block}) - greatest(p.lo, r * {block}) as words))))"
     spread = stream.where("size > 0").join(limits, F.col("source").eqNullSafe(F.col("s"))).select("id", "source", "size", "start", F.explode_outer(F.expr(cut)).alias("p"))
