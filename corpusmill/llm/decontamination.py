@@ -217,7 +217,8 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_
     numbered = written(distinct.select("w", F.posexplode("terms").alias("k", "term")), "window-terms")
     vocabulary = numbered.select(F.col("term").alias("known")).distinct()
     places = written(posted(index).join(vocabulary, F.col("term") == F.col("known"), "left_semi"), "places")
-    counts = places.groupBy(F.col("term").alias("known")).agg(F.sum("n").alias("n"))
+    # written, so that the join can split the windows of a frequent term
+    counts = written(places.groupBy(F.col("term").alias("known")).agg(F.sum("n").alias("n")), "term-counts")
     # a window with a term that is nowhere posted can't occur
     ranked = numbered.join(counts, F.col("term") == F.col("known"), "left").groupBy("w").agg(
         F.count_if(F.col("n").isNull()).alias("lacking"), F.sort_array(F.collect_list(F.struct("k", "term", "n"))).alias("t"), F.min(F.struct("n", "k", "term"))["term"].alias("rarest")
