@@ -1,15 +1,14 @@
 """Scenario corpora from a table of domains: categories and conversational patterns.
 
-A category is a projection of the domains, so a corpus is a union of projections
-of one small table; nothing is joined but the ring successor.
+Categories and patterns are rows of a small table, so a corpus is one projection of
+the domains and their ring successors, joined to that table.
 """
 
 from __future__ import annotations
 
 import string
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.compare import successor
@@ -82,71 +81,91 @@ def extraction(message: Column, updates: list[Column], intent: Column | str = "c
     )
 
 
-def turn(message: Column, gold_extraction: Column, context: Column | None = None, last_question: str | None = None) -> Column:
+def turn(message: Column, gold_extraction: Column, context: Column | None = None, last_question: Column | None = None) -> Column:
     none = F.lit(None).cast("map<string,string>")
-    return F.struct(message.alias("message"), (none if context is None else context).alias("context_slots"), F.lit(last_question).cast("string").alias("last_assistant_question"), gold_extraction.alias("gold_extraction"))
-
-
-def _slots(values: dict[str, Column]) -> Column:
-    pairs = [x for k, v in values.items() for x in (F.lit(k), v)]
-    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-
-
-def scenarios(domains: DataFrame, category: str, version: str, split: Column) -> DataFrame:
-    """One category's scenarios, of domains with next_target_description."""
-    spec, values = CATEGORIES[category], gold()
-    own = values | {k: formatted(v) for k, v in spec.get("values", {}).items()}
-    states = spec.get("states", _STATED) if category != "complete" else tuple(values)
-    message = formatted(spec["message"])
-    intent: Column | str = "create_forecast"
-    if category == "intent_boundary":
-        odd = F.col("domain_index") % 2 == 1
-        message, intent = F.when(odd, message).otherwise(spec["even"]), F.when(odd, "not_forecasting").otherwise("unsupported")
-    updates = [update(s, own[s], message) for s in states]
-    if "unclear" in spec:
-        updates.append(update(spec["unclear"][0], F.lit(spec["unclear"][1]), message, "ambiguous"))
-    turns = [turn(message, extraction(message, updates, intent, category == "correction"))]
-    if category == "correction":
-        first = formatted(spec["first"])
-        wrong = values | {"problem_statement": formatted('"forecast {next_target_description}"'), "target_description": formatted('"{next_target_description}"')}
-        turns = [turn(first, extraction(first, [update(s, wrong[s], first) for s in _STATED])), turn(message, extraction(message, updates, intent, True), F.create_map(F.lit("target_description"), F.col("next_target_description")))]
-    asks = spec.get("asks")
-    final = {} if category == "intent_boundary" else values | {k: formatted(v) for k, v in spec.get("final", {}).items()}
-    question = formatted(_PERSONAL.get(asks, _QUESTIONS.get(asks, ""))) if asks else F.lit(None).cast("string")
-    return _scenario(domains, f"{category}-", category, version, split, [*TAGS, *spec.get("tags", ())], turns, intent, final, F.lit(asks).cast("string"), question, spec.get("forbids", ()))
-
-
-def _scenario(domains, prefix, category, version, split, tags, turns, intent, final, asks, question, forbids) -> DataFrame:
-    array = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
-    return domains.select(
-        F.concat(F.lit(prefix), "slug").alias("scenario_id"),
+    asked = F.lit(None).cast("string") if last_question is None else last_question
+    return F.struct(message.alias("message"), (none if context is None else context).alias("context_slots"), asked.alias("last_assistant_question"), gold_extraction.alias("gold_extraction"))
+
+
+_SPEC = "place int, prefix string, category string, message string, even string, first string, states array<string>, own map<string,string>, unclear_slot string, unclear_value string, intent string, asks string, question string, asked string, forbids array<string>, tags array<string>, has_final boolean, final map<string,string>"
+
+
+def specs(spark: SparkSession, version: str) -> DataFrame:
+    """A row for each category and, but in v1, for each conversational pattern: templates, slots and tags; place is the build order."""
+    rows = []
+    for category, spec in CATEGORIES.items():
+        boundary, asks = category == "intent_boundary", spec.get("asks")
+        states = spec.get("states", _STATED) if category != "complete" else tuple(gold())
+        question = _PERSONAL.get(asks, _QUESTIONS.get(asks, "")) if asks else None
+        rows.append((len(rows), f"{category}-", category, spec["message"], spec.get("even"), spec.get("first"), [*states], spec.get("values", {}), *spec.get("unclear", (None, None)), None if boundary else "create_forecast", asks, question, None, [*spec.get("forbids", ())], sorted({*TAGS, *spec.get("tags", ())}), not boundary, spec.get("final", {})))
+    for pattern, (template, intent, states, answers) in PATTERNS.items() if version != "v1" else ():
+        after = next((s for s in REQUIRED if s not in states), None) if intent == "create_forecast" else None
+        forbids = ["target_column", "source_reference", "forecast_horizon", *(["problem_statement"] if answers and states else [])]
+        tags = ["conversational_intent", "multi_turn_context" if answers else "short_request", "no_invention", "state_progression"]
+        rows.append((len(rows), f"conversation-{pattern}-", "conversational_intent", template, None, None, [*states], {}, None, None, intent, after, _QUESTIONS.get(after), INTENT_QUESTION if answers else None, forbids, sorted(tags), False, {}))
+    return spark.createDataFrame(rows, _SPEC).withColumn("conversation", F.col("category") == "conversational_intent")
+
+
+def filled(template: Column) -> Column:
+    """A template column with the domain's columns filled in; {METRIC} is the metric in capitals, doubled braces stand for one."""
+    fields = {f: F.col(f) for f in ("target_description", "next_target_description", "target_column", "unit", "time_column", "frequency", "horizon", "source", "business_goal", "success_criteria")}
+    out = template
+    for field, value in (fields | {"METRIC": F.upper("primary_metric")}).items():
+        out = F.replace(out, F.lit(f"{{{field}}}"), F.coalesce(value, F.lit("")))
+    return F.replace(F.replace(out, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
+
+
+def scenarios(domains: DataFrame, kinds: DataFrame, version: str, split: Column) -> DataFrame:
+    """The scenarios of each kind (a row of specs) and domain, of domains with next_target_description."""
+    values = F.create_map(*[x for k, v in gold().items() for x in (F.lit(k), v)])
+    # a few rows
+    both = domains.withColumns({"values": values, "split": split}).crossJoin(F.broadcast(kinds))
+    odd, boundary = F.col("domain_index") % 2 == 1, F.col("category") == "intent_boundary"
+    said = F.when(boundary & ~odd, F.col("even")).otherwise(F.col("message"))
+    texts = both.withColumns({
+        "said": filled(said),
+        "before": filled(F.col("first")),
+        "asking": filled(F.col("question")),
+        "own": F.transform_values("own", lambda k, v: filled(v)),
+        "final": F.transform_values("final", lambda k, v: filled(v)),
+        "meant": F.when(boundary, F.when(odd, "not_forecasting").otherwise("unsupported")).otherwise(F.col("intent")),
+        "wrong": F.create_map(F.lit("problem_statement"), F.concat(F.lit('"forecast '), "next_target_description", F.lit('"')), F.lit("target_description"), F.concat(F.lit('"'), "next_target_description", F.lit('"'))),
+    })
+    gives = lambda s, value, message, status, sure: F.struct(s.alias("slot_id"), value.alias("candidate_value"), F.lit(status).alias("status"), F.lit(sure).alias("confidence"), message.alias("evidence_text"))
+    of = lambda s, other: F.coalesce(F.try_element_at(other, s), F.try_element_at(F.col("values"), s))
+    message, correction = F.col("said"), F.col("category") == "correction"
+    stated = F.transform("states", lambda s: gives(s, of(s, F.col("own")), message, "provided", 1.0))
+    unclear = F.when(F.col("unclear_slot").isNotNull(), F.array(gives(F.col("unclear_slot"), F.col("unclear_value"), message, "ambiguous", 0.55))).otherwise(F.array().cast(f"array<{UPDATE}>"))
+    mistaken = F.transform(F.array(*map(F.lit, _STATED)), lambda s: gives(s, of(s, F.col("wrong")), F.col("before"), "provided", 1.0))
+
+    def extracted(updates: Column, intent: Column, corrects: Column) -> Column:
+        return F.struct(intent.alias("intent"), F.lit(1.0).alias("intent_confidence"), updates.alias("updates"), corrects.alias("correction_detected"), F.array().cast("array<string>").alias("unsupported_claims"))
+
+    context = F.when(correction, F.create_map(F.lit("target_description"), F.col("next_target_description")))
+    last = turn(message, extracted(F.concat(stated, unclear), F.col("meant"), correction), context, F.col("asked"))
+    first = turn(F.col("before"), extracted(mistaken, F.lit("create_forecast"), F.lit(False)))
+    known = F.filter(F.map_entries("values"), lambda e: F.array_contains(F.col("states"), e["key"]))
+    full = F.map_concat(F.transform_values("values", lambda k, v: F.coalesce(F.try_element_at(F.col("final"), k), v)), F.map_filter("final", lambda k, v: ~F.array_contains(F.map_keys("values"), k)))
+    final = F.when(F.col("has_final"), full).when(F.col("conversation"), F.map_from_entries(known)).otherwise(F.create_map().cast("map<string,string>"))
+    return texts.select(
+        F.concat("prefix", "slug").alias("scenario_id"),
         F.lit(VERSION.format(version)).alias("corpus_version"),
-        split.alias("split"),
-        F.lit(category).alias("category"),
+        "split",
+        "category",
         F.col("slug").alias("domain"),
         "domain_index",
-        array(sorted(set(tags))).alias("behavior_tags"),
-        F.array(*turns).alias("turns"),
-        (F.lit(intent) if isinstance(intent, str) else intent).alias("gold_intent"),
-        _slots(final).alias("gold_final_slots"),
-        asks.alias("expected_question_slot"),
-        question.alias("ideal_question"),
-        array(forbids).alias("must_not_infer"),
+        F.col("tags").alias("behavior_tags"),
+        F.when(correction, F.array(first, last)).otherwise(F.array(last)).alias("turns"),
+        F.col("meant").alias("gold_intent"),
+        final.alias("gold_final_slots"),
+        F.col("asks").alias("expected_question_slot"),
+        F.when(F.col("asks").isNotNull(), F.col("asking")).alias("ideal_question"),
+        F.col("forbids").alias("must_not_infer"),
+        "place",
+        "conversation",
     )
 
 
-def conversations(domains: DataFrame, pattern: str, version: str, split: Column) -> DataFrame:
-    """One pattern's scenarios; the question expected next is that of the first required slot not yet stated."""
-    template, intent, states, answers = PATTERNS[pattern]
-    message, values = formatted(template), gold()
-    asked = INTENT_QUESTION if answers else None
-    after = next((s for s in REQUIRED if s not in states), None) if intent == "create_forecast" else None
-    forbids = ["target_column", "source_reference", "forecast_horizon", *(["problem_statement"] if answers and states else [])]
-    tags = ["conversational_intent", "multi_turn_context" if asked else "short_request", "no_invention", "state_progression"]
-    turns = [turn(message, extraction(message, [update(s, values[s], message) for s in states], intent), last_question=asked)]
-    return _scenario(domains, f"conversation-{pattern}-", "conversational_intent", version, split, tags, turns, intent, {s: values[s] for s in states}, F.lit(after).cast("string"), F.lit(_QUESTIONS.get(after)).cast("string"), forbids)
-
-
 def corpus(domains: DataFrame, version: str = "v1") -> DataFrame:
     """v1: the categories over the first 20 domains; v2 and v3: with the conversational patterns; v4: with the categories over further domains.
 
@@ -154,11 +173,8 @@ def corpus(domains: DataFrame, version: str = "v1") -> DataFrame:
     """
     ring = successor(domains, "domain_index", 20, ["target_description"])
     index = F.col("domain_index")
-    first, split = ring.where(index < 20), split_of(index) if version != "v4" else extended_split_of(index)
-    parts = [scenarios(first, c, version, split) for c in CATEGORIES]
-    if version != "v1":
-        parts += [conversations(first, p, version, split) for p in PATTERNS]
-    if version == "v4":
-        parts += [scenarios(ring.where(index >= 20), c, version, split) for c in CATEGORIES]
-    placed = [p.withColumn("ord", F.lit(k * 1000) + index) for k, p in enumerate(parts)]
-    return reduce(DataFrame.unionByName, placed)
+    kinds, split = specs(domains.sparkSession, version), split_of(index) if version != "v4" else extended_split_of(index)
+    made = scenarios(ring if version == "v4" else ring.where(index < 20), kinds, version, split).where((index < 20) | ~F.col("conversation"))
+    further = len(CATEGORIES) + len(PATTERNS)  # the categories over further domains are built last
+    placed = F.when(index >= 20, F.col("place") + further).otherwise(F.col("place"))
+    return made.withColumn("ord", placed * 1000 + index).drop("place", "conversation")
