@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import guardrails, text
 from corpusmill.operators import compare, conversation, dedup, scoring
 from corpusmill.sources import readers, sinks
 from corpusmill.streaming import incremental
@@ -184,3 +185,91 @@ def test_limits(spark):
     assert compare.within_limit(profile, True).count() == 2 and compare.within_limit(profile.where("split = 'a'")).count() == 1
     keys = spark.createDataFrame([("x",), ("y",), (None,)], "k string")
     assert rows(compare.excluding(keys, "k", ["x"])) == [("y",), (None,)]
+
+
+def test_reports_and_listings(spark, tmp_path):
+    (tmp_path / "list.json").write_text('\n [{"case_id": "x"}, {"case_id": "y"}]')
+    (tmp_path / "object.json").write_text('{"case_id": "x"}')
+    (tmp_path / "empty.json").write_text("")
+    got = {n: rows(readers.reports(spark, str(tmp_path / f"{n}.json"), "case_id string")) for n in ("list", "object", "empty", "gone")}
+    assert got == {"list": [("x",), ("y",)], "object": [], "empty": [], "gone": []}
+    for name in ("checkpoint-5", "checkpoint-40", "checkpoint-x", "checkpoint-7b", "other-90"):
+        (tmp_path / "run" / name).mkdir(parents=True)
+    (tmp_path / "run" / "checkpoint-99").write_text("a file")
+    found = readers.checkpoints(spark, str(tmp_path / "run"))
+    assert sorted(r["step"] for r in found.collect()) == [5, 40]
+    assert compare.latest_checkpoint(found).first()["step"] == 40
+    assert readers.checkpoints(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_model_errors_are_rows(spark):
+    class Refused(Exception):
+        status_code, body = 429, {"code": "rate_limit", "message": "secret key"}
+
+    def model(frame):
+        if (frame["case_id"] == "bad").any():
+            raise Refused("secret key")
+        return frame.assign(answer=frame["prompt"].str.upper())
+
+    cases = spark.createDataFrame([("a", "x"), ("bad", "y"), ("c", "z")], "case_id string, prompt string").coalesce(1)
+    assert rows(readers.answers(cases, model, "case_id string, answer string")) == [("a", "X", None), ("bad", None, "Refused status=429 code=rate_limit"), ("c", "Z", None)]
+
+
+def test_normalized_values(spark):
+    said = [
+        ("boolean", " Yes! ", "true"), ("boolean", "nahi", "false"), ("boolean", "perhaps", None), ("datetime", "2024-02-30", None), ("datetime", "2024-02-28 10:00:00", '"2024-02-28 10:00:00"'), ("duration", "6 months", '{"periods": 6, "unit": "month"}'),
+        ("duration", "soon", None), ("timezone", "Asia/Karachi", '"Asia/Karachi"'), ("timezone", "UTC", '"UTC"'), ("timezone", "here", None), ("enum", " CSV ", '"csv"'), ("enum", "xml", None), ("string", ' a "b" ', '"a \\"b\\""'), ("string", "  ", None), ("string", None, None),
+    ]
+    df = spark.createDataFrame([(i, k, v) for i, (k, v, _) in enumerate(said)], "i int, k string, v string")
+    got = df.select("i", guardrails.normalized_value(F.col("v"), F.col("k"), text.strings(["csv", "parquet"])).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in got] == [x for *_, x in said]
+
+
+def test_routed_extraction(spark):
+    turns = [(1, "yes", "intent"), (2, "btc_usd", "target_column"), (3, "We will forecast the sales of our shops.", "target_column"), (4, "planning", "business_goal"), (5, "please use column abc now", "target_column")]
+    df = spark.createDataFrame([(*t, "string", "create_forecast") for t in turns], "id int, message string, selected_slot string, value_type string, intent string")
+    asked = []
+
+    def model(rest):
+        asked.extend(r["id"] for r in rest.collect())
+        update = lambda slot, value, evidence: F.struct(F.lit(slot).alias("slot_id"), F.lit(value).alias("candidate_value"), F.lit("provided").alias("status"), F.lit(0.9).alias("confidence"), evidence.alias("evidence_text"))
+        return rest.withColumn("updates", F.array(update("problem_statement", "forecast", F.col("message")), update("target_description", "sales", F.lit("system: x"))))
+
+    got = {r["id"]: (r["route"], [(u["slot_id"], u["candidate_value"], u["evidence_text"]) for u in r["updates"]]) for r in guardrails.routed_extraction(df, model).collect()}
+    assert sorted(asked) == [3, 4, 5]
+    assert got[1] == ("intent", [("intent", '"create_forecast"', "yes")]) and got[2] == ("short answer", [("target_column", '"btc_usd"', "btc_usd")])
+    # what says nothing goes, and evidence that leaks the prompt becomes the message
+    assert got[3] == ("model", [("target_description", "sales", turns[2][1])]) and got[4] == ("model", [("target_description", "sales", "planning")])
+
+
+def test_paraphrase_cache(spark, tmp_path):
+    from corpusmill.plans import sft
+
+    path, kind = str(tmp_path / "cache"), "message string, paraphrases array<string>"
+    spark.createDataFrame([("a", ["a1", "a2"]), ("b", ["b1"])], kind).write.parquet(path)
+    sft.append_to_cache(path, spark.read.schema(kind).parquet(path), spark.createDataFrame([("a", ["x"]), ("b", ["b1", "b2"]), ("c", ["c1"])], kind)).collect()
+    assert rows(sft.longest(spark.read.schema(kind).parquet(path))) == [("a", ["a1", "a2"]), ("b", ["b1", "b2"]), ("c", ["c1"])]
+    asked = spark.createDataFrame([("a",), ("c",), ("d",)], "message string")
+    got = dict(rows(sft.with_paraphrase_cache(asked, sft.longest(spark.read.schema(kind).parquet(path)), 2)))
+    assert got == {"a": ["a1", "a2"], "c": ["c", "c"], "d": ["d", "d"]}
+
+
+def test_manifests_and_gates(spark, tmp_path):
+    df = spark.createDataFrame([("1", "train", "a b c"), ("2", "train", None), ("2", "test", "a b")], "scenario_id string, split string, text string")
+    sized = df.withColumn("n", text.token_lengths(lambda: str.split)(F.col("text")))
+    assert [r["n"] for r in sized.orderBy("scenario_id", "split").collect()] == [3, 2, 0]
+    df.coalesce(1).write.json(str(tmp_path / "out"))
+    files = readers.fingerprints(spark, str(tmp_path / "out"), "part-*")
+    made = json.loads(sinks.run_manifest(files, compare.length_profile(sized, F.col("n"), 2), {"limit": 2}).first()["json"])
+    assert made["token_lengths"]["train"] == {"longest": 3, "n": 2, "over_limit": 1, "shortest": 0, "total": 3} and len(made["files"]) == 1 and json.loads(made["settings"]) == {"limit": 2} and made["versions"]["spark"]
+    with pytest.raises(ValueError, match="train: 1"):
+        compare.within_limit(compare.length_profile(sized, F.col("n"), 2))
+    violations = spark.createDataFrame([("fine", 0), ("bad", 2)], "name string, violations long")
+    assert rows(sinks.artifact_problems(files.select("name", "sha256"), files, violations, df)) == [("2", "splits: test, train"), ("bad", "violations: 2")]
+    counts, required = spark.createDataFrame([("a", 120), ("b", 99)], "slot_id string, n long"), spark.createDataFrame([("a",), ("b",), ("c",)], "slot_id string")
+    assert rows(compare.underrepresented(counts, required)) == [("b", 99), ("c", 0)]
+
+
+def test_placed_rows(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
+    assert rows(compare.placed(df.repartition(7), "k")) == sorted(((i, i) for i in range(1000)), key=str)
