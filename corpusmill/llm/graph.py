@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import written
+from corpusmill.llm.common import dropped, written
 
 
 def _step(edges: DataFrame) -> DataFrame:
@@ -36,8 +36,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
-        now, before = written(_step(now), "edges"), mark
+        last, before = now, mark
+        now = written(_step(last), "edges")
         mark = _mark(now)
+        dropped(last)
         if mark == before:
             break
     stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
