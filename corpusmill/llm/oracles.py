@@ -88,10 +88,54 @@ select p.doc_id, p.size, source_size, target, coalesce(taken, 0)::bigint as take
 from p left join f on p.size > 0 and p.source is not distinct from f.source and p.start = f.start and p.doc_id is not distinct from f.doc_id and p.size = f.size
 """
 
+OP11 = r"""
+with fold as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as u, 'abcdefghijklmnopqrstuvwxyz' as l),
+d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents, fold),
+w as (select r, lang, source, unnest(ts) as term from d),
+k as (select lang, term from w group by lang, term having count(distinct r) >= 30),
+c as (select lang, source, term, count(*) as n from w semi join k using (lang, term) group by lang, source, term),
+v as (select lang, count(*) as v from k group by lang),
+g as (select distinct lang, source from d),
+gn as (select lang, source, coalesce(sum(n), 0) as total from g left join c using (lang, source) group by lang, source),
+ln as (select lang, sum(n) as total from c group by lang),
+p as (select g.lang, g.source, k.term, coalesce(n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 5)) // (total + 5 * v) as p
+  from g join k using (lang) join v using (lang) join gn using (lang, source) left join c using (lang, source, term)),
+q as (select lang, term, 1 + (1000000000::hugeint * (sum(n) + 5)) // (any_value(total) + 5 * any_value(v)) as q from c join ln using (lang) join v using (lang) group by lang, term),
+pv as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pr as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source),
+tm as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from p join q using (lang, term) where n > 0 and p > q),
+x as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pr union all select * from tm))
+select lang, source, part, item, value, rank::int as rank from x where part = 'pair' or rank <= 50
+"""
+
+#: CRC-32 bit by bit; equal words a period apart in unbroken stretches; of stretches with the same bounds the least period.
+OP12 = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+h as (select *, len(ws) as n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, _: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint) as h from d),
+a as (select r, doc_id, ws, n, h % 10 = 0 and n > 0 as planted, case when n > 0 then (h // 10) % n end as a, case when n > 0 then 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) end as p from h),
+t as (select r, doc_id, n, case when planted then list_transform(range(n), lambda i: ws[1 + case when i < a then i else a + (i - a) % p end]) else ws end as ws from a),
+w as (select r, n, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as i from t),
+e as (select x.r, x.i, y.i - x.i as q from w x join w y on x.r = y.r and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+s as (select r, q, i, i - row_number() over (partition by r, q order by i) as island from e),
+m as (select r, q, min(i) as start, count(*) + q as length from s group by r, q, island having count(*) + q >= greatest(6, 4 * q)),
+u as (select r, start, length, min(q) as period from m group by r, start, length),
+b as (select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from u group by r),
+o as (select *, row_number() over (partition by r order by length::double / period desc, start, period) as best from u),
+x as (select r, unnest(range(start + period, start + length)) as i from u),
+k as (select w.r, string_agg(word, ' ' order by w.i) as text from w anti join x on w.r = x.r and w.i = x.i group by w.r)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, start::bigint as start, length::bigint as length, period::bigint as period, (1000 * length // period)::bigint as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(k.text, '')) as collapsed_sha256
+from t left join b using (r) left join (select * from o where best = 1) using (r) left join k using (r)
+"""
+
 ORACLES: dict[str, str] = {
     "op4_url_templates": urls.oracle(),
     "op5_benchmark_index": OP5,
     "op8_line_spread": OP8,
     "op9_repetition_rules": OP9,
     "op10_source_schedule": OP10,
+    "op11_source_divergence": OP11,
+    "op12_periodic_runs": OP12,
 }

@@ -1,18 +1,22 @@
-"""The queries of the ten operators, with production parameters, over whole tables."""
+"""The queries of the operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.chunks import repeated_spans
 from corpusmill.llm.common import table
 from corpusmill.llm.decontamination import contamination
+from corpusmill.llm.divergence import source_divergence
 from corpusmill.llm.licenses import license_scan
 from corpusmill.llm.lines import line_dedup
 from corpusmill.llm.mixing import mix
+from corpusmill.llm.packing import pack
+from corpusmill.llm.periodic import periodic_runs
 from corpusmill.llm.perplexity import quality
 from corpusmill.llm.pii import replace_pii
 from corpusmill.llm.repetition import repetition_rules
@@ -76,6 +80,39 @@ def op10_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def planted_period(doc_id: Column, text: Column) -> Column:
+    """The text, in a tenth of the documents with their words from some place on replaced by a stretch of them over and over."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    spaced = F.filter(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " "), lambda w: w != "")
+
+    def periodic(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = F.floor((n - a) / (g % 8 + 3)) + 1
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - F.lit(1).cast("long")), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    # a lambda's argument is evaluated once
+    planted = F.get(F.transform(F.array(spaced), lambda words: F.when(F.size(words) > 0, periodic(words))), F.lit(0))
+    return F.when(h % 10 == 0, planted).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs(docs.select("doc_id", planted_period(F.col("doc_id"), F.col("text")).alias("text")))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -87,4 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_spread": op8_line_spread,
     "op9_repetition_rules": op9_repetition_rules,
     "op10_source_schedule": op10_source_schedule,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_bounded_packing": op13_bounded_packing,
 }
