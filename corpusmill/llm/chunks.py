@@ -129,8 +129,9 @@ def passages(wanted: np.ndarray, ends: np.ndarray, run: int) -> list[tuple[int,
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
-    """One row for each row of docs: (id, n_chunks, n_bytes, n_repeats, n_shared, spans, shared_spans, repeats_of).
+    """One row for each row of docs: (id, text_hash, n_chunks, n_bytes, n_repeats, n_shared, spans, shared_spans, repeats_of).
 
+    text_hash: xxhash64 of the text, which tells rows that share an id apart.
     n_repeats: chunks that a lesser id has, or that stand earlier in the text;
     n_shared: chunks that another id has too. spans: byte ranges (start, stop) of
     passages to remove, runs of repeats of at least ``run`` bytes or of a whole
@@ -148,10 +149,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = written(spread.select("a", "b", "first_id"), "shared-chunks")
     found = places.join(known, ["a", "b"])
     lists = found.groupBy(F.col("id").alias("of"), F.col("row").alias("of_row")).agg(F.collect_set(F.struct("k", "first_id")).alias("m"))
-    joined = table.select("id", "row", "sizes", "same").join(lists, (F.col("id") == F.col("of")) & (F.col("row") == F.col("of_row")), "left").select("id", "sizes", "same", F.col("m.k").alias("k"), F.col("m.first_id").alias("first_id"))
+    joined = table.select("id", "row", "sizes", "same").join(lists, (F.col("id") == F.col("of")) & (F.col("row") == F.col("of_row")), "left").select("id", "row", "sizes", "same", F.col("m.k").alias("k"), F.col("m.first_id").alias("first_id"))
     pair = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType(
-        [T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("n_chunks", "n_bytes", "n_repeats", "n_shared")], T.StructField("spans", pair), T.StructField("shared_spans", pair), T.StructField("repeats_of", T.ArrayType(docs.schema[id_col].dataType))]
+        [T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("text_hash", "n_chunks", "n_bytes", "n_repeats", "n_shared")], T.StructField("spans", pair), T.StructField("shared_spans", pair), T.StructField("repeats_of", T.ArrayType(docs.schema[id_col].dataType))]
     )
 
     def row(own: object, sizes: np.ndarray, same: np.ndarray, k: list | None, first: list | None) -> tuple:
@@ -170,15 +171,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return n, int(ends[-1]), int(moved.sum()), int(shared.sum()), *spans, sorted({owner.get(c, own) for lo, hi in gone for c in same[lo:hi].tolist()})
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["id", "n_chunks", "n_bytes", "n_repeats", "n_shared", "spans", "shared_spans", "repeats_of"]
+        fields = ["id", "text_hash", "n_chunks", "n_bytes", "n_repeats", "n_shared", "spans", "shared_spans", "repeats_of"]
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for i, own in enumerate(ids):
-                rows.append(row(own, *[batch.column(c)[i].values.to_numpy() for c in (1, 2)], *[batch.column(c)[i].as_py() for c in (3, 4)]))
+                rows.append(row(own, *[batch.column(c)[i].values.to_numpy() for c in (2, 3)], *[batch.column(c)[i].as_py() for c in (4, 5)]))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(c, span) for c in columns[4:6]] + [pa.array(columns[6], pa.list_(batch.column(0).type))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], fields)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], fields)
 
     return arrow_map(joined, summarise, schema).withColumnRenamed("id", id_col)
 
@@ -186,13 +187,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """docs with text_col less its repeated passages; the other columns are carried, whatever their names.
 
-    Ids that repeat with other texts, or are null, keep their texts whole.
+    Rows that share an id each lose the passages of their own text; rows with null
+    ids keep their texts whole.
     """
     spans = repeated_spans(docs, id_col, text_col, run)
-    of, own, least, most = (free(x, *docs.columns) for x in ("of", "spans", "n", "most"))
-    counted = spans.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(of)).agg(F.min("spans").alias(own), F.min("n_bytes").alias(least), F.max("n_bytes").alias(most)).where(F.col(least) == F.col(most)).where(F.size(own) > 0)
+    of, row, own = (free(x, *docs.columns) for x in ("of", "row", "spans"))
+    known = spans.where(F.col(id_col).isNotNull() & (F.size("spans") > 0)).groupBy(F.col(id_col).alias(of), F.col("text_hash").alias(row)).agg(F.first("spans").alias(own))
     at, n = docs.columns.index(text_col), len(docs.columns)
-    joined = docs.join(counted, F.col(id_col) == F.col(of), "left").select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(f"{own}.start").alias("starts"), F.col(f"{own}.stop").alias("stops"))
+    joined = docs.join(known, (F.col(id_col) == F.col(of)) & (F.xxhash64(text_col) == F.col(row)), "left").select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(f"{own}.start").alias("starts"), F.col(f"{own}.stop").alias("stops"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in parts(whole, at)):

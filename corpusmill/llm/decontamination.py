@@ -237,17 +237,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_hit: words inside any occurrence of a benchmark window; n_items: distinct
     items with one; text_hash: xxhash64 of the text, which tells rows that share an
     id apart. Equal rows give equal results, also where ids repeat: rows are joined
-    on a 128-bit digest of id and text. Null and empty texts have no words; null or
-    empty items, and null item ids, match nothing; items of equal texts are all
-    found. Either table may be empty; other columns aren't read, whatever their
+    on a 128-bit digest of id and text. Null and empty texts have no words; items
+    without words match nothing; items of equal texts are all found. Items with null
+    ids are one item, which isn't in the list of ids. Either table may be empty; other columns aren't read, whatever their
     names. A long text is a segment of its own.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = source.withColumns({"row": F.xxhash64("id", "text"), "row2": F.xxhash64(F.lit(1), "id", "text"), "text_hash": F.xxhash64("text")})
-    found_dir, found = phrase_matches(keyed, benchmark.where(F.col(item_col).isNotNull()), item_col, text_col, window, 0)
+    found_dir, found = phrase_matches(keyed, benchmark, item_col, text_col, window, 0)
     spans = found.groupBy("row", "row2").agg(
         F.array_join(F.array_sort(F.collect_set(F.col("item").cast("string"))), ",").alias("items"),
-        F.size(F.collect_set("item")).cast("long").alias("n_items"),
+        (F.size(F.collect_set("item")) + F.max(F.col("item").isNull().cast("int"))).cast("long").alias("n_items"),
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"),
     )
     end = F.aggregate(

@@ -114,6 +114,21 @@ def test_spans_and_texts(spark):
     assert all(len(after[i]) < len(texts[i]) - 150 for i in range(31, 35))
 
 
+def test_rows_of_one_id_lose_their_own_passages(spark):
+    """Two texts of one id and of equal length: one repeats a passage, the other, of two-byte letters, nothing."""
+    rng = random.Random(8)
+    shared, own = prose(rng, 200), prose(rng, 200)
+    repeats = f"{own[:500]} {shared[:600]}"
+    other = "".join(rng.choice("äöüßéèñ") for _ in range(len(repeats.encode()) // 2))
+    other += "x" * (len(repeats.encode()) - len(other.encode()))
+    assert len(other.encode()) == len(repeats.encode())
+    rows = [(t, i, "x", 1, "y", "of", 2, "z") for i, t in ((1, shared), (2, repeats), (2, other), (2, repeats), (2, None), (None, shared))]
+    got = [(r["doc_id"], r["text"]) for r in C.chunk_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()]
+    lost = [t for i, t in got if i == 2 and t not in (None, other)]
+    assert got.count((2, other)) == 1 and got.count((1, shared)) == 1 and got.count((2, None)) == 1 and got.count((None, shared)) == 1
+    assert len(lost) == 2 and lost[0] == lost[1] and own[:400] in lost[0] and len(lost[0]) < len(repeats) - 400
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert C.repeated_spans(empty).collect() == [] and C.chunk_dedup(empty).collect() == []

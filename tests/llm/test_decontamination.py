@@ -16,7 +16,7 @@ def words(text):
 
 
 def brute(docs, items, size=10):
-    windows = [(item, tuple(w[i : i + size])) for text, item, *_ in items if item is not None and (w := words(text)) for i in range(max(1, len(w) - size + 1))]
+    windows = [(item, tuple(w[i : i + size])) for text, item, *_ in items if (w := words(text)) for i in range(max(1, len(w) - size + 1))]
     out = []
     for doc, text, *_ in docs:
         own, hit, found = words(text), set(), set()
@@ -24,8 +24,8 @@ def brute(docs, items, size=10):
             for i in range(len(own) - len(w) + 1):
                 if tuple(own[i : i + len(w)]) == w:
                     hit.update(range(i, i + len(w)))
-                    found.add(str(item))
-        out.append((doc, len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+                    found.add(item)
+        out.append((doc, len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(str(x) for x in found if x is not None)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
 
@@ -49,6 +49,13 @@ def test_matches_brute_force(spark, monkeypatch, segment, chunk):
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs, items)
 
 
+def test_items_without_ids_count(spark):
+    leak = "one two three four five six seven eight nine ten eleven"
+    docs, items = [(1, f"x {leak} y", "r", "i", 0), (2, "clean", "r", "i", 0)], [(leak, None, 1), (leak[:-7], 5, 1)]
+    got = sorted(D.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).drop("text_hash").collect())
+    assert [tuple(r) for r in got] == brute(docs, items) and (got[0]["n_hit"], got[0]["n_items"], got[1]["contaminated"]) == (11, 2, False)
+
+
 def test_empty_tables(spark):
     docs, items = rows()
     none, some = spark.createDataFrame([], DOCS), spark.createDataFrame(docs[:3], DOCS)
