@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import round4
+from corpusmill.operators.scans import parts
 
 
 def annotated_turns(turns: DataFrame, key: str = "case_id", order: str = "turn") -> DataFrame:
@@ -14,22 +14,29 @@ def annotated_turns(turns: DataFrame, key: str = "case_id", order: str = "turn")
 
     A question repeats if it equals, trimmed and not empty, the one just before;
     state progresses if more slots are mentioned than before or the intent changes.
-    The state before the first turn has none and a null intent. One window.
+    The state before the first turn has none and a null intent. One scan; a key with
+    most of the turns is cut.
     """
-    w = W.partitionBy(key).orderBy(order)
-    own, before = F.trim("assistant"), F.lag(F.trim("assistant")).over(w)
-    return turns.withColumns(
-        {
-            "repeated_previous_question": F.coalesce((own == before) & (own != ""), F.lit(False)),
-            "state_progressed": (F.col("mentioned") > F.coalesce(F.lag("mentioned").over(w), F.lit(0))) | ~F.col("intent").eqNullSafe(F.lag("intent").over(w)),
-        }
+    before = F.struct(F.trim("assistant").alias("own"), "mentioned", "intent")
+    found = parts(turns, [key], [order]).last_before({"_before": before}).rows
+    own = F.trim("assistant")
+    return found.select(
+        *turns.columns,
+        F.coalesce((own == F.col("_before.own")) & (own != ""), F.lit(False)).alias("repeated_previous_question"),
+        ((F.col("mentioned") > F.coalesce("_before.mentioned", F.lit(0))) | ~F.col("intent").eqNullSafe(F.col("_before.intent"))).alias("state_progressed"),
     )
 
 
 def last_question(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """turns with last_question: the latest non-empty text before each row."""
-    w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return turns.withColumn("last_question", F.last(F.when(F.col(text) != "", F.col(text)), ignorenulls=True).over(w))
+    """turns with last_question: the latest non-empty text before each row; a key with most of the turns is cut."""
+    found = parts(turns, [key], [order]).last_before({"last_question": F.when(F.col(text) != "", F.col(text))})
+    return found.rows.select(*turns.columns, "last_question")
+
+
+def repeats(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """rows with repeats: whether a row's value equals that of the row just before it of the same key."""
+    found = parts(rows, keys, order).last_before({"_before": F.struct(value)})
+    return found.rows.select(*rows.columns, F.coalesce(F.col(value) == F.col(f"_before.{value}"), F.lit(False)).alias("repeats"))
 
 
 def _share(part, whole, digits=4):

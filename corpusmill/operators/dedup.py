@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.operators.scans import parts
+
 
 def first_seen(df: DataFrame, key: Column, order: Sequence[str | Column]) -> DataFrame:
     """The first row of each key by order.
@@ -26,12 +28,15 @@ def last_write(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[
 
 
 def carried_forward(df: DataFrame, keys: Sequence[str], order: str, value: str, evidence: str) -> DataFrame:
-    """df with original_evidence: that of the first row of the run of equal values which the row is in."""
-    w = W.partitionBy(*keys).orderBy(order)
-    changed = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    runs = df.withColumn("_new", changed).withColumn("_run", F.sum("_new").over(w))
-    first = F.first(evidence).over(W.partitionBy(*keys, "_run").orderBy(order))
-    return runs.withColumn("original_evidence", first).drop("_new", "_run")
+    """df with original_evidence: that of the first row of the run of equal values which the row is in.
+
+    keys and order tell rows apart. Two scans: the value before tells where runs
+    begin, and the last beginning has the evidence; a key with most of the rows is cut.
+    """
+    before = parts(df, keys, [order]).last_before({"_before": F.struct(value)})
+    begins = F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col(f"_before.{value}"))
+    runs = before.with_columns({"_begun": F.when(begins, F.struct(evidence))}).last_before({"_earlier": F.col("_begun")})
+    return runs.rows.select(*df.columns, F.coalesce("_begun", "_earlier")[evidence].alias("original_evidence"))
 
 
 def split_of(index: Column) -> Column:

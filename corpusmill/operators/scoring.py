@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import f1_of, rate, round4
+from corpusmill.operators.quantiles import spread
+from corpusmill.operators.tables import settled
 
 COUNTS = ("tp", "fp", "fn", "id_tp", "id_fp", "id_fn", "matched", "matched_correct")
 
@@ -47,7 +48,7 @@ def prf(tp: Column, fp: Column, fn: Column, prefix: str) -> list[Column]:
 
 
 def component_metrics(records: DataFrame, category: str = "category") -> DataFrame:
-    """One row overall (category null) and one for each category, from one grouping-sets aggregate.
+    """One row overall (category null) and one for each category: a grouping-sets aggregate, and latencies by histograms.
 
     records, a row a call: task (extract or ask), predicted_ok, the COUNTS, n_expected,
     n_predicted, latency_ms and the checks intent, joint_extraction, correction,
@@ -65,7 +66,6 @@ def component_metrics(records: DataFrame, category: str = "category") -> DataFra
     collapsed = n(filled & (~ok | (F.col("n_predicted") == 0)))
     questions = ["question_contract", "one_question", "slot_relevance", "question_exact_match", "question_content_match"]
     names = ["question_contract_accuracy", "one_question_compliance", "question_slot_relevance", "question_exact_match_accuracy", "question_content_accuracy"]
-    latency = lambda c: F.coalesce(F.bround(c, 1), F.lit(0.0))
     out = [
         rate(n(ok), F.count("*")).alias("provider_success_rate"),
         rate(n(good & yes("intent")), n(extract)).alias("intent_accuracy"),
@@ -79,14 +79,17 @@ def component_metrics(records: DataFrame, category: str = "category") -> DataFra
         rate(n(good & ~F.coalesce(F.col("avoids_forbidden_slots"), F.lit(True))), n(good & yes("has_forbidden_contract"))).alias("forbidden_slot_inference_rate"),
         *[rate(n(ask & yes(c)), n(ask)).alias(name) for c, name in zip(questions, names, strict=True)],
         F.coalesce(round4(F.avg(F.when(ask, F.coalesce("question_content_token_f1", F.lit(0.0))))), F.lit(0.0)).alias("question_content_token_f1"),
-        latency(F.avg("latency_ms")).alias("latency_mean"),
-        latency(F.median("latency_ms")).alias("latency_p50"),
-        latency(F.expr("percentile_disc(0.95) within group (order by latency_ms)")).alias("latency_p95"),
         F.count("*").alias("calls"),
         n(extract).alias("extract_calls"),
         n(ask).alias("ask_calls"),
     ]
-    return records.groupingSets([[category], []], category).agg(*out)
+    own = settled(records, "records")
+    scores = own.groupingSets([[category], []], category).agg(F.grouping_id().alias("_g"), *out)
+    times = _latencies(own, "latency_ms", [category]).select(F.col(category).alias("_category"), "_all", *[F.coalesce(c, F.lit(0.0)).alias(f"latency_{c}") for c in ("mean", "p50", "p95")])
+    same = (F.least("_g", F.lit(1)) == F.col("_all")) & F.col(category).eqNullSafe(F.col("_category"))
+    places = [c for c in scores.columns if c != "_g"]
+    at = places.index("calls")
+    return scores.join(times, same, "left").select(*places[:at], "latency_mean", "latency_p50", "latency_p95", *places[at:])
 
 
 def extraction_checks(expected: Column, predicted: Column, forbidden: Column) -> Column:
@@ -104,21 +107,12 @@ def extraction_checks(expected: Column, predicted: Column, forbidden: Column) ->
 
 
 def latency_summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Mean, interpolated median and nearest-rank 95th percentile, overall and by group.
+    """Mean, interpolated median and nearest-rank 95th percentile, overall and by group."""
+    return _latencies(df, value, by).drop("_all")
 
-    Values are counted first, so what is sorted are a group's distinct values.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    every = counts.groupBy(*[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in by], "v").agg(F.sum("c").alias("c")).withColumn("_all", F.lit(1))
-    both = counts.withColumn("_all", F.lit(0)).unionByName(every)
-    group = W.partitionBy("_all", *by)
-    upto = both.withColumns({"hi": F.sum("c").over(group.orderBy("v")), "n": F.sum("c").over(group)}).withColumn("lo", F.col("hi") - F.col("c"))
-    at = lambda place: F.max(F.when((F.col("lo") <= place) & (place < F.col("hi")), F.col("v")))
-    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
-    mean, median = F.sum(F.col("v") * F.col("c")) / F.sum("c"), (at(low) + at(high)) / 2
-    out = upto.groupBy("_all", *by).agg(F.sum("c").alias("n"), F.bround(mean, 1).alias("mean"), F.bround(median, 1).alias("p50"), F.bround(F.min(F.when(F.col("hi") >= 0.95 * F.col("n"), F.col("v"))), 1).alias("p95"))
-    present = df.groupingSets([by, []], *by).agg(F.grouping_id().alias("g")).select(F.when(F.col("g") > 0, 1).otherwise(0).alias("_a"), *[F.col(c).alias(f"_{c}") for c in by])
-    same = F.col("_a") == F.col("_all")
-    for c in by:
-        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return present.join(out, same, "left").select(*[F.col(f"_{c}").alias(c) for c in by], F.coalesce("n", F.lit(0)).alias("n"), "mean", "p50", "p95")
+
+def _latencies(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """With _all, 1 for the row of all groups; from exact order statistics by histograms."""
+    places = {"low": F.floor((F.col("n") - 1) / 2), "high": F.ceil((F.col("n") - 1) / 2), "p95": F.ceil(0.95 * F.col("n")) - 1}
+    found = spread(df, value, by, places)
+    return found.select("_all", *by, "n", F.bround("mean", 1).alias("mean"), F.bround((F.col("low") + F.col("high")) / 2, 1).alias("p50"), F.bround("p95", 1).alias("p95"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import guardrails, text
 from corpusmill.operators import compare, conversation, dedup
+from corpusmill.operators.tables import work_dir
 from corpusmill.plans import catalog, corpus, sft, validation
 from corpusmill.sources import readers, sinks
 
@@ -28,7 +29,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{readers.work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _split_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,8 +138,7 @@ def latency_summary(spark, sf_dir):
 def prev_assistant_repeat(spark, sf_dir):
     """Repeats among events of a user: the same type as the one before."""
     events = _read(spark, sf_dir, "events")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    marked = events.withColumn("repeats", F.coalesce(F.col("event_type") == F.lag("event_type").over(w), F.lit(False)))
+    marked = conversation.repeats(events.select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type")
     per_user = marked.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("repeats").alias("repeats"))
     return per_user.agg(F.sum("repeats").alias("repeats"), F.sum(F.greatest(F.lit(0), F.col("n") - 1)).alias("chances"))
 

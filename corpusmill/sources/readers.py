@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -56,16 +55,6 @@ def _file_system(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); only a local session without it gets a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="corpusmill-")
-
-
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, is_dir) of what a folder holds, in any store; none if there is no such folder."""
     where, files = _file_system(spark, path)
