@@ -10,17 +10,21 @@ one group is left; there, a window that is far from full is cut at powers of two
 whose sequences need no padding. Only lengths travel in these rounds; the ids of a
 piece move once.
 
-Words between ASCII white space are tokenised once a task: no token spans it.
+Distinct words are tokenised once a task: no token spans ASCII white space, or stands
+on both sides of a letter's end before a mark.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,18 +39,26 @@ SIZE, END = 4096, 2
 WINDOWS, FAN = 128, 16
 #: A window whose space is at most one in so many of its size is emitted at a partition's end.
 SPARE = 64
-#: Distinct words whose ids a task holds.
-KNOWN = 1 << 18
+#: Distinct words whose ids a task holds, at least; what a batch adds goes beyond.
+KNOWN = 1 << 19
+#: A letter or digit and a mark after it, between which no token stands: letters that tokenizers agree on.
+MARKS = "([A-Za-z0-9À-ÖØ-öø-ÿ])([.,!?;:])"
+WORD = re.compile(b"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # UTF-8 of ASCII letters and those of Latin-1
+#: Words of letters that are tokenised at once.
+JOINED = 1 << 12
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file, word by word."""
+    """Ids of texts by a tokenizer file, word by word: each distinct word is tokenised once."""
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end
+        rules = json.loads(self.tokenizer.to_str())
+        self.lowers = '"Lowercase"' in json.dumps(rules["normalizer"])
         self.forget()
 
     def forget(self) -> None:
@@ -55,26 +67,44 @@ class Encoder:
 
     def learn(self, words: list[bytes]) -> None:
         fresh = [w for w in words if w not in self.known]
-        if not fresh:
-            return
-        found = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.known |= zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        alone, others = [w for w in fresh if WORD.fullmatch(w)], [w for w in fresh if not WORD.fullmatch(w)]
+        found, sizes = [], []
+        for i in range(0, len(alone), JOINED):  # a word of letters is one of the tokenizer's words, also among others
+            some = alone[i : i + JOINED]
+            one = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
+            found.append(np.array(one.ids, np.uint32))
+            sizes.append(np.bincount(np.array(one.word_ids, np.int64), minlength=len(some)))
+        for one in self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False) if others else ():
+            found.append(np.array(one.ids, np.uint32))
+            sizes.append(np.array([len(found[-1])]))
+        if fresh:
+            self.known |= zip(alone + others, range(len(self.known), len(self.known) + len(fresh)), strict=True)
+            new = np.concatenate(sizes).astype(np.int64)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(new) - new])
+            self.sizes, self.ids = np.concatenate([self.sizes, new]), np.concatenate([self.ids, *found])
+
+    def words(self, texts: pa.Array) -> pa.ListArray:
+        """Words of each text, with marks after letters and digits apart and, if the tokenizer has no case, in lower case.
+
+        Texts with combining marks, or what may be a special token, are only cut at white space.
+        """
+        raw = [t or b"" for t in utf8(texts)]
+        plain = pa.array([b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in raw])
+        own = pa.array(raw, pa.binary()).cast(pa.string())
+        folded = pa.array([t.translate(LOWER) for t in raw], pa.binary()).cast(pa.string()) if self.lowers else own
+        return pc.ascii_split_whitespace(pc.if_else(plain, own, pc.replace_substring_regex(folded, MARKS, r"\1 \2")))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, then the end id."""
-        words = [(t or b"").split() for t in texts]
-        found = pa.array([w for own in words for w in own], pa.binary()).dictionary_encode()
+        words = self.words(texts)
+        found = words.flatten().dictionary_encode()
         if len(self.known) > KNOWN:
             self.forget()
-        names = found.dictionary.to_pylist()
+        names = utf8(found.dictionary)
         self.learn(names)
-        code = np.fromiter((self.known[w] for w in names), np.int64, len(names))[found.indices.to_numpy()]
+        code = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[found.indices.to_numpy()]
         at, _ = ragged(self.starts[code], self.sizes[code])
-        upto = np.concatenate([[0], np.cumsum(self.sizes[code])])[np.cumsum([0, *map(len, words)])]
+        upto = np.concatenate([[0], np.cumsum(self.sizes[code])])[words.offsets.to_numpy() - words.offsets[0].as_py()]
         flat = self.ids[at]
         return [np.append(flat[a:b], np.uint32(self.end)) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
@@ -142,7 +172,7 @@ def packed_partitions(docs: DataFrame, id_col: str, text_col: str, path: str, si
         type_ = None
         for part in (part for whole in batches for part in parts(whole, 1)):
             type_ = part.schema.field(0).type
-            for own, ids in zip(part.column(0).to_pylist(), encoder.encode(utf8(part.column(1))), strict=True):
+            for own, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                 for start in range(0, len(ids), size):
                     piece = ids[start : start + size]
                     w, offset = open_.put(len(piece))
