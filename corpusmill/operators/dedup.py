@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.operators.scans import parts
 
@@ -54,8 +57,55 @@ def crossing_keys(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct(split).alias("n_splits"), F.count("*").alias("n")).where("n_splits > 1")
 
 
-def containing(texts: DataFrame, phrases: DataFrame, key: str, text: str, item: str, phrase: str) -> DataFrame:
-    """(key, item) pairs where a phrase stands in a text.
+#: Bytes of phrases that one automaton takes; some hundred times as much is its memory in a task.
+PHRASES = 1 << 20
+
+
+def containing(texts: DataFrame, phrases: DataFrame, key: str, text: str, item: str, phrase: str, limit: int | None = None) -> DataFrame:
+    """(key, item) pairs where a phrase stands in a text; an empty phrase stands in every text, null ones in none.
+
+    Phrases of up to ``limit`` bytes together (PHRASES) go to every task as one
+    Aho-Corasick automaton, which reads each text once, whatever words are frequent.
+    More are joined to texts by an anchor word.
+    """
+    own = phrases.where(F.col(phrase).isNotNull()).select(F.col(item).alias("i"), F.col(phrase).alias("p"))
+    if (own.agg(F.sum(F.octet_length("p") + 16)).first()[0] or 0) > (PHRASES if limit is None else limit):
+        return joined_by_anchor(texts, phrases, key, text, item, phrase)
+    known = own.collect()  # of the size just checked
+    items: dict[str, list] = {}
+    for r in known:
+        items.setdefault(r["p"], []).append(r["i"])
+    table = phrases.sparkSession.sparkContext.broadcast(list(items.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton, everywhere = ahocorasick.Automaton(), []
+        for k, (p, _) in enumerate(table.value):
+            if p:
+                automaton.add_word(p, k)
+            else:
+                everywhere.append(k)
+        if len(automaton):
+            automaton.make_automaton()
+        found = [own for _, own in table.value]
+        for batch in batches:
+            keys, met = [], []
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                here = {n for _, n in automaton.iter(t)} if len(automaton) else set()
+                for n in (*here, *everywhere):
+                    met += found[n]
+                    keys += [k] * len(found[n])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(met, item_type)], ["k", "i"])
+
+    item_type = to_arrow_type(own.schema["i"].dataType)
+    some = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    kinds = T.StructType([T.StructField("k", some.schema["k"].dataType), T.StructField("i", own.schema["i"].dataType)])
+    return some.mapInArrow(run, kinds).distinct().toDF(key, item)
+
+
+def joined_by_anchor(texts: DataFrame, phrases: DataFrame, key: str, text: str, item: str, phrase: str) -> DataFrame:
+    """containing() for more phrases than one automaton takes.
 
     A word of a phrase that isn't its first or last stands whole in any text with the
     phrase, so the longest one is its anchor; a phrase without such a word has its

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import string
 import uuid
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +19,7 @@ from corpusmill.operators import compare, conversation, dedup
 from corpusmill.operators.tables import work_dir
 from corpusmill.plans import catalog, corpus, sft, validation
 from corpusmill.sources import readers, sinks
+from corpusmill.streaming import incremental
 
 DOMAINS = 33
 
@@ -41,10 +41,40 @@ def _split_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jsonl_roundtrip(spark, sf_dir):
+    """Documents with nulls and maps, written and read; the lines' digests tell bytes, with nulls and sorted keys."""
     path = _folder(spark, "jsonl")
-    sinks.write_jsonl(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
-    got = readers.jsonl(spark, path, "doc_id long, text string, lang string")
-    return got.select("doc_id", "lang", F.sha2("text", 256).alias("sha256"), F.col("_corrupt_record").isNotNull().alias("corrupt"))
+    counts = F.map_from_arrays(F.array(F.lit("n_chars"), F.lit("doc_id")), F.array("n_chars", "doc_id"))
+    sinks.write_jsonl(_read(spark, sf_dir, "documents").select("doc_id", "text", F.nullif("lang", F.lit("es")).alias("lang"), counts.alias("counts")), path)
+    got = readers.jsonl(spark, path, "doc_id long, text string, lang string, counts map<string,long>")
+    lines = spark.read.text(path).select(F.get_json_object("value", "$.doc_id").cast("long").alias("of"), F.regexp_extract("value", r'^(\{"counts":\{[^}]*\},"doc_id":\d+,"lang":(?:null|"[a-z]*")),"text":', 1).alias("head"))
+    return got.join(lines, F.col("doc_id") == F.col("of")).select("doc_id", "lang", F.sha2("text", 256).alias("sha256"), F.col("counts")["n_chars"].alias("n_chars"), "head", F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
+def jsonl_tree(spark, sf_dir):
+    """The tree of digests of documents' lines as they were written."""
+    path = _folder(spark, "tree")
+    sinks.write_tree(_read(spark, sf_dir, "documents").select("doc_id", F.nullif("lang", F.lit("es")).alias("lang"), "n_chars"), path, "doc_id")
+    return sinks.digest_tree(sinks.leaf_digests(sinks.read_tree(spark, path)))
+
+
+def text_fingerprints(spark, sf_dir):
+    """Size and SHA-256 of a written file for each source, of its documents' digests in order."""
+    path = _folder(spark, "sources")
+    lines = _read(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("value"))
+    lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
+    return readers.fingerprints(spark, path, "part-*").select(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"), "bytes", "sha256")
+
+
+def streamed_evaluation(spark, sf_dir):
+    """Events scored by a stream of several batches that is started again, with events that come twice."""
+    folder = _folder(spark, "stream")
+    events = _read(spark, sf_dir, "events").select("event_id", "event_type", "value", F.to_date("ts").cast("string").alias("day"))
+    score = lambda df: df.select("event_id", "event_type", F.bround(F.col("value") * 2, 1).alias("score"))
+    parts = (events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1 or event_id % 10 = 0"))
+    for part in parts:
+        part.repartition(2).write.mode("append").json(f"{folder}/in")
+        incremental.evaluated_stream(spark, f"{folder}/in", "event_id long, event_type string, value double, day string", score, f"{folder}/out", f"{folder}/state", "event_id", F.substring("day", 1, 7), files=1).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "event_type", "score")
 
 
 def named_splits_scan(spark, sf_dir):
@@ -79,11 +109,10 @@ def config_scan(spark, sf_dir):
 def prior_reports(spark, sf_dir):
     """Documents that a prior report lacks; reports that are missing or no list have no records."""
     folder = _folder(spark, "reports")
-    done = _read(spark, sf_dir, "labels").where("quality = 1").agg(F.to_json(F.collect_list(F.struct("doc_id"))).alias("value"))
-    done.write.text(f"{folder}/list")
+    sinks.write_lists(_read(spark, sf_dir, "labels").where("quality = 1").select("doc_id", "toxic"), f"{folder}/list")
     spark.createDataFrame([('{"doc_id": 1}',)], "value string").write.text(f"{folder}/object")
-    found = [readers.reports(spark, f"{folder}/{name}", "doc_id long") for name in ("list", "object", "missing")]
-    return compare.pending(_read(spark, sf_dir, "documents").select("doc_id"), [reduce(DataFrame.unionByName, found)], "doc_id")
+    found = readers.reports(spark, [f"{folder}/{name}" for name in ("list", "object", "missing")], "doc_id long")
+    return compare.pending(_read(spark, sf_dir, "documents").select("doc_id"), [found], "doc_id")
 
 
 def model_answers(spark, sf_dir):
@@ -271,7 +300,7 @@ def stamped_names(spark, sf_dir):
 MORE = {
     f.__name__: f
     for f in (
-        jsonl_roundtrip, named_splits_scan, json_array_scan, key_value_scan, config_scan, prior_reports, model_answers, csv_review, report_roundtrip, checkpoint_listing, artifact_chain, run_manifest_lengths,
+        jsonl_roundtrip, jsonl_tree, text_fingerprints, streamed_evaluation, named_splits_scan, json_array_scan, key_value_scan, config_scan, prior_reports, model_answers, csv_review, report_roundtrip, checkpoint_listing, artifact_chain, run_manifest_lengths,
         cluster_messages, targeted_messages, scenario_messages, chat_questions, paraphrased_records, extended_validation, length_gate, normalized_values, routed_extractions, final_slots, underrepresented_sources,
         relevant_questions, stamped_names,
     )
@@ -370,7 +399,14 @@ _EXPECTED = ["size", "no test split", "extraction only", "prompt roles", "comple
 _CLEAR = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 MORE_SQL = {
-    "jsonl_roundtrip": "select doc_id, lang, sha256(text) as sha256, false as corrupt from documents",
+    "jsonl_roundtrip": """select doc_id, nullif(lang, 'es') as lang, sha256(text) as sha256, n_chars, '{"counts":{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '},"doc_id":' || doc_id || ',"lang":' || coalesce('"' || nullif(lang, 'es') || '"', 'null') as head, false as corrupt from documents""",
+    "jsonl_tree": """with l as (select ('0x' || sha256(doc_id::varchar)[1:8])::bigint % 256 as leaf, sha256('{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || nullif(lang, 'es') || '"', 'null') || ',"n_chars":' || n_chars || '}') as h from documents),
+t0 as (select 0 as level, leaf as node, count(*) as n, sha256(count(*) || ':' || sum(('0x' || h[1:15])::hugeint)::varchar || ':' || sum(('0x' || h[17:31])::hugeint)::varchar || ':' || sum(('0x' || h[33:47])::hugeint)::varchar || ':' || sum(('0x' || h[49:63])::hugeint)::varchar) as digest from l group by leaf),
+t1 as (select 1 as level, node // 16 as node, sum(n) as n, sha256(string_agg(node || '=' || digest, ',' order by node)) as digest from t0 group by node // 16),
+t2 as (select 2 as level, 0 as node, sum(n) as n, sha256(string_agg(node || '=' || digest, ',' order by node)) as digest from t1)
+select level, node::int as node, n::bigint as n, digest from (select * from t0 union all select * from t1 union all select * from t2)""",
+    "text_fingerprints": "select source, (65 * count(*))::bigint as bytes, sha256(string_agg(sha256(text) || chr(10), '' order by doc_id)) as sha256 from documents group by source",
+    "streamed_evaluation": "select event_id, event_type, round_even(value * 2, 1) as score from events",
     "named_splits_scan": f"with {_SPLITS} select split, count(*) as n, sum(n_chars)::bigint as chars, 0::bigint as corrupt from sd group by 1",
     "json_array_scan": "select n_nationkey::bigint as n_nationkey, n_name from nation",
     "key_value_scan": "select lower(n_name) as key, 'a=' || n_nationkey as value from nation",

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import fnmatch
+import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.sources import folders
+
 TURN = "struct<message:string,context_slots:map<string,string>,last_assistant_question:string,gold_extraction:struct<intent:string,intent_confidence:double,updates:array<struct<slot_id:string,candidate_value:string,status:string,confidence:double,evidence_text:string>>,correction_detected:boolean,unsupported_claims:array<string>>>"
 SCENARIO = f"scenario_id string, corpus_version string, schema_version string, split string, category string, domain string, behavior_tags array<string>, turns array<{TURN}>, gold_intent string, gold_final_slots map<string,string>, expected_question_slot string, ideal_question string, must_not_infer array<string>"
 RECORD = "prompt array<struct<role:string,content:string>>, completion array<struct<role:string,content:string>>, messages array<struct<role:string,content:string>>, metadata map<string,string>"
@@ -44,22 +50,69 @@ def key_values(spark: SparkSession, path: str) -> DataFrame:
     return kept.select(F.lower(F.trim(parts[0])).alias("key"), F.btrim(F.trim(parts[1]), F.lit("\"'")).alias("value"))
 
 
-def fingerprints(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, name, bytes, sha256) of files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256")).withColumnRenamed("length", "bytes")
+#: Bytes of a file in memory at once.
+BLOCK = 1 << 23
 
 
-def _file_system(spark: SparkSession, path: str):
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its store, as Spark reads it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(where).toString()
+
 
+def _read_by_tasks(path: str) -> bool:
+    return path.partition(":")[0] in folders.STORES
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, is_dir) of what a folder holds, in any store; none if there is no such folder."""
-    where, files = _file_system(spark, path)
-    found = [(f.getPath().toString(), f.getPath().getName(), f.isDirectory()) for f in files.listStatus(where)] if files.exists(where) else []
-    return spark.createDataFrame(found, "path string, name string, is_dir boolean")
+
+def listing(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
+    """(path, name, is_dir, bytes) of what a folder holds, with deep of all below it too; none if there is no such folder.
+
+    Tasks list, a folder just below the root each; only in stores that pyarrow
+    doesn't read Spark's file system does, on the driver.
+    """
+    path = qualified(spark, path)
+    if _read_by_tasks(path):
+        spark.dataSource.register(folders.Folder)
+        return spark.read.format("folder").options(paths=json.dumps([path]), deep=str(deep).lower()).load()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, found, left = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), [], [where]
+    while left:
+        here = left.pop()
+        for f in files.listStatus(here) if files.exists(here) else []:
+            found.append((f.getPath().toString(), f.getPath().getName(), f.isDirectory(), None if f.isDirectory() else f.getLen()))
+            if deep and f.isDirectory():
+                left.append(f.getPath())
+    return spark.createDataFrame(found, "path string, name string, is_dir boolean, bytes long")
+
+
+def streamed_sha256(path: str, block: int = BLOCK) -> str:
+    """A file's SHA-256, block by block."""
+    files, name = folders.opened(path)
+    digest = hashlib.sha256()
+    with files.open_input_stream(name, compression=None) as stream:
+        while part := stream.read(block):
+            digest.update(part)
+    return digest.hexdigest()
+
+
+def fingerprints(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, name, bytes, sha256) of the files whose names fit the pattern, in a folder and below it.
+
+    Files are dealt by size, and a task streams its own, so no file is a row,
+    whatever its size. Only in stores that pyarrow doesn't read a file is a row of
+    its content, of 2 GB at most, and empty ones aren't seen.
+    """
+    if not _read_by_tasks(qualified(spark, path)):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+        return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    named = listing(spark, path, deep=True).where(~F.col("is_dir") & F.col("name").rlike(fnmatch.translate(pattern))).select("path", "name", "bytes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("sha256", pa.array([streamed_sha256(x) for x in batch.column(0).to_pylist()], pa.string()))
+
+    dealt = named.repartitionByRange(spark.sparkContext.defaultParallelism * 4, F.desc("bytes"), "path")
+    return dealt.mapInArrow(run, "path string, name string, bytes long, sha256 string")
 
 
 def checkpoints(spark: SparkSession, path: str) -> DataFrame:
@@ -68,14 +121,25 @@ def checkpoints(spark: SparkSession, path: str) -> DataFrame:
     return listing(spark, path).where("is_dir").select("path", step.alias("step")).where("step is not null")
 
 
-def reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A prior report's records; none if there is no such file or it isn't a list of records."""
-    where, files = _file_system(spark, path)
-    if files.exists(where):
-        start = spark.read.text(path).where(F.trim("value") != "").select(F.ltrim("value")).first()
-        if start and start[0].startswith("["):
-            return json_array(spark, path, schema).dropna(how="all")
-    return spark.createDataFrame([], schema)
+def reports(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Prior reports' records: files, or folders of files, that are a JSON list each; none of those that are missing or no list.
+
+    A task streams each file, record by record. Only in stores that pyarrow doesn't
+    read a file is a row.
+    """
+    paths = [qualified(spark, p) for p in ([path] if isinstance(path, str) else path)]
+    if all(map(_read_by_tasks, paths)):
+        spark.dataSource.register(folders.JsonLists)
+        values = spark.read.format("json_lists").option("paths", json.dumps(paths)).load()
+        return values.select(F.from_json("value", schema).alias("r")).select("r.*").dropna(how="all")
+    out = spark.createDataFrame([], schema)
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+            start = spark.read.text(p).where(F.trim("value") != "").select(F.ltrim("value")).first()
+            if start and start[0].startswith("["):
+                out = out.unionByName(json_array(spark, p, schema).dropna(how="all"))
+    return out
 
 
 def _told(error: Exception) -> str:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import platform
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,21 +24,118 @@ def alphabetical(kind: T.DataType) -> T.DataType:
 def _ordered(column, kind: T.DataType):
     if isinstance(kind, T.StructType):
         return F.when(column.isNotNull(), F.struct(*[_ordered(column[f.name], f.dataType).alias(f.name) for f in sorted(kind, key=lambda f: f.name)]))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(column), lambda e: F.struct(e["key"].alias("key"), _ordered(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)))
     if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.NumericType, T.BooleanType)):
         return F.transform(column, lambda x: _ordered(x, kind.elementType))
     return column
 
 
 def sorted_fields(df: DataFrame) -> DataFrame:
-    """df with columns, and the fields of nested structs, in order of name: JSON with sorted keys."""
+    """df with columns, the fields of nested structs and the keys of maps in order of name: JSON with sorted keys."""
     return df.select(*[_ordered(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(df.columns)])
 
 
 def write_jsonl(df: DataFrame, path: str, order: Sequence[str] = (), files: int | None = None) -> None:
-    """JSON Lines with sorted keys and raw UTF-8. With files=1 and an order the bytes are the same each time; use that for small results only."""
+    """JSON Lines with sorted keys, nulls as null, and raw UTF-8.
+
+    With files=1 and an order the bytes are the same each time; use that for small
+    results only, and write_tree for others.
+    """
     placed = df.repartition(files) if files else df
     placed = placed.sortWithinPartitions(*order) if order else placed
-    sorted_fields(placed).write.mode("overwrite").json(path)
+    sorted_fields(placed).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_lists(df: DataFrame, path: str) -> None:
+    """The rows of each task as one file that is a JSON list."""
+    lines = sorted_fields(df).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([(mark if k == 0 else ",") + v for k, v in enumerate(values)], pa.string())], ["value"])
+            mark = "," if values else mark
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"])], ["value"])
+
+    lines.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
+#: Leaves of a tree of digests, and children of a node.
+LEAVES, CHILDREN = 256, 16
+
+
+def leaf_of(key: str, leaves: int = LEAVES) -> Column:
+    """The leaf that a row belongs to, by its key alone."""
+    return (F.conv(F.substring(F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256), 1, 8), 16, 10).cast("long") % leaves).cast("int")
+
+
+def json_lines(df: DataFrame, key: str, leaves: int = LEAVES) -> DataFrame:
+    """(leaf, key, value): each row as JSON with sorted keys and nulls."""
+    fields = sorted_fields(df)
+    value = F.to_json(F.struct(*fields.columns), {"ignoreNullFields": "false"})
+    return fields.select(leaf_of(key, leaves).alias("leaf"), F.col(key).cast("string").alias("key"), value.alias("value"))
+
+
+def write_tree(df: DataFrame, path: str, key: str, leaves: int = LEAVES) -> None:
+    """JSON Lines in a folder for each leaf (leaf=N), in the order of (leaf, key, line): the lines of a leaf are the same however many tasks write."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = json_lines(df, key, leaves).repartitionByRange(tasks, "leaf", "key", "value")
+    dealt.sortWithinPartitions("leaf", "key", "value").select("leaf", "value").write.mode("overwrite").partitionBy("leaf").text(path)
+
+
+def read_tree(spark: SparkSession, path: str, only: Sequence[int] | None = None) -> DataFrame:
+    """(leaf, value) of what write_tree wrote; only: of these leaves, without reading others."""
+    lines = spark.read.schema("value string, leaf int").text(path).select("leaf", "value")
+    return lines if only is None else lines.where(F.col("leaf").isin(*only))
+
+
+def leaf_digests(lines: DataFrame) -> DataFrame:
+    """(level, node, n, digest) of the leaves of (leaf, value) lines, level 0.
+
+    A leaf's digest is that of its number of lines and of the sums of the four
+    quarters of their SHA-256, so it depends on no order and no leaf is gathered.
+    """
+    sha = F.sha2("value", 256)
+    quarters = [F.sum(F.conv(F.substring(sha, 1 + 16 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    return lines.groupBy(F.col("leaf").alias("node")).agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *quarters), 256).alias("digest")).select(F.lit(0).alias("level"), "node", "n", "digest")
+
+
+def digest_tree(leaves: DataFrame, n_leaves: int = LEAVES) -> DataFrame:
+    """(level, node, n, digest) of the leaves and the nodes above them; the last level is the root. A node's digest is that of its children in order."""
+    out = level = leaves
+    depth = 0
+    while n_leaves > 1:
+        n_leaves, depth = -(-n_leaves // CHILDREN), depth + 1
+        children = F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda c: F.concat(c["node"].cast("string"), F.lit("="), c["digest"]))  # CHILDREN at most
+        level = level.groupBy(F.floor(F.col("node") / CHILDREN).cast("int").alias("node")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(children, ","), 256).alias("digest")).select(F.lit(depth).alias("level"), "node", "n", "digest")
+        out = out.unionByName(level)
+    return out
+
+
+def changed_leaves(before: DataFrame, after: DataFrame) -> list[int]:
+    """The leaves that two trees don't share, found from the root down; there are no more than a tree has."""
+    top = max(r[0] for t in (before, after) for r in t.agg(F.coalesce(F.max("level"), F.lit(0))).collect())
+    parents = None
+    for level in range(top, -1, -1):
+        sides = [t.where(F.col("level") == level).select("node", F.col("digest").alias(name)) for t, name in ((before, "a"), (after, "b"))]
+        both = sides[0].join(sides[1], "node", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+        inside = both if parents is None else both.where(F.floor(F.col("node") / CHILDREN).isin(*parents))
+        parents = sorted(r[0] for r in inside.select("node").collect())
+        if not parents:
+            return []
+    return parents
+
+
+def recheck(spark: SparkSession, path: str, tree: DataFrame, only: Sequence[int] | None = None) -> DataFrame:
+    """(node, problem) of the leaves of files whose lines differ from those of a tree; only these leaves are read, if given."""
+    found = leaf_digests(read_tree(spark, path, only)).select("node", F.col("digest").alias("own"))
+    named = tree.where("level = 0").select("node", "digest")
+    both = (named if only is None else named.where(F.col("node").isin(*only))).join(found, "node", "full")
+    problem = F.when(F.col("own").isNull(), "missing").when(F.col("digest").isNull(), "unknown").when(F.col("own") != F.col("digest"), "checksum")
+    return both.select("node", problem.alias("problem")).where("problem is not null")
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:

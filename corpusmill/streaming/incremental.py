@@ -4,22 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusmill.operators.tables import settled
 
-def evaluated_stream(spark: SparkSession, source: str, schema: str, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "case_id") -> StreamingQuery:
+#: Hashes that the keys of an evaluation are cut into, if nothing else cuts them.
+SLICES = 64
+
+
+def evaluated_stream(spark: SparkSession, source: str, schema: str, score: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "case_id", slices: Column | None = None, files: int | None = None) -> StreamingQuery:
     """Scores new JSON Lines files once, each case the first time it comes. Ends when all there is is done.
 
-    The cases seen are the stream's state; a batch's results replace those of an
-    earlier try at the same batch (out/batch=N), so a restart repeats nothing.
+    The stream holds no state. The keys done are a table in out/_done, cut by
+    ``slices``, a value of the case such as its day (else SLICES hashes of its key): a
+    batch reads the keys of its own slices only, and those of earlier batches, so what
+    a task holds is bounded by a slice. A batch's results (out/batch=N) and keys
+    replace those of an earlier try at the same batch, so a restart repeats nothing.
+    files: files of a batch.
     """
+    sliced = F.pmod(F.xxhash64(key), F.lit(SLICES)) if slices is None else slices
+    kind = T.StructType.fromDDL(schema)[key].dataType.simpleString()
 
     def step(batch: DataFrame, number: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    cases = spark.readStream.schema(schema).json(source).dropDuplicates([key])
+        own = batch.withColumn("slice", sliced.cast("string"))
+        first = own.dropDuplicates([key])
+        if number:
+            done = spark.read.schema(f"`{key}` {kind}, batch long, slice string").parquet(f"{out}/_done")
+            touched = own.select("slice").distinct()  # so that only these folders are read
+            earlier = done.where(F.col("batch") < number).join(F.broadcast(touched) if slices is None else touched, "slice", "left_semi")
+            first = first.join(earlier.select(key), key, "left_anti")
+        fresh = settled(first, "batch")
+        score(fresh.drop("slice")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        fresh.select(key, "slice").repartition("slice").write.mode("overwrite").partitionBy("slice").parquet(f"{out}/_done/batch={number}")
+
+    reader = spark.readStream.schema(schema)
+    cases = (reader if files is None else reader.option("maxFilesPerTrigger", files)).json(source)
     return cases.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
