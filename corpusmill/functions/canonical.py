@@ -44,6 +44,7 @@ UNITS = {
     "years": "year",
     "yearly": "year",
 }
+UNIT_MAP = "map(" + ", ".join(f"'{a}', '{b}'" for a, b in UNITS.items()) + ")"
 #: Words before a duration. Fixed values.
 FRAMES = ("for", "over")
 AHEAD = ("next", "following")
@@ -231,7 +232,7 @@ def salvaged(answer: Column) -> Column:
     return _either(answer, fast, _salvage_udf)
 
 
-def _let(value: Column, then) -> Column:
+def let(value: Column, then) -> Column:
     """then(value), where the value is worked out once however often it's used."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
@@ -240,7 +241,7 @@ def _phrase(text: Column, whole: bool) -> Column:
     """{periods, unit} of a phrase like 'for the next 6 months'; null if it isn't one, or more with whole."""
     after = lambda words, n: F.slice(words, n + 1, F.greatest(F.lit(1), F.size(words)))
     word = lambda words, n: F.coalesce(F.get(words, F.lit(n)), F.lit(""))
-    units = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    units = F.expr(UNIT_MAP)
 
     def unframed(words: Column) -> Column:
         return F.when(word(words, 0).isin(*FRAMES), after(words, 1)).otherwise(words)
@@ -258,7 +259,7 @@ def _phrase(text: Column, whole: bool) -> Column:
         return F.when(fits & unit.isNotNull(), F.struct(count["periods"].alias("periods"), unit.alias("unit")))
 
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+|\d+(?:\.\d+)?"), F.lit(0))
-    found = _let(words, lambda w: _let(unframed(w), lambda u: _let(ahead(u), lambda v: _let(counted(v), said))))
+    found = let(words, lambda w: let(unframed(w), lambda u: let(ahead(u), lambda v: let(counted(v), said))))
     return F.when(text.rlike(r"^[\sA-Za-z0-9.]*$"), found) if whole else found
 
 
@@ -273,7 +274,7 @@ def durations(raw: Column | str, evidence: Column | str, message: Column | str)
     own = F.trim(raw)
     fields = F.when(own.rlike(r"(?s)^\{.*\}$"), F.try_parse_json(own))
     named = F.lower(F.coalesce(F.try_variant_get(fields, "$.unit", "string"), F.lit("month")))
-    units = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    units = F.expr(UNIT_MAP)
     told = F.when(fields.isNotNull(), F.struct(F.coalesce(F.try_variant_get(fields, "$.periods", "double"), F.lit(1.0)).alias("periods"), F.coalesce(F.try_element_at(units, named), named).alias("unit")))
     near = _phrase(F.concat_ws(" ", evidence, message), False)
     number = F.when(raw.rlike(r"^\d+$"), raw.try_cast("double"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 #: Words that carry no content in a question. Fixed values.
 STOPWORDS = ("a", "about", "and", "are", "be", "each", "for", "how", "in", "is", "of", "or", "the", "to", "what", "when", "which", "will")
-#: Token F1 from which two questions ask the same.
+#: Token F1 from which two questions ask the same. Fixed value.
 CONTENT_MATCH = 0.75
 
 
@@ -162,3 +162,39 @@ def token_lengths(make: Callable[[], Callable[[str], Sequence]]) -> Callable[[Co
         return texts.map(lambda t: 0 if t is None else len(made[0](t)), na_action=None).astype("int64")
 
     return lengths
+
+
+#: Distinct pieces whose numbers of tokens a worker remembers.
+PIECES = 1 << 18
+
+
+def piece_lengths(make: Callable[[], Callable[[list[str]], list[int]]], pattern: str) -> Callable[[Column], Column]:
+    """As token_lengths, for tokenizers whose tokens never span the matches of a pattern (their own first cut).
+
+    make builds, once in each worker, a function from a list of pieces to their
+    numbers of tokens. Each distinct piece is counted once: a text costs a lookup for
+    each of its pieces.
+    """
+    made: list = []
+    known: dict[str, int] = {}
+
+    @F.pandas_udf(T.LongType())
+    def lengths(texts: pd.Series) -> pd.Series:
+        import regex
+
+        if not made:
+            made.extend((make(), regex.compile(pattern)))
+        pieces = [[] if t is None else made[1].findall(t) for t in texts]
+        if len(known) > PIECES:
+            known.clear()
+        fresh = list({p for own in pieces for p in own if p not in known})
+        known.update(zip(fresh, made[0](fresh) if fresh else [], strict=True))
+        return pd.Series([sum(map(known.__getitem__, own)) for own in pieces], dtype="int64")
+
+    return lengths
+
+
+def message_length(role: Column, tokens: Column, overhead: dict[str, int]) -> Column:
+    """Tokens of a chat's message in a template that puts so many around one of each role."""
+    around = F.create_map(*[F.lit(x) for pair in overhead.items() for x in pair])
+    return tokens + F.coalesce(F.try_element_at(around, role), F.lit(0))

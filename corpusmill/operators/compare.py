@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusmill.operators import quantiles
+from corpusmill.operators.tables import settled
 
 #: Metrics of which more is better, and less is better. Fixed values.
 HIGHER = ("case_success_rate", "intent_accuracy", "exact_final_state_accuracy", "slot_micro_precision", "slot_micro_recall", "slot_micro_f1", "slot_id_micro_f1", "assistant_safety_rate", "state_progression_rate")
@@ -54,23 +58,78 @@ def completed(reports: Sequence[DataFrame], key: str = "case_id") -> DataFrame:
 
 
 def placed(df: DataFrame, order: str) -> DataFrame:
-    """df with _at, each row's place in the order from 0 on.
-
-    Rows are sorted by ranges and kept so; only the ranges' sizes meet in one task.
-    """
-    ranges = df.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}).persist()
+    """df with _at, each row's place in the order from 0 on: a whole sort, by ranges of which only the sizes meet in one task."""
+    ranges = settled(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = ranges.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.select(F.col("_part").alias("_of"), F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranges.join(before, F.col("_part") == F.col("_of")).select(*df.columns, (F.col("_before") + F.col("_in")).alias("_at"))
+    inside = ranges.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1)
+    return inside.join(before, F.col("_part") == F.col("_of")).select(*df.columns, (F.col("_before") + F.col("_in")).cast("long").alias("_at"))
+
+
+def order_number(df: DataFrame, order: str) -> Column:
+    """A number that never falls in the column's order, nulls first: of text its first six bytes."""
+    kind = df.schema[order].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        own = F.conv(F.rpad(F.hex(F.substring(F.col(order).cast("binary"), 1, 6)), F.lit(12), F.lit("0")), 16, 10).cast("double")
+    elif isinstance(kind, T.DateType):
+        own = F.unix_date(order).cast("double")
+    else:
+        own = F.col(order).cast("double")
+    return F.coalesce(own, F.lit(float("-inf")))
 
 
 def sampled(df: DataFrame, order: str, offset: int = 0, limit: int | None = None, indices: Sequence[int] | None = None) -> DataFrame:
-    """Rows by their place in order: the given indices if any, else from offset on; then at most limit of them."""
-    if indices is None:
-        last = F.lit(True) if limit is None else F.col("_at") < offset + limit
-        return placed(df, order).where((F.col("_at") >= offset) & last).drop("_at")
-    found = placed(df, order).where(F.col("_at").isin(*indices)).drop("_at")
-    return found if limit is None else found.orderBy(order).limit(limit)
+    """Rows by their place in order: the given indices if any, else from offset on; then at most limit of them.
+
+    Rows are counted in buckets of the order, and a large bucket that a wanted place
+    lies in is counted again in narrower ones. Buckets without a wanted place are
+    never sorted or read again, buckets of wanted places only are kept as they are,
+    and only rows of the few others get their place by a sort. Ties are in any order.
+    """
+    if indices is not None:
+        places = sorted({i for i in indices if i >= 0})
+        if limit is not None:  # of those that are there
+            n = df.count()
+            places = [i for i in places if i < n][:limit]
+        wanted = [(i, i + 1) for i in places]
+    else:
+        wanted = [(max(0, offset), (1 << 62) if limit is None else max(0, offset) + max(0, limit))]
+    wanted = [w for w in wanted if w[0] < w[1]]
+    rows = df.withColumn("_v", order_number(df, order))
+    whole, sorted_ = [], []  # (lo, hi) and (lo, hi, rows before)
+    open_: list[tuple | None] = [None] if wanted else []
+    while open_:
+        found = []
+        for span in open_:  # at most two for a stretch, and one for each index
+            inside, before = (rows, 0) if span is None else (rows.where(F.col("_v").between(span[0], span[1])), span[2])
+            bucket = quantiles.first_bucket(F.col("_v")) if span is None else F.least(F.lit(quantiles.CUTS - 1), F.floor((F.col("_v") - F.lit(span[0])) / F.lit(span[1] - span[0]) * quantiles.CUTS)).cast("int")
+            counts = inside.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+            start = F.lit(before) + F.sum("c").over(W.orderBy("bucket")) - F.col("c")
+            there = counts.select("c", "lo", "hi", start.alias("start"))
+            meets = F.exists(F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in wanted]), lambda w: (F.col("start") < w["b"]) & (F.col("start") + F.col("c") > w["a"]))
+            inner = F.lit(False) if indices is not None else (F.col("start") >= wanted[0][0]) & (F.col("start") + F.col("c") <= wanted[0][1])
+            span_of = there.where(meets & inner).agg(F.min("lo"), F.max("hi")).first()
+            if span_of[0] is not None:
+                whole.append(tuple(span_of))
+            found += [tuple(r) for r in there.where(meets & ~inner).collect()]  # borders of the stretch, or a bucket for each index at most
+        sorted_ += [(lo, hi, start) for c, lo, hi, start in found if c <= quantiles.SORTED or _same(lo, hi)]
+        open_ = [(lo, hi, start) for c, lo, hi, start in found if c > quantiles.SORTED and not _same(lo, hi)]
+    out = df.limit(0)
+    for lo, hi in whole:
+        out = out.unionByName(rows.where((F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))).drop("_v"))
+    if sorted_:
+        which = F.lit(None).cast("long")
+        for lo, hi, start in sorted_:
+            which = F.when((F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi)), F.lit(start)).otherwise(which)
+        own = rows.withColumn("_start", which).where("_start is not null")
+        at = own.withColumn("_at", F.col("_start") + F.row_number().over(W.partitionBy("_start").orderBy(F.asc_nulls_first(order))) - 1)
+        chosen = F.col("_at").isin([a for a, _ in wanted]) if indices is not None else (F.col("_at") >= wanted[0][0]) & (F.col("_at") < wanted[0][1])
+        out = out.unionByName(at.where(chosen).select(df.columns))
+    return out
+
+
+def _same(a: float, b: float) -> bool:
+    return a == b or (a != a and b != b)
 
 
 def successor(df: DataFrame, index: str, n: int, columns: Sequence[str]) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.functions import guardrails
 from corpusmill.functions.text import round4
 from corpusmill.operators.scans import parts
 
@@ -39,6 +41,28 @@ def repeats(rows: DataFrame, keys: list[str], order: list[str], value: str) -> D
     return found.rows.select(*rows.columns, F.coalesce(F.col(value) == F.col(f"_before.{value}"), F.lit(False)).alias("repeats"))
 
 
+def repeats_prevented(turns: DataFrame, key: str = "case_id", order: str = "turn") -> DataFrame:
+    """turns (key, order, assistant, slot_id, description, allowed) with the assistant's text, replaced where it repeats the one just before, and event.
+
+    slot_id, description and allowed are of the slot that is asked for next. event: a
+    struct (event, turn_number, replacement) of a turn whose text was replaced, else
+    null. A text is compared, trimmed and if not empty, with what was shown before: a
+    replacement isn't the question that it stands for, so of equal questions in a row
+    every second is replaced, unless the replacement itself comes next.
+    """
+    before = parts(turns, [key], [order]).last_before({"_before": F.struct(F.trim("assistant").alias("own"))})
+    again = F.coalesce((F.trim("assistant") == F.col("_before.own")) & (F.trim("assistant") != ""), F.lit(False))
+    # a run of equal texts begins where a text isn't the one before; its second, fourth and so on are replaced
+    begun = before.with_columns({"_again": again}).last_before({"_n": F.when(~F.col("_again"), F.col(order))})
+    at = F.coalesce(F.when(~F.col("_again"), F.col(order)), F.col("_n"))
+    runs = begun.rows.withColumn("_run", at)
+    placed = runs.withColumn("_place", F.row_number().over(W.partitionBy(key, "_run").orderBy(order)))
+    text = guardrails.replacement_question(F.col("slot_id"), F.col("description"), F.col("allowed"))
+    prevented = F.col("_again") & (F.col("_place") % 2 == 0)
+    event = F.when(prevented, F.struct(F.lit("repeated_question_prevented").alias("event"), F.col(order).alias("turn_number"), text.alias("replacement")))
+    return placed.withColumns({"assistant": F.when(prevented, text).otherwise(F.col("assistant")), "event": event}).select(*turns.columns, "event")
+
+
 def _share(part, whole, digits=4):
     return F.coalesce(F.bround(F.try_divide(part.cast("double"), whole.cast("double")), digits), F.lit(0.0))
 

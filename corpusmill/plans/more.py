@@ -263,14 +263,98 @@ def normalized_values(spark, sf_dir):
     return _read(spark, sf_dir, "orders").select("o_orderkey", guardrails.normalized_value(value, kind, text.strings(["o", "f"])).alias("value"))
 
 
+_TYPES = {"intent": "enum", "target_column": "string", "business_goal": "string", "frequency": "duration", "forecast_horizon": "duration"}
+
+
+def _types() -> Column:
+    return F.create_map(*[F.lit(x) for pair in _TYPES.items() for x in pair])
+
+
+def _update(slot: str, value: Column | str, evidence: Column | str) -> Column:
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(F.lit(slot).alias("slot_id"), column(value).alias("candidate_value"), F.lit("provided").alias("status"), F.lit(1.0).alias("confidence"), column(evidence).alias("evidence_text"))
+
+
 def routed_extractions(spark, sf_dir):
-    """Turns routed to rules or a model that echoes the text as a value: how many went where."""
-    said = F.when(F.col("turn") % 4 == 0, "yes").when(F.col("turn") % 4 == 1, F.lit("btc_usd")).otherwise(F.col("text"))
-    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("message"), F.when(F.col("turn") % 4 == 0, "intent").otherwise("target_column").alias("selected_slot"), F.lit("string").alias("value_type"), F.lit("create_forecast").alias("intent"))
-    update = F.struct(F.lit("business_goal").alias("slot_id"), F.lit("planning").alias("candidate_value"), F.lit("provided").alias("status"), F.lit(1.0).alias("confidence"), F.lit("system: x").alias("evidence_text"))
-    other = update.withField("candidate_value", F.sha2("message", 256))
-    got = guardrails.routed_extraction(turns, lambda df: df.withColumn("updates", F.array(update, other)))
-    return got.select("conv_id", "turn", "route", _pairs("updates").alias("updates"))
+    """Turns of all kinds, routed to rules or to a model that fails on some: intent, updates and route of each."""
+    k, told = F.col("turn") % 8, F.concat(F.lit("please predict "), F.col("text"))
+    said = F.when(k == 0, "Yes!").when(k == 1, "no").when(k == 2, " btc_usd ").when(k == 3, "correction weekly").when(k == 4, told).when(k == 5, told).otherwise(F.concat("text", F.lit(" is what I need from you")))
+    slot = F.when(k.isin(0, 1, 4, 5), "intent").otherwise("target_column")
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("message"), slot.alias("selected_slot"), F.lit("string").alias("value_type"), F.when(k.isin(0, 1, 4, 5), "unclear").otherwise("create_forecast").alias("intent"))
+
+    def model(asked: DataFrame) -> DataFrame:
+        updates = F.array(_update("business_goal", "planning", ""), _update("business_goal", F.sha2("message", 256), "system: x"), _update("frequency", "daily", ""), _update("nowhere", "x", ""))
+        return asked.withColumns({"updates": updates, "error": F.when(k.isin(5, 6), "TimeoutError")})
+
+    got = guardrails.routed_extraction(turns, model, types=_types())
+    return got.select("conv_id", "turn", "intent", "route", _pairs("updates").alias("updates"))
+
+
+def cleaned_updates(spark, sf_dir):
+    """Updates of known and unknown slots, objects in two spellings, and durations that the value or the message says."""
+    message = F.concat(F.when(F.col("turn") % 2 == 0, "next 6 months about ").otherwise("about "), F.col("text"))
+    updates = F.array(
+        _update("frequency", '{"unit": "Weekly"}', "confirmed_slots: x"), _update("frequency", '{"periods": 1.0, "unit": "week"}', F.substring("text", 1, 10)), _update("frequency", "soon", ""), _update("nowhere", "x", ""),
+        _update("target_column", '{"b": 1, "a": 2}', "not there at all"), _update("target_column", '{"a":2,"b":1}', ""), _update("forecast_horizon", (F.length("text") % 9 + 1).cast("string"), ""),
+    )
+    own = guardrails.grounded_updates(updates, message, _types())
+    shown = F.array_join(F.transform(own, lambda u: F.concat(u["slot_id"], F.lit("="), u["candidate_value"], F.lit("@"), u["evidence_text"])), "|")
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(own).alias("n"), F.sha2(shown, 256).alias("updates_sha256"))
+
+
+def prevented_repeats(spark, sf_dir):
+    """Questions that repeat, replaced by what fits the slot asked for, with the events of it."""
+    k = F.col("turn") % 4
+    slot = F.when(k == 0, F.lit(None).cast("string")).when(k == 1, "intent").when(k == 2, "source_mode").otherwise("target_column")
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("What next "), F.floor(F.col("turn") / 3), F.lit("?")).alias("assistant"), slot.alias("slot_id"), F.concat(F.col("role"), F.lit("'s choice.")).alias("description"), F.when(k == 2, F.array(F.lit("upload"), F.lit("link"))).alias("allowed"))
+    got = conversation.repeats_prevented(turns, "conv_id", "turn")
+    return got.select("conv_id", "turn", "assistant", "event.event", "event.turn_number", "event.replacement")
+
+
+def question_payloads(spark, sf_dir):
+    """What an interviewer model is told about a slot: all fields, with sorted keys."""
+    context = F.create_map(F.lit("target_column"), "p_brand", F.lit("frequency"), F.lit("week"))
+    payload = sft.question_payload(F.col("p_type"), F.lit("missing"), F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")), context, F.when(F.col("p_size") % 3 == 0, F.array(F.lit("a"), F.lit("b"))), F.concat(F.lit("What of "), "p_brand", F.lit("?")))
+    return _read(spark, sf_dir, "part").select("p_partkey", payload.alias("payload"))
+
+
+def cached_answers(spark, sf_dir):
+    """A model asked once for each language and source, again by a second run that finds all but failures in the store."""
+    store, docs = _folder(spark, "answers"), _read(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+
+    def model(frame: pd.DataFrame) -> pd.DataFrame:
+        if (frame["source"] == "src3").any():
+            raise ValueError("secret")
+        return pd.DataFrame({"answer": frame["lang"] + ":" + frame["source"]})
+
+    def gone(frame: pd.DataFrame) -> pd.DataFrame:
+        raise TimeoutError("secret")
+
+    for one in (model, gone):
+        found = readers.answered(docs, ["lang", "source"], one, "answer string", store, tries=2, wait=0.001)
+    return found.select("doc_id", "answer", "error")
+
+
+def chat_token_lengths(spark, sf_dir):
+    """Tokens of each conversation in a chat template, by a public byte-level tokenizer: tokens, with the template's, and those of the longest turn."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+    def make():
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        encoding = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda pieces: [len(x) for x in encoding.encode_ordinary_batch(pieces, num_threads=1)]
+
+    own = text.piece_lengths(make, pattern)(F.col("text"))
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "role", own.alias("n"))
+    sized = turns.withColumn("total", text.message_length(F.col("role"), F.col("n"), {"system": 3, "user": 4, "assistant": 5}))
+    return sized.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum("n").alias("tokens"), F.sum("total").alias("template_tokens"), F.max("n").alias("longest"))
 
 
 def final_slots(spark, sf_dir):
@@ -301,7 +385,7 @@ MORE = {
     f.__name__: f
     for f in (
         jsonl_roundtrip, jsonl_tree, text_fingerprints, streamed_evaluation, named_splits_scan, json_array_scan, key_value_scan, config_scan, prior_reports, model_answers, csv_review, report_roundtrip, checkpoint_listing, artifact_chain, run_manifest_lengths,
-        cluster_messages, targeted_messages, scenario_messages, chat_questions, paraphrased_records, extended_validation, length_gate, normalized_values, routed_extractions, final_slots, underrepresented_sources,
+        cluster_messages, targeted_messages, scenario_messages, chat_questions, paraphrased_records, extended_validation, length_gate, normalized_values, routed_extractions, cleaned_updates, prevented_repeats, question_payloads, cached_answers, chat_token_lengths, final_slots, underrepresented_sources,
         relevant_questions, stamped_names,
     )
 }
@@ -426,7 +510,22 @@ select level, node::int as node, n::bigint as n, digest from (select * from t0 u
     "extended_validation": f"with n as (select unnest({_EXPECTED}) as name), d as (select count(*) as train from (select unnest(range({DOMAINS})) as i) where i < 17 or i between 20 and 29) select name, 'sound' as which, 0::bigint as violations from n union all select name, 'spoiled', case name when 'size' then 20 when 'no test split' then {len(catalog.CLUSTERS)} * train + 1 when 'no exact duplicates' then 1 when 'required slots covered' then {len(catalog.REQUIRED)} when 'all variants' then 1 else 0 end::bigint from n, d",
     "length_gate": f"with {_SPLITS} select split, count(*) as n, min(length(text))::int as shortest, max(length(text))::int as longest, sum(length(text))::bigint as total, count(*) filter (length(text) > 2000) as over_limit from sd group by 1",
     "normalized_values": f"with v as (select o_orderkey, o_orderkey % 6 as k, o_custkey % 9 as n, strftime(o_orderdate::date, '%Y-%m-%d') as d, o_orderstatus, o_orderpriority from orders) select o_orderkey, case k when 0 then case n % 3 when 0 then 'true' when 1 then 'false' end when 1 then case when n > 2 then '\"' || d || '\"' end when 2 then case when n > 1 then '{{\"periods\": ' || n || ', \"unit\": \"week\"}}' end when 3 then case when n > 3 then '\"Asia/Karachi\"' end when 4 then case when lower(o_orderstatus) in ('o', 'f') then '\"' || lower(o_orderstatus) || '\"' end else '\"' || trim(o_orderpriority || ' \\\"q\\\"') || '\"' end as value from v",
-    "routed_extractions": f"with v as (select *, turn % 4 as k, trim(text) as own, {_CLEAR.format('trim(text)')} as plain from conversations), w as (select *, own <> '' and length(own) <= 120 and len(regexp_split_to_array(own, '\\s+')) <= 4 and not contains(own, '?') and plain not in ({', '.join(map(_text, guardrails.NON_ANSWERS))}) and not regexp_matches(plain, '{guardrails.INSTRUCTION}') and not (len(string_split(plain, ' ')) > 1 and regexp_matches(plain, '{guardrails.SENTENCE}')) as short from v) select conv_id, turn, case when k = 0 then 'intent' when k = 1 or short then 'short answer' else 'model' end as route, case when k = 0 then 'intent=\"create_forecast\"' when k = 1 then 'target_column=\"btc_usd\"' when short then 'target_column=\"' || regexp_replace(own, '([\"\\\\])', '\\\\\\1', 'g') || '\"' when length(own) <= 3 and not contains(lower(sha256(text)), lower(own)) then '' else 'business_goal=' || sha256(text) end as updates from w",
+    "routed_extractions": """with v as (select *, turn % 8 as k from conversations), m as (select *, case when k in (4, 5) then 'please predict ' || text else text || ' is what I need from you' end as m from v),
+c as (select *, 'business_goal=' || sha256(m) || '|frequency={"periods": 1, "unit": "day"}' as clean from m)
+select conv_id, turn, case when k = 1 then 'not_forecasting' else 'create_forecast' end as intent,
+case k when 0 then 'intent' when 1 then 'intent' when 2 then 'short answer' when 3 then 'recovered answer' when 4 then 'intent put right' when 5 then 'recovery' when 6 then 'error' else 'model' end as route,
+case k when 0 then 'intent="create_forecast"' when 1 then '' when 2 then 'target_column="btc_usd"' when 3 then 'target_column="correction weekly"' when 4 then 'intent="create_forecast"|' || clean when 5 then 'intent="create_forecast"' when 6 then '' else clean end as updates from c""",
+    "cleaned_updates": """with v as (select *, case when turn % 2 = 0 then 'next 6 months about ' else 'about ' end || text as m from conversations),
+u as (select *, ['frequency={"periods": 1, "unit": "week"}@' || trim(m), case when turn % 2 = 0 then 'frequency={"periods": 6, "unit": "month"}@' end, 'target_column={"a":2,"b":1}@' || trim(m), case when turn % 2 = 0 then 'forecast_horizon={"periods": ' || (length(text) % 9 + 1) || ', "unit": "month"}@' end] as own from v)
+select conv_id, turn, case when turn % 2 = 0 then 4 else 2 end::int as n, sha256(array_to_string(list_filter(own, lambda x: x is not null), '|')) as updates_sha256 from u""",
+    "prevented_repeats": f"""with v as (select *, 'What next ' || (turn // 3) || '?' as q, turn % 4 as k, role || chr(39) || 's choice' as label from conversations),
+r as (select *, q is not distinct from lag(q) over (partition by conv_id order by turn) as again from v), i as (select *, sum(case when again then 0 else 1 end) over (partition by conv_id order by turn) as run from r),
+p as (select *, again and row_number() over (partition by conv_id, run order by turn) % 2 = 0 as prevented from i),
+t as (select *, case k when 0 then {_text(guardrails.RESTATE)} when 1 then {_text(guardrails.RESTATE_INTENT)} when 2 then 'I could not record ' || label || '. Please choose one of: upload, link.' else 'I could not reliably record ' || label || '. Please answer in one short phrase.' end as text_ from p)
+select conv_id, turn, case when prevented then text_ else q end as assistant, case when prevented then 'repeated_question_prevented' end as event, case when prevented then turn end as turn_number, case when prevented then text_ end as replacement from t""",
+    "question_payloads": """select p_partkey, '{"allowed_values": ' || case when p_size % 3 = 0 then '["a", "b"]' else '[]' end || ', "confirmed_context": {"frequency": "week", "target_column": "' || p_brand || '"}, "current_value": ' || case when p_size % 2 = 0 then '"' || p_size || '"' else 'null' end
+|| ', "fallback_wording": "What of ' || p_brand || '?", "reason": "missing", "selected_slot": "' || p_type || '", "slot_description": "' || p_name || '"}' as payload from part""",
+    "cached_answers": "select doc_id, case when source <> 'src3' then lang || ':' || source end as answer, case when source = 'src3' then 'TimeoutError' end as error from documents",
     "final_slots": "select doc_id, array_to_string(list_filter([case when doc_id % 2 <> 0 then 'id=' || doc_id end, 'quality=' || quality, case when toxic = 1 then 'toxic=1' end], lambda x: x is not null), '|') as slots from labels",
     "underrepresented_sources": "select d.source, count(l.doc_id) as n from documents d left join labels l on l.doc_id = d.doc_id and l.toxic = 1 group by 1 having count(l.doc_id) < 5",
     "relevant_questions": f"select p_partkey, len(list_intersect(list_transform(regexp_split_to_array('Is it ' || p_name || '?', '\\s+'), lambda w: trim(lower(w), '?.,')), list_concat(['part', 'color', 'name', 'plant'], {_WORDS.format('lower(p_type)')}))) > 0 as relevant from part",

@@ -157,6 +157,18 @@ def prompt_completion(corpus: DataFrame, domains: DataFrame, version: str = "v3"
     return deduplicated(reduce(DataFrame.unionByName, parts))
 
 
+def question_payload(slot_id: Column, reason: Column, description: Column, current: Column, context: Column, allowed: Column, fallback: Column) -> Column:
+    """What an interviewer model is told about a slot, as JSON with sorted keys: the slot and why it is asked for, its current value, what is confirmed (a map), the values allowed (none if null), and a question to fall back on."""
+    quoted = lambda c: F.coalesce(F.to_json(F.array(c)), F.lit("[null]"))
+    text = lambda c: F.coalesce(F.regexp_extract(quoted(c), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
+    pairs = F.transform(F.array_sort(F.map_entries(context)), lambda e: F.concat(text(e["key"]), F.lit(": "), text(e["value"])))
+    fields = {
+        "allowed_values": F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(allowed, text), ", "), F.lit("")), F.lit("]")), "confirmed_context": F.concat(F.lit("{"), F.coalesce(F.array_join(pairs, ", "), F.lit("")), F.lit("}")),
+        "current_value": text(current), "fallback_wording": text(fallback), "reason": text(reason), "selected_slot": text(slot_id), "slot_description": text(description),
+    }
+    return F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{name}": '), value) for name, value in fields.items()]), F.lit("}"))
+
+
 def chat(corpus: DataFrame) -> DataFrame:
     """(messages, metadata) records: an extraction for each turn and a question for each scenario that expects one."""
     rows = turns_of(corpus)
@@ -166,7 +178,8 @@ def chat(corpus: DataFrame) -> DataFrame:
     extract = rows.select("ord", messages(("system", F.lit(EXTRACTOR)), ("user", user), ("assistant", completion(F.col("t.gold_extraction")))).alias("messages"), meta("extract", F.col("turn_index"), F.lit(None)).alias("metadata"))
     asking = corpus.where("split <> 'test' and expected_question_slot is not null")
     about = F.create_map(*[F.lit(x) for s in SLOTS for x in (s[0], s[3])])
-    payload = F.to_json(F.struct(F.col("expected_question_slot").alias("selected_slot"), F.element_at(about, F.col("expected_question_slot")).alias("slot_description")))
+    slot, asked = F.col("expected_question_slot"), F.create_map(*[F.lit(x) for s in SLOTS for x in (s[0], s[4])])
+    payload = question_payload(slot, F.lit("missing"), F.element_at(about, slot), F.lit(None).cast("string"), F.map_filter("gold_final_slots", lambda k, v: k != slot), F.lit(None).cast("array<string>"), F.element_at(asked, slot))
     ask = asking.select("ord", messages(("system", F.lit(INTERVIEWER)), ("user", payload), ("assistant", F.to_json(F.struct(F.col("ideal_question").alias("question"))))).alias("messages"), meta("ask", F.lit(None), F.col("expected_question_slot")).alias("metadata"))
     return extract.unionByName(ask)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import json
-from collections.abc import Iterator
+import time
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.operators.tables import settled
 from corpusmill.sources import folders
 
 TURN = "struct<message:string,context_slots:map<string,string>,last_assistant_question:string,gold_extraction:struct<intent:string,intent_confidence:double,updates:array<struct<slot_id:string,candidate_value:string,status:string,confidence:double,evidence_text:string>>,correction_detected:boolean,unsupported_claims:array<string>>>"
@@ -169,6 +171,51 @@ def answers(cases: DataFrame, model, schema: str) -> DataFrame:
     return cases.mapInPandas(lambda frames: map(ask, frames), kinds)
 
 
+def answered(cases: DataFrame, request: Sequence[str], model, schema: str, store: str, tries: int = 3, wait: float = 0.5) -> DataFrame:
+    """cases with a model's answer to each: columns of the schema, and error.
+
+    A request is its columns' content: equal ones are asked once, by their digest.
+    model(pandas frame of request columns) -> pandas frame of the schema, a row for
+    each row. A batch that fails is asked again after ``wait`` seconds, twice as long
+    each time, then its rows one by one likewise; a row that still fails has the
+    error's type, status and code. Answers are appended to the store (a Parquet
+    folder), and those there aren't asked for again; failures are, by the next run.
+    """
+    spark = cases.sparkSession
+    kinds = T.StructType.fromDDL(schema)
+    names = [f.name for f in kinds.fields]
+    keyed = cases.withColumn("_digest", F.sha2(F.to_json(F.struct(*request), {"ignoreNullFields": "false"}), 256))
+    asked = keyed.dropDuplicates(["_digest"]).select("_digest", *request)
+    kept = T.StructType([T.StructField("_digest", T.StringType()), *kinds.fields, T.StructField("error", T.StringType())])
+    where = spark._jvm.org.apache.hadoop.fs.Path(store)
+    there = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where)
+    known = (spark.read.schema(kept).parquet(store) if there else spark.createDataFrame([], kept)).dropDuplicates(["_digest"])
+
+    def attempt(frame: pd.DataFrame) -> tuple[pd.DataFrame | None, Exception | None]:
+        for k in range(tries):
+            try:
+                return model(frame[list(request)])[names].reset_index(drop=True), None
+            except Exception as error:  # noqa: BLE001  whatever an endpoint raises
+                last = error
+                if k < tries - 1:
+                    time.sleep(wait * 2**k)
+        return None, last
+
+    def ask(frame: pd.DataFrame) -> pd.DataFrame:
+        found, error = attempt(frame)
+        if found is not None:
+            return found.assign(_digest=frame["_digest"].tolist(), error=None)
+        if len(frame) > 1:
+            return pd.concat([ask(frame.iloc[i : i + 1]) for i in range(len(frame))], ignore_index=True)
+        return pd.DataFrame({n: [None] for n in names}).assign(_digest=frame["_digest"].tolist(), error=_told(error))
+
+    columns = [f.name for f in kept.fields]
+    fresh = settled(asked.join(known.select("_digest"), "_digest", "left_anti").mapInPandas(lambda frames: (ask(f)[columns] for f in frames if len(f)), kept), "answers")
+    told = settled(known.join(asked.select("_digest"), "_digest", "left_semi"), "known")  # before the store grows
+    fresh.where("error is null").write.mode("append").parquet(store)
+    return keyed.join(told.unionByName(fresh), "_digest").drop("_digest")
+
+
 def config(spark: SparkSession, path: str, known: dict[str, type]) -> dict:
     """A JSON object of settings; unknown keys and values of other types are errors. One small file, read on the driver."""
     found = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))

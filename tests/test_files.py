@@ -164,3 +164,34 @@ def test_no_phrases(spark):
     texts, none = spark.createDataFrame(TEXTS, "k int, t string"), spark.createDataFrame([], "i int, p string")
     assert dedup.containing(texts, none, "k", "t", "i", "p").collect() == []
     assert dedup.containing(texts.limit(0), spark.createDataFrame(PHRASES, "i int, p string"), "k", "t", "i", "p").collect() == []
+
+
+def test_equal_requests_are_asked_once(spark, tmp_path):
+    """A stub counts what it is asked, over two runs; failures are asked again by the next run, answers aren't."""
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    folder = str(calls)
+
+    def model(frame):
+        import uuid
+
+        for q in frame["q"]:
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write("null" if q is None else q)
+        if (frame["q"] == "bad").any():
+            raise ConnectionError("secret")
+        return frame.assign(a=["none" if q is None else q.upper() for q in frame["q"]], cost=1)
+
+    rows_ = [(i, ["x", "y", None, "bad"][i % 4], "other") for i in range(40)]
+    df = spark.createDataFrame(rows_, "id int, q string, o string").repartition(4)
+    asked = lambda: sorted(f.read_text() for f in calls.iterdir())
+    expected = sorted((i, q, o, None if q == "bad" else q.upper() if q else "none", None if q == "bad" else 1, "ConnectionError" if q == "bad" else None) for i, q, o in rows_)
+    for run in (1, 2):
+        got = readers.answered(df, ["q"], model, "a string, cost long", store, tries=2, wait=0.001)
+        assert sorted(map(tuple, got.select("id", "q", "o", "a", "cost", "error").collect())) == expected
+        before = asked()
+        if run == 1:
+            assert {q: before.count(q) for q in ("x", "y", "null")} == {"x": 1, "y": 1, "null": 1} or before.count("bad") >= 2  # beside a failing request in one batch, others are tried again
+            for f in calls.iterdir():
+                f.unlink()
+    assert set(asked()) == {"bad"}

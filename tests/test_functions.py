@@ -1,8 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import canonical, guardrails, text
 from corpusmill.functions.canonical import objects, salvage
+from corpusmill.operators import conversation
+from corpusmill.plans import sft
 
 
 def column(spark, expression, *values, kinds="string"):
@@ -137,3 +141,105 @@ def test_grounded_updates(spark):
 def test_repeats_are_replaced(spark):
     ask = lambda q, p: guardrails.without_repeat(q, p, F.lit("new"))
     assert column(spark, ask, ("What?", " What? "), ("What?", None), ("", "")) == ["new", "What?", ""]
+
+
+TYPES = {"frequency": "duration", "forecast_horizon": "duration", "target_column": "string", "intent": "enum", "business_goal": "string"}
+
+
+def types():
+    return F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
+
+
+def test_typed_updates(spark):
+    """Unknown slots go, durations are normalised or go, and equal values in two spellings stay once."""
+    kind = "array<struct<slot_id:string,candidate_value:string,evidence_text:string>>"
+    message = "I want to forecast monthly sales for the next 6 months"
+    rows = [
+        ([("forecast_horizon", "6", "next 6 months"), ("frequency", '{"periods": 6.0, "unit": "month"}', 'confirmed_slots: ["frequency"]')], message),
+        ([("frequency", "soon", ""), ("nowhere", "x", "x"), ("frequency", '{"unit": "Weekly"}', ""), ("frequency", '{"periods": 1, "unit": "week"}', "")], "hello there"),
+        ([("target_column", '{"b": 1, "a": 2}', ""), ("target_column", '{"a":2,"b":1}', ""), ("target_column", "{bad}", "")], "hello there"),
+        ([("target_column", "date", "nothing said"), ("target_column", "yes", "nothing said")], "yes"),
+    ]
+    got = column(spark, lambda u, m: guardrails.grounded_updates(u, m, types()), *rows, kinds=f"{kind}; string")
+    assert [[tuple(u) for u in x] for x in got] == [
+        [("forecast_horizon", '{"periods": 6, "unit": "month"}', "next 6 months"), ("frequency", '{"periods": 6, "unit": "month"}', message)],
+        [("frequency", '{"periods": 1, "unit": "week"}', "")],
+        [("target_column", '{"a":2,"b":1}', ""), ("target_column", "{bad}", "")],
+        [("target_column", "yes", "yes")],
+    ]
+
+
+def test_routes(spark):
+    """Each turn goes to a rule, the model, or what stands in for it."""
+    turns = [
+        ("yes", "intent", "unclear"), ("nope!", "intent", "unclear"), ("btc_usd_close", "target_column", "create_forecast"), ("btc_usd_close", "target_column", "unclear"), ("correction weekly", "target_column", "create_forecast"),
+        ("I want to forecast net sales from sales.csv", "intent", "unclear"), ("please predict: fail", "intent", "unclear"), ("say it all again and fail", "target_column", "create_forecast"), ("I don't know", "target_column", "create_forecast"), ("what do you need?", "intent", "unclear"),
+    ]
+    df = spark.createDataFrame([(i, *t, "string") for i, t in enumerate(turns)], "i int, message string, selected_slot string, intent string, value_type string")
+    asked = []
+
+    def model(df):
+        asked.extend(r["i"] for r in df.select("i").collect())
+        own = F.struct(*[F.lit(x).alias(n) for n, x in (("slot_id", "business_goal"), ("candidate_value", "sell more"), ("status", "provided"), ("confidence", 0.5), ("evidence_text", ""))])
+        low = own.withField("candidate_value", F.lit("Planning!"))
+        return df.withColumns({"updates": F.array(own, low), "intent": F.lit("explore"), "error": F.when(F.col("message").endswith("fail"), "TimeoutError")})
+
+    got = {r["i"]: (r["route"], r["intent"], [(u["slot_id"], u["candidate_value"]) for u in r["updates"]]) for r in guardrails.routed_extraction(df, model, types=types()).collect()}
+    wants, goal = ("intent", '"create_forecast"'), ("business_goal", "sell more")
+    assert sorted(set(asked)) == [3, 4, 5, 6, 7, 8, 9]
+    assert got == {
+        0: ("intent", "create_forecast", [wants]),
+        1: ("intent", "not_forecasting", []),
+        2: ("short answer", "create_forecast", [("target_column", '"btc_usd_close"')]),
+        3: ("model", "explore", [goal]),
+        4: ("recovered answer", "create_forecast", [("target_column", '"correction weekly"')]),
+        5: ("intent put right", "create_forecast", [wants, goal]),
+        6: ("recovery", "create_forecast", [wants]),
+        7: ("error", "create_forecast", []),
+        8: ("model", "explore", [goal]),
+        9: ("model", "explore", [goal]),
+    }
+
+
+def test_replacement_questions(spark):
+    turns = [("c", 1, "What?", None), ("c", 2, " What? ", "intent"), ("c", 3, "What?", None), ("c", 4, "What?", "mode"), ("c", 5, "", "x"), ("c", 6, "", "x"), ("d", 1, "What?", "x"), ("d", 2, "Else?", "x"), ("d", 3, "Else?", "x"), ("e", 1, "So?", "x"), ("e", 2, "So?", None)]
+    rows = [(*t, "the mode.", ["a", "b"] if t[3] == "mode" else []) for t in turns]
+    df = spark.createDataFrame(rows, "case_id string, turn int, assistant string, slot_id string, description string, allowed array<string>")
+    got = {(r["case_id"], r["turn"]): (r["assistant"], r["event"]) for r in conversation.repeats_prevented(df).collect()}
+    replaced = {("c", 2): guardrails.RESTATE_INTENT, ("c", 4): "I could not record the mode. Please choose one of: a, b.", ("d", 3): "I could not reliably record the mode. Please answer in one short phrase.", ("e", 2): guardrails.RESTATE}
+    assert {k: v[0] for k, v in got.items()} == {t[:2]: t[2] for t in turns} | replaced
+    assert {k: tuple(v[1]) for k, v in got.items() if v[1]} == {k: ("repeated_question_prevented", k[1], text) for k, text in replaced.items()}
+
+
+def test_question_payload(spark):
+    ask = lambda *c: sft.question_payload(*c[:4], F.create_map(F.lit("b"), c[4], F.lit("a"), F.lit("x")), c[5], c[6])
+    rows = [("s", "missing", 'a "b"', "v\n", "é", ["x", "y"], "What?"), ("s", "unclear", "d", None, None, None, "What?")]
+    got = column(spark, ask, *rows, kinds="string; string; string; string; string; array<string>; string")
+    for made, r in zip(got, rows, strict=True):
+        expected = {"selected_slot": r[0], "reason": r[1], "slot_description": r[2], "current_value": r[3], "confirmed_context": {"b": r[4], "a": "x"}, "allowed_values": r[5] or [], "fallback_wording": r[6]}
+        assert made == json.dumps(expected, ensure_ascii=False, sort_keys=True)
+
+
+def test_piece_lengths(spark):
+    """Tokens counted piece by piece are those of whole texts."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+    def encoding():
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def make():
+        own = encoding()
+        return lambda pieces: [len(own.encode_ordinary(p)) for p in pieces]
+
+    texts = [None, "", " ", "Hello  world, it's 12345\n\n  x", "漢字 naïve\t\tx " * 50, "a" * 3000, "<|endoftext|>"]
+    got = column(spark, text.piece_lengths(make, pattern), *[(t,) for t in texts])
+    assert got == [len(encoding().encode_ordinary(t or "")) for t in texts]
+    sized = column(spark, lambda r, n: text.message_length(r, n, {"user": 4, "system": 3}), ("user", 5), ("tool", 5), (None, 5), kinds="string; bigint")
+    assert sized == [9, 5, 5]

@@ -25,11 +25,11 @@ def groups(rng):
     }
 
 
-@pytest.mark.parametrize(("few", "cuts"), [(1 << 16, 4096), (10, 4), (1, 2)])
+@pytest.mark.parametrize(("few", "cuts"), [(1 << 16, 4096), (100, 64), (3, 8)])
 def test_exact_quantiles(spark, monkeypatch, few, cuts):
     monkeypatch.setattr(quantiles, "SORTED", few)
     monkeypatch.setattr(quantiles, "CUTS", cuts)
-    some = groups(random.Random(4)) if few > 1 else {"close": [1 + i * 2.0**-52 for i in range(30)], "two": [1.0, 2.0, 2.0], "distinct": [random.Random(4).random() for _ in range(40)]}
+    some = groups(random.Random(4)) if few > 3 else {"close": [1 + i * 2.0**-52 for i in range(30)], "two": [1.0, 2.0, 2.0], "distinct": [random.Random(4).random() for _ in range(40)]}
     df = spark.createDataFrame([(k, v, "x") for k, own in some.items() for v in own], "k string, v double, bucket string").repartition(5)
     places = {"low": F.floor((F.col("n") - 1) / 2), "high": F.ceil((F.col("n") - 1) / 2), "p95": F.ceil(0.95 * F.col("n")) - 1}
     got = {(r["_all"], r["k"]): tuple(map(repr, (r["n"], r["low"], r["high"], r["p95"]))) for r in quantiles.spread(df, "v", ["k"], places).collect()}
@@ -96,3 +96,31 @@ def test_a_hot_key_is_cut(spark, monkeypatch):
     sizes = [r["count"] for r in found.rows.where("k = 'hot'").groupBy("_part").count().collect()]
     assert found.cut and len(sizes) == 4 and max(sizes) < 0.4 * 4000
     assert not scans.parts(df, ["k"], ["t"], whole=5000).cut
+
+
+KINDS = {"id": "long", "name": "string", "day": "date", "value": "double"}
+
+
+@pytest.mark.parametrize("column", KINDS)
+@pytest.mark.parametrize(("few", "cuts"), [(1 << 16, 4096), (20, 8)])
+def test_rows_by_place(spark, monkeypatch, column, few, cuts):
+    """Stretches and indices of the order, ties and nulls first among them."""
+    import datetime
+
+    monkeypatch.setattr(quantiles, "SORTED", few)
+    monkeypatch.setattr(quantiles, "CUTS", cuts)
+    rng = random.Random(5)
+    make = {"id": lambda i: i * i - 500, "name": lambda i: f"n{i % 97:03d}-{i}é", "day": lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i // 2), "value": lambda i: rng.choice([-1, 1]) * 1.5 ** rng.uniform(-40, 40)}[column]
+    values = [make(i) for i in range(400)] + [None] * 7
+    df = spark.createDataFrame([(v, k) for k, v in enumerate(values)], f"k {KINDS[column]}, n int").repartition(5)
+    ordered = sorted(values, key=lambda v: (v is not None, v.encode() if isinstance(v, str) else v or 0 if not isinstance(v, datetime.date) else v) if v is not None else (False,))
+    own = lambda got: sorted([r["k"] for r in got.collect()], key=lambda v: (v is not None, v) if v is not None else (False,))
+    for offset, limit in ((0, 3), (5, 40), (100, 1), (390, 50), (50, None), (1000, None), (0, 0)):
+        assert own(compare.sampled(df, "k", offset, limit)) == own_(ordered[offset : None if limit is None else offset + limit])
+    assert own(compare.sampled(df, "k", indices=[0, 6, 7, 200, 406, 407, 10**12, 200])) == own_([ordered[i] for i in (0, 6, 7, 200, 406)])
+    assert own(compare.sampled(df, "k", limit=2, indices=[300, 1, 77])) == own_([ordered[i] for i in (1, 77)])
+    assert compare.sampled(df.limit(0), "k", 0, 5).collect() == []
+
+
+def own_(values):
+    return sorted(values, key=lambda v: (v is not None, v) if v is not None else (False,))
