@@ -5,7 +5,7 @@ from __future__ import annotations
 from corpusmill.llm import urls
 
 #: A union of repeated spans of 20 words or more is the union of 20-word windows seen twice in the text;
-#: a repeat over 50 words is a 51-word window seen twice.
+#: a repeat over 50 words is a 51-word window seen twice. Two equal stretches that no word before or after extends are a maximal repeat.
 OP9 = r"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 w as (select r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d),
@@ -24,12 +24,16 @@ cov as (
     bool_or(r20) over (partition by r order by i rows between 19 preceding and current row) as c20, r51
   from rep),
 s as (select r, count(*) filter (c5) as n_repeat_words, count(*) filter (c20) as n_covered, bool_or(r51) as too_long from cov group by r),
+e as (select x.r, x.i, y.i - x.i as q from t x join t y on x.r = y.r and x.word = y.word and y.i > x.i),
+z as (select r, q, min(i) as i, count(*) as size from (select *, i - row_number() over (partition by r, q order by i) as island from e) group by r, q, island having count(*) >= 5),
+m as (select r, max(size) as longest_repeat, count(distinct case when size >= 20 then array_to_string(ws[i:i + size - 1], ' ') end) as n_maximal from z join w using (r) group by r),
 l as (select r, count(*) - count(distinct line) as n_dup_lines from (select r, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by r)
 select doc_id, len(ws)::bigint as n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
   len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+  coalesce(n_covered, 0)::bigint as n_covered, coalesce(longest_repeat, 0)::bigint as longest_repeat, coalesce(n_maximal, 0)::bigint as n_maximal,
   len(ws) < 10 or 100 * coalesce(n_repeat_words, 0) > 20 * len(ws) as base_failed,
   not (len(ws) < 10 or 100 * coalesce(n_repeat_words, 0) > 20 * len(ws)) and not coalesce(100 * n_covered > 10 * len(ws) or too_long, false) as kept
-from w left join s using (r) left join l using (r)
+from w left join s using (r) left join l using (r) left join m using (r)
 """
 
 OP5 = r"""

@@ -25,31 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import arrow_map, parts, utf8
-from corpusmill.llm.suffixes import Suffixes, ragged
+from corpusmill.llm.suffixes import Suffixes, joined_stretches, ragged, repeated_stretches
 
 #: Pairs of a border and a period compared at once.
 PAIRS = 1 << 19
 
 
-def repeated_stretches(symbols: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
-    """Whether each position lies in a window of symbols that occurs twice or more in its text (or, by chance of a 64-bit hash, seems to)."""
-    inside = np.zeros(len(symbols), bool)
-    n = len(symbols) - window + 1
-    if n < 2:
-        return inside
-    h = np.zeros(n, np.uint64)
-    for k in range(window):
-        h = (h ^ symbols[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    at = np.flatnonzero(doc[:n] == doc[window - 1 :])
-    _, which, counts = np.unique(h[at], return_inverse=True, return_counts=True)
-    at = at[counts[which] > 1]
-    edges = np.zeros(len(symbols) + 1, np.int64)
-    np.add.at(edges, at, 1)
-    np.add.at(edges, at + window, -1)
-    return np.cumsum(edges)[:-1] > 0
-
-
 def _smallest_factors(most: int) -> np.ndarray:
     """The smallest prime factor of each number up to most."""
     factor = np.arange(most + 1)
@@ -138,14 +119,8 @@ def document_runs(words: list[list[bytes]], least: int, times: int) -> tuple[np.
     none = np.zeros(0, np.int64)
     if not inside.size:
         return none, none, none, none
-    # what is left, with a symbol of its own after each stretch
-    fresh = np.r_[False, (np.diff(inside) != 1) | (np.diff(doc[inside]) != 0)]
-    place = np.arange(len(inside)) + np.cumsum(fresh)
-    string = np.arange(place[-1] + 2) + symbols.max() + 1
-    string[place] = symbols[inside]
-    origin = np.zeros(len(string), np.int64)
-    origin[place] = inside
-    start, length, q = runs_of(np.unique(string, return_inverse=True)[1], least, times)
+    string, origin = joined_stretches(symbols, doc, inside)
+    start, length, q = runs_of(string, least, times)
     start = origin[start]
     return doc[start], start - begin[doc[start]], length, q
 

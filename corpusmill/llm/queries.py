@@ -73,7 +73,7 @@ def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition_rules(table(spark, sf_dir, "documents")).drop("n_covered", "longest_repeat")
+    return repetition_rules(table(spark, sf_dir, "documents"))
 
 
 def op10_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """Quality rules from a suffix array: how much of a text repeats, and how far.
 
-A suffix array over the words of each document is built by prefix doubling,
-for many documents at once (a document's symbols are its own, so suffixes of
-different documents never share a prefix). Adjacent suffixes with a common
-prefix give the longest-common-prefix intervals, hence the maximal repeated
-substrings; their spans are united, and the covered fraction and the longest
-repeat are limited. Prefixes are told apart as far as the limits ask, so memory
-is a few numbers a word, whatever repeats.
+The texts of a batch are one string of words, told apart by text. Words in no window
+that occurs twice in their text are in no repeat of that many words, and are left
+out. Of what is left a suffix array is built by prefix doubling. Its longest common
+prefixes give the longest repeat at each place; their intervals are the repeats that
+no following word extends, and those that words before don't extend either are the
+maximal repeated substrings. Spans of repeats are united, and the covered fraction
+and the longest repeat are limited. Repeats of any length are told in full.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.llm.common import WHITESPACE, arrow_map, parts, utf8
+from corpusmill.llm.suffixes import Suffixes, joined_stretches, repeated_stretches
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -41,58 +42,36 @@ class Limits:
     max_longest: int = 50
 
 
-def repeat_lengths(symbols: np.ndarray, doc: np.ndarray, least: int, most: int) -> np.ndarray:
-    """For each position, the longest prefix of its suffix found elsewhere in its document.
+def repeat_lengths(symbols: np.ndarray, doc: np.ndarray, least: int, most: int | None = None) -> np.ndarray:
+    """For each position, the longest prefix of its suffix found elsewhere in its document, if of ``least`` symbols, else 0; most: longer ones are given as that.
 
     symbols: small non-negative codes; doc: the document of each position, non-decreasing.
-    Repeats shorter than ``least`` may be given as 0, longer ones than ``most`` are
-    given as that: their suffixes have a repeat a word shorter, so spans unite alike.
     """
-    n = len(symbols)
-    longest = np.zeros(n, np.int64)
-    if n < 2:
-        return longest
-    key = doc.astype(np.int64) * (int(symbols.max()) + 1) + symbols
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int32)
-    key = key[order]
-    fresh = np.r_[True, key[1:] != key[:-1]]
-    at = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank[order] = at
-    levels, h = [rank], 1
-    alone = fresh & np.r_[fresh[1:], True]
-    active = np.flatnonzero(~alone)
-    while active.size and h < most:
-        here = order[active]
-        after = here + h
-        inside = after < n
-        after[~inside] = 0
-        inside &= doc[after] == doc[here]
-        key = rank[here].astype(np.int64) * (n + 1) + np.where(inside, rank[after] + np.int64(1), 0)
-        by = np.argsort(key, kind="stable")
-        key, here = key[by], here[by]
-        order[active] = here
-        fresh = np.r_[True, key[1:] != key[:-1]]
-        start = np.maximum.accumulate(np.where(fresh, np.arange(active.size), 0))
-        rank = rank.copy()
-        rank[here] = active[start]
-        levels.append(rank)
-        active = active[~(fresh & np.r_[fresh[1:], True])]
-        h *= 2
-    floor = max(k for k in range(len(levels)) if 2**k <= least)
-    a, b = order[:-1], order[1:]
-    same = levels[floor][a] == levels[floor][b]
-    a, b = a[same], b[same]
-    common = np.zeros(a.size, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        x, y = a + common, b + common
-        ok = (x < n) & (y < n)
-        x[~ok], y[~ok] = 0, 0
-        common += (ok & (levels[k][x] == levels[k][y])).astype(np.int64) << k
-    common = np.minimum(common, most)
-    longest[a] = common
-    longest[b] = np.maximum(longest[b], common)
-    return longest
+    return _repeated(symbols, doc, least, least)[0] if most is None else np.minimum(_repeated(symbols, doc, least, least)[0], most)
+
+
+def _repeated(symbols: np.ndarray, doc: np.ndarray, least: int, maximal: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest repeat of ``least`` symbols or more at each position, and the first position of each maximal repeat of ``maximal`` symbols or more."""
+    longest, none = np.zeros(len(symbols), np.int64), np.zeros(0, np.int64)
+    key = doc.astype(np.int64) * (int(symbols.max(initial=0)) + 1) + symbols
+    inside = np.flatnonzero(repeated_stretches(key, doc, least))
+    if not inside.size:
+        return longest, none
+    string, origin = joined_stretches(key, doc, inside)
+    text = Suffixes(string)
+    common = text.lcp
+    own = np.zeros(text.n, np.int64)
+    own[text.order] = np.maximum(common, np.r_[common[1:], 0])
+    held = origin >= 0
+    longest[origin[held]] = np.where(own[held] >= least, own[held], 0)
+    # an interval of common prefixes is named by its ranks; what stands before a stretch differs from all else, as it repeats nowhere
+    rank = np.flatnonzero(common >= max(1, maximal))
+    lo, hi = text.interval(text.order[rank], common[rank])
+    _, once = np.unique(lo * np.int64(text.n + 1) + hi, return_index=True)
+    lo, hi = lo[once], hi[once]
+    before = np.where(text.order > 0, string[text.order - 1], -1)
+    differs = np.cumsum(np.r_[0, before[1:] != before[:-1]])
+    return longest, origin[text.order[lo[differs[hi] > differs[lo]]]]
 
 
 def covered(longest: np.ndarray, least: int, span: int | None = None) -> np.ndarray:
@@ -110,18 +89,25 @@ def _per_doc(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, how=np.a
     return out
 
 
-def _repeats(units: list[np.ndarray], window: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per document: units in repeated windows, units covered by repeats, longest repeat (up to most)."""
+def _repeats(units: list[np.ndarray], window: int, least: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: units in repeated windows, units covered by repeats, longest repeat (up to most, if given)."""
+    in_windows, spans, longest, _ = measured_repeats(units, window, least)
+    return in_windows, spans, longest if most is None else np.minimum(longest, most)
+
+
+def measured_repeats(units: list[np.ndarray], window: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: units in repeated windows, units covered by repeats, the longest repeat of a window or more, and maximal repeats."""
     sizes = np.array([len(u) for u in units], np.int64)
     starts = np.cumsum(sizes) - sizes
     flat = np.concatenate(units) if units else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(units)), sizes)
     symbols = np.unique(flat, return_inverse=True)[1].astype(np.int64)
-    longest = repeat_lengths(symbols, doc, min(window, least), max(window, least, most))
+    longest, maximal = _repeated(symbols, doc, min(window, least), least)
     return (
         _per_doc(covered(longest, window, window), starts, sizes),
         _per_doc(covered(longest, least), starts, sizes),
         _per_doc(longest, starts, sizes, np.maximum),
+        np.bincount(doc[maximal], minlength=len(units)) if len(units) else sizes,
     )
 
 
@@ -138,16 +124,16 @@ def _measure(texts: list[bytes | None], limits: Limits) -> dict[str, np.ndarray]
             lines = [x for x in t.split(b"\n") if x.strip()]
             dup_lines[i] = len(lines) - len(set(lines))
     units = [np.fromiter(map(hash, w), np.int64, len(w)) for w in words]
-    in_windows, spans, longest = _repeats(units, limits.window, limits.min_repeat, limits.max_longest + 1)
+    in_windows, spans, longest, maximal = measured_repeats(units, limits.window, limits.min_repeat)
     base = (n_words < limits.min_words) | (100 * in_windows > limits.max_window_percent * n_words)
     repeats = (100 * spans > limits.max_covered_percent * n_words) | (longest > limits.max_longest)
     return {
         "n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": in_windows,
-        "n_covered": spans, "longest_repeat": longest, "base_failed": base, "kept": ~base & ~repeats,
+        "n_covered": spans, "longest_repeat": longest, "n_maximal": maximal, "base_failed": base, "kept": ~base & ~repeats,
     }
 
 
-COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered long, longest_repeat long, base_failed boolean, kept boolean"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered long, longest_repeat long, n_maximal long, base_failed boolean, kept boolean"
 
 
 def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
@@ -155,9 +141,11 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows are judged alone, so repeated rows, ties and ids that repeat or are null
     need no care: each row gets its own result. A null or empty text has no words
-    and fails; shares and lengths that just reach a limit are kept. longest_repeat
-    is told up to a word beyond its limit. An empty table gives an empty result. Other columns aren't read,
-    whatever their names. A long text is taken alone; memory is bounded by the
+    and fails; shares and lengths that just reach a limit are kept. n_covered: words
+    in repeats of min_repeat words or more; longest_repeat: words of the longest
+    repeat, of a window at least, else 0; n_maximal: maximal repeated substrings of
+    min_repeat words or more. An empty table gives an empty result. Other columns
+    aren't read, whatever their names. A long text is taken alone; memory is bounded by the
     longest text, never by a group.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -109,3 +109,33 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """All starts[i] .. starts[i] + sizes[i] - 1, one range after another, and the i of each."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
     return np.arange(len(owner)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes), owner
+
+
+def repeated_stretches(symbols: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """Whether each position lies in a window of symbols that occurs twice or more in its text (or, by chance of a 64-bit hash, seems to)."""
+    inside = np.zeros(len(symbols), bool)
+    n = len(symbols) - window + 1
+    if n < 2:
+        return inside
+    h = np.zeros(n, np.uint64)
+    for k in range(window):
+        h = (h ^ symbols[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    at = np.flatnonzero(doc[:n] == doc[window - 1 :])
+    _, which, counts = np.unique(h[at], return_inverse=True, return_counts=True)
+    at = at[counts[which] > 1]
+    edges = np.zeros(len(symbols) + 1, np.int64)
+    np.add.at(edges, at, 1)
+    np.add.at(edges, at + window, -1)
+    return np.cumsum(edges)[:-1] > 0
+
+
+def joined_stretches(symbols: np.ndarray, doc: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols at the places inside as one string, with a symbol of its own after each stretch, and the place of each symbol in it, -1 for those."""
+    fresh = np.r_[False, (np.diff(inside) != 1) | (np.diff(doc[inside]) != 0)]
+    at = np.arange(len(inside)) + np.cumsum(fresh)
+    string = np.arange(at[-1] + 2) + symbols.max() + 1
+    string[at] = symbols[inside]
+    origin = np.full(len(string), -1, np.int64)
+    origin[at] = inside
+    return np.unique(string, return_inverse=True)[1], origin

@@ -38,6 +38,31 @@ def test_suffix_array_matches_brute_force(docs):
     assert [x for x in longest.tolist() if x >= 2] == [x for x in map(longest_repeat, docs) if x >= 2]
 
 
+def maximal_repeats(units, least):
+    """Distinct repeats of at least so many units that neither a unit before nor one after extends at all places."""
+    places = {}
+    for i in range(len(units)):
+        for j in range(i + least, len(units) + 1):
+            places.setdefault(tuple(units[i:j]), []).append(i)
+    sides = lambda at, n: ({units[i - 1] if i else ("start", i) for i in at}, {units[i + n] if i + n < len(units) else ("end", i) for i in at})
+    return sum(len(at) > 1 and all(len(x) > 1 for x in sides(at, len(r))) for r, at in places.items())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=30), max_size=4))
+def test_maximal_repeats_match_brute_force(docs):
+    units = [np.array([ord(c) for c in d], np.int64) for d in docs]
+    _, _, longest, maximal = R.measured_repeats(units, 2, 3)
+    assert maximal.tolist() == [maximal_repeats(d, 3) for d in docs]
+    assert longest.tolist() == [x if (x := longest_repeat(d)) >= 2 else 0 for d in docs]
+
+
+def test_long_repeats_are_told_in_full(spark):
+    passage = " ".join(f"w{i}" for i in range(3000))
+    got = R.repetition_rules(spark.createDataFrame([(1, f"{passage} x {passage}", "", "", [])], SCHEMA)).first()
+    assert (got["longest_repeat"], got["n_covered"], got["n_maximal"], got["kept"]) == (3000, 6000, 1, False)
+
+
 def brute(text):
     words = (text or "").encode().split()
     lines = [x for x in (text or "").split("\n") if x.encode().split()]
