@@ -55,8 +55,9 @@ TEMPLATES = {
     "Proprietary": ("All rights reserved", "Copyright, all rights reserved"),
 }
 CUE = re.compile(rb"(?i)licen[sc]e|copyright|rights reserved|permission (?:is hereby|to use)|public domain|redistribution and use")
-#: A notice has so many bytes at most; a longer paragraph is looked at line by line only.
+#: A paragraph or run of at most so many bytes is looked at as a whole; of a longer one, stretches of so many words round each line with a cue.
 NOTICE = 1 << 14
+STRETCHES = (8, 16, 32, 64, 128, 256, 512)
 #: Bits of the filter of terms that are counted, and distinct terms that a task counts at once.
 FILTER = 1 << 22
 TERMS = 1 << 18
@@ -101,8 +102,23 @@ def weigher(n: int, seen: dict[bytes, int]):
     return vector
 
 
+def stretches(lines: list[bytes]) -> Iterator[bytes]:
+    """Of many lines, those from each line with a cue on, up to it, and round it, of as many words as each of STRETCHES."""
+    sizes = np.cumsum([0, *(len(terms(x)) for x in lines)])
+    for i, line in enumerate(lines):
+        if CUE.search(line):
+            for n in STRETCHES:
+                first = int(np.searchsorted(sizes, sizes[i + 1] - n, "right")) - 1
+                last = int(np.searchsorted(sizes, sizes[i] + n))
+                half = int(np.searchsorted(sizes, sizes[i] - n // 2, "right")) - 1, int(np.searchsorted(sizes, sizes[i + 1] + n // 2))
+                for a, b in ((i, last), (first, i + 1), half):
+                    own = lines[max(0, a) : b]
+                    if len(own) > 1 and sum(map(len, own)) <= NOTICE:  # as long as that in few words, it is no notice
+                        yield b"\n".join(own)
+
+
 def headers(text: bytes) -> list[bytes]:
-    """Lines with a cue, runs of adjacent ones (with the lines between blank), paragraphs with one, and runs of such paragraphs."""
+    """Lines with a cue, runs of adjacent ones (with the lines between blank), paragraphs with one, and runs of such paragraphs; of those beyond NOTICE, stretches of them."""
     out: list[bytes] = []
     lines: list[bytes] = []
     block: list[bytes] = []
@@ -111,6 +127,8 @@ def headers(text: bytes) -> list[bytes]:
     def end(run: list[bytes]) -> None:
         if len(run) > 1 and sum(map(len, run)) <= NOTICE:
             out.append(b"\n".join(run))
+        elif len(run) > 1:
+            out.extend(stretches([x for part in run for x in part.split(b"\n")]))
         run.clear()
 
     def paragraph() -> None:

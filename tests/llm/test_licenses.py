@@ -139,3 +139,22 @@ def test_common_words_do_not_dilute(spark):
         assert got[0]["license"] == "MIT"
         scores.append(got[0]["own_score"])
     assert scores[0] == pytest.approx(scores[1], abs=0.05)
+
+
+@pytest.mark.parametrize("license_", ["Apache-2.0", "GPL-2.0", "MIT"])
+def test_notices_above_long_paragraphs(spark, license_):
+    """A wrapped notice is found alike above a few lines and above tens of thousands without a blank line, also below them."""
+    notice = textwrap.wrap(max(L.TEMPLATES[license_], key=len), 70)
+    code = [f"x{i} = f(y{i}, {i})  # step {i}" for i in range(30_000)]
+    texts = ["\n".join(notice + code[:2000]), "\n".join(code + notice), "\n".join(code[:9000] + notice + code[9000:]), "\n".join(code)]
+    df = spark.createDataFrame([(f"f{i}.py", i, t, "", 0, []) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: (r["own_license"], r["own_score"]) for r in L.license_scan(df).collect()}
+    assert [got[i][0] for i in range(4)] == [license_] * 3 + [None]
+    assert all(len(b"\n".join(L.headers(t.encode()))) > 0 and max(len(h.split(b"\n")) for h in L.headers(t.encode())) > 3 for t in texts[:3])
+
+
+def test_stretches_cover_a_notice():
+    lines = [b"code here"] * 5000 + [b"# the MIT license", b"# as is"] + [b"more code"] * 5000
+    found = list(L.stretches(lines))
+    assert lines[5000] in found[0] and all(b"MIT" in x for x in found)
+    assert len(set(found)) > len(L.STRETCHES) and max(map(len, found)) < 20_000
