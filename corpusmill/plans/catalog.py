@@ -130,6 +130,21 @@ def domains(spark: SparkSession, n: int = 20) -> DataFrame:
     return spark.createDataFrame(rows, DOMAIN)
 
 
+def domains_of(rows: DataFrame, key: str, size: str, n: int = 33) -> DataFrame:
+    """n domains that rows of a table make: a group by key modulo n, described by its number of rows and the sum of size, in one aggregate."""
+    group = F.pmod(F.col(key), F.lit(n)).cast("int")
+    counted = rows.where(F.col(key).isNotNull()).groupBy(group.alias("i")).agg(F.count("*").alias("c"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("t"))
+    name, text = F.lpad(F.col("i").cast("string"), 2, "0"), lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    at = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _PERIODS]), F.col("i") % 4 + 1)
+    unit, periods = at(1), (4 + 3 * (F.col("t") % 7)).cast("int")
+    made = {
+        "domain_index": F.col("i"), "slug": text("series_", name), "target_column": text("value_", name, "_", F.col("c")), "target_description": text("demand of region ", name, "-", F.col("c")), "unit": text("unit ", F.col("t") % 5),
+        "time_column": text(unit, "_start"), "frequency": at(0), "frequency_unit": unit, "horizon": text(periods, " ", unit, "s"), "horizon_periods": periods, "source": text("series_", name, ".csv"),
+        "business_goal": text("planning of depot ", F.col("t") % 9), "success_criteria": text("MAE below ", 5 + F.col("c") % 40, " percent"), "primary_metric": F.when(F.col("t") % 8 == 7, "smape").otherwise("mae"),
+    }
+    return counted.select(*[c.alias(k) for k, c in made.items()])
+
+
 def quoted(c: Column) -> Column:
     """A string as JSON text."""
     return F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))

@@ -37,6 +37,11 @@ def _split_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("split", dedup.split_of(F.col("domain_index")))
 
 
+def _domains(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """The first n of the domains that documents make, by their ids."""
+    return catalog.domains_of(_read(spark, sf_dir, "documents"), "doc_id", "n_chars", DOMAINS).where(F.col("domain_index") < n)
+
+
 # Files
 
 
@@ -184,13 +189,13 @@ def _pairs(updates: str) -> Column:
 
 def cluster_messages(spark, sf_dir):
     """The v4 records whose messages fill several slots: message and updates."""
-    records = _said_json(sft.cluster_records(catalog.domains(spark, DOMAINS)))
+    records = _said_json(sft.cluster_records(_domains(spark, sf_dir, DOMAINS)))
     return records.select("metadata.scenario_id", "metadata.split", "message", _pairs("answer.updates").alias("updates"), F.forall("answer.updates", lambda u: F.contains(F.col("message"), u["evidence_text"])).alias("grounded"))
 
 
 def targeted_messages(spark, sf_dir):
     """The v4 records of answers to one slot, in all variants: message, intent and updates."""
-    records = _said_json(sft.targeted_records(catalog.domains(spark, DOMAINS), True))
+    records = _said_json(sft.targeted_records(_domains(spark, sf_dir, DOMAINS), True))
     payload = F.from_json(F.col("prompt")[1]["content"], "confirmed_slots array<struct<slot_id:string>>, slot_definitions array<struct<slot_id:string>>")
     confirmed = F.array_join(F.transform(payload["confirmed_slots"], lambda c: c["slot_id"]), "|")
     shown = F.array_join(F.transform(payload["slot_definitions"], lambda d: d["slot_id"]), "|")
@@ -205,20 +210,20 @@ def length_gate(spark, sf_dir):
 
 def scenario_messages(spark, sf_dir):
     """The v4 corpus: last message, intent, slots of its updates, and the next question of each scenario."""
-    made = corpus.corpus(catalog.domains(spark, DOMAINS), "v4").withColumn("last", F.element_at("turns", -1))
+    made = corpus.corpus(_domains(spark, sf_dir, DOMAINS), "v4").withColumn("last", F.element_at("turns", -1))
     slots = F.array_join(F.transform("last.gold_extraction.updates", lambda u: u["slot_id"]), "|")
     return made.select("scenario_id", "split", "category", F.col("last.message").alias("message"), "gold_intent", "corpus_version", F.array_join("behavior_tags", "|").alias("tags"), slots.alias("slots"), "ideal_question", F.size("turns").alias("turns"))
 
 
 def chat_questions(spark, sf_dir):
     """The questions of the chat records, from the v2 corpus."""
-    asked = sft.chat(corpus.corpus(catalog.domains(spark, 20), "v2")).where("metadata.task = 'ask'")
+    asked = sft.chat(corpus.corpus(_domains(spark, sf_dir, 20), "v2")).where("metadata.task = 'ask'")
     return asked.select("metadata.scenario_id", "metadata.split", "metadata.slot_id", F.get_json_object(F.col("messages")[2]["content"], "$.question").alias("question"))
 
 
 def paraphrased_records(spark, sf_dir):
     """Records of the v4 corpus' paraphrased turns: the cache has two wordings for some messages, and what it lacks is made and appended."""
-    made = corpus.corpus(catalog.domains(spark, DOMAINS), "v4").where("category = 'missing_required'")
+    made = corpus.corpus(_domains(spark, sf_dir, DOMAINS), "v4").where("category = 'missing_required'")
     messages = sft.turns_of(made).select(F.col("t.message").alias("message")).distinct()
     path = _folder(spark, "paraphrases")
     worded = lambda df: df.select("message", F.array(F.concat(F.lit("Please: "), "message"), F.concat("message", F.lit(" Thanks."))).alias("paraphrases"))
@@ -233,7 +238,7 @@ def paraphrased_records(spark, sf_dir):
 
 def extended_validation(spark, sf_dir):
     """Violations of the v4 corpus and records; and of records that lack a variant, repeat one, and are of the test split."""
-    domains, path = catalog.domains(spark, 30), _folder(spark, "extended")
+    domains, path = _domains(spark, sf_dir, 30), _folder(spark, "extended")
     corpus.corpus(domains, "v4").write.parquet(f"{path}/corpus")
     made = spark.read.parquet(f"{path}/corpus")
     sft.prompt_completion(made, domains, "v4").write.parquet(f"{path}/records")
@@ -406,12 +411,13 @@ def _formatted(template: str, known: dict[str, str]) -> str:
     return " || ".join(parts) or "''"
 
 
-_DOMAIN = f"""dom as (select i as domain_index, 'series_' || lpad(i::varchar, 2, '0') as slug, 'value_' || lpad(i::varchar, 2, '0') as target_column, 'demand of region ' || lpad(i::varchar, 2, '0') as target_description,
-  'unit ' || i % 5 as unit, u || '_start' as time_column, f as frequency, u as frequency_unit, p || ' ' || u || 's' as horizon, p as horizon_periods, 'series_' || lpad(i::varchar, 2, '0') || '.csv' as source,
-  'planning of depot ' || i % 9 as business_goal, 'MAE below ' || 5 + i || ' percent' as success_criteria, case when i % 8 = 7 then 'smape' else 'mae' end as primary_metric,
-  'demand of region ' || lpad(((i + 1) % 20)::varchar, 2, '0') as next_target_description,
-  case when i < 14 or i between 20 and 26 then 'train' when i < 17 or i between 27 and 29 then 'validation' else 'test' end as split
-  from (select i, ['daily', 'weekly', 'monthly', 'quarterly'][i % 4 + 1] as f, ['day', 'week', 'month', 'quarter'][i % 4 + 1] as u, 4 + 3 * (i % 7) as p from (select unnest(range({DOMAINS})) as i)))"""
+_DOMAIN = f"""grouped as (select (doc_id % {DOMAINS})::int as i, count(*) as c, coalesce(sum(n_chars), 0)::bigint as t from documents where doc_id is not null group by 1),
+dom as (select a.i as domain_index, 'series_' || lpad(a.i::varchar, 2, '0') as slug, 'value_' || lpad(a.i::varchar, 2, '0') || '_' || a.c as target_column, 'demand of region ' || lpad(a.i::varchar, 2, '0') || '-' || a.c as target_description,
+  'unit ' || a.t % 5 as unit, u || '_start' as time_column, f as frequency, u as frequency_unit, p || ' ' || u || 's' as horizon, p as horizon_periods, 'series_' || lpad(a.i::varchar, 2, '0') || '.csv' as source,
+  'planning of depot ' || a.t % 9 as business_goal, 'MAE below ' || 5 + a.c % 40 || ' percent' as success_criteria, case when a.t % 8 = 7 then 'smape' else 'mae' end as primary_metric,
+  'demand of region ' || lpad(b.i::varchar, 2, '0') || '-' || b.c as next_target_description,
+  case when a.i < 14 or a.i between 20 and 26 then 'train' when a.i < 17 or a.i between 27 and 29 then 'validation' else 'test' end as split
+  from (select *, ['daily', 'weekly', 'monthly', 'quarterly'][i % 4 + 1] as f, ['day', 'week', 'month', 'quarter'][i % 4 + 1] as u, 4 + 3 * (t % 7) as p from grouped) a left join grouped b on (a.i + 1) % 20 = b.i)"""
 _EACH, _HORIZON = "'1 ' || frequency_unit", "horizon_periods || ' ' || frequency_unit || case when horizon_periods <> 1 then 's' else '' end"
 _SAID = {
     "intent": "'create_forecast'", "problem_statement": "'forecast ' || target_description", "business_goal": "business_goal", "success_criteria": "success_criteria", "target_column": "target_column",
@@ -507,7 +513,7 @@ select level, node::int as node, n::bigint as n, digest from (select * from t0 u
     "scenario_messages": _scenarios(list(corpus.CATEGORIES), True, "scenario_id, split, category, message, gold_intent, corpus_version, tags, slots, ideal_question, turns"),
     "chat_questions": _scenarios(list(corpus.CATEGORIES), True, "scenario_id, split, slot_id, ideal_question as question", True) + " where split <> 'test' and domain_index < 20",
     "paraphrased_records": f"with {_DOMAIN}, s as (select slug, {_formatted(corpus.CATEGORIES['missing_required']['message'], {})} as m from dom where split <> 'test') select 'missing_required-' || slug as scenario_id, 'paraphrase_' || k as variant, case when k = 1 then 'Please: ' || m else m || ' Thanks.' end as message, {len(corpus.CATEGORIES['missing_required']['states'])}::int as n, true as grounded from s, (select unnest([1, 2]) as k)",
-    "extended_validation": f"with n as (select unnest({_EXPECTED}) as name), d as (select count(*) as train from (select unnest(range({DOMAINS})) as i) where i < 17 or i between 20 and 29) select name, 'sound' as which, 0::bigint as violations from n union all select name, 'spoiled', case name when 'size' then 20 when 'no test split' then {len(catalog.CLUSTERS)} * train + 1 when 'no exact duplicates' then 1 when 'required slots covered' then {len(catalog.REQUIRED)} when 'all variants' then 1 else 0 end::bigint from n, d",
+    "extended_validation": f"with n as (select unnest({_EXPECTED}) as name), d as (select count(*) as train from (select distinct doc_id % {DOMAINS} as i from documents) where i < 17 or i between 20 and 29) select name, 'sound' as which, 0::bigint as violations from n union all select name, 'spoiled', case name when 'size' then 20 when 'no test split' then {len(catalog.CLUSTERS)} * train + 1 when 'no exact duplicates' then 1 when 'required slots covered' then {len(catalog.REQUIRED)} when 'all variants' then 1 else 0 end::bigint from n, d",
     "length_gate": f"with {_SPLITS} select split, count(*) as n, min(length(text))::int as shortest, max(length(text))::int as longest, sum(length(text))::bigint as total, count(*) filter (length(text) > 2000) as over_limit from sd group by 1",
     "normalized_values": f"with v as (select o_orderkey, o_orderkey % 6 as k, o_custkey % 9 as n, strftime(o_orderdate::date, '%Y-%m-%d') as d, o_orderstatus, o_orderpriority from orders) select o_orderkey, case k when 0 then case n % 3 when 0 then 'true' when 1 then 'false' end when 1 then case when n > 2 then '\"' || d || '\"' end when 2 then case when n > 1 then '{{\"periods\": ' || n || ', \"unit\": \"week\"}}' end when 3 then case when n > 3 then '\"Asia/Karachi\"' end when 4 then case when lower(o_orderstatus) in ('o', 'f') then '\"' || lower(o_orderstatus) || '\"' end else '\"' || trim(o_orderpriority || ' \\\"q\\\"') || '\"' end as value from v",
     "routed_extractions": """with v as (select *, turn % 8 as k from conversations), m as (select *, case when k in (4, 5) then 'please predict ' || text else text || ' is what I need from you' end as m from v),

@@ -99,10 +99,10 @@ ORACLES: dict[str, str] = {
     "sampling_indices": "select doc_id, source from (select *, row_number() over (order by doc_id) - 1 as i from documents) where i in (0, 3, 17, 150, 9999999)",
     "preview_overlength": f"select doc_id, len({_TOKENS.format('text')})::int as n_tokens from documents where len({_TOKENS.format('text')}) > 2000 order by doc_id limit 10",
     "length_profile": f"with {_SPLIT}, w as (select split, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::int as n from sd) select split, count(*) as n, min(n) as shortest, max(n) as longest, sum(n)::bigint as total, count(*) filter (n > 1000) as over_limit from w group by split",
-    "scenario_matrix_v1": "with c as (select unnest(['complete', 'missing_required', 'ambiguous', 'correction', 'conflicting', 'multi_series', 'probabilistic_covariate', 'governance_privacy', 'robustness', 'intent_boundary']) as category), d as (select unnest(range(20)) as i) select category, case when i < 14 then 'train' when i < 17 then 'validation' else 'test' end as split, count(*) as n, sum(case when category = 'correction' then 2 else 1 end)::bigint as turns from c, d group by all",
-    "conversational_matrix": "with d as (select unnest(range(20)) as i), s as (select case when i < 14 then 'train' when i < 17 then 'validation' else 'test' end as split, unnest(range(16)) as k from d) select split, count(*) as n, count(*) filter (k >= 10) as conversational, count(*) filter (k not in (0, 9, 15)) as asking from s group by split",
-    "sft_variants": "with d as (select unnest(range(17)) as i), s as (select case when i < 14 then 'train' else 'validation' end as split, i from d), v as (select unnest(['selected_short', 'selected_sentence', 'selected_non_answer']) as variant), b as (select split, i, unnest(range(17)) as k from s), f as (select split, case when k < 3 then k when k = 3 and i % 2 = 0 then 3 else 100 + i * 100 + k end as message, i from b), u as (select arg_min(split, i) as split from f group by message) select split, 'reviewed_base' as variant, count(*) as n from u group by split union all select split, variant, count(*) * 16 from s, v group by all",
-    "corpus_expectations": "select unnest(['known gold slots', 'known forbidden slots', 'known question slot', 'one question mark', 'grounded evidence', 'size', 'unique ids', 'disjoint domains']) as name, 0::bigint as violations",
+    "scenario_matrix_v1": "with c as (select unnest(['complete', 'missing_required', 'ambiguous', 'correction', 'conflicting', 'multi_series', 'probabilistic_covariate', 'governance_privacy', 'robustness', 'intent_boundary']) as category), d as (select i from (select distinct doc_id % 33 as i from documents) where i < 20) select category, case when i < 14 then 'train' when i < 17 then 'validation' else 'test' end as split, count(*) as n, sum(case when category = 'correction' then 2 else 1 end)::bigint as turns from c, d group by all",
+    "conversational_matrix": "with d as (select i from (select distinct doc_id % 33 as i from documents) where i < 20), s as (select case when i < 14 then 'train' when i < 17 then 'validation' else 'test' end as split, unnest(range(16)) as k from d) select split, count(*) as n, count(*) filter (k >= 10) as conversational, count(*) filter (k not in (0, 9, 15)) as asking from s group by split",
+    "sft_variants": "with d as (select i from (select distinct doc_id % 33 as i from documents) where i < 17), s as (select case when i < 14 then 'train' else 'validation' end as split, i from d), v as (select unnest(['selected_short', 'selected_sentence', 'selected_non_answer']) as variant), b as (select split, i, unnest(range(17)) as k from s), f as (select split, case when k < 3 then k when k = 3 and i % 2 = 0 then 3 else 100 + i * 100 + k end as message, i from b), u as (select arg_min(split, i) as split from f group by message) select split, 'reviewed_base' as variant, count(*) as n from u group by split union all select split, variant, count(*) * 16 from s, v group by all",
+    "corpus_expectations": "select name, case name when 'size' then abs((select count(distinct doc_id % 33) * 10 from documents where doc_id % 33 < 20) - 200) else 0 end::bigint as violations from (select unnest(['known gold slots', 'known forbidden slots', 'known question slot', 'one question mark', 'grounded evidence', 'size', 'unique ids', 'disjoint domains']) as name)",
     "table_expectations": "select 'has text' as name, count(*) filter (text = '') as violations from documents union all select 'counts characters', count(*) filter (n_chars <> length(text)) from documents union all select 'short', count(*) filter (n_chars > 2000) from documents union all select 'english', count(*) filter (lang <> 'en') from documents",
     "slot_coverage": "select d.source, count(l.doc_id) as n from documents d left join labels l on l.doc_id = d.doc_id and l.toxic = 1 group by 1",
     "multiset_equality": "select lang, source, count(*)::bigint as surplus from documents where lang = 'es' group by all",
@@ -122,7 +122,7 @@ ORACLES: dict[str, str] = {
     "latest_checkpoint": "select 'out/checkpoint-' || max(n_chars) as path, max(n_chars) as step from documents where doc_id % 2 = 0",
     "duration_parse": f"select event_id, (event_id % 9 + 1)::double as periods, {_list([UNITS[u] for u in sorted(UNITS)])}[(event_id % {len(UNITS)} + 1)::int] as unit from events",
     "excluded_cases": "select doc_id, source from documents where source not in ('src0', 'src5', 'src11')",
-    "guided_cases": "select 'guided-series_0' || i as case_id, 18 as turns, 'value_0' || i as second from range(4) t(i)",
+    "guided_cases": "select 'guided-series_0' || i as case_id, 18 as turns, 'value_0' || i || '_' || count(*) as second from (select doc_id % 33 as i from documents) where i < 4 group by i",
     "event_windows": "select date_trunc('day', ts) as start, event_type, count(*) as n, round_even(avg(value), 9) as mean from events group by all",
 }
 _CHECKS = """with k as (select doc_id, contains(lower(text), 'the') as contains_required_text, contains(lower(text), 'license') or contains(lower(text), 'token') as contains_any_text,

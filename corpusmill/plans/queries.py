@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import canonical, guardrails, text
 from corpusmill.operators import compare, conversation, dedup, scoring
 from corpusmill.plans import catalog, corpus, sft, validation
-from corpusmill.plans.more import MORE
+from corpusmill.plans.more import MORE, _domains
 from corpusmill.sources import readers, sinks
 from corpusmill.streaming import incremental
 
@@ -258,23 +258,23 @@ def length_profile(spark, sf_dir):
 
 
 def scenario_matrix_v1(spark, sf_dir):
-    made = corpus.corpus(catalog.domains(spark, 20), "v1")
+    made = corpus.corpus(_domains(spark, sf_dir, 20), "v1")
     return made.groupBy("category", "split").agg(F.count("*").alias("n"), F.sum(F.size("turns")).alias("turns"))
 
 
 def conversational_matrix(spark, sf_dir):
-    made = corpus.corpus(catalog.domains(spark, 20), "v2")
+    made = corpus.corpus(_domains(spark, sf_dir, 20), "v2")
     return made.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("category") == "conversational_intent").alias("conversational"), F.count("expected_question_slot").alias("asking"))
 
 
 def sft_variants(spark, sf_dir):
-    domains = catalog.domains(spark, 20)
+    domains = _domains(spark, sf_dir, 20)
     records = sft.prompt_completion(corpus.corpus(domains, "v3"), domains)
     return records.groupBy("metadata.split", "metadata.variant").agg(F.count("*").alias("n"))
 
 
 def corpus_expectations(spark, sf_dir):
-    return validation.validate_corpus(corpus.corpus(catalog.domains(spark, 20), "v1"), 200)
+    return validation.validate_corpus(corpus.corpus(_domains(spark, sf_dir, 20), "v1"), 200)
 
 
 def table_expectations(spark, sf_dir):
@@ -408,7 +408,7 @@ def excluded_cases(spark, sf_dir):
 
 
 def guided_cases(spark, sf_dir):
-    return sft.guided_cases(catalog.domains(spark, 4)).select("case_id", F.size("messages").alias("turns"), F.element_at("messages", 2).alias("second"))
+    return sft.guided_cases(_domains(spark, sf_dir, 4)).select("case_id", F.size("messages").alias("turns"), F.element_at("messages", 2).alias("second"))
 
 
 def event_windows(spark, sf_dir):
