@@ -249,6 +249,13 @@ def extended_validation(spark, sf_dir):
     return sound.select("name", F.lit("sound").alias("which"), "violations").unionByName(bad.select("name", F.lit("spoiled").alias("which"), "violations"))
 
 
+def conversational_expectations(spark, sf_dir):
+    """Violations of the v2 corpus, and of one without a category and a split."""
+    made = corpus.corpus(_domains(spark, sf_dir, 20), "v2")
+    sound, bad = validation.validate_conversational(made), validation.validate_conversational(made.where("category <> 'ambiguous' and split <> 'validation'"))
+    return sound.select("name", F.lit("sound").alias("which"), "violations").unionByName(bad.select("name", F.lit("spoiled").alias("which"), "violations"))
+
+
 # Guardrails
 
 
@@ -390,7 +397,7 @@ MORE = {
     f.__name__: f
     for f in (
         jsonl_roundtrip, jsonl_tree, text_fingerprints, streamed_evaluation, named_splits_scan, json_array_scan, key_value_scan, config_scan, prior_reports, model_answers, csv_review, report_roundtrip, checkpoint_listing, artifact_chain, run_manifest_lengths,
-        cluster_messages, targeted_messages, scenario_messages, chat_questions, paraphrased_records, extended_validation, length_gate, normalized_values, routed_extractions, cleaned_updates, prevented_repeats, question_payloads, cached_answers, chat_token_lengths, final_slots, underrepresented_sources,
+        cluster_messages, targeted_messages, scenario_messages, chat_questions, paraphrased_records, extended_validation, conversational_expectations, length_gate, normalized_values, routed_extractions, cleaned_updates, prevented_repeats, question_payloads, cached_answers, chat_token_lengths, final_slots, underrepresented_sources,
         relevant_questions, stamped_names,
     )
 }
@@ -513,6 +520,10 @@ select level, node::int as node, n::bigint as n, digest from (select * from t0 u
     "scenario_messages": _scenarios(list(corpus.CATEGORIES), True, "scenario_id, split, category, message, gold_intent, corpus_version, tags, slots, ideal_question, turns"),
     "chat_questions": _scenarios(list(corpus.CATEGORIES), True, "scenario_id, split, slot_id, ideal_question as question", True) + " where split <> 'test' and domain_index < 20",
     "paraphrased_records": f"with {_DOMAIN}, s as (select slug, {_formatted(corpus.CATEGORIES['missing_required']['message'], {})} as m from dom where split <> 'test') select 'missing_required-' || slug as scenario_id, 'paraphrase_' || k as variant, case when k = 1 then 'Please: ' || m else m || ' Thanks.' end as message, {len(corpus.CATEGORIES['missing_required']['states'])}::int as n, true as grounded from s, (select unnest([1, 2]) as k)",
+    "conversational_expectations": f"""with g as (select distinct doc_id % {DOMAINS} as i from documents where doc_id % {DOMAINS} < 20), k as (select count(*) as domains, count(*) filter (i < 14 or i > 16) as left_ from g),
+n as (select unnest(['known gold slots', 'known forbidden slots', 'known question slot', 'one question mark', 'grounded evidence', 'size', 'unique ids', 'disjoint domains', 'category counts', 'split counts', 'conversational tag', 'final slots are stated', 'asks what is missing']) as name)
+select name, 'sound' as which, case when name in ('size', 'category counts', 'split counts') then 16 * (20 - domains) else 0 end::bigint as violations from n, k
+union all select name, 'spoiled', case name when 'size' then 320 - 15 * left_ when 'category counts' then 320 - 15 * left_ when 'split counts' then 320 - 15 * left_ else 0 end::bigint from n, k""",
     "extended_validation": f"with n as (select unnest({_EXPECTED}) as name), d as (select count(*) as train from (select distinct doc_id % {DOMAINS} as i from documents) where i < 17 or i between 20 and 29) select name, 'sound' as which, 0::bigint as violations from n union all select name, 'spoiled', case name when 'size' then 20 when 'no test split' then {len(catalog.CLUSTERS)} * train + 1 when 'no exact duplicates' then 1 when 'required slots covered' then {len(catalog.REQUIRED)} when 'all variants' then 1 else 0 end::bigint from n, d",
     "length_gate": f"with {_SPLITS} select split, count(*) as n, min(length(text))::int as shortest, max(length(text))::int as longest, sum(length(text))::bigint as total, count(*) filter (length(text) > 2000) as over_limit from sd group by 1",
     "normalized_values": f"with v as (select o_orderkey, o_orderkey % 6 as k, o_custkey % 9 as n, strftime(o_orderdate::date, '%Y-%m-%d') as d, o_orderstatus, o_orderpriority from orders) select o_orderkey, case k when 0 then case n % 3 when 0 then 'true' when 1 then 'false' end when 1 then case when n > 2 then '\"' || d || '\"' end when 2 then case when n > 1 then '{{\"periods\": ' || n || ', \"unit\": \"week\"}}' end when 3 then case when n > 3 then '\"Asia/Karachi\"' end when 4 then case when lower(o_orderstatus) in ('o', 'f') then '\"' || lower(o_orderstatus) || '\"' end else '\"' || trim(o_orderpriority || ' \\\"q\\\"') || '\"' end as value from v",

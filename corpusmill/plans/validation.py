@@ -11,6 +11,7 @@ from corpusmill.functions.text import question_marks, strings
 from corpusmill.operators.compare import underrepresented
 from corpusmill.operators.dedup import crossing_keys
 from corpusmill.plans.catalog import REQUIRED, SLOTS
+from corpusmill.plans.corpus import CATEGORIES, PATTERNS
 
 
 def expectations(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -29,8 +30,17 @@ def none_of(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.lit(name).alias("name"), F.count("*").alias("violations"))
 
 
-def validate_corpus(corpus: DataFrame, size: int) -> DataFrame:
-    """(name, violations) for a scenario corpus: 0 everywhere in a valid one."""
+def miscounted(df: DataFrame, column: str, wanted: dict[str, int]) -> DataFrame:
+    """One row: by how many rows the counts of a column's values miss those wanted, values that aren't wanted included."""
+    expected = df.sparkSession.createDataFrame(list(wanted.items()), "value string, wanted long")
+    counts = df.groupBy(F.col(column).alias("found")).agg(F.count("*").alias("n"))
+    both = expected.join(counts, F.col("value") == F.col("found"), "full")
+    off = F.abs(F.coalesce("wanted", F.lit(0)) - F.coalesce("n", F.lit(0)))
+    return both.agg(F.lit(f"{column} counts").alias("name"), F.coalesce(F.sum(off), F.lit(0)).cast("long").alias("violations"))
+
+
+def validate_corpus(corpus: DataFrame, size: int, counts: dict[str, dict[str, int]] | None = None) -> DataFrame:
+    """(name, violations) for a scenario corpus: 0 everywhere in a valid one. counts: wanted numbers of rows by column and value, such as category and split."""
     known = strings([s[0] for s in SLOTS])
     inside = lambda xs: F.size(F.array_except(xs, known)) == 0
     asks = F.col("ideal_question")
@@ -46,7 +56,28 @@ def validate_corpus(corpus: DataFrame, size: int) -> DataFrame:
         },
     )
     unique = none_of(corpus.groupBy("scenario_id").count().where("count > 1"), "unique ids")
-    return reduce(DataFrame.unionByName, [rows, counted(corpus, "size", size), unique, none_of(crossing_keys(corpus, "domain"), "disjoint domains")])
+    by = [miscounted(corpus, column, wanted) for column, wanted in (counts or {}).items()]
+    return reduce(DataFrame.unionByName, [rows, counted(corpus, "size", size), unique, none_of(crossing_keys(corpus, "domain"), "disjoint domains"), *by])
+
+
+def validate_conversational(corpus: DataFrame, domains: int = 20, splits: dict[str, int] | None = None) -> DataFrame:
+    """As validate_corpus for the corpus with conversational scenarios: each category of each domain once, each pattern of each domain as well, and splits by domain; and the expectations that only conversational scenarios have."""
+    by_split = splits or {"train": 14, "validation": 3, "test": 3}
+    each = len(CATEGORIES) + len(PATTERNS)
+    categories = dict.fromkeys(CATEGORIES, domains) | {"conversational_intent": domains * len(PATTERNS)}
+    base = validate_corpus(corpus, domains * each, {"category": categories, "split": {s: n * each for s, n in by_split.items()}})
+    talks = F.col("category") == "conversational_intent"
+    stated = F.transform(F.element_at("turns", -1)["gold_extraction"]["updates"], lambda u: u["slot_id"])
+    return base.unionByName(
+        expectations(
+            corpus,
+            {
+                "conversational tag": ~talks | F.array_contains("behavior_tags", "conversational_intent"),
+                "final slots are stated": ~talks | (F.size(F.array_except(F.map_keys("gold_final_slots"), stated)) == 0),
+                "asks what is missing": ~talks | F.col("expected_question_slot").isNull() | ~F.array_contains(stated, F.col("expected_question_slot")),
+            },
+        )
+    )
 
 
 def validate_records(records: DataFrame) -> DataFrame:
