@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions import guardrails, text
+from corpusmill.functions import canonical, guardrails, text
 from corpusmill.operators import compare, conversation, dedup
 from corpusmill.operators.tables import work_dir
 from corpusmill.plans import catalog, corpus, sft, validation
@@ -302,6 +302,25 @@ def routed_extractions(spark, sf_dir):
     return got.select("conv_id", "turn", "intent", "route", _pairs("updates").alias("updates"))
 
 
+def duration_forms(spark, sf_dir):
+    """Durations in all forms: numbers and units, phrases, objects, digits with evidence, and what is none."""
+    k, n = F.col("event_id") % 9, (F.col("event_id") % 7 + 1).cast("string")
+    unit = F.element_at(text.strings(sorted(canonical.UNITS)), (F.floor(F.col("event_id") / 9) % len(canonical.UNITS) + 1).cast("int"))
+    said = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    raw = F.when(k == 0, said(n, " ", unit)).when(k == 1, said("for the next ", n, ".5 ", unit)).when(k == 2, said("A ", F.upper(unit))).when(k == 3, said('{"periods": ', n, ', "unit": "', unit, '"}')).when(k == 4, n).when(k == 5, "soon").when(k == 6, said(n, " ", unit, " please")).when(k == 7, said("{", n, "}")).otherwise('{"unit": "fortnight"}')
+    evidence = F.when(k == 4, "next 6 months").when(k == 7, "3 days").otherwise("")
+    message = F.when(k == 5, said("over the following ", unit)).otherwise("")
+    return _read(spark, sf_dir, "events").select("event_id", canonical.durations(raw, evidence, message).alias("d")).select("event_id", "d.periods", "d.unit")
+
+
+def stated_intents(spark, sf_dir):
+    """Each part of each turn as a reply to the intent question: as it is, and as a request, a refusal and a bare word."""
+    parts = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "[.,\\n]")).alias("part", "said"))
+    k = (F.col("part") + F.col("turn")) % 6
+    message = F.when(k == 0, F.col("said")).when(k == 1, F.concat(F.lit("Please predict "), "said")).when(k == 2, F.concat("said", F.lit(", but I do not want a forecast"))).when(k == 3, F.concat(F.lit("  YEP!"), F.lit("? "))).when(k == 4, F.lit("do not")).otherwise(F.concat("said", F.lit(" (no forecasting)")))
+    return parts.select("conv_id", "turn", "part", guardrails.recovered_intent(message, F.lit("intent")).alias("intent"), guardrails.low_information(F.lit("problem_statement"), F.when(k < 3, F.element_at(F.array(F.lit("Time-series!"), F.lit("predictions"), F.lit(" DATA ")), (k + 1).cast("int"))).otherwise(F.col("said"))).alias("drops"))
+
+
 def cleaned_updates(spark, sf_dir):
     """Updates of known and unknown slots, objects in two spellings, and durations that the value or the message says."""
     message = F.concat(F.when(F.col("turn") % 2 == 0, "next 6 months about ").otherwise("about "), F.col("text"))
@@ -397,7 +416,7 @@ MORE = {
     f.__name__: f
     for f in (
         jsonl_roundtrip, jsonl_tree, text_fingerprints, streamed_evaluation, named_splits_scan, json_array_scan, key_value_scan, config_scan, prior_reports, model_answers, csv_review, report_roundtrip, checkpoint_listing, artifact_chain, run_manifest_lengths,
-        cluster_messages, targeted_messages, scenario_messages, chat_questions, paraphrased_records, extended_validation, conversational_expectations, length_gate, normalized_values, routed_extractions, cleaned_updates, prevented_repeats, question_payloads, cached_answers, chat_token_lengths, final_slots, underrepresented_sources,
+        cluster_messages, targeted_messages, scenario_messages, chat_questions, paraphrased_records, extended_validation, conversational_expectations, length_gate, normalized_values, routed_extractions, duration_forms, stated_intents, cleaned_updates, prevented_repeats, question_payloads, cached_answers, chat_token_lengths, final_slots, underrepresented_sources,
         relevant_questions, stamped_names,
     )
 }
@@ -406,6 +425,9 @@ MORE = {
 # SQL
 
 
+_CLEAR = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+
+
 def _text(value: object) -> str:
     return "'" + str(value).replace("'", "''") + "'"
 
@@ -493,7 +515,6 @@ def _scenarios(names: list[str], patterns: bool, columns: str, asking: bool = Fa
 _SPLITS = "sd as (select *, case when cast(substr(source, 4) as int) < 14 then 'train' when cast(substr(source, 4) as int) < 17 then 'validation' else 'test' end as split from documents)"
 _WORDS = "list_filter(list_transform(regexp_split_to_array({0}, '\\s+'), lambda w: trim(lower(w), '?.,')), lambda w: length(w) >= 4)"
 _EXPECTED = ["size", "no test split", "extraction only", "prompt roles", "completion roles", "grounded evidence", "selected slot", "no exact duplicates", "required slots covered", "at least 100 positives a slot", "all variants"]
-_CLEAR = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
 MORE_SQL = {
     "jsonl_roundtrip": """select doc_id, nullif(lang, 'es') as lang, sha256(text) as sha256, n_chars, '{"counts":{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '},"doc_id":' || doc_id || ',"lang":' || coalesce('"' || nullif(lang, 'es') || '"', 'null') as head, false as corrupt from documents""",
@@ -532,6 +553,12 @@ c as (select *, 'business_goal=' || sha256(m) || '|frequency={"periods": 1, "uni
 select conv_id, turn, case when k = 1 then 'not_forecasting' else 'create_forecast' end as intent,
 case k when 0 then 'intent' when 1 then 'intent' when 2 then 'short answer' when 3 then 'recovered answer' when 4 then 'intent put right' when 5 then 'recovery' when 6 then 'error' else 'model' end as route,
 case k when 0 then 'intent="create_forecast"' when 1 then '' when 2 then 'target_column="btc_usd"' when 3 then 'target_column="correction weekly"' when 4 then 'intent="create_forecast"|' || clean when 5 then 'intent="create_forecast"' when 6 then '' else clean end as updates from c""",
+    "duration_forms": f"""with v as (select event_id, event_id % 9 as k, event_id % 7 + 1 as n, [{', '.join(_text(canonical.UNITS[u]) for u in sorted(canonical.UNITS))}][event_id // 9 % {len(canonical.UNITS)} + 1] as u from events)
+select event_id, case k when 0 then n when 1 then n + 0.5 when 2 then 1 when 3 then n when 4 then n when 5 then 1 when 7 then 3 when 8 then 1 end::double as periods, case k when 4 then 'month' when 6 then null when 7 then 'day' when 8 then 'fortnight' else u end as unit from v""",
+    "stated_intents": f"""with v as (select *, unnest(regexp_split_to_array(text, '[.,\\n]')) as m, generate_subscripts(regexp_split_to_array(text, '[.,\\n]'), 1) - 1 as part from conversations), k as (select *, (part + turn) % 6 as k, {_CLEAR.format('m')} as plain from v),
+c as (select *, plain in ({', '.join(map(_text, guardrails.NO))}) or regexp_matches(plain, '\\b(?:do not|dont|don t|not) (?:want )?(?:a )?forecast\\b') as refuses, plain in ({', '.join(map(_text, guardrails.YES))}) or regexp_matches(plain, '\\b(?:forecast|forecasting|predict|prediction)\\b') as asks from k)
+select conv_id, turn, part::int as part, case when k = 4 or k = 2 or (k in (0, 1, 5) and regexp_matches(plain, '\\b(?:do not|dont|don t|not) (?:want )?(?:a )?forecast\\b')) or (k = 0 and refuses) then 'not_forecasting' when k in (1, 3, 5) or asks then 'create_forecast' end as intent,
+case k when 0 then true when 1 then false when 2 then true else plain in ({', '.join(map(_text, guardrails.LOW_INFORMATION['problem_statement']))}) end as drops from c""",
     "cleaned_updates": """with v as (select *, case when turn % 2 = 0 then 'next 6 months about ' else 'about ' end || text as m from conversations),
 u as (select *, ['frequency={"periods": 1, "unit": "week"}@' || trim(m), case when turn % 2 = 0 then 'frequency={"periods": 6, "unit": "month"}@' end, 'target_column={"a":2,"b":1}@' || trim(m), case when turn % 2 = 0 then 'forecast_horizon={"periods": ' || (length(text) % 9 + 1) || ', "unit": "month"}@' end] as own from v)
 select conv_id, turn, case when turn % 2 = 0 then 4 else 2 end::int as n, sha256(array_to_string(list_filter(own, lambda x: x is not null), '|')) as updates_sha256 from u""",
