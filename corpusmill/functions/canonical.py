@@ -63,9 +63,12 @@ def _sorted_json(value: Column) -> Column:
 
 def _spaced_json(value: Column) -> Column:
     """As _sorted_json, with a space after colons and commas; null for arrays, and for strings with either at an end."""
-    compact = _sorted_json(value)
-    plain = ~F.contains(compact, F.lit("[")) & ~compact.rlike(r'[:,{]":|,"[:,}]')
-    return F.when(plain, F.replace(F.replace(compact, F.lit('":'), F.lit('": ')), F.lit(',"'), F.lit(', "')))
+
+    def own(compact: Column) -> Column:
+        plain = ~F.contains(compact, F.lit("[")) & ~compact.rlike(r'[:,{]":|,"[:,}]')
+        return F.when(plain, F.replace(F.replace(compact, F.lit('":'), F.lit('": ')), F.lit(',"'), F.lit(', "')))
+
+    return let(_sorted_json(value), own)
 
 
 def _dumped(value: object, compact: bool = False) -> str:
@@ -226,8 +229,7 @@ def salvaged(answer: Column) -> Column:
 
     def fast(text: Column) -> Column:
         own = F.regexp_replace(F.regexp_replace(text, r"(?i)^\s*(?:```(?:json)?\s*(?=\{.*\}\s*```\s*$))?", ""), r"(?<=\})\s*(?:```)?\s*$", "")
-        found = _spaced_json(own)
-        return F.when(F.startswith(found, F.lit("{")), found)
+        return let(let(own, _spaced_json), lambda found: F.when(F.startswith(found, F.lit("{")), found))
 
     return _either(answer, fast, _salvage_udf)
 
