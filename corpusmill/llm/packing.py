@@ -10,7 +10,7 @@ one group is left; there, a window that is far from full is cut at powers of two
 whose sequences need no padding. Only lengths travel in these rounds; the ids of a
 piece move once.
 
-Distinct words are tokenised once a task: no token spans ASCII white space, or stands
+Distinct words are tokenised once a worker: no token spans ASCII white space, or stands
 on both sides of a letter's end before a mark.
 """
 
@@ -39,8 +39,8 @@ SIZE, END = 4096, 2
 WINDOWS, FAN = 128, 16
 #: A window whose space is at most one in so many of its size is emitted at a partition's end.
 SPARE = 64
-#: Distinct words whose ids a task holds, at least; what a batch adds goes beyond.
-KNOWN = 1 << 19
+#: Distinct words whose ids a worker holds, some 150 MB; what a batch adds goes beyond, and then all are forgotten.
+KNOWN = 1 << 20
 #: A letter or digit and a mark after it, between which no token stands: letters that tokenizers agree on.
 MARKS = "([A-Za-z0-9À-ÖØ-öø-ÿ])([.,!?;:])"
 WORD = re.compile(b"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # UTF-8 of ASCII letters and those of Latin-1
@@ -66,9 +66,11 @@ class Encoder:
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
-        fresh = [w for w in words if w not in self.known]
-        alone, others = [w for w in fresh if WORD.fullmatch(w)], [w for w in fresh if not WORD.fullmatch(w)]
-        found, sizes = [], []
+        alone, others, found, sizes, letters = [], [], [], [], WORD.fullmatch
+        for w in words:
+            if w not in self.known:
+                (alone if letters(w) else others).append(w)
+        fresh = alone + others
         for i in range(0, len(alone), JOINED):  # a word of letters is one of the tokenizer's words, also among others
             some = alone[i : i + JOINED]
             one = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
@@ -78,7 +80,7 @@ class Encoder:
             found.append(np.array(one.ids, np.uint32))
             sizes.append(np.array([len(found[-1])]))
         if fresh:
-            self.known |= zip(alone + others, range(len(self.known), len(self.known) + len(fresh)), strict=True)
+            self.known |= zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True)
             new = np.concatenate(sizes).astype(np.int64)
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(new) - new])
             self.sizes, self.ids = np.concatenate([self.sizes, new]), np.concatenate([self.ids, *found])
@@ -109,6 +111,16 @@ class Encoder:
         return [np.append(flat[a:b], np.uint32(self.end)) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
 
+#: A worker's encoders, which stay beyond a task: tasks share most of their words.
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, end: int) -> Encoder:
+    if (path, end) not in _ENCODERS:
+        _ENCODERS[path, end] = Encoder(path, end)
+    return _ENCODERS[path, end]
+
+
 class Windows:
     """Open windows; put() gives a piece its window and place there, and emitted() what closed since."""
 
@@ -156,7 +168,7 @@ def packed_partitions(docs: DataFrame, id_col: str, text_col: str, path: str, si
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_id = TaskContext.get().partitionId()
-        first, encoder, open_, held, ready = _named(0, part_id), Encoder(path, end), Windows(size, windows), {}, []
+        first, encoder, open_, held, ready = _named(0, part_id), encoder_of(path, end), Windows(size, windows), {}, []
 
         def batch(type_: pa.DataType, last: bool) -> pa.RecordBatch:
             for w in open_.emitted():
