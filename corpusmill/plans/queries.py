@@ -187,7 +187,7 @@ def conversation_lengths(spark, sf_dir):
 def chat_to_prompt_completion(spark, sf_dir):
     message = F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m"))
     chats = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(message)), lambda x: x["m"]).alias("messages"))
-    both = chats.select("conv_id", F.slice("messages", 1, F.size("messages") - 1).alias("prompt"), F.slice("messages", -1, 1).alias("completion"))
+    both = readers.prompt_completion(chats, "conv_id")
     return both.select("conv_id", F.size("prompt").alias("n_prompt"), F.col("completion")[0]["role"].alias("role"), F.sha2(F.col("completion")[0]["content"], 256).alias("completion_sha256"))
 
 

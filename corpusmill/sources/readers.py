@@ -226,9 +226,8 @@ def config(spark: SparkSession, path: str, known: dict[str, type]) -> dict:
     return found
 
 
-def prompt_completion(df: DataFrame) -> DataFrame:
-    """(prompt, completion) of records in either form: as they are, or all messages but the last and the last."""
-    return df.select(
-        F.coalesce("prompt", F.slice("messages", 1, F.greatest(F.lit(0), F.size("messages") - 1))).alias("prompt"),
-        F.coalesce("completion", F.slice("messages", -1, 1)).alias("completion"),
-    )
+def prompt_completion(df: DataFrame, *keep: str) -> DataFrame:
+    """(keep, prompt, completion) of records in either form: as they are, or all messages but the last and the last. A table may have one form only."""
+    said = (F.slice("messages", 1, F.greatest(F.lit(0), F.size("messages") - 1)), F.slice("messages", -1, 1)) if "messages" in df.columns else (F.lit(None), F.lit(None))
+    made = [F.coalesce(name, cut) if name in df.columns else cut for name, cut in zip(("prompt", "completion"), said, strict=True)]
+    return df.select(*keep, made[0].alias("prompt"), made[1].alias("completion"))
