@@ -65,14 +65,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     site = F.col(site_col) if isinstance(docs.schema[site_col].dataType, (T.StringType, T.LongType, T.IntegerType)) else F.col(site_col).cast("string")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), site.alias("site"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), site.alias("site"), F.xxhash64(text_col).alias("row"))
     boilerplate = written(line_spread(source, "id", "text", "site", min_sites), "boilerplate")
-    lines = source.select("id", F.explode(F.array_distinct(line_hashes(F.col("text")))).alias("h")).select("id", "h.a", "h.b")
+    # rows that share an id, or have none, are told apart by their texts' hashes, so that no group gathers more than a text's lines
+    lines = source.select("id", "row", F.explode(F.array_distinct(line_hashes(F.col("text")))).alias("h")).select("id", "row", "h.a", "h.b")
     hits = lines.join(boilerplate, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("first")))
-    of, gone = free("of", *kept), free("gone", *kept)
-    removals = hits.groupBy(F.col("id").alias(of)).agg(F.collect_set(F.struct("a", "b")).alias(gone))
+    of, row, gone = free("of", *kept), free("row", *kept), free("gone", *kept)
+    removals = hits.groupBy(F.col("id").alias(of), F.col("row").alias(row)).agg(F.collect_set(F.struct("a", "b")).alias(gone))
     names = [f"c{i}" for i in range(len(kept))]
-    joined = docs.select(*kept).join(removals, F.col(id_col).eqNullSafe(F.col(of)), "left").select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], F.col(f"{gone}.a").alias("a"), F.col(f"{gone}.b").alias("b"))
+    joined = docs.select(*kept).join(removals, F.col(id_col).eqNullSafe(F.col(of)) & (F.xxhash64(text_col) == F.col(row)), "left").select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], F.col(f"{gone}.a").alias("a"), F.col(f"{gone}.b").alias("b"))
     at, seed = kept.index(text_col), _int_seed()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
