@@ -98,7 +98,7 @@ def streamed_sha256(path: str, block: int = BLOCK) -> str:
 
 
 def fingerprints(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, name, bytes, sha256) of the files whose names fit the pattern, in a folder and below it.
+    """(path, name, bytes, sha256) of the files whose names fit the pattern, in a folder and below it; hidden ones (._) don't count.
 
     Files are dealt by size, and a task streams its own, so no file is a row,
     whatever its size. Only in stores that pyarrow doesn't read a file is a row of
@@ -107,7 +107,7 @@ def fingerprints(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     if not _read_by_tasks(qualified(spark, path)):
         files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
         return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    named = listing(spark, path, deep=True).where(~F.col("is_dir") & F.col("name").rlike(fnmatch.translate(pattern))).select("path", "name", "bytes")
+    named = listing(spark, path, deep=True).where(~F.col("is_dir") & F.col("name").rlike("^" + fnmatch.translate(pattern)) & ~F.col("name").rlike("^[._]")).select("path", "name", "bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
