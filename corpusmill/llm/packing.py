@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import arrow_map, parts, utf8, written
+from corpusmill.llm.common import BATCH_BYTES, arrow_map, parts, utf8, written
 from corpusmill.llm.suffixes import ragged
 
 #: Tokens of a sequence, and the id that ends a document.
@@ -59,6 +59,10 @@ class Encoder:
         self.tokenizer, self.end = Tokenizer.from_file(path), end
         rules = json.loads(self.tokenizer.to_str())
         self.lowers = '"Lowercase"' in json.dumps(rules["normalizer"])
+        # where a token at a word's end has a name of its own, ids alone tell words apart
+        suffix, names = rules["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for t, i in names.items() if suffix and t.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -73,13 +77,19 @@ class Encoder:
         fresh = alone + others
         for i in range(0, len(alone), JOINED):  # a word of letters is one of the tokenizer's words, also among others
             some = alone[i : i + JOINED]
-            one = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
-            found.append(np.array(one.ids, np.uint32))
-            sizes.append(np.bincount(np.array(one.word_ids, np.int64), minlength=len(some)))
+            if self.ends.any():
+                found.append(np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32))
+                sizes.append(np.diff(np.flatnonzero(self.ends[found[-1]]), prepend=-1))
+            else:
+                one = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
+                found.append(np.array(one.ids, np.uint32))
+                sizes.append(np.bincount(np.array(one.word_ids, np.int64), minlength=len(some)))
         for one in self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False) if others else ():
             found.append(np.array(one.ids, np.uint32))
             sizes.append(np.array([len(found[-1])]))
         if fresh:
+            if sum(map(len, sizes)) != len(fresh):
+                raise RuntimeError("the tokenizer joins words of letters")
             self.known |= zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True)
             new = np.concatenate(sizes).astype(np.int64)
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(new) - new])
@@ -182,7 +192,7 @@ def packed_partitions(docs: DataFrame, id_col: str, text_col: str, path: str, si
             return pa.RecordBatch.from_arrays(arrays, fields)
 
         type_ = None
-        for part in (part for whole in batches for part in parts(whole, 1)):
+        for part in (part for whole in batches for part in parts(whole, 1, BATCH_BYTES)):
             type_ = part.schema.field(0).type
             for own, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                 for start in range(0, len(ids), size):
