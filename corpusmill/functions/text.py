@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,8 +166,25 @@ def token_lengths(make: Callable[[], Callable[[str], Sequence]]) -> Callable[[Co
     return lengths
 
 
-#: Distinct pieces whose numbers of tokens a worker remembers.
-PIECES = 1 << 18
+#: Distinct pieces whose numbers of tokens a worker remembers, and the characters of the longest that it does.
+PIECES, LONGEST = 1 << 18, 64
+#: Pieces that are looked at together.
+TOGETHER = 1 << 14
+
+
+def _cut(texts: pa.Array, pattern) -> Iterator[list[tuple[int, list[str]]]]:
+    """Places of texts with their pieces, fewer than twice TOGETHER at once; those of a long text come in several lists."""
+    held, n = [], 0
+    for row, t in enumerate(texts):
+        found = (m[0] for m in pattern.finditer(t.as_py() or ""))
+        while own := list(islice(found, TOGETHER)):
+            held.append((row, own))
+            n += len(own)
+            if n >= TOGETHER:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
 
 
 def piece_lengths(make: Callable[[], Callable[[list[str]], list[int]]], pattern: str) -> Callable[[Column], Column]:
@@ -173,23 +192,30 @@ def piece_lengths(make: Callable[[], Callable[[list[str]], list[int]]], pattern:
 
     make builds, once in each worker, a function from a list of pieces to their
     numbers of tokens. Each distinct piece is counted once: a text costs a lookup for
-    each of its pieces.
+    each of its pieces. Besides a batch, a worker holds only the pieces remembered and
+    some that are looked at together, however many the batch has.
     """
     made: list = []
     known: dict[str, int] = {}
 
-    @F.pandas_udf(T.LongType())
-    def lengths(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.LongType())
+    def lengths(texts: pa.Array) -> pa.Array:
         import regex
 
         if not made:
             made.extend((make(), regex.compile(pattern)))
-        pieces = [[] if t is None else made[1].findall(t) for t in texts]
-        if len(known) > PIECES:
-            known.clear()
-        fresh = list({p for own in pieces for p in own if p not in known})
-        known.update(zip(fresh, made[0](fresh) if fresh else [], strict=True))
-        return pd.Series([sum(map(known.__getitem__, own)) for own in pieces], dtype="int64")
+        sizes = [0] * len(texts)
+        for some in _cut(texts, made[1]):
+            if len(known) > PIECES:
+                known.clear()
+            fresh = list({p for _, own in some for p in own if p not in known})
+            known.update(zip(fresh, made[0](fresh) if fresh else [], strict=True))
+            for row, own in some:
+                sizes[row] += sum(map(known.__getitem__, own))
+            for p in fresh:
+                if len(p) > LONGEST:
+                    del known[p]
+        return pa.array(sizes, pa.int64())
 
     return lengths
 

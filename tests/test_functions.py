@@ -243,3 +243,42 @@ def test_piece_lengths(spark):
     assert got == [len(encoding().encode_ordinary(t or "")) for t in texts]
     sized = column(spark, lambda r, n: text.message_length(r, n, {"user": 4, "system": 3}), ("user", 5), ("tool", 5), (None, 5), kinds="string; bigint")
     assert sized == [9, 5, 5]
+
+
+def test_piece_lengths_bounded(spark):
+    """What a worker holds at once doesn't grow with a batch's pieces, nor with a text's, and counts stay right."""
+
+    def make():
+        def sizes(pieces):
+            if len(pieces) > 50_000:
+                raise MemoryError(f"{len(pieces)} pieces at once")
+            return [len(p) for p in pieces]
+
+        return sizes
+
+    word = lambda i: f"{i:x}"
+    many = [" ".join(map(word, range(i, i + 100))) for i in range(0, 400_000, 100)]
+    texts = [" ".join(map(word, range(500_000, 700_000))), None, "y" * 1000, "", "y" * 1000 + " y", *many]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = dict(df.select("i", text.piece_lengths(make, r"\S+")("t")).collect())
+    assert got == {i: sum(map(len, (t or "").split())) for i, t in enumerate(texts)}
+
+
+def test_chat_tokenizer_memory(spark, sf_dir, monkeypatch):
+    """The tokenizer of chat_token_lengths keeps little beside its answer, however many pieces it is given."""
+    import tracemalloc
+
+    from corpusmill.plans import more
+
+    made = []
+    monkeypatch.setattr(text, "piece_lengths", lambda make, pattern: made.append(make) or F.length)
+    more.chat_token_lengths(spark, sf_dir)
+    sizes, pieces = made[0](), [f" {i:x}" for i in range(20_000)]
+    tracemalloc.start()
+    try:
+        found = sizes(pieces)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == len(pieces) and min(found) >= 1
+    assert most < 200 * len(pieces)
